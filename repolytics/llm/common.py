@@ -53,8 +53,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame; of a file scan, the size of its files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return size
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def sized_partitions(df: DataFrame, bytes_each: int, least: int = 12, most: int = 200_000) -> int:

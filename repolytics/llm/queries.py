@@ -15,7 +15,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.substring import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_substring": op6_substring,
     "op9_simhash": op9_simhash,
 }
 

@@ -15,6 +15,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.tokenfiles import read_documents, write_tokens
+
+    return read_documents(write_tokens(table(spark, sf_dir, "documents")))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolytics.llm.substring import deduplicate
 
@@ -22,6 +34,8 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op10_tokens": op10_tokens,
     "op6_substring": op6_substring,
     "op9_simhash": op9_simhash,
 }

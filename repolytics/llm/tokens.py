@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 
 import regex
 
@@ -60,7 +61,7 @@ class Encoder:
     special tokens are ordinary text.
     """
 
-    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 200_000, pieces: int = 300_000):
+    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 120_000, pieces: int = 250_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path or vocabulary(name))
@@ -89,3 +90,9 @@ class Encoder:
             return self.whole(text)
         first, *rest = text.split(" ")
         return self.whole(first) + b"".join(map(self._after.__getitem__, rest))
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str = TOKENIZER, path: str | None = None) -> Encoder:
+    """This process's encoder; its tables serve all tasks a worker runs."""
+    return Encoder(name, path)

@@ -79,3 +79,14 @@ def local_path(uri: str) -> str:
 
 def is_local(uri: str) -> bool:
     return uri.startswith(("file:", "/")) or os.path.isabs(uri)
+
+
+_KEPT: dict[str, object] = {}
+
+
+def worker_object(key: str, make):
+    """What make() gives, kept by this Python worker for its next tasks; one object at most."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -15,6 +15,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolytics.llm.packing import pack
 
@@ -34,6 +46,8 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
+    "op8_quality": op8_quality,
     "op3_packing": op3_packing,
     "op10_tokens": op10_tokens,
     "op6_substring": op6_substring,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from repolytics.llm import quality_rules
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +23,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolytics.llm.quality import classify
 
@@ -46,6 +54,7 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_rules": op5_rules,
     "op1_langid": op1_langid,
     "op8_quality": op8_quality,
     "op3_packing": op3_packing,
@@ -54,4 +63,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_rules": quality_rules.ORACLE}

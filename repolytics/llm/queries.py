@@ -23,6 +23,19 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.warc import read_archives, write_archives
+
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolytics.llm.quality_rules import judge
 
@@ -54,6 +67,8 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_extract": op2_extract,
+    "op7_warc": op7_warc,
     "op5_rules": op5_rules,
     "op1_langid": op1_langid,
     "op8_quality": op8_quality,

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from repolytics.llm.common import held_out, worker_object
 
@@ -190,3 +190,20 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: i
     model = fit(training_rows(docs, labels, label, fold, most))
     scored = predict(docs, model)
     return scored.select("doc_id", held_out("doc_id", fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def scored_rows(docs: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
+    """docs with one further column, the score of predict(); no join, rows stay as they are."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    docs = docs.drop(column)
+    kept = docs.columns
+
+    def run(batches):
+        scorer = worker_object(key, lambda: Scorer(shared.value))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                scores = pa.array([scorer.score(t) for t in part.column(kept.index("text")).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*kept, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

@@ -36,6 +36,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolytics.llm.quality_rules import judge
 
@@ -67,6 +73,7 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op2_extract": op2_extract,
     "op7_warc": op7_warc,
     "op5_rules": op5_rules,

@@ -225,3 +225,44 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, texts: bool = False) -> Dat
     found = repeated_windows(docs, width).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     joined = docs.join(found, "doc_id", "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(_remove(width, texts), _RESULT + (", kept_text string" if texts else ""))
+
+
+def _clean(width: int, names: list[str]):
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+
+    def run(batches):
+        of, powers = WordHashes(), Powers()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts, keep = part.column(text_at).to_pylist(), []
+                for i, hashes in enumerate(part.column(len(names)).to_pylist()):
+                    if hashes is not None:
+                        _, mask = covered(texts[i], hashes, width, of, powers)
+                        if mask.any():
+                            texts[i] = "" if mask.all() else without(texts[i], spans_of(mask))
+                            if mask.all():
+                                continue
+                    keep.append(i)
+                columns = list(part.columns[: len(names)])
+                columns[text_at] = pa.array(texts, pa.string())
+                if chars_at >= 0:
+                    before = part.column(chars_at).to_pylist()
+                    old = part.column(text_at).to_pylist()
+                    columns[chars_at] = pa.array([b if o == t else len(t) for b, o, t in zip(before, old, texts)], part.column(chars_at).type)
+                yield pa.RecordBatch.from_arrays(columns, names).take(pa.array(keep, pa.int32()))
+
+    return run
+
+
+def cleaned_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with repeated passages cut from text (and n_chars set anew).
+
+    A row all of whose words go is left out; every other row stays, rows without a
+    doc_id or text as they are.
+    """
+    found = repeated_windows(docs.filter("doc_id is not null"), width).groupBy("doc_id").agg(F.collect_set("hash").alias("removed_hashes"))
+    found = found.withColumnRenamed("doc_id", "removed_id")
+    joined = docs.join(found, docs["doc_id"] == found["removed_id"], "left").drop("removed_id")
+    names = docs.columns
+    return joined.select(*names, "removed_hashes").mapInArrow(_clean(width, names), docs.schema)

@@ -1,44 +1,49 @@
 """Quality classifier: supervised subword embeddings, averaged and classified by softmax.
 
-A word's features are the word itself and its character n-grams (two to four, with
-boundary marks), each hashed to a row of a matrix of learnt vectors; a word that equals
-the word before it adds one further feature.  A document is the mean of all its
+A text's features are its words and their character n-grams (two to four, with word
+boundaries), each hashed to a row of a matrix of learnt vectors; a word that equals the
+word before it adds one further feature.  A document is the mean of all its
 features' vectors, and a softmax layer gives the class probabilities.  Both layers are
 trained by plain numpy stochastic gradient descent on the driver, from a bounded sample
 of labelled rows whose hashed features the executors prepare.
 
-Scoring is linear up to the softmax, so a worker keeps one summed logit for each recent
-word instead of its vectors; the result is the same.
+Scoring is linear up to the softmax, so the two layers fold into one logit for each
+bucket, which is summed over the features of a batch of texts in numpy; the result is
+the same.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from repolytics.llm import chargrams
 from repolytics.llm.common import held_out, worker_object
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 DIM = 16
 MOST_TRAIN = 4000
-REPEAT = 0  # the bucket of "equals the word before it"
+REPEAT = 1  # the bucket of "equals the word before it"; bucket 0 is void
 
 
-def features_of(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    marked = f"<{word}>"
-    out = [1 + zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % (buckets - 1)]
-    if len(word) > 64:
-        marked = marked[:33] + marked[-33:]  # of what is no word of a language, both ends
-    for n in ORDERS:
-        out += [1 + zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % (buckets - 1) for i in range(len(marked) - n + 1)]
-    return out
+def features(parts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The features of texts laid end to end.
+
+    Gives where each text starts, for each order the bucket at every position (0: none),
+    and for the words their places, buckets and whether they repeat the word before.
+    """
+    points, starts = chargrams.laid_out(parts, "visible", False)
+    orders = [chargrams.grams(points, n, buckets) for n in ORDERS]
+    places, hashes = chargrams.words(points)
+    owner = np.searchsorted(starts, places, side="right")
+    again = np.r_[False, (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])] if len(hashes) else np.zeros(0, bool)
+    named = np.maximum((hashes >> np.uint64(40)) & np.uint64(buckets - 1), np.uint64(2)).astype(np.int32)
+    return starts, orders, places, named, again
 
 
 @dataclass
@@ -50,25 +55,26 @@ class Model:
     bias: np.ndarray
 
 
+def counts_of(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how often) of the features of one text."""
+    total = np.zeros(buckets, np.int64)
+    for parts, _ in chargrams.pieces([text]):
+        _, orders, _, named, again = features(parts, buckets)
+        for found in [*orders, named]:
+            total += np.bincount(found, minlength=buckets)
+        total[REPEAT] += again.sum()
+    total[0] = 0
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids].astype(np.float32)
+
+
 def _sparse(buckets: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for doc, label, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    found, n, last = {}, {}, None
-                    for word in (text or "").split():
-                        n[word] = n.get(word, 0) + 1
-                        if word == last:
-                            found[REPEAT] = found.get(REPEAT, 0) + 1
-                        last = word
-                    for word, times in n.items():
-                        for f in features_of(word, buckets):
-                            found[f] = found.get(f, 0) + times
-                    ids = sorted(found)
-                    rows.append((doc, label, np.array(ids, np.int32).tobytes(), np.array([found[i] for i in ids], np.float32).tobytes()))
-                columns = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["doc_id", "label", "ids", "counts"])
+                part = batch.slice(at, 256)
+                found = [counts_of(t, buckets) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["doc_id", "label", "ids", "counts"])
 
     return run
 
@@ -126,44 +132,26 @@ def fit(rows: list[tuple], dim: int = DIM, buckets: int = BUCKETS, epochs: int =
 
 
 class Scorer:
-    """Logits of words, kept for recent words in bounded memory."""
+    """The layers of a model folded into one logit for each bucket."""
 
-    def __init__(self, model: Model, most: int = 250_000):
+    def __init__(self, model: Model):
         self.logit = (model.vectors @ (model.weights[:, 1] - model.weights[:, 0])).astype(np.float64)
-        self.bias, self.most = float(model.bias[1] - model.bias[0]), most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((4096, 2))
-
-    def _add(self, word: str) -> int:
-        at = self.index[word] = len(self.index)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        found = features_of(word, len(self.logit))
-        self.rows[at] = self.logit[found].sum(), len(found)
-        return at
-
-    def score(self, text: str | None) -> float:
-        """Probability of label 1; of a text without words, what the bias alone says."""
-        words = (text or "").split()
-        total, n = 0.0, 0.0
-        for start in range(0, len(words), 100_000):
-            part = words[start : start + 100_000]
-            if len(self.index) > self.most:
-                self._reset()
-            get = self.index.get
-            at = [get(w) for w in part]
-            if None in at:
-                at = [self._add(w) if (i := get(w)) is None else i for w in part]
-            at = np.array(at)
-            repeats = int((at[1:] == at[:-1]).sum()) + (start > 0 and part[0] == words[start - 1])
-            both = self.rows[at].sum(axis=0)
-            total += both[0] + repeats * self.logit[REPEAT]
-            n += both[1] + repeats
-        z = self.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        self.logit[0] = 0
+        self.bias = float(model.bias[1] - model.bias[0])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of label 1 of each text; without words, what the bias alone says."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for parts, owners in chargrams.pieces(texts):
+            starts, orders, places, named, again = features(parts, len(self.logit))
+            for at in orders:
+                np.add.at(total, owners, np.add.reduceat(self.logit.take(at), starts))
+                np.add.at(n, owners, np.add.reduceat(at > 0, starts, dtype=np.int64))
+            of = owners[np.searchsorted(starts, places, side="right") - 1]
+            total += np.bincount(of, self.logit[named] + again * self.logit[REPEAT], len(texts))
+            n += np.bincount(of, 1 + again, len(texts))
+        z = self.bias + np.divide(total, n, out=np.zeros_like(total), where=n > 0)
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +168,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([scorer.score(t) for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.scores(part.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -203,7 +191,7 @@ def scored_rows(docs: DataFrame, model: Model, column: str = "quality_score") ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                scores = pa.array([scorer.score(t) for t in part.column(kept.index("text")).to_pylist()], pa.float64())
+                scores = pa.array(scorer.scores(part.column(kept.index("text")).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*kept, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

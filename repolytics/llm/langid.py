@@ -1,78 +1,64 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Features are the character n-grams (one to four letters, with word boundaries) of the
-lower-cased letter runs of a text, hashed by CRC-32 into a fixed number of buckets.
-Counting runs over every training row in Spark; what reaches the driver is the matrix
-of counts, languages x buckets, whatever the corpus.  The log-probability matrix is
-broadcast.  A batch is scored as a sparse product: each distinct word of a worker's
-recent texts becomes one row of summed log-probabilities, and a document's scores are
-the sum of the rows of its words.
+lower-cased letter runs of a text, hashed into a fixed number of buckets.  Counting runs
+over every training row in Spark; what reaches the driver is the matrix of counts,
+languages x buckets, whatever the corpus.  The log-probability matrix is broadcast.  A
+batch of texts is scored as a sparse product: the buckets of all its positions are looked
+up in the matrix column by column and summed over each text.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from repolytics.llm import chargrams
 from repolytics.llm.common import held_out, worker_object
 
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
 MOST_LANGUAGES = 512
-_LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def grams_of(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Bucket numbers of the n-grams of a white-space separated word; none without letters."""
-    found = []
-    for run in _LETTERS.findall(word.lower()):
-        marked = f"<{run}>"
-        for n in ORDERS:
-            found += [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % buckets for i in range(n == 1, len(marked) - n + 1 - (n == 1))]
-    return found
-
-
 @dataclass
 class Model:
-    """languages (sorted), log-probabilities (buckets x languages), log-priors."""
+    """languages (sorted), log-probabilities (languages x buckets, bucket 0 void), log-priors."""
 
     languages: list[str]
     logp: np.ndarray
     prior: np.ndarray
 
 
-def _flushed(words: dict[str, Counter], buckets: int):
-    for lang, counts in words.items():
-        total = Counter()
-        for word, n in counts.items():
-            for g in grams_of(word, buckets):
-                total[g] += n
-        keys = np.fromiter(total.keys(), np.int32, len(total))
-        for at in range(0, len(keys), 1 << 16):
-            part = keys[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array([total[k] for k in part.tolist()], pa.int64())], ["lang", "bucket", "n"])
-
-
-def _counts(buckets: int, most_words: int = 200_000):
+def _counts(buckets: int, most_languages: int):
     def run(batches):
-        words: dict[str, Counter] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
+                by: dict[str, list] = {}
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words.setdefault(lang, Counter()).update(text.split())
-                if sum(map(len, words.values())) > most_words:
-                    yield from _flushed(words, buckets)
-                    words = {}
-        yield from _flushed(words, buckets)
+                    by.setdefault(lang, []).append(text)
+                for lang, texts in by.items():
+                    if lang not in sums:
+                        if len(sums) == most_languages:
+                            raise ValueError(f"more than {most_languages} languages")
+                        sums[lang] = np.zeros(buckets, np.int64)
+                    for parts, _ in chargrams.pieces(texts):
+                        points, _ = chargrams.laid_out(parts, "letters", True)
+                        for n in ORDERS:
+                            sums[lang] += np.bincount(chargrams.grams(points, n, buckets), minlength=buckets)
+        for lang, counts in sums.items():
+            counts[0] = 0
+            keys = np.flatnonzero(counts)
+            for at in range(0, len(keys), 1 << 16):
+                part = keys[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.astype(np.int32)), pa.array(counts[part])], ["lang", "bucket", "n"])
 
     return run
 
@@ -80,7 +66,7 @@ def _counts(buckets: int, most_words: int = 200_000):
 def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.1) -> Model:
     """Fit on all rows of docs (text, lang) where neither is null."""
     known = docs.select("text", "lang").filter("text is not null and lang is not null")
-    sums = known.mapInArrow(_counts(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = known.mapInArrow(_counts(buckets, MOST_LANGUAGES), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["c"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}
     languages = sorted(totals)
     if len(languages) > MOST_LANGUAGES:
@@ -92,48 +78,27 @@ def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.1) -> Mo
         counts[found.column("bucket").to_numpy(), [at[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
     smooth = counts + smoothing
     prior = np.log(np.array([totals[x] for x in languages], float) / max(1, sum(totals.values()))) if languages else np.zeros(0)
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), prior)
-
-
-class Scorer:
-    """Summed log-probabilities of words, kept for recent words in bounded memory."""
-
-    def __init__(self, model: Model, most: int = 250_000):
-        self.model, self.most = model, most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((4096, len(self.model.languages) + 1))
-        self.generation = getattr(self, "generation", 0) + 1
-
-    def _add(self, word: str) -> int:
-        at = self.index[word] = len(self.index)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        grams = grams_of(word, len(self.model.logp))
-        self.rows[at, :-1] = self.model.logp[grams].sum(axis=0, dtype=np.float64) if grams else 0
-        self.rows[at, -1] = len(grams)
-        return at
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior probability); (und, 0) where a text has no letters."""
-        total = np.zeros(len(self.model.languages) + 1)
-        words = (text or "").split()
-        for start in range(0, len(words), 100_000):
-            part = words[start : start + 100_000]
-            if len(self.index) > self.most:
-                self._reset()
-            get = self.index.get
-            at = [get(w) for w in part]
-            if None in at:
-                at = [self._add(w) if (i := get(w)) is None else i for w in part]
-            total += self.rows[at].sum(axis=0)
-        if not total[-1] or not self.model.languages:
-            return UNKNOWN, 0.0
-        logs = total[:-1] + self.model.prior
-        best = int(np.argmax(logs))
-        return self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
+    logp = np.log(smooth / smooth.sum(axis=0))
+    logp[0] = 0
+    return Model(languages, np.ascontiguousarray(logp.T.astype(np.float32)), prior)
+
+
+def score(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, posterior probability) of each text; (und, 0) where it has no letters."""
+    totals, found = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    for parts, owners in chargrams.pieces(texts):
+        points, starts = chargrams.laid_out(parts, "letters", True)
+        np.add.at(found, owners, np.add.reduceat(points > 0, starts, dtype=np.int64))
+        for n in ORDERS:
+            at = chargrams.grams(points, n, model.logp.shape[1])
+            for i, column in enumerate(model.logp):
+                np.add.at(totals[:, i], owners, np.add.reduceat(column.take(at), starts, dtype=np.float64))
+    if not model.languages:
+        return [(UNKNOWN, 0.0)] * len(texts)
+    logs = totals + model.prior
+    best = np.argmax(logs, axis=1)
+    shares = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+    return [(model.languages[b], float(s)) if f else (UNKNOWN, 0.0) for b, s, f in zip(best.tolist(), shares.tolist(), found.tolist())]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,12 +112,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
-        scorer = worker_object(key, lambda: Scorer(shared.value))
+        known = worker_object(key, lambda: shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [scorer.score(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], ["doc_id", "lang_pred", "score"])
+                found = score(known, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

@@ -61,16 +61,31 @@ class Encoder:
     special tokens are ordinary text.
     """
 
-    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 120_000, pieces: int = 250_000):
+    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 200_000, pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path or vocabulary(name))
         self.size = tokenizer.get_vocab_size()
         merge, letters = tokenizer.model.tokenize, byte_letters()
+        space = chr(letters[32])
         self._cut = tokenizer.pre_tokenizer.pre_tokenize_str
-        self._letters = lambda piece: piece.encode().decode("latin-1").translate(letters)
-        self._pieces = Recent(lambda piece: array("I", [t.id for t in merge(self._letters(piece))]).tobytes(), pieces)
-        self._after = Recent(lambda word: self.whole(" " + word), words)
+
+        def piece_ids(piece: str) -> bytes:
+            plain = piece[0] == " " and piece.isascii() and piece[1:].isalpha()
+            written = space + piece[1:] if plain else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+            return array("I", [t.id for t in merge(written)]).tobytes()
+
+        self._pieces = Recent(piece_ids, pieces)
+        found = self._pieces
+
+        def word_ids(word: str) -> bytes:
+            if word.isalpha():  # most words: one piece, or one and a mark after it
+                return found[" " + word]
+            if word[-1] in ",." and word[:-1].isalpha():
+                return found[" " + word[:-1]] + found[word[-1]]
+            return self.whole(" " + word)
+
+        self._after = Recent(word_ids, words)
 
     def whole(self, text: str) -> bytes:
         """The ids of any text: cut into pieces as the tokenizer does, each piece merged.

@@ -7,6 +7,7 @@ columns; only manifests that need a real parser leave the JVM, in Arrow batches.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,8 +24,8 @@ def source_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES
     prune at any depth.
     """
     every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/+", "/")
-    path = F.substring_index(F.regexp_replace("path", r"^[a-z]+:/+", "/"), F.concat(base, F.lit("/")), -1)
+    base = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/"))
+    path = F.substring(F.regexp_replace("path", r"^[a-z]+:/+", "/"), len(base) + 2, 1 << 20)
     named = every.withColumn("path", path).withColumn("language", language_of("path"))
     outside = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignored)))
     kept = named.filter((F.col("length") <= max_bytes) & F.col("language").isNotNull() & outside)
@@ -137,7 +138,6 @@ def requirements(text) -> Column:
 
 
 def _toml(batches):
-    import re
     import tomllib
 
     name = lambda s: re.sub(r"[_.]", "-", re.match(r"[A-Za-z0-9._-]*", s.strip())[0].lower()).strip("-")

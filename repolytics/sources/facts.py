@@ -29,7 +29,7 @@ def source_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES
     named = every.withColumn("path", path).withColumn("language", language_of("path"))
     outside = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignored)))
     kept = named.filter((F.col("length") <= max_bytes) & F.col("language").isNotNull() & outside)
-    return kept.select("path", "language", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return kept.select("path", "language", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 def numstat(lines: DataFrame, keep_binary: bool = False, value: str = "value") -> DataFrame:

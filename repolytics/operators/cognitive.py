@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repolytics.functions.numeric import clamp01, col, round_half
+from repolytics.operators.code import strip_line
 
 CALL = r"([A-Za-z0-9_.]+)[ \t]*\("
 
@@ -37,3 +41,66 @@ def files(functions: DataFrame) -> DataFrame:
 def summary(measured: DataFrame, failed: str = "failed") -> DataFrame:
     """One row: median and worst score over files that were measured in full."""
     return measured.filter(~F.col(failed)).agg(round_half(F.coalesce(F.percentile("score", 0.5), F.lit(0.0)), 1).alias("median"), F.coalesce(F.max("score"), F.lit(0.0)).alias("worst"))
+
+
+_OPEN = re.compile(r"\b(?:func|function)\b\s*(?:\([^)]*\)\s*)?([A-Za-z_]\w*)?|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")
+_DECLARED = re.compile(r"([A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s*:=|\b(?:var|let|const)\s+([A-Za-z_$][\w$]*)")
+_NAME = re.compile(r"[A-Za-z_$][\w$]*")
+_CALLED = re.compile(CALL)
+
+
+def functions_in(text: str, language: str) -> list[dict]:
+    """Functions of a source text by a lexical scan: name, line, lines, lifetime, calls, density, depth.
+
+    A function runs from the line that opens it to the brace that closes it.  A variable
+    lives from the line that declares it to the last line that names it; the lifetime of
+    a function is the median over its variables.  Every control block counts as two
+    levels of depth, itself and its braces.
+    """
+    open_functions, done, depth, in_block = [], [], 0, False
+    for number, raw in enumerate(text.split("\n"), 1):
+        line, skip, in_block = strip_line(raw, language, in_block)
+        if skip:
+            continue
+        found = _OPEN.search(line)
+        if found and "{" in line[found.start() :]:
+            open_functions.append({"name": found[1] or found[2] or "", "line": number, "base": depth, "born": {}, "last": {}, "calls": 0, "deepest": 0})
+        for own in open_functions:
+            own["calls"] += len(_CALLED.findall(line)) - (own["line"] == number)
+            for names in _DECLARED.findall(line):
+                for name in _NAME.findall(names[0] or names[1]):
+                    own["born"].setdefault(name, number)
+            for name in _NAME.findall(line):
+                if name in own["born"]:
+                    own["last"][name] = number
+        for c in line:
+            depth = depth + 1 if c == "{" else max(0, depth - 1) if c == "}" else depth
+            for own in open_functions:
+                own["deepest"] = max(own["deepest"], depth - own["base"] - 1)
+            if c == "}" and open_functions and depth <= open_functions[-1]["base"]:
+                done.append(open_functions.pop() | {"end": number})
+    out = []
+    for own in sorted(done, key=lambda f: (f["line"], f["name"])):
+        lives = sorted(own["last"].get(n, b) - b for n, b in own["born"].items())
+        middle = (lives[(len(lives) - 1) // 2] + lives[len(lives) // 2]) // 2 if lives else 0
+        lines = own["end"] - own["line"] + 1
+        out.append({"name": own["name"], "line": own["line"], "lines": lines, "lifetime": middle, "calls": max(0, own["calls"]), "density": 100.0 * max(0, own["calls"]) / lines, "depth": 2 * own["deepest"]})
+    return out
+
+
+def _functions(batches):
+    kinds = {"name": pa.string(), "line": pa.int64(), "lines": pa.int64(), "lifetime": pa.int64(), "calls": pa.int64(), "density": pa.float64(), "depth": pa.int64()}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, paths, rows = batch.slice(at, 256), [], []
+            for path, language, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                found = functions_in(text or "", language or "")
+                paths += [path] * len(found)
+                rows += found
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array([r[k] for r in rows], t) for k, t in kinds.items())], ["path", *kinds])
+
+
+def functions(sources: DataFrame) -> DataFrame:
+    """A row for each function of Go, JavaScript and TypeScript files (path, language, content)."""
+    own = sources.filter(F.col("language").isin("Go", "JavaScript", "TypeScript")).select("path", "language", "content")
+    return own.mapInArrow(_functions, "path string, name string, line long, lines long, lifetime long, calls long, density double, depth long")

@@ -66,7 +66,8 @@ def functions_in(text: str, language: str) -> list[dict]:
         if found and "{" in line[found.start() :]:
             open_functions.append({"name": found[1] or found[2] or "", "line": number, "base": depth, "born": {}, "last": {}, "calls": 0, "deepest": 0})
         for own in open_functions:
-            own["calls"] += len(_CALLED.findall(line)) - (own["line"] == number)
+            body = line[line.index("{", found.start()) :] if own["line"] == number else line
+            own["calls"] += len(_CALLED.findall(body))
             for names in _DECLARED.findall(line):
                 for name in _NAME.findall(names[0] or names[1]):
                     own["born"].setdefault(name, number)
@@ -84,7 +85,7 @@ def functions_in(text: str, language: str) -> list[dict]:
         lives = sorted(own["last"].get(n, b) - b for n, b in own["born"].items())
         middle = (lives[(len(lives) - 1) // 2] + lives[len(lives) // 2]) // 2 if lives else 0
         lines = own["end"] - own["line"] + 1
-        out.append({"name": own["name"], "line": own["line"], "lines": lines, "lifetime": middle, "calls": max(0, own["calls"]), "density": 100.0 * max(0, own["calls"]) / lines, "depth": 2 * own["deepest"]})
+        out.append({"name": own["name"], "line": own["line"], "lines": lines, "lifetime": middle, "calls": own["calls"], "density": 100.0 * own["calls"] / lines, "depth": 2 * own["deepest"]})
     return out
 
 

@@ -15,6 +15,11 @@ A key is (segment, exact 16 bits, window, codeword index): at most 48 keys a
 fingerprint, and any linked pair shares at least one.  Candidates are then verified
 by their Hamming distance, so the links are exact.
 
+One fingerprint of all shingles finds near copies that differ in few places.  To find
+more of them, several fingerprints of the set of single words (each of its own hash
+seed) can stand in for it; links are then decided by the Jaccard similarity of shingle
+sets, so the fingerprints only propose.
+
 Components are computed in Spark by alternating large-star and small-star rounds on
 the graph of distinct fingerprints; nothing proportional to the corpus reaches the
 driver.
@@ -22,6 +27,8 @@ driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,6 +60,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(hashes)
 
 
+def word_fingerprints(text: str | None, seeds: int) -> list[int]:
+    """SimHashes of the set of words of a text, one for each hash seed; 0 without words."""
+    own = set(words_of(text, lower=True))
+    if not own:
+        return [0] * seeds
+    digest = xxhash.xxh64_intdigest
+    return [majority(np.fromiter((digest(w, seed) for w in own), np.uint64, len(own))) for seed in range(seeds)]
+
+
 def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
     """The bits set in over half of the hashes, counted in blocks of bounded size."""
     counts = np.zeros(64, np.int64)
@@ -118,22 +134,24 @@ def fuzzy_keys(prints: np.ndarray) -> np.ndarray:
     return out.reshape(len(prints), 48)
 
 
-def _fingerprints(shingle: int, digests: bool):
+def _fingerprints(shingle: int, seeds: int, digests: bool):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
                 prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                more = [np.array(word_fingerprints(t, seeds), np.uint64).view(np.int64) for t in texts]
                 same = [xxhash.xxh64_intdigest(b" ".join(words_of(t, lower=True)), 7) if digests else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array(np.array(same, np.uint64).view(np.int64))], ["doc_id", "print", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array(more, pa.list_(pa.int64())), pa.array(np.array(same, np.uint64).view(np.int64))], ["doc_id", "print", "prints", "digest"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long), digest (of the words; 0 unless asked)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, digests), "doc_id long, print long, digest long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seeds: int = 0, digests: bool = False) -> DataFrame:
+    """doc_id, print (the fingerprint as a signed long), prints (of the word set, one for
+    each seed), digest (of the words; 0 unless asked)."""
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, seeds, digests), "doc_id long, print long, prints array<long>, digest long")
 
 
 def _keyed(batches):
@@ -162,12 +180,12 @@ def linked_pairs(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the fuzzy keys cover at most three differing bits")
     keys = nodes.select("rep", "print").mapInArrow(_keyed, "key int, rep long, print long")
-    a, b = (keys.select("key", F.col("rep").alias(f"rep_{x}"), F.col("print").alias(f"print_{x}")) for x in "ab")
-    differ = F.col("print_a").bitwiseXOR(F.col("print_b"))
-    here = (F.col("rep_a") < F.col("rep_b")) & (F.bit_count(differ) <= max_bits)
-    once = F.shiftright(F.col("key"), 28).bitwiseAND(7) == _first_shared(differ)
-    pairs = a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & here & once)
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    a, b = keys.alias("a"), keys.alias("b")  # alike below the join, so Spark shuffles the keys once
+    differ = F.col("a.print").bitwiseXOR(F.col("b.print"))
+    here = (F.col("a.rep") < F.col("b.rep")) & (F.bit_count(differ) <= max_bits)
+    once = F.shiftright(F.col("a.key"), 28).bitwiseAND(7) == _first_shared(differ)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & here & once)
+    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -221,25 +239,30 @@ def _similar(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5, seeds: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable).
 
-    Documents link where their fingerprints differ in max_bits bits or fewer; with
-    min_similarity a link also needs that Jaccard similarity of verify_shingle-word
-    sets.  Null and empty texts have fingerprint zero and link like any other; repeated
-    doc_ids give repeated rows; rows without a doc_id are left out; an empty table
-    gives an empty result; further columns of docs are not looked at.
+    Documents link where their fingerprints differ in max_bits bits or fewer.  With
+    min_similarity, documents link where the Jaccard similarity of their verify_shingle-
+    word sets reaches it, and pairs are proposed where any of `seeds` fingerprints of
+    their word sets, or the fingerprint itself, differ in max_bits bits or fewer.
+    Null and empty texts have fingerprint zero and link like any other; repeated doc_ids
+    give repeated rows; rows without a doc_id are left out; an empty table gives an empty
+    result; further columns of docs are not looked at.
     """
     verify = min_similarity is not None
     docs = docs.filter("doc_id is not null")
-    own = checkpointed(fingerprints(docs, shingle, digests=verify))
-    nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep")))
-    links = linked_pairs(nodes, max_bits)
-    if verify:
-        links = checkpointed(links)
+    own = checkpointed(fingerprints(docs, shingle, seeds if verify else 0, digests=verify))
+    if not verify:
+        nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep")))
+        links = linked_pairs(nodes, max_bits)
+    else:
+        nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep"), F.first("prints").alias("prints")))
+        rounds = [linked_pairs(nodes, max_bits), *(linked_pairs(nodes.select("rep", F.get("prints", F.lit(k)).alias("print")), max_bits) for k in range(seeds))]
+        links = checkpointed(reduce(DataFrame.union, rounds).distinct())
         ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct()
         texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi").dropDuplicates(["rep"])
-        grams = texts.mapInArrow(_shingle_sets(verify_shingle), "rep long, grams binary")
+        grams = checkpointed(texts.mapInArrow(_shingle_sets(verify_shingle), "rep long, grams binary"))
         a, b = (grams.select(F.col("rep").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         links = links.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(min_similarity), "a long, b long")
     found = components(links)

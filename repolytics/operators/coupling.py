@@ -51,15 +51,17 @@ def expand(found: DataFrame, changeset: DataFrame, max_hops: int = 3, limit: int
 
     Breadth first over the pair graph: a path is reached in the fewest hops, by the
     strongest last link, ties by the smaller predecessor.  One join a hop; the rows are
-    the paths reached so far, never the walks.  The pairs are cached for the hops.
+    the paths reached so far, never the walks.  Pairs and each hop's paths are cached,
+    so a plan never holds a hop twice.
     """
-    both = found.select(F.col("a").alias("from"), F.col("b").alias("to"), "coupling").union(found.select(F.col("b").alias("from"), F.col("a").alias("to"), "coupling")).persist()
+    found = found.select("a", "b", "coupling").persist()
+    both = found.select(F.col("a").alias("from"), F.col("b").alias("to"), "coupling").union(found.select(F.col("b").alias("from"), F.col("a").alias("to"), "coupling"))
     seeds = changeset.select("path").distinct().select("path", F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("double").alias("coupling"), F.lit(None).cast("string").alias("via"))
     known = frontier = seeds
     best = Window.partitionBy("to").orderBy(F.desc("coupling"), "from")
     for hop in range(1, max_hops + 1):
         step = frontier.select(F.col("path").alias("from")).join(both, "from")
         new = step.join(known.select(F.col("path").alias("to")), "to", "left_anti").withColumn("n", F.row_number().over(best)).filter("n = 1")
-        frontier = new.select(F.col("to").alias("path"), F.lit(hop).cast("bigint").alias("hops"), "coupling", F.col("from").alias("via"))
+        frontier = new.select(F.col("to").alias("path"), F.lit(hop).cast("bigint").alias("hops"), "coupling", F.col("from").alias("via")).persist()
         known = known.unionByName(frontier)
     return known.filter("hops > 0").orderBy("hops", F.desc("coupling"), "path").limit(limit)

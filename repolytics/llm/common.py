@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -88,5 +89,15 @@ def worker_object(key: str, make):
     """What make() gives, kept by this Python worker for its next tasks; one object at most."""
     if key not in _KEPT:
         _KEPT.clear()
+        release_memory()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -24,10 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from repolytics.llm.common import sized_partitions, words_of
+from repolytics.llm.common import release_memory, sized_partitions, words_of
 
 WIDTH = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -36,7 +36,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 class WordHashes(dict):
     """XXH64 of words, kept for words seen before, in bounded memory."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -129,6 +129,8 @@ def _deal(width: int, buckets: int):
                             block, size = [], 0
         if block:
             yield from flush(block, powers)
+        del of, block
+        release_memory()
 
     return run
 
@@ -147,6 +149,7 @@ def _count(table: pa.Table) -> pa.Table:
         least = np.repeat(np.minimum.reduceat(o, starts), np.diff(np.r_[starts, len(h)]))
         out.append((o[o > least], h[o > least]))
     docs, found = (np.concatenate([x[i] for x in out]) for i in (0, 1))
+    release_memory()
     return pa.table({"doc_id": pa.array(docs.astype(np.int64)), "hash": pa.array(found.astype(np.uint64).view(np.int64))})
 
 

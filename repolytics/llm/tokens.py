@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 
 import regex
 
+from repolytics.llm.common import worker_object
+
 #: A space is kept before the word that follows it, so a text may be cut before every
 #: space followed by something else without changing its ids; texts with other runs of
 #: white space are encoded in one piece.
@@ -61,7 +62,7 @@ class Encoder:
     special tokens are ordinary text.
     """
 
-    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 200_000, pieces: int = 400_000):
+    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 150_000, pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path or vocabulary(name))
@@ -107,7 +108,6 @@ class Encoder:
         return self.whole(first) + b"".join(map(self._after.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
 def encoder(name: str = TOKENIZER, path: str | None = None) -> Encoder:
-    """This process's encoder; its tables serve all tasks a worker runs."""
-    return Encoder(name, path)
+    """This worker's encoder; its tables serve the tasks until another operator's object."""
+    return worker_object(f"encoder {name} {path}", lambda: Encoder(name, path))

@@ -27,8 +27,6 @@ driver.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -188,6 +186,33 @@ def linked_pairs(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
+def _keyed_members(batches):
+    for batch in batches:
+        prints = batch.column(1).to_numpy(zero_copy_only=False)
+        keys = fuzzy_keys(prints.view(np.uint64))
+        row, slot = np.nonzero(keys >= 0)
+        reps, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[row, slot].astype(np.int32)), pa.array(reps[row]), pa.array(prints[row]), pa.array(own[row])], ["key", "rep", "print", "member"])
+
+
+def pairs_between(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """a, b (rep) of near nodes (rep, print, member) of different components (member).
+
+    Keys of one component only go first; then each component stands in a key's bucket
+    with its smallest node, so a dense group that is joined already proposes no pairs
+    within itself and one for each other component of a bucket.
+    """
+    keys = nodes.select("rep", "print", "member").mapInArrow(_keyed_members, "key int, rep long, print long, member long")
+    useful = keys.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("key")
+    slim = checkpointed(keys.join(useful, "key", "left_semi").groupBy("key", "member").agg(F.min(F.struct("rep", "print")).alias("m")))
+    a, b = slim.alias("a"), slim.alias("b")
+    differ = F.col("a.m.print").bitwiseXOR(F.col("b.m.print"))
+    here = (F.col("a.member") < F.col("b.member")) & (F.bit_count(differ) <= max_bits)
+    once = F.shiftright(F.col("a.key"), 28).bitwiseAND(7) == _first_shared(differ)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & here & once)
+    return pairs.select(F.col("a.m.rep").alias("a"), F.col("b.m.rep").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its smallest reachable node) of the nodes of an edge list (a, b).
 
@@ -239,13 +264,23 @@ def _similar(least: float):
     return run
 
 
+def _verified(docs: DataFrame, links: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The links (a, b) whose texts have at least this Jaccard similarity of shingle sets."""
+    links = checkpointed(links)
+    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi").dropDuplicates(["rep"])
+    grams = checkpointed(texts.mapInArrow(_shingle_sets(shingle), "rep long, grams binary"))
+    a, b = (grams.select(F.col("rep").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    return links.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(least), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5, seeds: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable).
 
     Documents link where their fingerprints differ in max_bits bits or fewer.  With
-    min_similarity, documents link where the Jaccard similarity of their verify_shingle-
-    word sets reaches it, and pairs are proposed where any of `seeds` fingerprints of
-    their word sets, or the fingerprint itself, differ in max_bits bits or fewer.
+    min_similarity a link also needs that Jaccard similarity of verify_shingle-word sets;
+    then, round by round, each of `seeds` fingerprints of the word sets proposes further
+    pairs between components that are still apart, and those of that similarity link too.
     Null and empty texts have fingerprint zero and link like any other; repeated doc_ids
     give repeated rows; rows without a doc_id are left out; an empty table gives an empty
     result; further columns of docs are not looked at.
@@ -253,18 +288,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     verify = min_similarity is not None
     docs = docs.filter("doc_id is not null")
     own = checkpointed(fingerprints(docs, shingle, seeds if verify else 0, digests=verify))
-    if not verify:
-        nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep")))
-        links = linked_pairs(nodes, max_bits)
-    else:
-        nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep"), F.first("prints").alias("prints")))
-        rounds = [linked_pairs(nodes, max_bits), *(linked_pairs(nodes.select("rep", F.get("prints", F.lit(k)).alias("print")), max_bits) for k in range(seeds))]
-        links = checkpointed(reduce(DataFrame.union, rounds).distinct())
-        ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct()
-        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi").dropDuplicates(["rep"])
-        grams = checkpointed(texts.mapInArrow(_shingle_sets(verify_shingle), "rep long, grams binary"))
-        a, b = (grams.select(F.col("rep").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-        links = links.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(min_similarity), "a long, b long")
-    found = components(links)
+    first = [F.first("prints").alias("prints")] if verify else []
+    nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep"), *first))
+    links = linked_pairs(nodes, max_bits)
+    found = components(_verified(docs, links, min_similarity, verify_shingle) if verify else links)
+    for k in range(seeds if verify else 0):
+        placed = nodes.join(found, nodes["rep"] == found["node"], "left").select("rep", F.get("prints", F.lit(k)).alias("print"), F.coalesce("component", "rep").alias("member"))
+        more = _verified(docs, pairs_between(placed, max_bits), min_similarity, verify_shingle)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select("print", "digest", F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, ["print", "digest"]).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

@@ -15,10 +15,14 @@ A key is (segment, exact 16 bits, window, codeword index): at most 48 keys a
 fingerprint, and any linked pair shares at least one.  Candidates are then verified
 by their Hamming distance, so the links are exact.
 
-One fingerprint of all shingles finds near copies that differ in few places.  To find
-more of them, several fingerprints of the set of single words (each of its own hash
-seed) can stand in for it; links are then decided by the Jaccard similarity of shingle
-sets, so the fingerprints only propose.
+Where links are decided by the Jaccard similarity of shingle sets, no fingerprint
+radius finds all of them.  Candidates then come from an exact prefix filter: with the
+shingles of all texts in one fixed order, rare ones first, two sets of similarity t share
+a shingle among the first n - ceil(t n) + 1 of each, and at the first shingle they share
+enough must still follow in both.  A sample of the documents tells which shingles are
+common; it decides the order alone, and any order gives the same links.  Each key's
+bucket is first linked to one text in its middle; then all pairs of components that are
+still apart are compared, so a dense group costs few pairs and no pair is left out.
 
 Components are computed in Spark by alternating large-star and small-star rounds on
 the graph of distinct fingerprints; nothing proportional to the corpus reaches the
@@ -37,6 +41,8 @@ from repolytics.llm.common import checkpointed, sized_partitions, words_of
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
+MOST_SAMPLED = 50_000
+MOST_COMMON = 1_000_000
 GOLAY_POLYNOMIAL = 0b101011100011  # fixed value: generator x^11+x^9+x^7+x^6+x^5+x+1
 
 
@@ -58,15 +64,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(hashes)
 
 
-def word_fingerprints(text: str | None, seeds: int) -> list[int]:
-    """SimHashes of the set of words of a text, one for each hash seed; 0 without words."""
-    own = set(words_of(text, lower=True))
-    if not own:
-        return [0] * seeds
-    digest = xxhash.xxh64_intdigest
-    return [majority(np.fromiter((digest(w, seed) for w in own), np.uint64, len(own))) for seed in range(seeds)]
-
-
 def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
     """The bits set in over half of the hashes, counted in blocks of bounded size."""
     counts = np.zeros(64, np.int64)
@@ -132,24 +129,22 @@ def fuzzy_keys(prints: np.ndarray) -> np.ndarray:
     return out.reshape(len(prints), 48)
 
 
-def _fingerprints(shingle: int, seeds: int, digests: bool):
+def _fingerprints(shingle: int, digests: bool):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
                 prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                more = [np.array(word_fingerprints(t, seeds), np.uint64).view(np.int64) for t in texts]
                 same = [xxhash.xxh64_intdigest(b" ".join(words_of(t, lower=True)), 7) if digests else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array(more, pa.list_(pa.int64())), pa.array(np.array(same, np.uint64).view(np.int64))], ["doc_id", "print", "prints", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array(np.array(same, np.uint64).view(np.int64))], ["doc_id", "print", "digest"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seeds: int = 0, digests: bool = False) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long), prints (of the word set, one for
-    each seed), digest (of the words; 0 unless asked)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, seeds, digests), "doc_id long, print long, prints array<long>, digest long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """doc_id, print (the fingerprint as a signed long), digest (of the words; 0 unless asked)."""
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, digests), "doc_id long, print long, digest long")
 
 
 def _keyed(batches):
@@ -186,33 +181,6 @@ def linked_pairs(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
-def _keyed_members(batches):
-    for batch in batches:
-        prints = batch.column(1).to_numpy(zero_copy_only=False)
-        keys = fuzzy_keys(prints.view(np.uint64))
-        row, slot = np.nonzero(keys >= 0)
-        reps, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row, slot].astype(np.int32)), pa.array(reps[row]), pa.array(prints[row]), pa.array(own[row])], ["key", "rep", "print", "member"])
-
-
-def pairs_between(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """a, b (rep) of near nodes (rep, print, member) of different components (member).
-
-    Keys of one component only go first; then each component stands in a key's bucket
-    with its smallest node, so a dense group that is joined already proposes no pairs
-    within itself and one for each other component of a bucket.
-    """
-    keys = nodes.select("rep", "print", "member").mapInArrow(_keyed_members, "key int, rep long, print long, member long")
-    useful = keys.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("key")
-    slim = checkpointed(keys.join(useful, "key", "left_semi").groupBy("key", "member").agg(F.min(F.struct("rep", "print")).alias("m")))
-    a, b = slim.alias("a"), slim.alias("b")
-    differ = F.col("a.m.print").bitwiseXOR(F.col("b.m.print"))
-    here = (F.col("a.member") < F.col("b.member")) & (F.bit_count(differ) <= max_bits)
-    once = F.shiftright(F.col("a.key"), 28).bitwiseAND(7) == _first_shared(differ)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & here & once)
-    return pairs.select(F.col("a.m.rep").alias("a"), F.col("b.m.rep").alias("b")).distinct()
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its smallest reachable node) of the nodes of an edge list (a, b).
 
@@ -236,21 +204,99 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("n").alias("node"), F.col("m").alias("component"))
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of a text; a shorter text is one shingle."""
+    words = words_of(text, lower=True)
+    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
 def _shingle_sets(shingle: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = []
-                for text in part.column(1).to_pylist():
-                    words = words_of(text, lower=True)
-                    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-                    sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))).tobytes())
+                sets = [shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "grams"])
 
     return run
 
 
+def _shingles(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                sets = [shingle_set(t, shingle) for t in batch.slice(at, 64).column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["gram"])
+
+    return run
+
+
+def _prefixes(least: float, shingle: int, shared):
+    def run(batches):
+        common, counts = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                keys, reps, places, sizes = [], [], [], []
+                for rep, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = shingle_set(text, shingle)
+                    n = len(own)
+                    near = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    order = np.lexsort((own, np.where(common[near] == own, counts[near], 0)))
+                    first = own[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+                    keys.append(first)
+                    places.append(np.arange(len(first), dtype=np.int32))
+                    reps.append(np.full(len(first), rep, np.int64))
+                    sizes.append(np.full(len(first), n, np.int32))
+                keys, reps, places, sizes = map(np.concatenate, (keys, reps, places, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps), pa.array(places), pa.array(sizes)], ["key", "rep", "place", "n"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that a sample of the documents holds twice or more, and how often."""
+    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-rows // MOST_SAMPLED)))) == 0).select("doc_id", "text")
+    counts = checkpointed(part.mapInArrow(_shingles(shingle), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    at_least, left = 2, MOST_COMMON
+    for row in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            at_least = row["n"] + 1
+            break
+    found = counts.filter(F.col("n") >= at_least).toArrow()
+    grams, n = (found.column(c).to_numpy() for c in ("gram", "n"))
+    order = np.argsort(grams.view(np.uint64))
+    return np.r_[grams.view(np.uint64)[order], np.uint64(2**64 - 1)], np.r_[n[order], 0].astype(np.int32)
+
+
+def similar_components(docs: DataFrame, nodes: DataFrame, rows: int, least: float, shingle: int) -> DataFrame:
+    """node, component of the nodes (rep) of docs whose shingle sets link at this similarity."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, rows, shingle))
+    keys = docs.select("doc_id", "text").mapInArrow(_prefixes(least, shingle, shared), "key long, rep long, place int, n int")
+    a, b = keys.alias("a"), keys.alias("b")  # alike below the join, so Spark shuffles the keys once
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")), "left_semi")
+    met = checkpointed(met.join(nodes.select("rep"), "rep", "left_semi").select("key", "rep", "place", "n").distinct())
+
+    def fits(x: str, y: str) -> Column:
+        """Whether sets that first share a shingle at these places can be similar enough."""
+        after = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
+        return (1 + least) * after >= least * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
+
+    middle = met.groupBy("key").agg(F.min(F.struct("place", "rep", "n")).alias("m"))
+    star = met.alias("a").join(middle, "key").filter((F.col("a.rep") != F.col("m.rep")) & fits("a", "m"))
+    star = star.select(F.col("m.rep").alias("a"), F.col("a.rep").alias("b")).distinct()
+    found = components(_verified(docs, star, least, shingle))
+    placed = met.join(found, met["rep"] == found["node"], "left").select("key", "rep", "place", "n", F.coalesce("component", "rep").alias("member"))
+    apart = placed.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("key")
+    placed = checkpointed(placed.join(apart, "key", "left_semi"))
+    a, b = placed.alias("a"), placed.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.member") < F.col("b.member")) & fits("a", "b"))
+    more = _verified(docs, pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct(), least, shingle)
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
 def _similar(least: float):
     def run(batches):
         for batch in batches:
@@ -274,27 +320,20 @@ def _verified(docs: DataFrame, links: DataFrame, least: float, shingle: int) ->
     return links.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(least), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5, seeds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable).
 
     Documents link where their fingerprints differ in max_bits bits or fewer.  With
-    min_similarity a link also needs that Jaccard similarity of verify_shingle-word sets;
-    then, round by round, each of `seeds` fingerprints of the word sets proposes further
-    pairs between components that are still apart, and those of that similarity link too.
+    min_similarity (above 0) the fingerprints do not decide: documents link where their
+    sets of verify_shingle words have that Jaccard similarity, and all such pairs are found.
     Null and empty texts have fingerprint zero and link like any other; repeated doc_ids
     give repeated rows; rows without a doc_id are left out; an empty table gives an empty
     result; further columns of docs are not looked at.
     """
     verify = min_similarity is not None
     docs = docs.filter("doc_id is not null")
-    own = checkpointed(fingerprints(docs, shingle, seeds if verify else 0, digests=verify))
-    first = [F.first("prints").alias("prints")] if verify else []
-    nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep"), *first))
-    links = linked_pairs(nodes, max_bits)
-    found = components(_verified(docs, links, min_similarity, verify_shingle) if verify else links)
-    for k in range(seeds if verify else 0):
-        placed = nodes.join(found, nodes["rep"] == found["node"], "left").select("rep", F.get("prints", F.lit(k)).alias("print"), F.coalesce("component", "rep").alias("member"))
-        more = _verified(docs, pairs_between(placed, max_bits), min_similarity, verify_shingle)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    own = checkpointed(fingerprints(docs, shingle, digests=verify))
+    nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep")))
+    found = similar_components(docs, nodes, own.count(), min_similarity, verify_shingle) if verify else components(linked_pairs(nodes, max_bits))
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select("print", "digest", F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, ["print", "digest"]).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

@@ -92,6 +92,22 @@ def test_similarity_keeps_unlike_texts_apart(docs, texts):
     assert rows[10] == rows[11] == rows[12] == 10 and rows[40] == rows[44] == 20 and rows[13] == rows[14] == 13
 
 
+def test_chain_of_near_copies_is_one_component(spark):
+    """Each text is similar to the one before it only, which is seldom its component's smallest."""
+    r = random.Random(23)
+    own, texts = [f"w{r.randrange(400)}" for _ in range(204)], []
+    for step in range(24):
+        texts.append(" ".join(own))
+        for at in range(4):
+            own[step * 4 + at * 50 if step < 12 else (step - 12) * 4 + at * 50 + 2] = f"x{step}y{at}"
+    ids = r.sample(range(24), 24)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(200)} for t in texts]
+    want = groups(ids, sets, lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, min_similarity=0.8).collect()}
+    assert got == want and set(want.values()) == {0}
+
+
 def test_removed_windows_equal_brute_force(docs, texts):
     first = {}
     for i, t in sorted(texts, key=lambda x: x[0]):

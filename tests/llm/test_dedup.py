@@ -108,6 +108,30 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert got == want and set(want.values()) == {0}
 
 
+def test_all_similar_pairs_are_joined(spark):
+    """Different texts about the limit, alone, in chains and in a dense group, against all pairs."""
+    r = random.Random(17)
+    texts = []
+    for _ in range(25):
+        one = [f"w{r.randrange(400)}" for _ in range(r.choice((30, 80, 200)))]
+        for changes in (0, 1, 2, 3, 4, 6):
+            own = list(one)
+            for at in r.sample(range(len(own)), min(changes * len(one) // 80 + (changes > 0), len(own))):
+                own[at] = f"x{r.randrange(10_000)}"
+            texts.append(" ".join(own))
+    core = [f"c{r.randrange(300)}" for _ in range(150)]
+    for _ in range(80):
+        own = list(core)
+        for at in r.sample(range(150), r.randint(0, 6)):
+            own[at] = f"y{r.randrange(10_000)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = groups(range(len(texts)), sets, lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, min_similarity=0.8).collect()}
+    assert got == want
+
+
 def test_removed_windows_equal_brute_force(docs, texts):
     first = {}
     for i, t in sorted(texts, key=lambda x: x[0]):

@@ -9,6 +9,10 @@ consistent: a value of the item stands for one value in the document throughout.
 Windows that contradict the most frequent reading are dropped, and what the rest covers
 of the item decides.
 
+Windows with too few literal words for a template, and whole items shorter than a
+window, are hashed with their real words instead of placeholders and matched the same
+way, so that no item goes unsearched; a verbatim copy of them counts.
+
 Window hashes of a bounded block of benchmark items are broadcast to keep windows that
 cannot match out of the join; a larger benchmark is taken in several blocks.
 """
@@ -68,8 +72,8 @@ class Canonical:
         self.hashes[at], self.flags[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), flag
         return at
 
-    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, place of each token among them, kinds, hashes); words without letters or digits give no token."""
+    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, place of each token among them, kinds, hashes, hashes of the real words); words without letters or digits give no token."""
         words = (text or "").split()
         if len(self.index) > self.most:
             self._reset()
@@ -87,43 +91,62 @@ class Canonical:
         number = (flags & 2) > 0
         kinds[number] = _NUM
         kinds[np.r_[False, number[:-1]] & ((flags & 8) > 0) if len(real) else []] = _UNIT
+        real_hashes = hashes
         for kind in (_NUM, _NAME, _UNIT):
             hashes = np.where(kinds == kind, self.mark[kind], hashes)
-        return words, real, kinds, hashes
+        return words, real, kinds, hashes, real_hashes
+
+
+def _exact(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
+    """Hashes of the windows of real words, apart from those of templates and other widths."""
+    return rolling(hashes, width, powers) ^ np.uint64(0x9E3779B97F4A7C15 * (width + 1) & (2**64 - 1))
 
 
-def _windows(canonical: Canonical, powers: Powers, text: str | None, width: int, least_literals: int):
-    """Tokens of a text and its usable windows: (words, places, kinds, hashes, starts)."""
-    words, places, kinds, hashes = canonical.tokens(text)
-    if len(places) < width:
-        return words, places, kinds, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found = rolling(hashes, width, powers)
+def _windows(canonical: Canonical, powers: Powers, text: str | None, width: int, least_literals: int, widths=None):
+    """Tokens of a text and its windows: (words, places, kinds, hashes, starts, exact).
+
+    exact is 0 for a template window, else the width of a window of real words.  Without
+    widths (an item) those are the windows that are no usable templates; with widths (a
+    document) all windows of these widths.
+    """
+    words, places, kinds, hashes, real = canonical.tokens(text)
     literal = np.r_[0, np.cumsum(kinds == _LITERAL)]
-    starts = np.flatnonzero(literal[width:] - literal[:-width] >= least_literals)
-    return words, places, kinds, found[starts], starts
+    usable = literal[width:] - literal[:-width] >= least_literals if len(places) >= width else np.zeros(0, bool)
+    starts = np.flatnonzero(usable)
+    parts = [(rolling(hashes, width, powers)[starts], starts, 0)]
+    if widths is None and len(places):
+        own = min(width, len(places))
+        rest = np.flatnonzero(~usable) if len(usable) else np.zeros(1, np.int64)
+        parts.append((_exact(real, own, powers)[rest], rest, own))
+    for own in widths if widths is not None else ():
+        if len(places) >= own:
+            found = _exact(real, own, powers)
+            parts.append((found, np.arange(len(found)), own))
+    found, starts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    return words, places, kinds, found, starts, np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
 
 
-_WINDOWS = "id long, hash long, start int, place int, last int, tokens int, slots array<string>"
+_WINDOWS = "id long, hash long, start int, place int, last int, tokens int, slots array<string>, exact int"
 
 
 def _emit(width: int, least_literals: int, wanted=None, key: str = ""):
     def run(batches):
         canonical, powers = worker_object(key + "canonical", lambda: (Canonical(), Powers()))
-        only = wanted.value if wanted is not None else None
+        only, widths = wanted.value if wanted is not None else (None, None)
         rows: list[tuple] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words, places, kinds, hashes, starts = _windows(canonical, powers, text, width, least_literals)
+                    words, places, kinds, hashes, starts, exact = _windows(canonical, powers, text, width, least_literals, widths)
                     if only is not None and len(hashes):
                         near = np.minimum(np.searchsorted(only, hashes), len(only) - 1)
                         keep = only[near] == hashes
-                        hashes, starts = hashes[keep], starts[keep]
-                    for h, s in zip(hashes.view(np.int64).tolist(), starts.tolist()):
-                        inside = range(s, s + width)
-                        slots = [f"{kinds[i]}{_EDGES.sub('', words[places[i]]).lower()}" for i in inside if kinds[i]]
-                        rows.append((doc, h, s, int(places[s]), int(places[s + width - 1]), len(places), slots))
+                        hashes, starts, exact = hashes[keep], starts[keep], exact[keep]
+                    for h, s, own in zip(hashes.view(np.int64).tolist(), starts.tolist(), exact.tolist()):
+                        inside = range(s, s + (own or width))
+                        slots = [] if own else [f"{kinds[i]}{_EDGES.sub('', words[places[i]]).lower()}" for i in inside if kinds[i]]
+                        rows.append((doc, h, s, int(places[s]), int(places[inside[-1]]), len(places), slots, own))
                         if len(rows) == 4096:
                             yield _batch(rows)
                             rows = []
@@ -134,8 +157,8 @@ def _emit(width: int, least_literals: int, wanted=None, key: str = ""):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "hash", "start", "place", "last", "tokens", "slots"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "hash", "start", "place", "last", "tokens", "slots", "exact"])
 
 
 _FOUND = "doc_id long, item_id long, n_windows long, n_inconsistent long, coverage double, first_word long, last_word long"
@@ -150,7 +173,7 @@ def _judge(width: int):
                 votes.setdefault(a, Counter())[b] += 1
         reading = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
         good = [r for r in rows if all(reading[a] == b for a, b in zip(r["item_slots"] or (), r["doc_slots"] or ()))]
-        covered = {p for r in good for p in range(r["item_start"], r["item_start"] + width)}
+        covered = {p for r in good for p in range(r["item_start"], min(r["item_start"] + width, r["item_tokens"]))}
         out = (rows[0]["doc_id"], rows[0]["item_id"], len(good), len(rows) - len(good), len(covered) / rows[0]["item_tokens"], min((r["place"] for r in good), default=None), max((r["last"] for r in good), default=None))
         names = [f.split()[0] for f in _FOUND.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -163,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
     """doc_id, item_id, n_windows, n_inconsistent, coverage, first_word, last_word of each leak.
 
     A document leaks an item when consistent matched windows cover least_coverage of the
-    item's tokens.  Items shorter than a window match nothing.  Null and empty texts
+    item's tokens.  Items shorter than a window match where all their words stand.  Null and empty texts
     match nothing; rows that repeat a doc_id (or item_id) count together; rows without an
     id are left out; empty tables give an empty result; further columns are not looked at.
     """
@@ -172,6 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     key = uuid.uuid4().hex
     wanted = checkpointed(items.mapInArrow(_emit(width, least_literals, key=key), _WINDOWS).distinct())
+    widths = sorted(r["exact"] for r in wanted.select("exact").filter("exact > 0").distinct().collect())
     blocks = max(1, -(-wanted.count() // block_windows))
     out = None
     for block in range(blocks):
@@ -179,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
         hashes = np.unique(part.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64))
         if not len(hashes):
             hashes = np.zeros(1, np.uint64)
-        shared = spark.sparkContext.broadcast(hashes)
+        shared = spark.sparkContext.broadcast((hashes, widths))
         found = texts.mapInArrow(_emit(width, least_literals, shared, key), _WINDOWS)
         out = found if out is None else out.unionByName(found)
     left = out.select(F.col("id").alias("doc_id"), "hash", "place", "last", F.col("slots").alias("doc_slots"))

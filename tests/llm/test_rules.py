@@ -60,6 +60,15 @@ def test_inconsistent_slots_do_not_count(spark):
     assert found[2]["n_inconsistent"] > 0 and found[2]["coverage"] < 1.0
 
 
+def test_short_and_dense_items_match_verbatim(spark):
+    items = ["What is the capital of France?", "Solve for x: 3 x + 7 = 22", "Compute 12 + 48 - 7 + 19 x 3 - 56 + 81 - 14 + 9.", "What is the next number in 2 3 5 7 11 13 17 19 23 29 31 37 41 43 47 53?", "Der Bau der Brücke über den Fluss Rhein bei der Stadt Köln"]
+    docs = [(i, f"some words before it {t} and some after") for i, t in enumerate(items)]
+    docs += [(10, "What is the capital of Spain?"), (11, "Compute 13 + 48 - 8 + 19 x 4 - 56 + 82 - 14 + 8."), (12, "capital of France"), (13, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.contaminated(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(len(items))} and all(r["coverage"] <= 1.0 for r in found)
+
+
 def test_passages_equal_plain_search(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     norm = lambda t: " ".join((t or "").lower().split())

@@ -181,7 +181,7 @@ def linked_pairs(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of the nodes of an edge list (a, b).
 
     Alternates large-star and small-star until the edges stay as they are; every round
@@ -190,7 +190,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m")).filter("n <> m").distinct())
     sign = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("n", "m").cast("decimal(38,0)")), F.lit(0)))
     before = edges.agg(sign.alias("s")).first()["s"]
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("m").alias("n"), F.col("n").alias("m")))
         least = both.groupBy("n").agg(F.least("n", F.min("m")).alias("least"))
         large = both.join(least, "n").filter("m > n").select(F.col("m").alias("n"), F.col("least").alias("m")).filter("n <> m").distinct()

@@ -3,8 +3,8 @@
 Pages become trees of their block elements.  Within a host each page is aligned with
 the page before it in its task by simple tree matching, which pairs elements of equal
 label in order so that as many as possible pair up.  Over all pages Spark sums, for each
-host and each element path, how many pairs were aligned and how many had equal text.
-Paths whose text mostly stays the same are template; paths whose text varies are content
+host and each element slot (a path of labels, each with its place among the siblings of
+that label), how many pairs were aligned and how many had equal text.  Slots whose text mostly stays the same are template; slots whose text varies are content
 slots.  Elements that HTML itself marks as something else than the article (navigation,
 footers, forms, scripts, asides, or names such as "sidebar" or "comments") never count,
 whether they vary or not.
@@ -54,12 +54,13 @@ def host_of(url: str | None) -> str:
 class Node:
     """A block element: label (tag and names), own text in page order, children."""
 
-    __slots__ = ("children", "label", "other", "parts", "path", "tag")
+    __slots__ = ("children", "label", "labels", "other", "parts", "path", "tag")
 
     def __init__(self, tag: str, label: str, path: str, other: bool):
         self.tag, self.label, self.path, self.other = tag, label, path, other
         self.parts: list = []  # strings and child nodes, in page order
         self.children: list[Node] = []
+        self.labels: dict[str, int] = {}  # children of each label so far
 
     def text(self) -> str:
         return " ".join("".join(p if isinstance(p, str) else " " for p in self.parts).split())
@@ -113,7 +114,8 @@ def parse(html: str | None) -> Node:
         inside = any(n.tag in _CONTENT for n in stack)
         other = up.other or tag in _OTHER or (tag == "header" and not inside) or not _OTHER_NAMES.isdisjoint(names)
         label = ".".join([tag, *sorted(set(names))])
-        node = Node(tag, label, f"{up.path}/{label}", other)
+        place = up.labels[label] = up.labels.get(label, -1) + 1
+        node = Node(tag, label, f"{up.path}/{label}:{place}", other)
         up.parts.append(node)
         up.children.append(node)
         stack.append(node)
@@ -212,7 +214,7 @@ def induce(pages: DataFrame) -> DataFrame:
 
 def templates(wrapper: DataFrame) -> DataFrame:
     """host, path of the template elements of a wrapper."""
-    inside = F.col("path").rlike(r"/(article|main)(\.|/|$)")
+    inside = F.col("path").rlike(r"/(article|main)(\.|:|/|$)")
     share = F.col("equal") / F.col("aligned")
     outer = ~inside & (F.col("aligned") >= LEAST_PAIRS) & (share >= TEMPLATE_SHARE)
     inner = inside & (F.col("aligned") >= LEAST_PAIRS_IN_ARTICLE) & (share >= TEMPLATE_SHARE_IN_ARTICLE)

@@ -29,6 +29,15 @@ def test_template_and_markup_are_dropped(pages):
         assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and len(got) == 19
 
 
+def test_siblings_of_one_label_get_their_own_verdicts(spark):
+    one = "<body><p>story {0} told</p><p>Follow us</p><p>All rights reserved</p></body>"
+    many = "<body>" + "".join(f"<p>part {k} of {{0}}</p>" for k in range(10)) + "<p>All rights reserved</p></body>"
+    rows = [(i, f"http://{h}.example.org/{i}", page.format(i)) for at, (h, page) in enumerate((("one", one), ("many", many))) for i in range(at * 10, at * 10 + 8)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2, "url").coalesce(1)).collect()}
+    assert all(got[i] == f"story {i} told" for i in range(8))
+    assert all(got[i] == " ".join(f"part {k} of {i}" for k in range(10)) for i in range(10, 18))
+
+
 def test_alignment_pairs_in_order():
     a, b = (extract.parse(f"<div><h1>a</h1>{x}<p>1</p><ul></ul></div>") for x in ("", "<table></table>"))
     pairs = []

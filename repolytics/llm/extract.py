@@ -1,7 +1,8 @@
 """Main text of pages by wrapper induction.
 
-Pages become trees of their block elements.  Within a host each page is aligned with
-the page before it in its task by simple tree matching, which pairs elements of equal
+Pages become trees of their block elements.  Pages are brought together by host (a
+range of hosts a task; a large host is split into runs of many pages) and each is
+aligned with the page before it by simple tree matching, which pairs elements of equal
 label in order so that as many as possible pair up.  Over all pages Spark sums, for each
 host and each element slot (a path of labels, each with its place among the siblings of
 that label), how many pairs were aligned and how many had equal text.  Slots whose text mostly stays the same are template; slots whose text varies are content
@@ -20,7 +21,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from repolytics.llm.common import checkpointed, worker_object
 
@@ -51,6 +52,10 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def host_column() -> Column:
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 class Node:
     """A block element: label (tag and names), own text in page order, children."""
 
@@ -171,7 +176,7 @@ def align(a: Node, b: Node, pairs: list) -> None:
 
 
 def _pairs(batches):
-    before: dict[str, tuple[str, Node]] = {}
+    before: tuple[str, str, Node] | None = None  # pages come sorted by host
     sums: dict[tuple[str, str], list[int]] = {}
 
     def flush():
@@ -186,21 +191,19 @@ def _pairs(batches):
             part = batch.slice(at, 64)
             for url, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 host = host_of(url)
-                last = before.get(host)
-                if last and last[0] == html:
+                last = before if before and before[0] == host else None
+                if last and last[1] == html:
                     continue  # a copy of the page before says nothing about the template
                 tree = parse(html)
                 if last:
                     found: list = []
-                    align(last[1], tree, found)
+                    align(last[2], tree, found)
                     for x, y in found:
                         if not x.other and (one := x.text()):
                             count = sums.setdefault((host, x.path), [0, 0])
                             count[0] += 1
                             count[1] += one == y.text()
-                if len(before) >= 2000:
-                    before.clear()
-                before[host] = (html, tree)
+                before = (host, html, tree)
             if len(sums) > 100_000:
                 yield from flush()
     yield from flush()
@@ -208,7 +211,9 @@ def _pairs(batches):
 
 def induce(pages: DataFrame) -> DataFrame:
     """host, path, aligned, equal: summed over all pages."""
-    found = pages.select("page_id", "url", "html").mapInArrow(_pairs, "host string, path string, aligned long, equal long")
+    rows = pages.select("page_id", "url", "html", host_column().alias("host"), F.xxhash64("page_id", "url").alias("place"))
+    rows = rows.repartitionByRange("host", "place").sortWithinPartitions("host", "place").drop("host", "place")
+    found = rows.mapInArrow(_pairs, "host string, path string, aligned long, equal long")
     return found.groupBy("host", "path").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal"))
 
 
@@ -290,6 +295,5 @@ def extract(pages: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
                 paths = part.column(3).to_pylist()
                 yield _extracted(part, lambda i, _: frozenset(paths[i] or ()))
 
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     lists = constant.groupBy("host").agg(F.collect_set("path").alias("paths"))
-    return own.withColumn("host", name).join(lists, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(joined, _RESULT)
+    return own.withColumn("host", host_column()).join(lists, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(joined, _RESULT)

@@ -38,6 +38,13 @@ def test_siblings_of_one_label_get_their_own_verdicts(spark):
     assert all(got[i] == " ".join(f"part {k} of {i}" for k in range(10)) for i in range(10, 18))
 
 
+def test_pages_of_a_host_meet_from_any_split(spark):
+    page = "<body><p>story {0} told</p><div>All rights reserved</div></body>"
+    rows = [(i, f"http://h{i % 3}.example.org/{i}", page.format(i)) for i in range(60)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 60), "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract.extract(frame).collect()} == {i: f"story {i} told" for i in range(60)}
+
+
 def test_alignment_pairs_in_order():
     a, b = (extract.parse(f"<div><h1>a</h1>{x}<p>1</p><ul></ul></div>") for x in ("", "<table></table>"))
     pairs = []

@@ -116,18 +116,19 @@ def pack(docs: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", t
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     Null and empty texts are the end id alone; repeated rows are packed as often as they
-    occur; rows without a doc_id are left out; an empty table gives an empty result;
-    further columns of docs are not looked at.
+    occur; rows without a doc_id are packed like any other and keep the null; pieces of
+    equal length are packed in the order of doc_id and piece; an empty table gives an empty
+    result; further columns of docs are not looked at.
     """
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
     most = min(capacity.tokens, int(capacity.attention**0.5))
-    texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    texts = docs.select("doc_id", "text")
     pieces = checkpointed(texts.mapInArrow(_cut(most, tokenizer, path), _PIECES))
     full = F.col("length") == capacity.tokens
     part = pieces.filter(~full)
     groups = max(1, -(-part.count() // group_pieces))
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(groups))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "length"], ignore_index=True)

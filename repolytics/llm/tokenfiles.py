@@ -139,13 +139,13 @@ def write_tokens(docs: DataFrame, folder: str | None = None, length: int = LENGT
 
     The manifest has shard, path, first_doc, n_docs, n_tokens and base, the ids in all
     shards before.  Null and empty texts are the end id alone; repeated rows are written
-    as often as they occur; rows without a doc_id are left out; an empty table writes no
-    shard; further columns of docs are not looked at.
+    as often as they occur; rows without a doc_id come first and keep the null; an empty
+    table writes no shard; further columns of docs are not looked at.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     make_folder(folder)
-    texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    texts = docs.select("doc_id", "text")
     shards = sized_partitions(texts, shard_bytes)
     dealt = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_write(folder, length, tokenizer, path), _MANIFEST).write.parquet(f"{folder}/manifest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -36,6 +37,12 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(rest)}
 
 
+def plain_bytes(cutter) -> bool:
+    """Whether a pre-tokenizer is the byte-level one that _PIECES describes."""
+    setting = json.loads(cutter.__getstate__()) if cutter is not None else {}
+    return setting.get("type") == "ByteLevel" and not setting.get("add_prefix_space") and setting.get("use_regex", True)
+
+
 class Recent(dict):
     """A table that makes what it misses and keeps the last one to two times most keys."""
 
@@ -57,16 +64,27 @@ class Recent(dict):
 class Encoder:
     """ids(text): the ids as little-endian unsigned 32-bit integers.
 
+    The ids are those of the library at its default setting without special tokens of its
+    own: the string of an added token (such as <|endoftext|>) that stands in a text gets
+    that token's id.  With special=False such a string of a special token is ordinary text.
+
     Words between spaces, and below them the pieces the tokenizer cuts before it merges,
-    are looked up in tables of bounded size, so each is encoded about once.  Strings of
-    special tokens are ordinary text.
+    are looked up in tables of bounded size, so each is encoded about once.  Texts that
+    hold an added token, and all texts of vocabularies that are not plain byte-level ones,
+    go through the library as they are.
     """
 
-    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 150_000, pieces: int = 300_000):
+    def __init__(self, name: str = TOKENIZER, path: str | None = None, words: int = 150_000, pieces: int = 300_000, special: bool = True):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path or vocabulary(name))
+        tokenizer.encode_special_tokens = not special
         self.size = tokenizer.get_vocab_size()
+        self._library = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self._marks = [t.content for t in tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self._by_table = tokenizer.normalizer is None and plain_bytes(tokenizer.pre_tokenizer)
+        if not self._by_table:
+            return
         merge, letters = tokenizer.model.tokenize, byte_letters()
         space = chr(letters[32])
         self._cut = tokenizer.pre_tokenizer.pre_tokenize_str
@@ -102,6 +120,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self._by_table or any(mark in text for mark in self._marks):
+            return self._library(text)
         if _RUN.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")

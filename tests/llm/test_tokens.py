@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -14,13 +15,12 @@ from repolytics.llm import packing, tokenfiles, tokens
 @pytest.fixture(scope="module")
 def reference():
     own = Tokenizer.from_file(tokens.vocabulary(tokens.TOKENIZER))
-    own.encode_special_tokens = True
     return lambda t: own.encode(t or "", add_special_tokens=False).ids
 
 
 def test_ids_equal_the_tokenizer(texts, reference):
     encoder = tokens.Encoder(words=50, pieces=50)
-    more = ["a  b", " x", "x ", "a\n b", "\t a b", "<|endoftext|> hi", "it's  x's\n\n y", "日本語 x", "a\x1cb \x1c?", "naïve  x", "­ \x7f", "1,234.5 km!!"]
+    more = ["a  b", " x", "x ", "a\n b", "\t a b", "<|endoftext|> hi", "hi <|endoftext|> there<|endoftext|><|endoftext|>", "<|endoftext|", " <|endoftext|>\n<|endoftext|> x", "it's  x's\n\n y", "日本語 x", "a\x1cb \x1c?", "naïve  x", "­ \x7f", "1,234.5 km!!"]
     for text in [t for _, t in texts] + more:
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == reference(text)
 
@@ -28,8 +28,7 @@ def test_ids_equal_the_tokenizer(texts, reference):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab Z9,.'é\n\t  　ß日<|>"), max_size=40))
 def test_ids_of_any_text(text):
-    own = Tokenizer.from_file(tokens.vocabulary(tokens.TOKENIZER))
-    own.encode_special_tokens = True
+    own = library()
     assert np.frombuffer(tokens.encoder().ids(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
@@ -80,3 +79,25 @@ def test_token_files_round_trip(docs, texts, reference, tmp_path):
 def test_empty_tables(no_docs, tmp_path):
     assert packing.pack(no_docs).count() == 0
     assert tokenfiles.read_documents(tokenfiles.write_tokens(no_docs, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_strings_of_special_tokens_as_ordinary_text():
+    own = Tokenizer.from_file(tokens.vocabulary(tokens.TOKENIZER))
+    own.encode_special_tokens = True
+    text = "hi <|endoftext|> there"
+    assert np.frombuffer(tokens.Encoder(special=False).ids(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_a_vocabulary_of_another_kind_goes_through_the_library():
+    own = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    for text in ("Some Words, and 12 more", "x<|endoftext|> y", "\n"):
+        assert np.frombuffer(tokens.Encoder("word_bpe_49k.json").ids(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_without_an_id_are_packed_and_written(spark, reference, tmp_path):
+    frame = spark.createDataFrame([(None, "no id"), (2, "<|endoftext|> two"), (1, None), (1, None)], "doc_id long, text string")
+    rows = tokenfiles.read_documents(tokenfiles.write_tokens(frame, f"file://{tmp_path}/n")).collect()
+    sizes = {None: len(reference("no id")) + 1, 2: len(reference("<|endoftext|> two")) + 1, 1: 1}
+    assert sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in rows) == [(0, None, sizes[None]), (sizes[None], 1, 1), (sizes[None] + 1, 1, 1), (sizes[None] + 2, 2, sizes[2])]
+    packed = packing.pack(frame).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in packed) == sorted((str(i), n) for i, n in [(None, sizes[None]), (2, sizes[2]), (1, 1), (1, 1)])

@@ -9,9 +9,13 @@ consistent: a value of the item stands for one value in the document throughout.
 Windows that contradict the most frequent reading are dropped, and what the rest covers
 of the item decides.
 
-Windows with too few literal words for a template, and whole items shorter than a
-window, are hashed with their real words instead of placeholders and matched the same
-way, so that no item goes unsearched; a verbatim copy of them counts.
+A template needs some literal words, or it would match any list of numbers.  Where an
+item is so dense in numbers and names that a window of the usual width has too few, wider
+windows (each width half as wide again as the last) take in more of the item until they
+have enough; what is still uncovered then is matched by the widest windows at both ends
+of the item, if the item has two literal words at all.  So re-parameterised arithmetic is
+found as well.  Beside that, windows with too few literals and whole items shorter than a
+window are matched by their real words, so that no item goes unsearched.
 
 Window hashes of a bounded block of benchmark items are broadcast to keep windows that
 cannot match out of the join; a larger benchmark is taken in several blocks.
@@ -33,6 +37,7 @@ from repolytics.llm.substring import Powers, rolling
 
 WINDOW = 8
 LEAST_LITERALS = 4
+LEAST_LITERALS_OF_ITEM = 2
 LEAST_COVERAGE = 0.5
 BLOCK_WINDOWS = 2_000_000
 # Units that may follow a number.
@@ -97,56 +102,67 @@ class Canonical:
         return words, real, kinds, hashes, real_hashes
 
 
-def _exact(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
+def _real(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     """Hashes of the windows of real words, apart from those of templates and other widths."""
     return rolling(hashes, width, powers) ^ np.uint64(0x9E3779B97F4A7C15 * (width + 1) & (2**64 - 1))
 
 
-def _windows(canonical: Canonical, powers: Powers, text: str | None, width: int, least_literals: int, widths=None):
-    """Tokens of a text and its windows: (words, places, kinds, hashes, starts, exact).
+def item_windows(kinds: np.ndarray, width: int, least_literals: int) -> list[tuple[int, int, bool]]:
+    """(start, width, real words?) of the windows by which an item is searched."""
+    n = len(kinds)
+    if n < width:
+        return [(0, n, True)] if n else []
+    literals, covered, out, widest = np.r_[0, np.cumsum(kinds == _LITERAL)], np.zeros(n, bool), [], width
+    own = width
+    while own <= n:
+        bare = np.r_[0, np.cumsum(~covered)]
+        starts = np.flatnonzero((literals[own:] - literals[:-own] >= least_literals) & (bare[own:] - bare[:-own] > 0))
+        out += [(s, own, False) for s in starts.tolist()]
+        for s in starts:
+            covered[s : s + own] = True
+        widest, own = own, own + own // 2
+    if not covered.all() and literals[-1] >= LEAST_LITERALS_OF_ITEM:
+        out += [(s, widest, False) for s in sorted({0, n - widest}) if literals[s + widest] > literals[s]]
+    few = np.flatnonzero(literals[width:] - literals[:-width] < least_literals)
+    return sorted(set(out)) + [(s, width, True) for s in few.tolist()]
 
-    exact is 0 for a template window, else the width of a window of real words.  Without
-    widths (an item) those are the windows that are no usable templates; with widths (a
-    document) all windows of these widths.
-    """
-    words, places, kinds, hashes, real = canonical.tokens(text)
-    literal = np.r_[0, np.cumsum(kinds == _LITERAL)]
-    usable = literal[width:] - literal[:-width] >= least_literals if len(places) >= width else np.zeros(0, bool)
-    starts = np.flatnonzero(usable)
-    parts = [(rolling(hashes, width, powers)[starts], starts, 0)]
-    if widths is None and len(places):
-        own = min(width, len(places))
-        rest = np.flatnonzero(~usable) if len(usable) else np.zeros(1, np.int64)
-        parts.append((_exact(real, own, powers)[rest], rest, own))
-    for own in widths if widths is not None else ():
-        if len(places) >= own:
-            found = _exact(real, own, powers)
-            parts.append((found, np.arange(len(found)), own))
-    found, starts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    return words, places, kinds, found, starts, np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-
-
-_WINDOWS = "id long, hash long, start int, place int, last int, tokens int, slots array<string>, exact int"
+
+_WINDOWS = "id long, text_key long, hash long, n long, starts array<int>, place int, last int, tokens int, slots array<string>, width int, real boolean"
 
 
 def _emit(width: int, least_literals: int, wanted=None, key: str = ""):
+    """Windows of items (without wanted), or those of documents that some item has.
+
+    Windows of a text with one hash and equal slots are one row: how many, where each
+    starts, the first and the last word.
+    """
+
     def run(batches):
         canonical, powers = worker_object(key + "canonical", lambda: (Canonical(), Powers()))
-        only, widths = wanted.value if wanted is not None else (None, None)
+        only, kinds_of = wanted.value if wanted is not None else (None, None)
         rows: list[tuple] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words, places, kinds, hashes, starts, exact = _windows(canonical, powers, text, width, least_literals, widths)
-                    if only is not None and len(hashes):
-                        near = np.minimum(np.searchsorted(only, hashes), len(only) - 1)
-                        keep = only[near] == hashes
-                        hashes, starts, exact = hashes[keep], starts[keep], exact[keep]
-                    for h, s, own in zip(hashes.view(np.int64).tolist(), starts.tolist(), exact.tolist()):
-                        inside = range(s, s + (own or width))
-                        slots = [] if own else [f"{kinds[i]}{_EDGES.sub('', words[places[i]]).lower()}" for i in inside if kinds[i]]
-                        rows.append((doc, h, s, int(places[s]), int(places[inside[-1]]), len(places), slots, own))
+                    words, places, kinds, hashes, real = canonical.tokens(text)
+                    found: dict[tuple, list] = {}
+                    own = item_windows(kinds, width, least_literals) if only is None else None
+                    for wide, as_real in sorted({(w, r) for _, w, r in own}) if own is not None else kinds_of:
+                        if len(places) < wide:
+                            continue
+                        rolled = _real(real, wide, powers) if as_real else rolling(hashes, wide, powers)
+                        if own is not None:
+                            starts = np.array([s for s, w, r in own if (w, r) == (wide, as_real)])
+                        else:
+                            near = np.minimum(np.searchsorted(only, rolled), len(only) - 1)
+                            starts = np.flatnonzero(only[near] == rolled)
+                        for s, h in zip(starts.tolist(), rolled[starts].view(np.int64).tolist()):
+                            slots = () if as_real else tuple(f"{kinds[i]}{_EDGES.sub('', words[places[i]]).lower()}" for i in range(s, s + wide) if kinds[i])
+                            found.setdefault((h, wide, as_real, slots), []).append(s)
+                    text_key = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+                    for (h, wide, as_real, slots), starts in found.items():
+                        rows.append((doc, text_key, h, len(starts), starts if only is None else None, int(places[starts[0]]), int(places[starts[-1] + wide - 1]), len(places), slots, wide, as_real))
                         if len(rows) == 4096:
                             yield _batch(rows)
                             rows = []
@@ -157,45 +173,47 @@ def _emit(width: int, least_literals: int, wanted=None, key: str = ""):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "hash", "start", "place", "last", "tokens", "slots", "exact"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in _WINDOWS.split(", ")])
 
 
 _FOUND = "doc_id long, item_id long, n_windows long, n_inconsistent long, coverage double, first_word long, last_word long"
 
 
-def _judge(width: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        votes: dict[str, Counter] = {}
-        for r in rows:
-            for a, b in zip(r["item_slots"] or (), r["doc_slots"] or ()):
-                votes.setdefault(a, Counter())[b] += 1
-        reading = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
-        good = [r for r in rows if all(reading[a] == b for a, b in zip(r["item_slots"] or (), r["doc_slots"] or ()))]
-        covered = {p for r in good for p in range(r["item_start"], min(r["item_start"] + width, r["item_tokens"]))}
-        out = (rows[0]["doc_id"], rows[0]["item_id"], len(good), len(rows) - len(good), len(covered) / rows[0]["item_tokens"], min((r["place"] for r in good), default=None), max((r["last"] for r in good), default=None))
-        names = [f.split()[0] for f in _FOUND.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        return pa.table({n: pa.array([v], k) for n, v, k in zip(names, out, kinds)})
-
-    return run
+def _judge(table: pa.Table) -> pa.Table:
+    """The verdict on one text and one item: what consistently matched windows cover of the item."""
+    rows = table.to_pylist()
+    votes: dict[str, Counter] = {}
+    for r in rows:
+        for a, b in zip(r["item_slots"], r["doc_slots"]):
+            votes.setdefault(a, Counter())[b] += r["n"] * len(r["item_starts"])
+    reading = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
+    good = [r for r in rows if all(reading[a] == b for a, b in zip(r["item_slots"], r["doc_slots"]))]
+    held = {(s, r["width"], r["real"]) for r in good for s in r["item_starts"]}
+    every = {(s, r["width"], r["real"]) for r in rows for s in r["item_starts"]}
+    covered = {p for s, w, _ in held for p in range(s, s + w)}
+    out = (rows[0]["doc_id"], rows[0]["item_id"], len(held), len(every - held), len(covered) / rows[0]["item_tokens"], min((r["place"] for r in good), default=None), max((r["last"] for r in good), default=None))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    return pa.table({f.split()[0]: pa.array([v], k) for f, k, v in zip(_FOUND.split(", "), kinds, out)})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, least_literals: int = LEAST_LITERALS, least_coverage: float = LEAST_COVERAGE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows, n_inconsistent, coverage, first_word, last_word of each leak.
 
-    A document leaks an item when consistent matched windows cover least_coverage of the
-    item's tokens.  Items shorter than a window match where all their words stand.  Null and empty texts
-    match nothing; rows that repeat a doc_id (or item_id) count together; rows without an
-    id are left out; empty tables give an empty result; further columns are not looked at.
+    A document leaks an item when consistently matched windows cover least_coverage of the
+    item's tokens; n_windows counts the item's windows that matched, n_inconsistent those
+    that matched only against the reading.  The reading of a slot is its most frequent
+    value, of equally frequent ones the smallest.  Null and empty texts match nothing; rows
+    that repeat a doc_id or item_id are judged each by its own text, and the best coverage
+    stands for the pair (ties: the most windows, then the first place); rows without an id
+    are left out; empty tables give an empty result; further columns are not looked at.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     key = uuid.uuid4().hex
-    wanted = checkpointed(items.mapInArrow(_emit(width, least_literals, key=key), _WINDOWS).distinct())
-    widths = sorted(r["exact"] for r in wanted.select("exact").filter("exact > 0").distinct().collect())
+    wanted = checkpointed(items.mapInArrow(_emit(width, least_literals, key=key), _WINDOWS))
+    kinds = sorted((r["width"], r["real"]) for r in wanted.select("width", "real").distinct().collect())
     blocks = max(1, -(-wanted.count() // block_windows))
     out = None
     for block in range(blocks):
@@ -203,11 +221,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lea
         hashes = np.unique(part.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64))
         if not len(hashes):
             hashes = np.zeros(1, np.uint64)
-        shared = spark.sparkContext.broadcast((hashes, widths))
+        shared = spark.sparkContext.broadcast((hashes, kinds))
         found = texts.mapInArrow(_emit(width, least_literals, shared, key), _WINDOWS)
         out = found if out is None else out.unionByName(found)
-    left = out.select(F.col("id").alias("doc_id"), "hash", "place", "last", F.col("slots").alias("doc_slots"))
-    right = wanted.select(F.col("id").alias("item_id"), F.col("hash").alias("item_hash"), F.col("start").alias("item_start"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
+    left = out.select(F.col("id").alias("doc_id"), F.col("text_key").alias("doc_key"), "hash", "n", "place", "last", F.col("slots").alias("doc_slots"))
+    right = wanted.select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("hash").alias("item_hash"), F.col("starts").alias("item_starts"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"), "width", "real")
     pairs = left.join(right, left["hash"] == right["item_hash"]).drop("hash", "item_hash")
-    found = pairs.groupBy("doc_id", "item_id").applyInArrow(_judge(width), _FOUND)
-    return found.filter(F.col("coverage") >= least_coverage)
+    found = pairs.groupBy("doc_id", "doc_key", "item_id", "item_key").applyInArrow(_judge, _FOUND)
+    best = F.struct("coverage", "n_windows", -F.col("first_word"))
+    row = F.struct("n_windows", "n_inconsistent", "coverage", "first_word", "last_word")
+    return found.filter(F.col("coverage") >= least_coverage).groupBy("doc_id", "item_id").agg(F.max_by(row, best).alias("r")).select("doc_id", "item_id", "r.*")

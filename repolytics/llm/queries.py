@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repolytics.llm import quality_rules
+from repolytics.llm import quality_rules, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolytics.llm.substring import deduplicate
 
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {
@@ -85,4 +85,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_rules": quality_rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_rules": quality_rules.ORACLE, "op6_substring": substring.ORACLE, "op7_warc": warc.ORACLE}

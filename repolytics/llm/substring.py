@@ -8,10 +8,11 @@ brings together what the blocks found, and every document that holds a hash also
 by a smaller document gets it back.  A second pass merges the repeated windows of a
 document into maximal intervals and removes them.
 
-A window in a third of all documents is one entry a block, so no bucket grows with a
-hot passage.  Hashes are sorted and stored plane by plane, so the shuffle's codec
-shortens their leading bytes.  With n windows the chance of any false match is about
-n*n / 2^65.
+A window in a third of all documents is one entry a block (a million words) in its
+hash's bucket.  The windows already known to be repeats need not meet anything: each
+block deals them to buckets of its own choice, so a hot passage's repeats spread over all
+of them.  Hashes are sorted and stored plane by plane, so the shuffle's codec shortens
+their leading bytes.  With n windows the chance of any false match is about n*n / 2^65.
 """
 
 from __future__ import annotations
@@ -106,9 +107,12 @@ def _deal(width: int, buckets: int):
         again = ~fresh & np.r_[False, owners[1:] != owners[:-1]]
         least = owners[fresh][np.cumsum(fresh) - 1] if len(hashes) else owners
         again &= owners != least
+        turn = xxhash.xxh64_intdigest(block[0][0].to_bytes(8, "little", signed=True) + len(owners).to_bytes(8, "little")) % buckets
         for known, part in ((False, fresh), (True, again)):
             h, d = hashes[part], owners[part]
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            if known:  # they meet nothing there: every block turns them by another amount
+                bucket = (bucket + turn) % buckets
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else []
             rows = [(int(bucket[a]), known, _planes(h[a:b]), _planes(d[a:b].view(np.uint64))) for a, b in zip(cuts, [*cuts[1:], len(h)])]
             for at in range(0, len(rows), 64):
@@ -153,10 +157,15 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs.astype(np.int64)), "hash": pa.array(found.astype(np.uint64).view(np.int64))})
 
 
+def dealt_windows(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = 1 << 20) -> DataFrame:
+    """bucket, known, hashes, owners: what the blocks found of all windows of docs."""
+    buckets = sized_partitions(docs, bucket_bytes, least=64, most=1 << 22)
+    return docs.select("doc_id", "text").mapInArrow(_deal(width, buckets), _DEALT)
+
+
 def repeated_windows(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, hash of every window whose words also start in a smaller document."""
-    buckets = sized_partitions(docs, bucket_bytes, least=64, most=1 << 22)
-    return docs.select("doc_id", "text").mapInArrow(_deal(width, buckets), _DEALT).groupBy("bucket").applyInArrow(_count, "doc_id long, hash long")
+    return dealt_windows(docs, width, bucket_bytes).groupBy("bucket").applyInArrow(_count, "doc_id long, hash long")
 
 
 def covered(text: str | None, hashes, width: int, of: WordHashes, powers: Powers) -> tuple[list[bytes], np.ndarray]:
@@ -221,11 +230,12 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, texts: bool = False) -> Dat
     A word goes where a window of width words covers it whose words also start in a
     document with a smaller doc_id.  Null and empty texts have no words (and the hash of
     the empty string); rows that repeat a doc_id do not repeat each other's windows, but
-    each gets its row; rows without a doc_id are left out; an empty table gives an empty
-    result; further columns of docs are not looked at.
+    each gets its row; rows without a doc_id lose nothing and take nothing from others, as
+    no id is smaller or larger than none; an empty table gives an empty result; further
+    columns of docs are not looked at.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    found = repeated_windows(docs, width).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    docs = docs.select("doc_id", "text")
+    found = repeated_windows(docs.filter("doc_id is not null"), width).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     joined = docs.join(found, "doc_id", "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(_remove(width, texts), _RESULT + (", kept_text string" if texts else ""))
 
@@ -269,3 +279,15 @@ def cleaned_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     joined = docs.join(found, docs["doc_id"] == found["removed_id"], "left").drop("removed_id")
     names = docs.columns
     return joined.select(*names, "removed_hashes").mapInArrow(_clean(width, names), docs.schema)
+
+
+#: DuckDB SQL for the rows of the query.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM d WHERE len(ws) >= 13),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM w JOIN m USING (g) WHERE doc_id > least),
+u AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d),
+t AS (SELECT u.rid, string_agg(word, ' ' ORDER BY u.p) AS kept, count(*) AS n FROM u ANTI JOIN c ON u.rid = c.rid AND u.p = c.p GROUP BY u.rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(t.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (rid)
+"""

@@ -1,5 +1,6 @@
 """Quality rules, decontamination and the pipeline."""
 
+import random
 import re
 from collections import Counter
 
@@ -60,13 +61,127 @@ def test_inconsistent_slots_do_not_count(spark):
     assert found[2]["n_inconsistent"] > 0 and found[2]["coverage"] < 1.0
 
 
-def test_short_and_dense_items_match_verbatim(spark):
-    items = ["What is the capital of France?", "Solve for x: 3 x + 7 = 22", "Compute 12 + 48 - 7 + 19 x 3 - 56 + 81 - 14 + 9.", "What is the next number in 2 3 5 7 11 13 17 19 23 29 31 37 41 43 47 53?", "Der Bau der Brücke über den Fluss Rhein bei der Stadt Köln"]
+def test_short_items_match_verbatim_and_dense_ones_by_template(spark):
+    items = ["What is the capital of France?", "Solve for x: 3 x + 7 = 22", "Compute 12 + 48 - 7 + 19 x 3 - 56 + 81 - 14 + 9.", "What is the next number in 2 3 5 7 11 13 17 19 23 29 31 37 41 43 47 53?", "Der Bau der Brücke über den Fluss Rhein bei der Stadt Köln", "1 2 3 4 5 6 7 8 9 10"]
     docs = [(i, f"some words before it {t} and some after") for i, t in enumerate(items)]
-    docs += [(10, "What is the capital of Spain?"), (11, "Compute 13 + 48 - 8 + 19 x 4 - 56 + 82 - 14 + 8."), (12, "capital of France"), (13, "")]
+    docs += [(10, "What is the capital of Spain?"), (12, "capital of France"), (13, ""), (15, "9 8 7 6 5 4 3 2 1 0 9 8 7 6")]
+    docs += [(11, "Compute 13 + 49 - 8 + 20 x 4 - 57 + 82 - 15 + 10."), (14, "What is the next number in 4 6 10 14 22 26 34 38 46 58 62 74 82 86 94 106?")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     found = decontaminate.contaminated(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(len(items))} and all(r["coverage"] <= 1.0 for r in found)
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(len(items))} | {(11, 2), (14, 3)} and all(r["coverage"] <= 1.0 for r in found)
+
+
+def slow_tokens(text):
+    """(kind, token) of the words of a text: a literal, or a placeholder with its value."""
+    out, start, number = [], True, False
+    for word in (text or "").split():
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", word)
+        ends = word.rstrip("\"')]}»”’").endswith((".", "!", "?", ":", "…"))
+        if core:
+            kind = ""
+            if len(core) > 1 and core[0].isupper() and not core.isupper() and not start:
+                kind = "name"
+            if re.match(r"^[-+]?[\d][\d.,:/]*(?:st|nd|rd|th)?$", core):
+                kind = "number"
+            if number and core.lower() in decontaminate.UNITS:
+                kind = "unit"
+            number = bool(re.match(r"^[-+]?[\d][\d.,:/]*(?:st|nd|rd|th)?$", core))
+            out.append((kind, core.lower()))
+        start = ends
+    return out
+
+
+def slow_windows(tokens, real):
+    return tuple(t for t in tokens) if real else tuple(k or t for k, t in tokens)
+
+
+def slow_leak(item, doc, coverage):
+    """By definition: every window of the item at every place of the document."""
+    a, b = slow_tokens(item), slow_tokens(doc)
+    if not a:
+        return None
+    kinds = [0 if not k else 1 for k, _ in a]
+    n, rows = len(a), []
+    few = lambda s, w: kinds[s : s + w].count(0) < 4
+    windows = [(0, n, True)] if n < 8 else [(s, 8, True) for s in range(n - 7) if few(s, 8)]
+    covered, width, last = set(), 8, 8
+    while width <= n:
+        now = [s for s in range(n - width + 1) if not few(s, width) and not set(range(s, s + width)) <= covered]
+        windows += [(s, width, False) for s in now]
+        covered |= {p for s in now for p in range(s, s + width)}
+        last, width = width, width + width // 2
+    if n >= 8 and len(covered) < n and kinds.count(0) >= 2:
+        windows += [(s, last, False) for s in {0, n - last} if 0 in kinds[s : s + last]]
+    for s, w, real in set(windows):
+        mine = slow_windows([(None, t) for _, t in a[s : s + w]] if real else a[s : s + w], real)
+        for at in range(len(b) - w + 1):
+            if slow_windows([(None, t) for _, t in b[at : at + w]] if real else b[at : at + w], real) == mine:
+                slots = [] if real else [(k + x, k + y) for (k, x), (_, y) in zip(a[s : s + w], b[at : at + w]) if k]
+                rows.append((s, w, real, slots))
+    votes = {}
+    for *_, slots in rows:
+        for x, y in slots:
+            votes.setdefault(x, Counter())[y] += 1
+    reading = {x: min(c, key=lambda y: (-c[y], y)) for x, c in votes.items()}
+    held = {(s, w, real) for s, w, real, slots in rows if all(reading[x] == y for x, y in slots)}
+    share = len({p for s, w, _ in held for p in range(s, s + w)}) / n
+    return (len(held), len({r[:3] for r in rows} - held), share) if rows and share >= coverage else None
+
+
+def swapped(text, r):
+    """A text with other numbers and names, each value replaced alike throughout."""
+    new = {}
+    def other(word):
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", word)
+        if re.fullmatch(r"[\d]+", core):
+            return word.replace(core, new.setdefault(core, str(r.randrange(2, 999))))
+        if core[:1].isupper() and core[1:].islower() and core in ("Alice", "Bob", "Carla", "Dmitri"):
+            return word.replace(core, new.setdefault(core, r.choice(["Maria", "Ivan", "Wei", "Amara", "Tariq"])))
+        return word
+    return " ".join(map(other, text.split()))
+
+
+def made_items(r, n):
+    """Questions with numbers, names and units, some of them mostly numbers."""
+    words = "sold bought apples pears boxes on friday monday how many did they have left before the shop closed and then again in total each of them paid for it".split()
+    out = []
+    for k in range(n):
+        own = [r.choice(words) for _ in range(r.randint(6, 30))]
+        for _ in range(r.randint(0, 12 if k % 3 else 30)):
+            own.insert(r.randint(1, len(own)), r.choice([str(r.randrange(2, 99)), str(r.randrange(2, 99)) + " kg", r.choice(["Alice", "Bob", "Carla", "Dmitri"]), "+", "="]))
+        out.append("Here " + " ".join(own) + "?")
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    r = random.Random(31)
+    items = made_items(r, 40) + ["What is it?", "2 + 2", "", "Here", "Compute 1 + 2 - 3 * 4 / 5 + 6"]
+    docs = []
+    for t in items:
+        half = t.split()
+        docs += [t, "Before that. " + swapped(t, r) + " and more.", swapped(t, r) + " " + swapped(t, r), " ".join(half[: len(half) * 2 // 3]), " ".join(half[::-1])]
+    docs += made_items(r, 20) + [None, "", "a b c " * 500]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    for coverage in (0.5, 0.0):
+        want = {(d, i): found for d, x in enumerate(docs) for i, y in enumerate(items) if (found := slow_leak(y, x, coverage))}
+        rows = decontaminate.contaminated(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), least_coverage=coverage, block_windows=300).collect()
+        assert {(x["doc_id"], x["item_id"]): (x["n_windows"], x["n_inconsistent"], x["coverage"]) for x in rows} == want
+
+
+def test_recall_on_swapped_numbers_and_names(spark):
+    r = random.Random(37)
+    items = [t for t in made_items(r, 150) if len(slow_tokens(t)) >= 8]
+    docs = [(i, "Some text before. " + swapped(t, r) + " Some text after.") for i, t in enumerate(items)]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sum((i, i) in {(x["doc_id"], x["item_id"]) for x in rows} for i in range(len(items))) >= 0.95 * len(items)
+
+
+def test_repeated_ids_and_ties_in_leaks(spark):
+    a, b = QUESTION, "Another question of quite a few plain words that nobody has ever asked before"
+    docs = spark.createDataFrame([(1, a), (1, b), (1, None), (None, a), (2, b), (2, b)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a), (7, b), (None, a), (8, b)], "item_id long, text string")
+    rows = decontaminate.contaminated(docs, items).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["coverage"]) for x in rows) == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 1.0), (2, 8, 1.0)]
 
 
 def test_passages_equal_plain_search(spark):

@@ -421,7 +421,7 @@ def extract(pages: DataFrame, most_broadcast: int = 200_000, run: int = RUN) ->
     whatever they hold; an empty table gives an empty result; further columns of pages are
     not looked at.
     """
-    constant = checkpointed(templates(induce(pages.select("page_id", "url", "html"), run)))
+    constant = checkpointed(templates(checkpointed(induce(pages.select("page_id", "url", "html"), run))))
     own = pages.select("page_id", "url", "html", host_column().alias("host"))
     if constant.count() <= most_broadcast:
         found: dict[str, list] = {}

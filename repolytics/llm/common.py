@@ -71,7 +71,7 @@ def sized_partitions(df: DataFrame, bytes_each: int, least: int = 12, most: int
 MOST_HEAVY = 1_000
 
 
-def heavy_join(rows: DataFrame, known: DataFrame, key: str, weight: str, value: str, most_heavy: int = MOST_HEAVY) -> DataFrame:
+def heavy_join(rows: DataFrame, known: DataFrame, key: str | tuple[str, str], weight: str, value: str, most_heavy: int = MOST_HEAVY) -> DataFrame:
     """rows with value, inner joined with known (key once each, weight = its rows, value).
 
     Keys that hold more than the most_heavy-th part of all weight number fewer than
@@ -79,13 +79,14 @@ def heavy_join(rows: DataFrame, known: DataFrame, key: str, weight: str, value:
     are; only rows of lighter keys are shuffled, a key at most a small part of a task's.
     known should be cut off from its lineage, as it is read three times.
     """
+    own, other = (key, key) if isinstance(key, str) else key
     total = known.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double").alias("t")).first()["t"]
     is_heavy = F.col(weight).cast("double") * most_heavy > total
-    heavy = known.filter(is_heavy).select(F.col(key).alias("heavy_key"), F.col(value).alias("heavy_value"))
-    light = known.filter(~is_heavy).select(F.col(key).alias("light_key"), F.col(value).alias("light_value"))
-    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy_key"), "left")
+    heavy = known.filter(is_heavy).select(F.col(other).alias("heavy_key"), F.col(value).alias("heavy_value"))
+    light = known.filter(~is_heavy).select(F.col(other).alias("light_key"), F.col(value).alias("light_value"))
+    marked = rows.join(F.broadcast(heavy), F.col(own) == F.col("heavy_key"), "left")
     found = marked.filter("heavy_key is not null").select(*rows.columns, F.col("heavy_value").alias(value))
-    rest = marked.filter("heavy_key is null").select(*rows.columns).join(light, F.col(key) == F.col("light_key"))
+    rest = marked.filter("heavy_key is null").select(*rows.columns).join(light, F.col(own) == F.col("light_key"))
     return found.unionByName(rest.select(*rows.columns, F.col("light_value").alias(value)))
 
 

@@ -16,13 +16,8 @@ fingerprint, and any linked pair shares at least one.  Candidates are then verif
 by their Hamming distance, so the links are exact.
 
 Where links are decided by the Jaccard similarity of shingle sets, no fingerprint
-radius finds all of them.  Candidates then come from an exact prefix filter: with the
-shingles of all texts in one fixed order, rare ones first, two sets of similarity t share
-a shingle among the first n - ceil(t n) + 1 of each, and at the first shingle they share
-enough must still follow in both.  A sample of the documents tells which shingles are
-common; it decides the order alone, and any order gives the same links.  Each key's
-bucket is first linked to one text in its middle; then all pairs of components that are
-still apart are compared, so a dense group costs few pairs and no pair is left out.
+radius finds all of them.  The fingerprints then propose the bulk of the links, and an
+exact prefix filter (similarity) those that they miss.
 
 Components are computed in Spark by alternating large-star and small-star rounds on
 the graph of distinct fingerprints; nothing proportional to the corpus reaches the
@@ -34,15 +29,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from repolytics.llm.common import checkpointed, sized_partitions, words_of
+from repolytics.llm import similarity
+from repolytics.llm.common import checkpointed, heavy_join, words_of
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
-MOST_SAMPLED = 50_000
-MOST_COMMON = 1_000_000
 GOLAY_POLYNOMIAL = 0b101011100011  # fixed value: generator x^11+x^9+x^7+x^6+x^5+x+1
 
 
@@ -129,22 +123,21 @@ def fuzzy_keys(prints: np.ndarray) -> np.ndarray:
     return out.reshape(len(prints), 48)
 
 
-def _fingerprints(shingle: int, digests: bool):
+def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                same = [xxhash.xxh64_intdigest(b" ".join(words_of(t, lower=True)), 7) if digests else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array(np.array(same, np.uint64).view(np.int64))], ["doc_id", "print", "digest"])
+                prints = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints)], ["doc_id", "digest", "print"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long), digest (of the words; 0 unless asked)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, digests), "doc_id long, print long, digest long")
+    """doc_id, digest (of the words; 0 unless asked), print (the fingerprint as a signed long)."""
+    digest = similarity.digest_column() if digests else F.lit(0).cast("long")
+    return docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, digest long, print long")
 
 
 def _keyed(batches):
@@ -204,136 +197,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("n").alias("node"), F.col("m").alias("component"))
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles of a text; a shorter text is one shingle."""
-    words = words_of(text, lower=True)
-    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
-
-
-def _shingle_sets(shingle: int):
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "grams"])
-
-    return run
-
-
-def _shingles(shingle: int):
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                sets = [shingle_set(t, shingle) for t in batch.slice(at, 64).column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["gram"])
-
-    return run
-
-
-def _prefixes(least: float, shingle: int, shared):
-    def run(batches):
-        common, counts = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                keys, reps, places, sizes = [], [], [], []
-                for rep, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = shingle_set(text, shingle)
-                    n = len(own)
-                    near = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    order = np.lexsort((own, np.where(common[near] == own, counts[near], 0)))
-                    first = own[order[: n - int(np.ceil(least * n - 1e-9)) + 1]]
-                    keys.append(first)
-                    places.append(np.arange(len(first), dtype=np.int32))
-                    reps.append(np.full(len(first), rep, np.int64))
-                    sizes.append(np.full(len(first), n, np.int32))
-                keys, reps, places, sizes = map(np.concatenate, (keys, reps, places, sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps), pa.array(places), pa.array(sizes)], ["key", "rep", "place", "n"])
-
-    return run
-
+def grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5) -> DataFrame:
+    """doc_id, digest, print, group, component_id of every row.
 
-def common_shingles(docs: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that a sample of the documents holds twice or more, and how often."""
-    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-rows // MOST_SAMPLED)))) == 0).select("doc_id", "text")
-    counts = checkpointed(part.mapInArrow(_shingles(shingle), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    at_least, left = 2, MOST_COMMON
-    for row in sorted(counts.groupBy("n").count().collect(), reverse=True):
-        left -= row["count"]
-        if left < 0:
-            at_least = row["n"] + 1
-            break
-    found = counts.filter(F.col("n") >= at_least).toArrow()
-    grams, n = (found.column(c).to_numpy() for c in ("gram", "n"))
-    order = np.argsort(grams.view(np.uint64))
-    return np.r_[grams.view(np.uint64)[order], np.uint64(2**64 - 1)], np.r_[n[order], 0].astype(np.int32)
-
-
-def similar_components(docs: DataFrame, nodes: DataFrame, rows: int, least: float, shingle: int) -> DataFrame:
-    """node, component of the nodes (rep) of docs whose shingle sets link at this similarity."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, rows, shingle))
-    keys = docs.select("doc_id", "text").mapInArrow(_prefixes(least, shingle, shared), "key long, rep long, place int, n int")
-    a, b = keys.alias("a"), keys.alias("b")  # alike below the join, so Spark shuffles the keys once
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")), "left_semi")
-    met = checkpointed(met.join(nodes.select("rep"), "rep", "left_semi").select("key", "rep", "place", "n").distinct())
-
-    def fits(x: str, y: str) -> Column:
-        """Whether sets that first share a shingle at these places can be similar enough."""
-        after = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
-        return (1 + least) * after >= least * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
-
-    middle = met.groupBy("key").agg(F.min(F.struct("place", "rep", "n")).alias("m"))
-    star = met.alias("a").join(middle, "key").filter((F.col("a.rep") != F.col("m.rep")) & fits("a", "m"))
-    star = star.select(F.col("m.rep").alias("a"), F.col("a.rep").alias("b")).distinct()
-    found = components(_verified(docs, star, least, shingle))
-    placed = met.join(found, met["rep"] == found["node"], "left").select("key", "rep", "place", "n", F.coalesce("component", "rep").alias("member"))
-    apart = placed.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("key")
-    placed = checkpointed(placed.join(apart, "key", "left_semi"))
-    a, b = placed.alias("a"), placed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.member") < F.col("b.member")) & fits("a", "b"))
-    more = _verified(docs, pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct(), least, shingle)
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
-
-def _similar(least: float):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for at in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[at].as_py(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _verified(docs: DataFrame, links: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The links (a, b) whose texts have at least this Jaccard similarity of shingle sets."""
-    links = checkpointed(links)
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi").dropDuplicates(["rep"])
-    grams = checkpointed(texts.mapInArrow(_shingle_sets(shingle), "rep long, grams binary"))
-    a, b = (grams.select(F.col("rep").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-    return links.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(least), "a long, b long")
+    Rows of one group belong together; component_id is their smallest doc_id, null where
+    none has one.  Equal fingerprints (or texts of equal words) are one node of the graph,
+    and nodes that very many rows share reach their rows by a bounded broadcast.
+    """
+    verify = min_similarity is not None
+    own = checkpointed(fingerprints(docs, shingle, digests=verify))
+    node = "digest" if verify else "print"
+    nodes = checkpointed(own.groupBy(node).agg(F.min("print").alias("of_print"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")))
+    if verify:
+        leads = checkpointed(nodes.groupBy("of_print").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("texts")))
+        close = linked_pairs(leads.select(F.col("of_print").alias("rep"), F.col("of_print").alias("print")), max_bits)
+        named = [leads.select(F.col("of_print").alias(x), F.col("lead").alias(f"lead_{x}")) for x in "ab"]
+        across = close.join(named[0], "a").join(named[1], "b").select("lead_a", "lead_b")
+        alike = heavy_join(nodes.select("digest", "of_print"), leads, "of_print", "texts", "lead").filter("digest <> lead").select("digest", "lead")
+        proposed = across.union(alike).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        texts = docs.select(similarity.digest_column().alias("node"), "text")
+        found = similarity.linked(texts, proposed, own.count(), min_similarity, verify_shingle, components)
+    else:
+        found = components(linked_pairs(nodes.select(F.col("print").alias("rep"), "print"), max_bits))
+    placed = checkpointed(nodes.join(found, nodes[node] == found["node"], "left").select(F.col(node).alias("of_node"), "rep", "rows", F.coalesce("component", nodes[node]).alias("group")))
+    groups = checkpointed(placed.groupBy("group").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    placed = checkpointed(heavy_join(placed, groups, "group", "n", "component_id"))
+    both = placed.select(F.col("of_node"), "rows", F.struct("group", "component_id").alias("of"))
+    return heavy_join(own.withColumn("node_key", F.col(node)), both.withColumnRenamed("of_node", "known_node"), ("node_key", "known_node"), "rows", "of").select("doc_id", "digest", "print", "of.group", "of.component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable).
 
     Documents link where their fingerprints differ in max_bits bits or fewer.  With
-    min_similarity (above 0) the fingerprints do not decide: documents link where their
+    min_similarity (above 0) the fingerprints only propose: documents link where their
     sets of verify_shingle words have that Jaccard similarity, and all such pairs are found.
     Null and empty texts have fingerprint zero and link like any other; repeated doc_ids
-    give repeated rows; rows without a doc_id are left out; an empty table gives an empty
-    result; further columns of docs are not looked at.
+    give repeated rows, each linked by its own text; rows without a doc_id link like any
+    other and keep the null, and a component of such rows alone has a null component_id;
+    an empty table gives an empty result; further columns of docs are not looked at.
     """
-    verify = min_similarity is not None
-    docs = docs.filter("doc_id is not null")
-    own = checkpointed(fingerprints(docs, shingle, digests=verify))
-    nodes = checkpointed(own.groupBy("print", "digest").agg(F.min("doc_id").alias("rep")))
-    found = similar_components(docs, nodes, own.count(), min_similarity, verify_shingle) if verify else components(linked_pairs(nodes, max_bits))
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("print", "digest", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, ["print", "digest"]).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    rows = grouped(docs.select("doc_id", "text"), shingle, max_bits, min_similarity, verify_shingle)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def distinct_rows(docs: DataFrame, min_similarity: float, verify_shingle: int = 5) -> DataFrame:
+    """docs with one row of each near-duplicate component: that of the smallest doc_id.
+
+    Of rows that repeat this doc_id with the same words the first by text and further
+    columns stays, of those with other words that of the smallest digest; rows without a
+    doc_id stay only where no row of the component has one; rows keep their columns.
+    """
+    rows = grouped(docs.select("doc_id", "text"), min_similarity=min_similarity, verify_shingle=verify_shingle)
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("c"))
+    names = iter(f"near_{i}" for i in range(len(docs.columns) + 3))
+    a, b, n = [next(x for x in names if x not in docs.columns) for _ in range(3)]
+    id_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    chosen = first.select(id_text(F.col("c.doc_id")).alias(a), F.col("c.digest").alias(b))
+    marked = docs.withColumns({a: id_text(F.col("doc_id")), b: similarity.digest_column()}).join(chosen, [a, b], "left_semi")
+    order = ["text", *(f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != "text")]
+    return marked.withColumn(n, F.row_number().over(Window.partitionBy(a, b).orderBy(*order))).filter(F.col(n) == 1).select(*docs.columns)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
@@ -19,7 +19,7 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     if not text:
         return []
     raw = text.encode("utf-8", "surrogatepass")
-    return (raw.translate(_LOWER) if lower else raw).split()
+    return (raw.translate(LOWER) if lower else raw).split()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -19,6 +19,7 @@ A node is a text's digest (of its words), so exact copies are one node from the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repolytics.llm.common import checkpointed, heavy_join, release_memory, sized_partitions, words_of
-from repolytics.llm.substring import Powers, WordHashes, rolling
+from repolytics.llm.common import LOWER, checkpointed, heavy_join, release_memory, sized_partitions
+from repolytics.llm.substring import Powers, rolling
 
 MOST_SAMPLED = 50_000
 MOST_COMMON = 1_000_000
@@ -42,18 +43,45 @@ def digest_column(text: str = "text") -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " ")))
 
 
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+_BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(raw: bytes, powers: Powers, block: int = 1 << 20) -> np.ndarray:
+    """64-bit polynomial hashes of the words of a UTF-8 text, in blocks of bounded size."""
+    out, at = [], 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + block) if len(raw) - at > block else None
+        part = np.frombuffer(raw, np.uint8, (cut.start() if cut else len(raw)) - at, at)
+        at += len(part)
+        inside = np.r_[False, _INSIDE[part], False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        up, down = powers.to(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
+        own = (sums[ends] - sums[starts]) * down[starts]
+        own ^= own >> np.uint64(29)
+        own *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(own ^ own >> np.uint64(32))
+        if not len(part):
+            break
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 class Shingles:
-    """Sets of word shingles as sorted hashes; word hashes are kept between texts."""
+    """Sets of word shingles as sorted hashes."""
 
     def __init__(self, width: int):
-        self.width, self._of, self._powers = width, WordHashes(), Powers()
+        self.width, self._powers = width, Powers()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of(text, lower=True)
+        words = word_hashes((text or "").encode("utf-8", "surrogatepass").translate(LOWER), self._powers)
         if len(words) < self.width:  # a shorter text is one shingle
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), 11)], np.uint64)
-        hashes = np.fromiter(map(self._of.__getitem__, words), np.uint64, len(words))
-        return np.unique(rolling(hashes, self.width, self._powers))
+            return rolling(np.r_[words, np.full(self.width - len(words), 1, np.uint64)], self.width, self._powers)
+        return np.unique(rolling(words, self.width, self._powers))
 
 
 def front(n: int, least: float) -> int:

@@ -9,36 +9,56 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from repolytics.functions.numeric import round2
 from repolytics.operators import boundaries, churn, code, coupling, decay, gap, ownership
 from repolytics.plans import health, history, risks
 
 
-def analyze(files: DataFrame, commit_files: DataFrame, ecosystems: DataFrame, now) -> dict[str, DataFrame]:
-    """Records, languages, hotspots, churn, metrics, total and risks of one repository.
+def analyze(files: DataFrame, commit_files: DataFrame, ecosystems: DataFrame, now, gaps: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything measured of one repository, as frames by name.
 
     files: path, language, content.  commit_files: commit, at, author, path, added,
-    deleted.  ecosystems: name, direct, transitive, drift, stale.
+    deleted.  ecosystems: name, manifest, lockfile, direct, transitive, drift, stale.
+    gaps: one row with truncated and skipped.  The file records, which most frames are
+    made of, are cached; records.unpersist() gives them up.
     """
-    records = code.measure(files)
+    records = code.measure(files).persist()
     changed = churn.churn_by_path(commit_files)
     commits = commit_files.groupBy("commit").agg(F.min("at").alias("at"), F.min("author").alias("author"))
     stats, summary = code.code_stats(records), code.complexity_summary(records)
     hot = code.hotspots(records, changed)
     authors = churn.author_counts(commits)
-    git = reduce(lambda a, b: a.crossJoin(b), [churn.cadence(commits, now), churn.concentration(changed).select("concentration"), churn.bus_factor(authors), churn.top_share(authors).select("top_share")])
-    deps = ecosystems.agg(F.coalesce(F.sum("direct"), F.lit(0)).alias("direct"), (~F.coalesce(F.bool_or("drift"), F.lit(False))).alias("locked"), F.count(F.lit(1)).alias("ecosystems"))
-    one = stats.crossJoin(hot.agg(F.count(F.lit(1)).alias("hotspots"))).crossJoin(git).crossJoin(deps)
+    top = churn.top_churn(changed, 1).agg(F.max("path").alias("top_path"))
+    git = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [churn.cadence(commits, now), churn.concentration(changed).select("paths", "concentration"), churn.hotspot_rate(changed).select("rate"), churn.bus_factor(authors), churn.top_share(authors).select("top_share"), top]).withColumn("note", F.lit(None).cast("string"))
+    deps = ecosystems.agg(F.coalesce(F.sum("direct"), F.lit(0)).alias("direct"), F.coalesce(F.sum("transitive"), F.lit(0)).alias("transitive"), F.coalesce(F.bool_or("drift"), F.lit(False)).alias("dependency_drift"), F.count(F.lit(1)).alias("ecosystems"))
+    heat = hot.agg(F.count(F.lit(1)).alias("hotspots"), F.count_if("confirmed").alias("confirmed_hotspots"), F.coalesce(F.sum("code_lines"), F.lit(0)).alias("hotspot_lines"))
+    one = stats.crossJoin(F.broadcast(heat)).crossJoin(F.broadcast(git)).crossJoin(F.broadcast(deps))
     scored = one.select(
-        F.lit("").alias("root"), F.when(F.col("files") > 0, health.code_score("avg_file_lines", "hotspots", "files", "languages")).alias("code_score"),
-        health.dependency_score("direct", F.col("locked"), "ecosystems").alias("dependency_score"),
+        F.lit("").alias("root"), F.when(F.col("files") > 0, health.code_score("avg_file_lines", "hotspot_lines", "code_lines", "files", F.least("languages", F.lit(8)))).alias("code_score"),
+        health.dependency_score("direct", ~F.col("dependency_drift"), "ecosystems").alias("dependency_score"),
         F.when(F.col("commits") > 0, health.git_score("commits", "commits_per_week", "span_days", "days_since_commit", "concentration", "bus_factor")).alias("git_score"),
     )
     metrics = health.metrics(scored, ["root"])
-    worst = records.filter("complexity_measured").orderBy(F.desc("complexity"), F.split("path", "/")).limit(1)
+    total = health.total(metrics, ["root"])
+    worst = code.worst_files(records)
     found = risks.assess(
-        risks.hotspot_risks(hot), risks.complexity_risks(summary, worst), risks.testing_risks(stats), risks.dependency_risks(ecosystems), risks.git_risks(git), risks.dimension_risks(metrics)
+        risks.hotspot_risks(hot), risks.complexity_risks(summary, worst.limit(1)), risks.testing_risks(stats), risks.dependency_risks(ecosystems), risks.git_risks(git), risks.dimension_risks(metrics)
     )
-    return {"records": records, "stats": stats, "languages": code.languages(records), "hotspots": hot, "churn": changed, "metrics": metrics, "total": health.total(metrics, ["root"]), "risks": risks.ordered(found)}
+    findings = risks.code_findings(hot, stats, summary, gaps).unionByName(risks.git_findings(git)).unionByName(risks.dependency_findings(ecosystems))
+    return {
+        "total": total, "metrics": metrics, "stats": stats, "summary": summary, "languages": code.languages(records), "worst": worst, "hotspots": hot, "churn": churn.top_churn(changed), "git": git, "dependencies": deps,
+        "ecosystems": ecosystems, "risks": risks.ordered(found), "findings": risks.ordered_findings(findings), "records": records, "scores": scored,
+    }
+
+
+def snapshot(found: dict[str, DataFrame], root: str, recorded_at, commit: str = "", version: str = "") -> DataFrame:
+    """One row of sources.snapshots.SCHEMA from what analyze() gives."""
+    every = found["risks"].agg(F.count(F.lit(1)).alias("risk_count"), F.count_if(F.col("severity") == "critical").alias("critical_risk_count"), F.count_if(F.col("severity") == "high").alias("high_risk_count"))
+    heat = found["hotspots"].agg(F.count(F.lit(1)).alias("hotspot_count"), F.count_if("confirmed").alias("confirmed_hotspots"))
+    summary = found["summary"].select("avg_complexity", "max_complexity")
+    parts = [found["total"].select("score", "grade"), found["scores"].drop("root"), every, heat, found["stats"].select("files", "source_files", "test_files", "test_file_ratio", "code_lines", "avg_file_lines"), summary, found["dependencies"].select("dependency_drift")]
+    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+    return one.select(F.lit("1").alias("schema_version"), F.lit(root).alias("root"), F.lit(recorded_at).cast("timestamp").alias("recorded_at"), F.lit(commit).alias("git_commit"), F.lit(version).alias("version"), "*")
 
 
 def topology(commit_files: DataFrame, imports: DataFrame, packages: DataFrame, now, module: str = "") -> dict[str, DataFrame]:
@@ -67,6 +87,17 @@ def runtime_gap(records: DataFrame, runtime: DataFrame, coverage: float, churned
     return gap.entries(records, runtime, coverage, churned)
 
 
-def compare(a: DataFrame, b: DataFrame, risks_a: DataFrame, risks_b: DataFrame, measures: dict[str, bool]) -> dict[str, DataFrame]:
-    """What changed between two snapshots (one row each) and their risks."""
-    return {"metrics": history.metric_deltas(a, b, measures), "risks": history.risk_changes(risks_a, risks_b)}
+def measures(found: dict[str, DataFrame]) -> DataFrame:
+    """One row of the measures by which revisions are compared, from what analyze() gives."""
+    heat = found["hotspots"].agg(F.count(F.lit(1)).alias("hotspots"), F.count_if("confirmed").alias("confirmed_hotspots"))
+    git = found["git"].select("window_commits", "bus_factor", "concentration")
+    parts = [found["total"].select("score", "grade"), found["stats"].select("code_lines", "total_lines", "source_files", "test_files", "test_file_ratio", "avg_file_lines"), heat, found["summary"].select("max_complexity", "avg_complexity", "max_nesting"), found["dependencies"].select("direct", "transitive"), git]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+
+
+def compare(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What changed between two analyses: verdict, metrics that moved, risks added, resolved and changed."""
+    one, two = measures(a), measures(b)
+    both = one.select(F.col("score").alias("before"), F.col("grade").alias("grade_before")).crossJoin(F.broadcast(two.select(F.col("score").alias("after"), F.col("grade").alias("grade_after"))))
+    said = both.withColumn("delta", round2(F.col("after") - F.col("before"))).withColumn("verdict", history.verdict("delta"))
+    return {"verdict": said, "metrics": history.metric_deltas(one, two), "risks": history.risk_changes(a["risks"], b["risks"])}

@@ -1,67 +1,108 @@
-"""Rules over continuous-integration workflows, as rows of jobs and steps.
+"""Rules over continuous-integration workflows, as rows of files, jobs and steps.
 
-steps: file, job, step, uses, ref (after @), with_keys array<string>, is_write boolean,
-timeout boolean; jobs: file, job, permissions, timeout, matrix map<string,array<string>>.
+Every rule gives file, job, rule, severity, detail; workflows are those of
+sources.workflows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
-from repolytics.functions.predicates import is_commit_sha
+from pyspark.sql import Column, DataFrame, functions as F
+
+from repolytics.functions.predicates import is_commit_sha, severity_rank
+from repolytics.sources import workflows as rows
 
 MOST_MATRIX = 256
-MOVING_REFS = ("main", "master", "latest", "develop", "dev", "head", "trunk")
-CACHED_ACTIONS = ("actions/setup-node", "actions/setup-go", "actions/setup-python")
+#: Refs that move, and set-up actions that can cache.
+MOVING_REFS = ("latest", "main", "master")
+CACHED_ACTIONS = ("actions/setup-node", "actions/setup-go")
+CACHED_IF_ASKED = ("actions/setup-python",)
+
+
+def _finding(frame: DataFrame, when, rule, severity, detail: Column) -> DataFrame:
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    job = F.col("job") if "job" in frame.columns else F.lit("")
+    return frame.filter(when).select("file", job.alias("job"), text(rule).alias("rule"), text(severity).alias("severity"), detail.alias("detail"))
+
+
+def _action(uses="uses") -> Column:
+    """owner/repository of an action, in lower case."""
+    return F.lower(F.trim(F.substring_index(F.col(uses), "@", 1)))
+
+
+def _numbered(detail: Column) -> Column:
+    return F.concat(F.lit("step "), F.col("step").cast("string"), F.lit(": "), detail)
 
 
-def _finding(frame: DataFrame, when, rule: str, severity, detail) -> DataFrame:
-    step = F.col("step") if "step" in frame.columns else F.lit(None).cast("bigint")
-    return frame.filter(when).select("file", "job", step.alias("step"), F.lit(rule).alias("rule"), (severity if not isinstance(severity, str) else F.lit(severity)).alias("severity"), detail.alias("detail"))
+def unparseable(workflows: DataFrame) -> DataFrame:
+    return _finding(workflows, F.col("error").isNotNull(), "unparseable_workflow", "high", F.col("error"))
+
+
+def permissions(workflows: DataFrame) -> DataFrame:
+    """Files and jobs that may write everything, and every scope they may write."""
+    places = workflows.select("file", F.lit("").alias("job"), "permissions", "grants").unionByName(rows.jobs(workflows).select("file", "job", "permissions", "grants"))
+    everything = _finding(places, F.lower("permissions") == "write-all", "write_all_permissions", "high", F.col("permissions"))
+    scopes = places.select("file", "job", F.explode("grants").alias("g")).select("file", "job", "g.*")
+    severity = F.when(F.col("scope") == "contents", "medium").otherwise("low")
+    return everything.unionByName(_finding(scopes, F.lower("level") == "write", "write_scope", severity, F.col("scope")))
 
 
 def pinning(steps: DataFrame) -> DataFrame:
-    """Actions without a ref, with a moving ref, or with a tag instead of a commit."""
-    outside = steps.filter(F.col("uses").isNotNull() & ~F.col("uses").startswith("./") & ~F.col("uses").startswith("docker://"))
-    parts = outside.withColumn("ref", F.when(F.col("uses").contains("@"), F.substring_index("uses", "@", -1)).otherwise(""))
+    """Actions without a ref, with an empty or moving ref, or with one that is neither a commit nor a release."""
+    uses = F.trim("uses")
+    parts = steps.filter(F.coalesce(F.col("uses"), F.lit("")) != "").withColumn("at", F.instr(uses, "@") > 0).withColumn("ref", F.substring_index(uses, "@", -1))
+    bare = _finding(parts, ~F.col("at") & ~uses.startswith("./"), "unpinned_action", "high", _numbered(uses))
+    empty = _finding(parts, F.col("at") & (F.col("ref") == ""), "unpinned_action", "high", _numbered(uses))
     moving = F.lower("ref").isin(*MOVING_REFS)
-    severity = F.when((F.col("ref") == "") | moving, "high").when(F.col("ref").rlike(r"^v?[0-9]+$"), "medium").otherwise("low")
-    return _finding(parts, ~is_commit_sha("ref"), "action-pinning", severity, F.col("uses"))
+    release = F.col("ref").startswith("v") & F.col("ref").contains(".")
+    loose = F.col("at") & (F.col("ref") != "") & ~is_commit_sha("ref") & (moving | ~release)
+    return reduce(DataFrame.unionByName, [bare, empty, _finding(parts, loose, "mutable_ref", F.when(moving, "high").otherwise("medium"), _numbered(uses))])
 
 
 def caching(steps: DataFrame) -> DataFrame:
-    """Set-up steps that do not cache."""
-    name = F.lower(F.substring_index("uses", "@", 1))
-    cached = F.array_contains(F.coalesce("with_keys", F.array().cast("array<string>")), "cache")
-    return _finding(steps, name.isin(*CACHED_ACTIONS) & ~cached, "caching", "low", F.col("uses"))
+    """Set-up steps that do not cache; those of Python only where they name a cache or its files."""
+    value = F.lower(F.try_element_at("options", F.lit("cache")))
+    cached = F.coalesce((value != "") & (value != "false"), F.lit(False))
+    asked = F.array_contains(F.map_keys("options"), "cache") | F.array_contains(F.map_keys("options"), "cache-dependency-path")
+    usual = _finding(steps, _action().isin(*CACHED_ACTIONS) & ~cached, "missing_cache", "medium", _numbered(F.col("uses")))
+    return usual.unionByName(_finding(steps, _action().isin(*CACHED_IF_ASKED) & ~cached & asked, "missing_cache", "low", _numbered(F.col("uses"))))
 
 
-def permissions(jobs: DataFrame) -> DataFrame:
-    """Jobs that may write everything, or write at all."""
-    everything = F.col("permissions") == "write-all"
-    severity = F.when(everything, "high").otherwise("medium")
-    return _finding(jobs, everything | F.col("permissions").contains(": write"), "permissions", severity, F.col("permissions"))
+def matrix(jobs: DataFrame, most: int = MOST_MATRIX) -> DataFrame:
+    """Axes of one value, and matrices of more than most jobs (what include and exclude do is not counted)."""
+    each = jobs.select("file", "job", F.explode("axes").alias("a")).select("file", "job", "a.*")
+    plain = F.filter("axes", lambda a: ~a["axis"].isin("include", "exclude"))
+    product = F.aggregate(plain, F.lit(1).cast("bigint"), lambda n, a: n * a["n"])
+    constant = _finding(each, F.col("n") == 1, "constant_matrix_axis", "low", F.col("axis"))
+    return constant.unionByName(_finding(jobs.filter("axes is not null"), product > most, "excessive_matrix", "medium", product.cast("string")))
 
 
-def timeouts(jobs: DataFrame, steps: DataFrame) -> DataFrame:
+def timeouts(jobs: DataFrame) -> DataFrame:
     """Jobs where neither the job nor a step has a time limit."""
-    limited = steps.filter("timeout").select("file", "job").distinct()
-    return _finding(jobs.filter(~F.col("timeout")).join(limited, ["file", "job"], "left_anti"), F.lit(True), "timeout", "low", F.col("job"))
+    limited = F.col("timeout") | F.exists("steps", lambda s: s["timeout"])
+    return _finding(jobs, ~limited, "missing_timeout", "low", F.col("job"))
 
 
-def matrix(jobs: DataFrame, most: int = MOST_MATRIX) -> DataFrame:
-    """Axes of one value, and matrices of more than most jobs."""
-    sizes = F.transform(F.map_values("matrix"), lambda v: F.size(v).cast("bigint"))
-    product = F.aggregate(sizes, F.lit(1).cast("bigint"), lambda a, n: a * n)
-    constant = F.exists(F.map_values("matrix"), lambda v: F.size(v) == 1)
-    named = jobs.filter(F.col("matrix").isNotNull() & (F.size("matrix") > 0))
-    return _finding(named, constant, "matrix-constant", "low", F.array_join(F.array_sort(F.map_keys("matrix")), ",")).unionByName(_finding(named, product > most, "matrix-size", "medium", product.cast("string")))
+def triggers(workflows: DataFrame) -> DataFrame:
+    """Workflows with a privileged trigger for foreign code that check out a ref or repository by name."""
+    exposed = rows.steps(workflows.filter(F.array_contains("triggers", "pull_request_target")))
+    named = F.array_contains(F.map_keys("options"), "ref") | F.array_contains(F.map_keys("options"), "repository")
+    return _finding(exposed, (_action() == "actions/checkout") & named, "privileged_trigger_checkout", "critical", _numbered(F.col("uses")))
+
+
+def findings(workflows: DataFrame) -> DataFrame:
+    """What all rules find: file, job, rule, severity, detail."""
+    jobs, steps = rows.jobs(workflows), rows.steps(workflows)
+    return reduce(DataFrame.unionByName, [unparseable(workflows), permissions(workflows), triggers(workflows), caching(steps), pinning(steps), matrix(jobs), timeouts(jobs)])
+
 
+def ordered(found: DataFrame) -> DataFrame:
+    return found.orderBy(F.desc(severity_rank("severity")), "rule", "file", "job", "detail")
 
-def triggers(workflows: DataFrame, steps: DataFrame) -> DataFrame:
-    """Workflows run for foreign pull requests that check out their code.
 
-    workflows: file, triggers array<string>; steps with a column checkout_ref.
-    """
-    exposed = workflows.filter(F.array_contains("triggers", "pull_request_target")).select("file")
-    return _finding(steps.join(exposed, "file", "left_semi"), F.col("uses").startswith("actions/checkout") & F.coalesce(F.col("checkout_ref").contains("pull_request"), F.lit(False)), "trigger-security", "critical", F.col("uses"))
+def report(workflows: DataFrame) -> DataFrame:
+    """One row: workflows, jobs, and findings by severity."""
+    sizes = workflows.agg(F.count(F.lit(1)).alias("workflows"), F.coalesce(F.sum(F.size("jobs")), F.lit(0)).cast("bigint").alias("jobs"))
+    counts = findings(workflows).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")])
+    return sizes.crossJoin(F.broadcast(counts))

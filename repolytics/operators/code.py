@@ -7,12 +7,14 @@ so a file is scanned in order, in Arrow batches.  Everything after it is columns
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repolytics.functions.numeric import ratio, round2
 from repolytics.functions.predicates import complexity_level, has_control_flow, is_test_path
+from repolytics.functions.text import hotspot_reason
 
 # Words that open a unit or branch, and how languages mark comments.
 DEFINITION_WORDS = (
@@ -32,29 +34,36 @@ IGNORED_DIRS = (
     "assets", "public", "static",
 )
 
+_BRANCHES = frozenset(BRANCH_WORDS)
 _WORD = re.compile(r"[A-Za-z0-9_]+")
+_BRACES = re.compile(r"[{}]")
 _FIRST = re.compile(r"[ \t]*([A-Za-z0-9_]*)")
 
 
+@lru_cache
+def _strings(quotes: str) -> re.Pattern:
+    return re.compile("|".join(rf"{q}((?:\\.|[^{q}\\])*)({q}|\\?$)" for q in quotes), re.S)
+
+
 def blank_strings(line: str, quotes: str) -> str:
     """A line with what stands between quotes blanked; an open quote blanks to the end."""
     if not any(q in line for q in quotes):
         return line
-    pattern = "|".join(rf"{q}((?:\\.|[^{q}\\])*)({q}|\\?$)" for q in quotes)
+    pattern = _strings(quotes)
 
     def blank(found: re.Match) -> str:
         k = next(i for i in range(1, found.re.groups, 2) if found[i] is not None)
         inside = len(re.sub(r"\\.", "x", found[k], flags=re.S))
         return found[0][0] + " " * inside + found[k + 1]
 
-    return re.sub(pattern, blank, line, flags=re.S)
+    return pattern.sub(blank, line)
 
 
 def strip_line(raw: str, language: str, in_block: bool) -> tuple[str, bool, bool]:
     """(code, skip, in_block) of a line: comments cut, blank and comment lines skipped.
 
     A block comment opens only at the start of what is left of a line; what follows its
-    end on a later line is code as it stands.
+    end on a later line is code, its strings blanked, comments in it not looked for.
     """
     start, end = BLOCK_COMMENTS.get(language, ("", ""))
     line = raw.strip()
@@ -62,7 +71,7 @@ def strip_line(raw: str, language: str, in_block: bool) -> tuple[str, bool, bool
         at = line.find(end)
         if at < 0:
             return "", True, True
-        rest = line[at + len(end) :].strip()
+        rest = blank_strings(line[at + len(end) :].strip(), QUOTES.get(language, "\"'"))
         return rest, rest == "", False
     line = blank_strings(line, QUOTES.get(language, "\"'"))
     for mark in LINE_COMMENTS.get(language, ()):
@@ -76,7 +85,7 @@ def strip_line(raw: str, language: str, in_block: bool) -> tuple[str, bool, bool
 
 
 def branches(line: str) -> int:
-    words = sum(w.lower() in BRANCH_WORDS for w in _WORD.findall(line))
+    words = sum(w.lower() in _BRANCHES for w in _WORD.findall(line))
     return words + sum(line.count(mark) for mark in BRANCH_MARKS)
 
 
@@ -106,11 +115,11 @@ def scan(text: str, language: str, scored: bool = True) -> dict:
         n = branches(line)
         out["branch_points"] += n
         current += n
-        for c in line:
+        for c in _BRACES.findall(line):
             if c == "{":
                 depth += 1
                 out["max_nesting"] = max(out["max_nesting"], depth)
-            elif c == "}":
+            else:
                 depth = max(0, depth - 1)
     out["max_function_branches"] = max(out["max_function_branches"], current)
     return out
@@ -161,6 +170,11 @@ def branch_count(text: Column) -> Column:
     return (named + marks).cast("bigint")
 
 
+def worst_files(records: DataFrame, limit: int = 10) -> DataFrame:
+    """The measured files of greatest complexity, equal ones in walk order."""
+    return records.filter("complexity_measured").orderBy(F.desc("complexity"), F.split("path", "/")).limit(limit)
+
+
 def languages(records: DataFrame, limit: int = 8) -> DataFrame:
     """language, files, lines, tests; most lines first."""
     sums = records.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("code_lines").cast("bigint").alias("lines"), F.count_if("is_test").alias("tests"))
@@ -193,7 +207,7 @@ def code_stats(records: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def hotspots(records: DataFrame, churn: DataFrame, threshold: int = 400, limit: int | None = 10, lines: int = 500, changed: int = 30) -> DataFrame:
-    """path, code_lines, churn, complexity, level, confirmed of large files.
+    """path, language, code_lines, churn, complexity, complexity_measured, level, confirmed, reason of large files.
 
     Confirmed: at least `lines` long, at least `changed` lines of churn, complexity high
     or worse.  The size filter runs before the join.
@@ -202,5 +216,6 @@ def hotspots(records: DataFrame, churn: DataFrame, threshold: int = 400, limit:
     moved = churn.select("path", (F.col("added") + F.col("deleted")).cast("bigint").alias("churn"))
     named = large.join(moved, "path", "left").withColumn("churn", F.coalesce("churn", F.lit(0).cast("bigint")))
     hard = F.col("level").isin("high", "very_high")
-    out = named.select("path", "code_lines", "churn", "complexity", "level", ((F.col("code_lines") >= lines) & (F.col("churn") >= changed) & hard).alias("confirmed"))
+    out = named.select("path", "language", "code_lines", "churn", "complexity", "complexity_measured", "level", ((F.col("code_lines") >= lines) & (F.col("churn") >= changed) & hard).alias("confirmed"))
+    out = out.withColumn("reason", hotspot_reason(least_lines=lines, least_churn=changed))
     return out if limit is None else out.orderBy(F.desc("confirmed"), F.desc("code_lines"), "path").limit(limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repolytics.functions.numeric import clamp01, col, ratio, round2
-from repolytics.functions.predicates import grade
+from repolytics.functions.predicates import grade, trend_status
 
 WEIGHTS = {"code": 0.40, "dependency": 0.30, "git": 0.30}
 
@@ -17,11 +17,11 @@ def size_score(avg_lines) -> Column:
     return F.when(avg > 150, 100 * (1 - clamp01(above))).when(avg < 25, 100 * (1 - clamp01(below))).otherwise(100.0)
 
 
-def code_score(avg_lines, hotspots, files, languages) -> Column:
-    """Half size, three tenths hotspot share, two tenths files for each language."""
-    hot = 100 * (1 - clamp01(ratio(hotspots, files) / 0.30))
+def code_score(avg_lines, hotspot_lines, code_lines, files, languages) -> Column:
+    """Half size, three tenths the share of lines in hotspots, two tenths files for each language."""
+    hot = 100 * (1 - clamp01(ratio(hotspot_lines, code_lines) / 0.30))
     each = ratio(files, languages)
-    cohesion = F.when(each < 1, 0.0).otherwise(100 * F.least(F.lit(1.0), each / 40))
+    cohesion = F.when(col(languages) == 0, 100.0).when(each < 1, 0.0).otherwise(100 * F.least(F.lit(1.0), each / 40))
     return round2(0.5 * size_score(avg_lines) + 0.3 * hot + 0.2 * cohesion)
 
 
@@ -70,3 +70,19 @@ def metric_risks(measured: DataFrame, keys: list[str]) -> DataFrame:
     short = measured.filter(F.col("applicable") & (100 - F.col("score") >= 10)).withColumn("deficit", round2(100 - F.col("score")))
     severity = F.when(F.col("deficit") >= 60, "critical").when(F.col("deficit") >= 40, "high").otherwise("medium")
     return short.select(*keys, "key", severity.alias("severity"), "deficit")
+
+
+def categories(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, position, label, value, before, unit, delta, status: the rows of a build's report.
+
+    frame: code_score, dependency_score, git_score (null: does not apply),
+    test_file_ratio, and the same with previous_ of the baseline (null: none).  The build
+    itself is never measured and says so.
+    """
+    rows = [("Code", "code_score", "", 1), ("Dependencies", "dependency_score", "", 1), ("Testing", "test_file_ratio", "%", 100), ("Maintainability", "git_score", "", 1)]
+    made = [F.struct(F.lit(at).alias("position"), F.lit(label).alias("label"), (F.col(name) * scale).cast("double").alias("value"), (F.col(f"previous_{name}") * scale).cast("double").alias("before"), F.lit(unit).alias("unit")) for at, (label, name, unit, scale) in enumerate(rows, 1)]
+    none = F.lit(None).cast("double")
+    made.append(F.struct(F.lit(5).alias("position"), F.lit("Build").alias("label"), none.alias("value"), none.alias("before"), F.lit("").alias("unit")))
+    flat = frame.select(*keys, F.explode(F.array(*made)).alias("r")).select(*keys, "r.*").withColumn("delta", F.col("value") - F.col("before"))
+    status = F.when(F.col("value").isNull(), "Not measured").when(F.col("before").isNull(), "No baseline").otherwise(trend_status("delta"))
+    return flat.withColumn("status", status)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repolytics.functions.numeric import col
+from repolytics.sources.facts import access_log, otel_spans
 
 # Field numbers of the public pprof message.
 SAMPLE_TYPE, SAMPLE, LOCATION, FUNCTION, STRINGS, TIME_NANOS, DURATION_NANOS = 1, 2, 4, 5, 6, 9, 10
@@ -25,9 +26,9 @@ def kind_of(content, path) -> Column:
     name = F.lower(col(path))
     return (
         F.when(F.hex(F.substring(col(content), 1, 2)) == "1F8B", "pprof")
-        .when(head.rlike(r'^\s*[\[{]') & head.rlike('"(resourceSpans|resource_spans|scopeSpans)"'), "otel")
-        .when(name.rlike(r"\.(pb|pprof|prof)(\.gz)?$"), "pprof")
-        .when(name.rlike(r"\.json$"), "otel")
+        .when(head.rlike(r'^\s*[\[{]') & head.rlike('"(resourceSpans|resource_spans|scopeSpans|spans|traceId|spanId|trace_id|span_id|kind|startTimeUnixNano|durationNanos|duration_nanos)"'), "otel")
+        .when(name.rlike(r"\.(log|txt|access)$"), "accesslog")
+        .when(name.rlike(r"\.(pb|pprof)$"), "pprof")
         .when(head.rlike(r'"[A-Z]+ \S+( HTTP/[0-9.]+)?" \d{3} '), "accesslog")
         .otherwise("unknown")
     )
@@ -137,3 +138,34 @@ def summary(samples: DataFrame, key: str = "profile") -> DataFrame:
     """key, observations, attributed, coverage of sample rows (function null: not resolved)."""
     sums = samples.groupBy(key).agg(F.coalesce(F.sum("hits"), F.lit(0)).cast("bigint").alias("observations"), F.coalesce(F.sum(F.when(F.col("function").isNotNull(), F.col("hits"))), F.lit(0)).cast("bigint").alias("attributed"))
     return sums.withColumn("coverage", F.coalesce(F.try_divide(F.col("attributed").cast("double"), F.col("observations").cast("double")), F.lit(0.0)))
+
+
+SAMPLES = "profile string, function string, file string, hits long, latency_ns long, error string"
+VERSION_LABELS = ("service.version", "version", "build_id", "commit")
+
+
+def load(files: DataFrame) -> DataFrame:
+    """profile, function, file, hits, latency_ns, error of profiles of any known kind (path, content).
+
+    Each file is read by its kind; an empty file or one of no known kind is one row with
+    an error.  Lines of an access log that do not parse are observations without a function.
+    """
+    kinds = files.select("path", "content", kind_of("content", "path").alias("kind"))
+    text = F.decode("content", "UTF-8")
+    empty = F.length("content") == 0
+    bad = kinds.filter(empty | (F.col("kind") == "unknown")).select(F.col("path").alias("profile"), F.lit(None).cast("string").alias("function"), F.lit(None).cast("string").alias("file"), F.lit(0).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("latency_ns"), F.when(empty, "the file is empty").otherwise("not a known kind of profile").alias("error"))
+    sound = kinds.filter(~empty)
+    one, none = F.lit(1).cast("bigint"), F.lit(None).cast("string")
+    spans = otel_spans(sound.filter("kind = 'otel'").select("path", text.alias("value")), keep=("path",)).select(F.col("path").alias("profile"), "function", "file", one.alias("hits"), "latency_ns", none.alias("error"))
+    lines = sound.filter("kind = 'accesslog'").select("path", F.explode(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).alias("value"))
+    routes = access_log(lines, keep=("path",)).select(F.col("path").alias("profile"), F.col("route").alias("function"), none.alias("file"), one.alias("hits"), F.coalesce(F.col("micros") * 1000, F.lit(0)).cast("bigint").alias("latency_ns"), none.alias("error"))
+    return bad.unionByName(pprof(sound.filter("kind = 'pprof'"))).unionByName(spans).unionByName(routes)
+
+
+def stale_note(labels, build) -> Column:
+    """Why a profile (labels: a map) and the analysed tree (its version, "" unknown) may be of different builds; null where nothing says so."""
+    labels, build = col(labels), col(build)
+    found = F.coalesce(*[F.when(F.coalesce(F.try_element_at(labels, F.lit(k)), F.lit("")) != "", F.struct(F.lit(k).alias("key"), F.try_element_at(labels, F.lit(k)).alias("value"))) for k in VERSION_LABELS])
+    alike = build.contains(found["value"]) | found["value"].contains(build)
+    told = F.concat(F.lit("the profile records "), found["key"], F.lit("="), found["value"])
+    return F.when(found.isNull(), None).when(build == "", F.concat(told, F.lit(", the tree's version is unknown"))).when(~alike, F.concat(told, F.lit(", the tree is "), build))

@@ -123,21 +123,23 @@ def fuzzy_keys(prints: np.ndarray) -> np.ndarray:
     return out.reshape(len(prints), 48)
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, digests: bool):
     def run(batches):
+        shingles = similarity.Shingles(shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                prints = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints)], ["doc_id", "digest", "print"])
+                texts = part.column(1).to_pylist()
+                prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                same = [shingles.digest(shingles.words(t)) if digests else 0 for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.int64()), pa.array(prints)], ["doc_id", "digest", "print"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
     """doc_id, digest (of the words; 0 unless asked), print (the fingerprint as a signed long)."""
-    digest = similarity.digest_column() if digests else F.lit(0).cast("long")
-    return docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, digest long, print long")
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, digests), "doc_id long, digest long, print long")
 
 
 def _keyed(batches):
@@ -215,8 +217,8 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, m
         across = close.join(named[0], "a").join(named[1], "b").select("lead_a", "lead_b")
         alike = heavy_join(nodes.select("digest", "of_print"), leads, "of_print", "texts", "lead").filter("digest <> lead").select("digest", "lead")
         proposed = across.union(alike).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        texts = docs.select(similarity.digest_column().alias("node"), "text")
-        found = similarity.linked(texts, proposed, own.count(), min_similarity, verify_shingle, components)
+        reps = nodes.select(F.col("digest").alias("node"), "rep")
+        found = similarity.linked(docs.select("doc_id", "text"), proposed, reps, own.count(), min_similarity, verify_shingle, components)
     else:
         found = components(linked_pairs(nodes.select(F.col("print").alias("rep"), "print"), max_bits))
     placed = checkpointed(nodes.join(found, nodes[node] == found["node"], "left").select(F.col(node).alias("of_node"), "rep", "rows", F.coalesce("component", nodes[node]).alias("group")))
@@ -241,19 +243,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _unused(names: list[str], name: str) -> str:
+    return name if name not in names else _unused(names, name + "_")
+
+
+def _with_digest(names: list[str], added: str):
+    def run(batches):
+        shingles = similarity.Shingles(SHINGLE)
+        for batch in batches:
+            same = [shingles.digest(shingles.words(t)) for t in batch.column(names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.int64())], [*batch.schema.names, added])
+
+    return run
+
+
 def distinct_rows(docs: DataFrame, min_similarity: float, verify_shingle: int = 5) -> DataFrame:
     """docs with one row of each near-duplicate component: that of the smallest doc_id.
 
-    Of rows that repeat this doc_id with the same words the first by text and further
-    columns stays, of those with other words that of the smallest digest; rows without a
-    doc_id stay only where no row of the component has one; rows keep their columns.
+    Of rows that repeat this doc_id the one of the smallest digest of words stays, of those
+    with the same words the first by text and further columns; rows without a doc_id stay
+    only where no row of the component has one; rows keep their columns.
     """
-    rows = grouped(docs.select("doc_id", "text"), min_similarity=min_similarity, verify_shingle=verify_shingle)
-    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("c"))
-    names = iter(f"near_{i}" for i in range(len(docs.columns) + 3))
-    a, b, n = [next(x for x in names if x not in docs.columns) for _ in range(3)]
-    id_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    chosen = first.select(id_text(F.col("c.doc_id")).alias(a), F.col("c.digest").alias(b))
-    marked = docs.withColumns({a: id_text(F.col("doc_id")), b: similarity.digest_column()}).join(chosen, [a, b], "left_semi")
+    rows = checkpointed(grouped(docs.select("doc_id", "text"), min_similarity=min_similarity, verify_shingle=verify_shingle).select("doc_id", "digest", "group"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("c")).select(F.col("c.doc_id").alias("near_id"), F.col("c.digest").alias("near_digest"))
+    again = checkpointed(rows.groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or again_id is null").select("again_id"))
+    once = first.join(again, F.col("near_id").eqNullSafe(F.col("again_id")), "left_anti").select(F.col("near_id").alias("kept_id"))
+    kept = docs.join(once, docs["doc_id"] == once["kept_id"], "left_semi")
+    if not again.limit(1).count():
+        return kept
+    names = docs.columns
+    repeated = docs.join(again, docs["doc_id"].eqNullSafe(again["again_id"]), "left_semi")
+    digest, place = _unused(names, "near_digest"), _unused(names, "near_place")
+    marked = repeated.mapInArrow(_with_digest(names, digest), T.StructType([*docs.schema.fields, T.StructField(digest, T.LongType())]))
+    chosen = first.select("near_id", F.col("near_digest").alias("chosen_digest"))
+    same = marked["doc_id"].eqNullSafe(chosen["near_id"]) & (marked[digest] == chosen["chosen_digest"])
     order = ["text", *(f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != "text")]
-    return marked.withColumn(n, F.row_number().over(Window.partitionBy(a, b).orderBy(*order))).filter(F.col(n) == 1).select(*docs.columns)
+    numbered = marked.join(chosen, same, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(*order)))
+    return kept.unionByName(numbered.filter(F.col(place) == 1).select(*names))

@@ -30,19 +30,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from repolytics.llm.common import LOWER, checkpointed, heavy_join, release_memory, sized_partitions
 from repolytics.llm.substring import Powers, rolling
 
-MOST_SAMPLED = 50_000
+MOST_SAMPLED = 20_000
 MOST_COMMON = 1_000_000
 BLOCK_KEYS = 400_000
 SLOTS = 1 << 26
 
 
-def digest_column(text: str = "text") -> Column:
-    """A 64-bit digest of a text's words, A-Z in lower case; null texts count as empty."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower())
-    return F.xxhash64(F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " ")))
-
-
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
 _BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -72,17 +65,29 @@ def word_hashes(raw: bytes, powers: Powers, block: int = 1 << 20) -> np.ndarray:
 
 
 class Shingles:
-    """Sets of word shingles as sorted hashes."""
+    """Sets of word shingles as sorted hashes, and digests of all words, A-Z in lower case."""
 
     def __init__(self, width: int):
         self.width, self._powers = width, Powers()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = word_hashes((text or "").encode("utf-8", "surrogatepass").translate(LOWER), self._powers)
+    def words(self, text: str | None) -> np.ndarray:
+        return word_hashes((text or "").encode("utf-8", "surrogatepass").translate(LOWER), self._powers)
+
+    def digest(self, words: np.ndarray) -> int:
+        """A signed 64-bit digest of a sequence of word hashes."""
+        up, _ = self._powers.to(len(words) + 1)
+        mixed = (int(np.sum(words * up[: len(words)], dtype=np.uint64)) ^ len(words) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+        mixed = (mixed ^ mixed >> 31) * 0xD6E8FEB86659FD93 & (2**64 - 1)
+        return (mixed ^ mixed >> 32) - (1 << 63)
+
+    def set_of(self, words: np.ndarray) -> np.ndarray:
         if len(words) < self.width:  # a shorter text is one shingle
             return rolling(np.r_[words, np.full(self.width - len(words), 1, np.uint64)], self.width, self._powers)
         return np.unique(rolling(words, self.width, self._powers))
 
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.set_of(self.words(text))
+
 
 def front(n: int, least: float) -> int:
     """How many shingles of a set of n lead it: one of them is in any set of this similarity."""
@@ -117,11 +122,11 @@ def _buckets_of(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 64]), (pa.int32(), pa.binary()))], ["bucket", "rows"])
 
 
-def _blocks(rows_of, buckets: int):
-    """Blocks of texts (node, text), each text once a block, dealt to buckets; rows_of gives a text's keys, places and size."""
+def _blocks(least: float, width: int, buckets: int, shared):
+    """Blocks of texts, each text once a block, whose leading shingles are dealt to buckets."""
 
     def run(batches):
-        keys_of = rows_of()
+        (common, counts), shingles = shared.value, Shingles(width)
         held, seen, size = [], set(), 0
 
         def flush():
@@ -133,14 +138,18 @@ def _blocks(rows_of, buckets: int):
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for text in batch.column(0).slice(at, 128).to_pylist():
+                    words = shingles.words(text)
+                    node = shingles.digest(words)
                     if node in seen:
                         continue
                     seen.add(node)
-                    keys, n = keys_of(text)
+                    every = shingles.set_of(words)
+                    near = np.minimum(np.searchsorted(common, every), len(common) - 1)
+                    rank = np.where(common[near] == every, counts[near], 0)
+                    keys = every[np.lexsort((every, rank))[: front(len(every), least)]]
                     own = np.zeros(len(keys), _ROW)
-                    own["key"], own["node"], own["place"], own["n"] = keys, node, np.arange(len(keys)), n
+                    own["key"], own["node"], own["place"], own["n"] = keys, node, np.arange(len(keys)), len(every)
                     held.append(own)
                     size += len(own)
                     if size >= BLOCK_KEYS:
@@ -148,7 +157,7 @@ def _blocks(rows_of, buckets: int):
                         held, seen, size = [], set(), 0
         if held:
             yield from flush()
-        del held, keys_of
+        del held, common, counts
         release_memory()
 
     return run
@@ -169,29 +178,54 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(rows["key"].view(np.int64)), "node": pa.array(rows["node"]), "place": pa.array(rows["place"]), "n": pa.array(rows["n"])})
 
 
+def _counted(width: int, buckets: int):
+    """Blocks of texts as sorted shingles with the number of texts that hold them, dealt to buckets."""
+
+    def run(batches):
+        shingles, held, size = Shingles(width), [], 0
+
+        def flush():
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
+            spans = list(zip(cuts, [*cuts[1:], len(grams)]))
+            columns = ([int(bucket[a]) for a, _ in spans], [grams[a:b].tobytes() for a, b in spans], [n[a:b].astype(np.int32).tobytes() for a, b in spans])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "grams", "counts"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                for text in batch.column(0).slice(at, 128).to_pylist():
+                    held.append(shingles(text))
+                    size += len(held[-1])
+                    if size >= 2 * BLOCK_KEYS:
+                        yield from flush()
+                        held, size = [], 0
+        if held:
+            yield from flush()
+        release_memory()
+
+    return run
+
+
 def _tally(table: pa.Table) -> pa.Table:
-    """Of a bucket, the keys that several texts have, and how many."""
-    rows = np.concatenate([_unpacked(x)[["key", "state"]] for x in table.column("rows").to_pylist()])
-    rows = rows[np.argsort(rows["key"], kind="stable")]
-    starts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
-    n = np.diff(np.r_[starts, len(rows)])
-    several = (n > 1) | (np.maximum.reduceat(rows["state"], starts) > ALONE)
-    return pa.table({"gram": pa.array(rows["key"][starts][several].view(np.int64)), "n": pa.array(n[several])})
+    """Of a bucket, the shingles that several texts have, and how many."""
+    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    sums = np.add.reduceat(n.astype(np.int64), starts)
+    return pa.table({"gram": pa.array(grams[starts][sums > 1].view(np.int64)), "n": pa.array(sums[sums > 1])})
 
 
 def common_shingles(docs: DataFrame, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that a sample of the texts holds twice or more, and how often.
 
-    docs: node, text.  At most MOST_SAMPLED texts by a hash of the node, and of their
-    shingles the MOST_COMMON commonest, so what reaches the driver is bounded.
+    At most about MOST_SAMPLED texts by a hash of the doc_id, and of their shingles the
+    MOST_COMMON commonest, so what reaches the driver is bounded.
     """
-    part = docs.filter(F.pmod("node", F.lit(max(1, -(-rows // MOST_SAMPLED)))) == 0)
-
-    def every():
-        shingles = Shingles(width)
-        return lambda text: ((own := shingles(text)), len(own))
-
-    counts = checkpointed(part.mapInArrow(_blocks(every, 256), _DEALT).groupBy("bucket").applyInArrow(_tally, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-rows // MOST_SAMPLED)))) == 0).select("text")
+    counts = checkpointed(part.mapInArrow(_counted(width, 64), "bucket int, grams binary, counts binary").groupBy("bucket").applyInArrow(_tally, "gram long, n long"))
     at_least, left = 2, MOST_COMMON
     for row in sorted(counts.groupBy("n").count().collect(), reverse=True):
         left -= row["count"]
@@ -205,22 +239,11 @@ def common_shingles(docs: DataFrame, rows: int, width: int) -> tuple[np.ndarray,
 
 
 def shared_keys(docs: DataFrame, rows: int, least: float, width: int, bucket_bytes: int = 1 << 20) -> DataFrame:
-    """key, node, place, n: the leading shingles of texts (node, text) that other texts lead with too."""
+    """key, node, place, n: the leading shingles of texts (doc_id, text) that other texts lead with too."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, rows, width))
-
-    def leading():
-        (common, counts), shingles = shared.value, Shingles(width)
-
-        def keys_of(text):
-            own = shingles(text)
-            near = np.minimum(np.searchsorted(common, own), len(common) - 1)
-            rank = np.where(common[near] == own, counts[near], 0)
-            return own[np.lexsort((own, rank))[: front(len(own), least)]], len(own)
-
-        return keys_of
-
     buckets = sized_partitions(docs, bucket_bytes, least=64, most=1 << 22)
-    return docs.mapInArrow(_blocks(leading, buckets), _DEALT).groupBy("bucket").applyInArrow(_meet, "key long, node long, place int, n int").distinct()
+    dealt = docs.select("text").mapInArrow(_blocks(least, width, buckets, shared), _DEALT)
+    return dealt.groupBy("bucket").applyInArrow(_meet, "key long, node long, place int, n int").distinct()
 
 
 def slots_of(ids: DataFrame, column: str) -> np.ndarray:
@@ -236,11 +259,11 @@ def _sets(width: int, bitmap):
     def run(batches):
         bits, shingles = bitmap.value, Shingles(width)
         for batch in batches:
-            slot = batch.column(2).to_numpy()
+            slot = batch.column(1).to_numpy()
             picked = np.flatnonzero(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
             for at in range(0, len(picked), 64):
-                part = batch.take(pa.array(picked[at : at + 64]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "grams"])
+                words = [shingles.words(t) for t in batch.column(0).take(pa.array(picked[at : at + 64])).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([shingles.digest(w) for w in words], pa.int64()), pa.array([shingles.set_of(w).tobytes() for w in words], pa.binary())], ["node", "grams"])
 
     return run
 
@@ -258,26 +281,27 @@ def _similar(least: float):
     return run
 
 
-def verified(docs: DataFrame, links: DataFrame, least: float, width: int) -> DataFrame:
-    """The links (a, b) whose texts (node, text) have at least this Jaccard similarity of shingle sets.
+def verified(docs: DataFrame, links: DataFrame, reps: DataFrame, least: float, width: int) -> DataFrame:
+    """The links (a, b) of nodes whose texts have at least this Jaccard similarity of shingle sets.
 
-    A bitmap of bounded size tells which texts are needed at all, so only their sets are
-    made and shuffled.
+    docs: doc_id, text.  reps: node, rep (the doc_id of a text of the node).  A bitmap of
+    bounded size tells which documents are needed at all, so only their sets are made and
+    shuffled.
     """
     links = checkpointed(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    bitmap = docs.sparkSession.sparkContext.broadcast(slots_of(ends, "node"))
-    sets = docs.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")).mapInArrow(_sets(width, bitmap), "node long, grams binary")
+    ends = checkpointed(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(reps, "node"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(slots_of(ends, "rep"))
+    sets = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).mapInArrow(_sets(width, bitmap), "node long, grams binary")
     sets = checkpointed(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")))
     a, b = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     return links.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(least), "a long, b long")
 
 
-def linked(docs: DataFrame, proposed: DataFrame, rows: int, least: float, width: int, components) -> DataFrame:
-    """node, component of all texts (node, text) that some other text is similar to.
+def linked(docs: DataFrame, proposed: DataFrame, reps: DataFrame, rows: int, least: float, width: int, components) -> DataFrame:
+    """node, component of all nodes that some other one is similar to.
 
-    proposed: pairs (a, b) that fingerprints suggest; components: edges (a, b) to (node,
-    component).
+    docs: doc_id, text.  proposed: pairs (a, b) of nodes that fingerprints suggest.  reps:
+    node, rep.  components: from edges (a, b) to (node, component).
     """
     met = checkpointed(shared_keys(docs, rows, least, width))
 
@@ -289,11 +313,11 @@ def linked(docs: DataFrame, proposed: DataFrame, rows: int, least: float, width:
     middle = checkpointed(met.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("m"), F.count(F.lit(1)).alias("rows")))
     star = heavy_join(met, middle, "key", "rows", "m").alias("a").filter((F.col("node") != F.col("m.node")) & fits("a", "m"))
     star = star.select(F.least("a.node", "m.node").alias("a"), F.greatest("a.node", "m.node").alias("b"))
-    found = checkpointed(components(verified(docs, star.union(proposed).distinct(), least, width)))
+    found = checkpointed(components(verified(docs, star.union(proposed).distinct(), reps, least, width)))
     placed = met.join(found, "node", "left").select("key", "node", "place", "n", F.coalesce("component", "node").alias("member"))
     apart = placed.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("key")
     placed = checkpointed(placed.join(apart, "key", "left_semi"))
     a, b = placed.alias("a"), placed.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.member") < F.col("b.member")) & fits("a", "b"))
-    more = verified(docs, pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), least, width)
+    more = verified(docs, pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), reps, least, width)
     return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -132,6 +132,65 @@ def test_all_similar_pairs_are_joined(spark):
     assert got == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(29)
+    own = lambda: " ".join(f"w{r.randrange(10_000)}" for _ in range(60))
+    a, b, c = own(), own(), own()
+    near = a.replace(a.split()[30], "other", 1)
+    rows = [(7, a), (3, near), (9, a), (None, a), (4, b), (4, b + "  "), (4, c), (None, None), (5, ""), (None, own()), (6, "short one"), (8, "Short ONE")]
+    frame = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, near_digest int, near_place string").repartition(3)
+    got = simhash.distinct_rows(frame, 0.8)
+    assert got.columns == frame.columns
+    kept = sorted((str(x["doc_id"]), (x["text"] or "")[:5]) for x in got.collect())
+    assert kept == sorted([("3", near[:5]), ("4", b[:5]), ("4", c[:5]), ("5", ""), ("None", rows[9][1][:5]), ("6", "short")])
+    assert simhash.distinct_rows(frame.limit(0), 0.8).count() == 0
+
+
+def test_word_hashes_depend_on_the_words_alone():
+    from repolytics.llm import similarity
+
+    powers, text = substring.Powers(), " a bb\ta  ccc\n\x0bbb é日本 a "
+    got = similarity.word_hashes(text.encode(), powers)
+    assert len(got) == 7 and got[0] == got[2] == got[6] and got[1] == got[4] and len(set(got.tolist())) == 4
+    for block in (1, 2, 5):
+        assert similarity.word_hashes(text.encode(), powers, block).tolist() == got.tolist()
+    shingles = similarity.Shingles(3)
+    digest = lambda t: shingles.digest(shingles.words(t))
+    assert digest("A b\nC") == digest("a  B c ") != digest("a b") and digest("") == digest(None) and len(shingles("a b c d e c d e")) == 5
+
+
+def test_a_shared_passage_makes_no_large_group(spark):
+    """One passage in 50,000 documents: each bucket holds a block's entry of it, not the documents'."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    docs = spark.range(50_000).selectExpr("id as doc_id", f"concat('{passage} tail', id) as text").repartition(4)
+    rows = substring.dealt_windows(docs, bucket_bytes=1 << 30).selectExpr("bucket", "octet_length(hashes) / 8 as n").groupBy("bucket").sum("n").collect()
+    total, most = sum(r[1] for r in rows), max(r[1] for r in rows)
+    assert total >= 100_000 and most <= total / 4
+    found = {r["doc_id"]: r["n_removed"] for r in substring.deduplicate(docs).collect()}
+    assert found[0] == 0 and all(found[i] == 14 for i in range(1, 50_000))
+
+
+def test_substring_equals_its_sql(spark):
+    import duckdb
+
+    from repolytics.llm import queries
+    from tests.conftest import SF
+
+    duckdb.sql(f"create or replace view documents as select * from '{SF}/documents.parquet'")
+    want = duckdb.sql(substring.ORACLE)
+    got = queries.op6_substring(spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_rows_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    frame = spark.createDataFrame([(None, text), (5, text), (None, text), (7, text)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in substring.deduplicate(frame).collect()) == [("5", 0), ("7", 20), ("None", 0), ("None", 0)]
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame).collect()} == {(None, 5), (5, 5), (7, 5)}
+    alone = spark.createDataFrame([(None, "quite alone here")], "doc_id long, text string")
+    assert [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(alone).collect()] == [(None, None)]
+
+
 def test_removed_windows_equal_brute_force(docs, texts):
     first = {}
     for i, t in sorted(texts, key=lambda x: x[0]):

@@ -726,7 +726,7 @@ def numeric_fact_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # CI-01..06, LEX-08..12, COG-01, AGG-20..22 ------------------------------------------------------------------------------------------
 
-COG = "c0 AS (SELECT o_custkey AS path, count(*) AS functions, floor(quantile_cont(o_totalprice / 1000, 0.5))::BIGINT AS median_lifetime, quantile_cont(o_totalprice / 10000, 0.5) AS density, floor(sum(o_orderkey % 7) / count(*)::DOUBLE)::BIGINT AS depth FROM orders GROUP BY 1)"
+COG = "c0 AS (SELECT o_custkey AS path, count(*) AS functions, floor(quantile_cont(o_totalprice / 1000, 0.5))::BIGINT AS median_lifetime, max(o_totalprice / 1000) AS max_lifetime, quantile_cont(o_totalprice / 10000, 0.5) AS density, floor(sum(o_orderkey % 7) / count(*)::DOUBLE)::BIGINT AS depth FROM orders GROUP BY 1)"
 COG_SCORE = rh("100 * (0.45::DOUBLE * " + c01("(median_lifetime - 20) / 200::DOUBLE") + " + 0.35::DOUBLE * " + c01("density / 20::DOUBLE") + " + 0.2::DOUBLE * " + c01("depth / 6::DOUBLE") + ")", 1)
 
 
@@ -749,4 +749,4 @@ def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.debounced(facts.table(spark, sf_dir, "events"), "6 hours", key="user_id")
 
 
-from repolytics import catalog_sources  # noqa: E402, F401  registers its queries
+from repolytics import catalog_paths, catalog_sources  # noqa: E402, F401  register their queries

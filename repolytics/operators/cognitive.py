@@ -30,11 +30,11 @@ def call_targets(line) -> Column:
 
 
 def files(functions: DataFrame) -> DataFrame:
-    """path, functions, median_lifetime, density, depth, score from rows of functions.
+    """path, functions, median_lifetime, max_lifetime, density, depth, score from rows of functions.
 
     functions: path, name, lifetime, density, depth.  Depth is an integer mean.
     """
-    sums = functions.groupBy("path").agg(F.count(F.lit(1)).alias("functions"), median("lifetime").alias("median_lifetime"), F.percentile("density", 0.5).alias("density"), F.floor(F.sum("depth") / F.count(F.lit(1))).cast("bigint").alias("depth"))
+    sums = functions.groupBy("path").agg(F.count(F.lit(1)).alias("functions"), median("lifetime").alias("median_lifetime"), F.max("lifetime").alias("max_lifetime"), F.percentile("density", 0.5).alias("density"), F.floor(F.sum("depth") / F.count(F.lit(1))).cast("bigint").alias("depth"))
     return sums.withColumn("score", score("median_lifetime", "density", "depth"))
 
 

@@ -35,6 +35,12 @@ def pairs(facts: DataFrame, min_shared: int = 3, threshold: float = 0.6, max_pat
     return out.select("a", "b", "shared", "commits_a", "commits_b", "coupling", "first_shared", "last_shared")
 
 
+def strongest(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs in their order: coupling, then how often, then by name."""
+    ordered = found.orderBy(F.desc("coupling"), F.desc("shared"), "a", "b")
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def hidden(found: DataFrame, packages: DataFrame, imports: DataFrame) -> DataFrame:
     """Pairs without an import in either direction between their packages.
 

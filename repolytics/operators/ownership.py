@@ -31,6 +31,14 @@ def owners(facts: DataFrame, unit, now, half_life_days: float = HALF_LIFE_DAYS)
     return shared.withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn("running_share", round_half(F.sum("weighted_share").over(order.rowsBetween(Window.unboundedPreceding, 0)), 4))
 
 
+def directories(facts: DataFrame, folder, now, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
+    """unit, files, owner, weighted_share of every folder: its distinct files and its dominant author."""
+    unit = F.col(folder) if isinstance(folder, str) else folder
+    files = facts.groupBy(unit.alias("unit")).agg(F.countDistinct("path").alias("files"))
+    first = owners(facts, unit, now, half_life_days).filter("rank = 1").select("unit", F.col("author").alias("owner"), "weighted_share")
+    return files.join(first, "unit")
+
+
 def bus_factor(owned: DataFrame, threshold: float = RISK_SHARE) -> DataFrame:
     """unit, authors, bus_factor: the fewest owners whose shares reach the threshold."""
     reached = F.min(F.when(F.col("running_share") >= threshold, F.col("rank")))

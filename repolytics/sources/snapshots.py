@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 SCHEMA = (
     "schema_version string, root string, recorded_at timestamp, git_commit string, version string, score double, grade string, code_score double, dependency_score double, git_score double, "
     "risk_count bigint, critical_risk_count bigint, high_risk_count bigint, hotspot_count bigint, confirmed_hotspots bigint, files bigint, source_files bigint, test_files bigint, "
-    "test_file_ratio double, code_lines bigint, avg_complexity double, max_complexity double, dependency_drift boolean"
+    "test_file_ratio double, code_lines bigint, avg_file_lines double, avg_complexity double, max_complexity double, dependency_drift boolean"
 )
 
 

@@ -36,9 +36,9 @@ def clean(patterns) -> tuple[list[str], list[str]]:
 
 
 def _go_work(text: str) -> list[str]:
-    block = [line for inside in re.findall(r"(?ms)^\s*use\s*\((.*?)^\s*\)", text) for line in inside.split("\n")]
-    single = re.findall(r"(?m)^\s*use[ \t]+(?!\()(.+)$", text)
-    named = (re.sub(r"//.*$", "", x).strip().strip('"') for x in [*block, *single])
+    found = re.finditer(r"(?ms)^[ \t]*use[ \t]*\((.*?)^[ \t]*\)|^[ \t]*use[ \t]+([^(\n]+)$", text)
+    lines = [line for m in found for line in (m[1] if m[1] is not None else m[2]).split("\n")]
+    named = (re.sub(r"//.*$", "", x).strip().strip('"') for x in lines)
     return [x for x in named if x]
 
 

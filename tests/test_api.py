@@ -1,10 +1,13 @@
 """The entry points over one small repository, and reports of their results."""
 
+import json
+import subprocess
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from repolytics import api
+from repolytics import __main__ as main, api, server
 from repolytics.plans import reports
 from repolytics.sources import snapshots
 
@@ -17,7 +20,7 @@ def repository(spark):
     files = spark.createDataFrame([("core/big.go", "Go", body), ("core/small.go", "Go", "package a\n"), ("core/small_test.go", "Go", "package a\n")], "path string, language string, content string")
     rows = [(str(d), NOW - timedelta(days=d), "ann" if d % 3 else "bob", p, 20, 1) for d in range(1, 60, 2) for p in ("core/big.go", "core/small.go")]
     commits = spark.createDataFrame(rows, "commit string, at timestamp, author string, path string, added long, deleted long")
-    ecosystems = spark.createDataFrame([("go", 3, 9, False, False), ("npm", 10, 200, True, False)], "name string, direct long, transitive long, drift boolean, stale boolean")
+    ecosystems = spark.createDataFrame([("go", "go.mod", "go.sum", 3, 9, False, False), ("npm", "package.json", None, 10, 200, True, False)], "name string, manifest string, lockfile string, direct long, transitive long, drift boolean, stale boolean")
     return files, commits, ecosystems
 
 
@@ -29,6 +32,63 @@ def test_analysis_finds_the_hotspot(repository):
     total = got["total"].first()
     assert 0 < total["score"] < 100 and total["grade"] in "ABCDF"
     assert "core/big.go" in reports.markdown(got["hotspots"], "Hotspots") and str(total["grade"]) in reports.status(got["total"], got["risks"])
+    assert {r["title"] for r in got["findings"].collect()} >= {"Confirmed hotspot", "Missing lockfile for package.json"}
+    shot = api.snapshot(got, "r", NOW, "abc", "2")
+    row = shot.first()
+    assert (row["score"], row["risk_count"], row["confirmed_hotspots"], row["dependency_drift"]) == (total["score"], len(ids), 1, True)
+    assert set(shot.columns) == {f.split()[0] for f in snapshots.SCHEMA.split(", ")}
+    found = json.loads(reports.document({"total": got["total"], "risks": got["risks"], "hotspots": got["hotspots"]}))
+    assert found["total"]["grade"] == total["grade"] and len(found["risks"]) == len(ids) and found["schema_version"]
+    with pytest.raises(ValueError):
+        reports.sections({"total": got["total"]}, only=["nothing"])
+    assert "CONFIRMED" not in reports.sections({"hotspots": got["hotspots"]}) and "core/big.go" in reports.sections({"hotspots": got["hotspots"]})
+    names = ("score", "test_file_ratio", "code_score", "dependency_score", "git_score")
+    body = reports.comment(shot.withColumns({f"previous_{c}": F.lit(None if c == "git_score" else 50.0) for c in names}), got["risks"], {"repository": "o/r", "head_sha": "0123456789"}, most_risks=1, version="2")
+    assert "| Build | – | – | Not measured |" in body and "No baseline" in body and "further risk(s)" in body and "head `01234567`" in body
+    said, known = reports.facts(api.measures(got), got["risks"])
+    assert "Not" not in known and reports.summary_checked(shot.sparkSession, f"the score is {total['score']:g} after 98765 days", known) == ["98765"]
+    site = server.Site(got, shot, None, "2")
+    assert site.answer("/api/v1/risks?severity=medium")[1]["total"] == len(ids) and site.answer("/api/v1/risks?severity=x")[0] == 400 and site.answer("/x")[0] == 404
+    assert site.answer("/api/v1/hotspots?confirmed=false")[1]["hotspots"] == [] and site.answer("/api/v1/history?limit=-1")[0] == 400 and site.answer("/api/v1/health")[1]["grade"] == total["grade"]
+    got["records"].unpersist()
+
+
+def test_history_view_keeps_the_newest():
+    records = [{"id": i, "score": 50.0 + i, "risk_count": i, "avg_complexity": 2.0} for i in range(5)]
+    found = server.history_view(records, "3")
+    assert [r["id"] for r in found["records"]] == [2, 3, 4] and found["delta"] == {"score": 2.0, "complexity": 0.0, "risks": 2}
+
+
+def test_command_line_over_a_repository(spark, tmp_path, capsys):
+    root = tmp_path / "repo"
+    (root / "core").mkdir(parents=True)
+    (root / "core" / "a.py").write_text("def f():\n    if x:\n        return 1\n")
+    (root / "package.json").write_text('{"name": "n", "dependencies": {"a": "1"}}')
+    (root / ".github" / "workflows").mkdir(parents=True)
+    (root / ".github" / "workflows" / "w.yml").write_text("on: push\njobs: {j: {steps: [{uses: a/b@main}]}}\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=n", "-c", "user.email=n@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (root / "core" / "b.py").write_text("y = 2\n" * 30)
+    git("add", ".")
+    git("commit", "-qm", "two")
+    run = lambda *a: main.run(main.options([a[0], str(root), *a[1:]] if a[0] != "version" else ["version"]))
+    assert run("version") == 0 and run("status") == 0
+    assert "risk(s)" in capsys.readouterr().out
+    assert run("analyze", "--format", "json", "--only", "stats", "ecosystems", "--history", str(tmp_path / "h")) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["stats"]["files"] == 2 and found["ecosystems"][0]["direct"] == 1
+    assert run("history", "--history", str(tmp_path / "h")) == 0 and "records" in capsys.readouterr().out.lower()
+    assert run("ci", "--workflow-severity", "high", "--comment", str(tmp_path / "c.md")) == 1
+    assert "workflow_mutable_ref" in capsys.readouterr().out and "Repository health" in (tmp_path / "c.md").read_text()
+    assert run("ci", "--fail-on-drift", "--no-gate") == 0
+    assert run("compare", "--base", "HEAD~1", "--only", "metrics") == 0 and "Code lines" in capsys.readouterr().out
+    assert run("setup") == 0 and "git_window_days: 7" in capsys.readouterr().out
+    (root / "core" / "b.py").write_text("z = 3\n")
+    assert run("blast") == 0 and run("decay") == 0 and run("cognitive") == 0 and run("topology", "--only", "coupling") == 0
+    assert run("watch", "--rounds", "1") == 0 and "Health:" in capsys.readouterr().out
+    assert run("explain", "--summary", "there are 4242 files") == 1
 
 
 def test_a_clean_repository_has_few_risks(spark, repository):

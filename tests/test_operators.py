@@ -5,10 +5,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from repolytics.functions import numeric, predicates
+from repolytics.functions import numeric, predicates, text
 from repolytics.operators import boundaries, churn, ci, code, coupling, decay, gap, ownership, workspace
 from repolytics.plans import health, history, risks
-from repolytics.sources import facts
+from repolytics.sources import facts, profiles, workflows, workspaces
 from repolytics.streaming import watch
 
 NOW = datetime(2026, 10, 6, 12)
@@ -34,7 +34,7 @@ def test_decay_weight(spark):
     assert one(spark, numeric.age_days(F.lit(ago(1.99)), F.lit(NOW)), numeric.age_days(F.lit(ago(-3)), F.lit(NOW))) == (1, 0)
 
 
-@pytest.mark.parametrize("path,test", [("widget.spec.js", True), ("spec_helper.rb", True), ("src/e2e/flow.ts", True), ("TEST_UPPER.GO", True), ("latest.go", False), ("internal/testdata.go", False), ("mytest/thing.go", False)])
+@pytest.mark.parametrize("path,test", [("ui/panel.spec.tsx", True), ("spec_util.rb", True), ("shop/e2e/pay.py", True), ("Test_Loud.PY", True), ("contest.py", False), ("lib/testing_tools.go", False), ("protest/march.rs", False)])
 def test_test_paths(spark, path, test):
     assert one(spark, predicates.is_test_path(F.lit(path))) == test
 
@@ -45,9 +45,9 @@ def test_routes(spark):
 
 
 def test_globs_boundaries_and_names(spark):
-    got = one(spark, *[predicates.matches_glob(F.lit(d), p) for p, d in [("apps/*", "apps/web/src"), ("packages/**", "packages/forms/select"), ("apps/legacy/**", "apps/legacy"), ("apps/legacy/**", "apps/legacyish")]])
+    got = one(spark, *[predicates.matches_glob(F.lit(d), p) for p, d in [("shops/*", "shops/paris/stock"), ("libs/**", "libs/units/mass"), ("shops/closed/**", "shops/closed"), ("shops/closed/**", "shops/closedown")]])
     assert got == (False, True, True, False)
-    assert one(spark, *[predicates.boundary_of(F.lit(p)) for p in ("apps/web/app.ts", "main.go", "internal/git/deep/nested/file.go")]) == ("apps", "", "internal")
+    assert one(spark, *[predicates.boundary_of(F.lit(p)) for p in ("shops/paris/till.ts", "run.go", "engine/a/b/c/cog.go")]) == ("shops", "", "engine")
     assert one(spark, *[predicates.python_requirement(F.lit(x)) for x in ("flask[async]==2.3", "Django_SQLAlchemy==1.4", "requests @ https://x/y.whl", "-r other.txt", "-e ./local", "https://x.whl")]) == ("flask", "django-sqlalchemy", "requests", None, None, None)
     assert one(spark, *[predicates.language_of(F.lit(p)) for p in ("a/b.GO", "x.vue", "README.md")]) == ("Go", "TypeScript", None)
     assert one(spark, *[predicates.severity_of_impact(F.lit(float(x))) for x in (0, 0.5, 2, 6, 12, 50)]) == ("low", "low", "medium", "high", "critical", "critical")
@@ -66,6 +66,7 @@ def test_lines_are_stripped_in_order():
     assert code.strip_line("x := 1 // note", "Go", False) == ("x := 1", False, False)
     assert code.strip_line("/* note */ x := 1", "Go", False) == ("", True, False)
     assert code.strip_line("*/ x := 1", "Go", True) == ("x := 1", False, False)
+    assert code.strip_line('*/ x := "if { && }"', "Go", True) == ('x := "         "', False, False)
     assert code.strip_line("still inside", "Go", True) == ("", True, True)
     assert code.strip_line("x = '#' # c", "Python", False) == ("x = ' '", False, False)
     assert code.blank_strings('s := "hello"', '"') == 's := "     "' and code.blank_strings('s := "a\\"b"', '"') == 's := "   "'
@@ -73,10 +74,10 @@ def test_lines_are_stripped_in_order():
 
 
 def test_scan_counts_units_and_nesting(spark):
-    text = "package a\n// c\nfunc f() {\n  if x { for y { } }\n}\n/* block\nif if if\n*/\nfunc g() {\n  if z { }\n}\n"
-    got = code.scan(text, "Go")
+    body = "package a\n// c\nfunc f() {\n  if x { for y { } }\n}\n/* block\nif if if\n*/\nfunc g() {\n  if z { }\n}\n"
+    got = code.scan(body, "Go")
     assert got == {"total_lines": 11, "code_lines": 7, "functions": 2, "branch_points": 3, "max_function_branches": 2, "max_nesting": 3}
-    row = code.measure(spark.createDataFrame([("a_test.go", "Go", text), ("b.yml", "YAML", "if: x")], "path string, language string, content string")).orderBy("path").collect()
+    row = code.measure(spark.createDataFrame([("a_test.go", "Go", body), ("b.yml", "YAML", "if: x")], "path string, language string, content string")).orderBy("path").collect()
     assert row[0]["complexity"] == 2.5 and row[0]["level"] == "low" and row[0]["is_test"] and not row[1]["complexity_measured"]
 
 
@@ -85,9 +86,9 @@ def changes(spark, rows):
 
 
 def test_churn(spark):
-    frame = changes(spark, [("1", NOW, "a", "internal/a.go", 10, 2), ("1", NOW, "a", "internal/b.go", 5, 0), ("1", NOW, "a", "assets/logo.png", None, None), ("2", NOW, "a", "internal/a.go", 1, 1)])
+    frame = changes(spark, [("1", NOW, "a", "core/a.go", 10, 2), ("1", NOW, "a", "core/b.go", 5, 0), ("1", NOW, "a", "assets/logo.png", None, None), ("2", NOW, "a", "core/a.go", 1, 1)])
     got = {r["path"]: tuple(r)[1:] for r in churn.churn_by_path(frame).collect()}
-    assert got == {"internal/a.go": (2, 11, 3, 16), "internal/b.go": (1, 5, 0, 6)}
+    assert got == {"core/a.go": (2, 11, 3, 16), "core/b.go": (1, 5, 0, 6)}
 
 
 @pytest.mark.parametrize("scores,value", [([10, 10, 10, 10], 0.0), ([97, 1, 1, 1], 0.92), ([], 0.0), ([5], 1.0), ([0, 0], 0.0)])
@@ -138,7 +139,7 @@ def test_gap_scores_and_buckets(spark):
 
 
 def test_size_score_falls_on_both_sides(spark):
-    score = lambda avg: one(spark, health.code_score(F.lit(float(avg)), F.lit(0), F.lit(40), F.lit(1)))
+    score = lambda avg: one(spark, health.code_score(F.lit(float(avg)), F.lit(0), F.lit(100), F.lit(40), F.lit(1)))
     assert score(100) == 100 and score(4) == score(1200) == 50
 
 
@@ -153,7 +154,7 @@ def test_history_views(spark):
 
 def test_gates_and_zero_bounds(spark):
     own = spark.createDataFrame([("r", 70.0, 1)], "root string, score double, risks long")
-    assert [tuple(r) for r in risks.breaches(own, {"min_score": 75, "max_risks": 0, "max_score": None}, ["root"]).collect()] == [("r", "min_score", 70.0, 75.0), ("r", "max_risks", 1.0, 0.0)]
+    assert [tuple(r) for r in risks.breaches(own, {"min_score": 75, "max_risks": 0, "max_score": None, "fail_on_drift": False}, ["root"]).collect()] == [("r", "max_risks", 1.0, 0.0), ("r", "min_score", 70.0, 75.0)]
     assert risks.breaches(own, {}, ["root"]).count() == 0
 
 
@@ -181,14 +182,16 @@ def test_manifests(spark):
 
 def test_logs_and_profiles(spark, tmp_path):
     log = tmp_path / "log"
-    log.write_text("\x1eabc\x1fAnn\x1fa@x\x1f2026-01-01T00:00:00Z\n\n10\t2\tinternal/a b.go\n-\t-\tlogo.png\n\x1edef\x1fBob\x1fb@x\x1f2026-01-02T00:00:00Z\n\n1\t1\tinternal/a b.go\n")
+    log.write_text("\x1eabc\x1fAnn\x1fa@x\x1f2026-01-01T00:00:00Z\n\n10\t2\tcore/a b.go\n-\t-\tlogo.png\n\x1edef\x1fBob\x1fb@x\x1f2026-01-02T00:00:00Z\n\n1\t1\tcore/a b.go\n")
     rows = sorted((r["commit"], r["author"], r["path"], r["added"]) for r in facts.git_log(spark, str(log)).collect())
-    assert rows == [("abc", "Ann", "internal/a b.go", 10), ("abc", "Ann", "logo.png", None), ("def", "Bob", "internal/a b.go", 1)]
+    assert rows == [("abc", "Ann", "core/a b.go", 10), ("abc", "Ann", "logo.png", None), ("def", "Bob", "core/a b.go", 1)]
     lines = ['1.2.3.4 - - [06/Oct/2026:12:00:00 +0000] "GET /users/42 HTTP/1.1" 200 12 345', '1.2.3.4 - - [06/Oct/2026:12:00:01 +0000] "GET /users/7 HTTP/1.1" 200 12 9', "", "garbage"]
     got = facts.access_log(spark.createDataFrame([(x,) for x in lines], "value string")).groupBy("route").count().collect()
     assert {r["route"]: r["count"] for r in got} == {"/users/{id}": 2, None: 2}
     span = '{"resourceSpans":[{"scopeSpans":[{"spans":[{"name":"s","startTimeUnixNano":"5","endTimeUnixNano":"9","attributes":[{"key":"code.function.name","value":{"stringValue":"f"}}]}]}]}]}'
-    assert tuple(facts.otel_spans(spark.createDataFrame([(span,)], "value string")).first()) == ("f", None, 4)
+    assert tuple(facts.otel_spans(spark.createDataFrame([(span,)], "value string")).first())[:3] == ("f", None, 4)
+    found = facts.otel_spans(spark.createDataFrame([("not json",), ('{"spans":[{"attributes":{"code.function.name":"g","code.file.path":"x.py"},"start_time":"2026-01-01T00:00:00Z","end_time":"2026-01-01T00:00:01Z"}]}',)], "value string"))
+    assert [tuple(r)[:3] for r in found.collect()] == [("g", "x.py", 1_000_000_000)]
 
 
 def test_source_files_prune_before_reading(spark, tmp_path):
@@ -200,14 +203,100 @@ def test_source_files_prune_before_reading(spark, tmp_path):
     assert sorted(tuple(r) for r in facts.go_imports(found, "m").collect()) == [("m/a", "fmt"), ("m/a", "m/b")]
 
 
+FLOW = """
+name: build
+on: {pull_request_target: {branches: [main]}}
+permissions: write-all
+jobs:
+  j:
+    permissions: {contents: write, pages: read}
+    strategy: {matrix: {os: [a], v: [%s]}}
+    steps:
+      - uses: Actions/Checkout@main
+        with: {ref: x}
+      - {uses: actions/setup-node@v4, with: {cache: false}}
+      - {uses: ./local}
+  k:
+    timeout-minutes: 3
+    steps: [{uses: x/y@%s}, {uses: z}]
+  l: {steps: [{run: x, timeout-minutes: 2}]}
+""" % (", ".join(map(str, range(300))), "a" * 40)
+
+
 def test_workflow_rules(spark):
-    steps = spark.createDataFrame([("w", "j", 0, "actions/checkout@main", ["ref"], False, "github.event.pull_request.head.sha"), ("w", "j", 1, "actions/setup-node@v4", None, False, None), ("w", "k", 0, "x/y@" + "a" * 40, None, True, None)], "file string, job string, step long, uses string, with_keys array<string>, timeout boolean, checkout_ref string")
-    jobs = spark.createDataFrame([("w", "j", "write-all", False, {"os": ["a"], "v": [str(i) for i in range(300)]}), ("w", "k", "contents: read", False, None)], "file string, job string, permissions string, timeout boolean, matrix map<string,array<string>>")
-    flows = spark.createDataFrame([("w", ["pull_request_target"])], "file string, triggers array<string>")
-    assert sorted((r["step"], r["severity"]) for r in ci.pinning(steps).collect()) == [(0, "high"), (1, "medium")]
-    assert ci.caching(steps).count() == 1 and ci.permissions(jobs).count() == 1 and ci.triggers(flows, steps).count() == 1
-    assert [r["job"] for r in ci.timeouts(jobs, steps).collect()] == ["j"] and ci.matrix(jobs).count() == 2
-    assert facts.workflows(spark.createDataFrame([("a", "on: push"), ("b", "a: [")], "file string, text string")).filter("json is null").count() == 1
+    files = spark.createDataFrame([("w", FLOW), ("bad", "a: ["), ("list", "- a"), ("none", ""), ("null", None), ("odd", "jobs: 3\non: true")], "file string, text string")
+    found = ci.findings(workflows.workflows(files))
+    assert sorted((r["file"], r["job"], r["rule"], r["severity"]) for r in found.collect()) == sorted([
+        ("bad", "", "unparseable_workflow", "high"), ("list", "", "unparseable_workflow", "high"), ("w", "", "write_all_permissions", "high"), ("w", "j", "write_scope", "medium"), ("w", "j", "privileged_trigger_checkout", "critical"),
+        ("w", "j", "mutable_ref", "high"), ("w", "j", "mutable_ref", "medium"), ("w", "j", "missing_cache", "medium"), ("w", "j", "constant_matrix_axis", "low"), ("w", "j", "excessive_matrix", "medium"), ("w", "j", "missing_timeout", "low"), ("w", "k", "unpinned_action", "high"),
+    ])
+    assert ci.ordered(found).first()["severity"] == "critical"
+    assert risks.workflow_breaches(found, "high").count() == 6 and risks.workflow_breaches(found, "none").count() == 0
+    with pytest.raises(ValueError):
+        risks.workflow_breaches(found, "severe")
+
+
+def test_workspaces_by_marker(spark):
+    assert workspaces.clean(["./a/*/", "!b", " ! ", "../out", ".", "/abs", None, "c"]) == (["a/*", "c"], ["b"])
+    assert workspaces.declared("go.work", "go 1.22\nuse ./one\nuse (\n\t./two // x\n)\n") == (["one", "two"], [])
+    assert workspaces.declared("package.json", '{"workspaces": ["x/*"]}') == (["x/*"], []) and workspaces.declared("package.json", "{") == ([], [])
+    assert workspaces.declared("Cargo.toml", '[workspace]\nmembers = ["m"]') == (["m"], []) and workspaces.declared("pnpm-workspace.yaml", "packages: ['p', '!q']") == (["p"], ["q"])
+    cases = [("a/*", "a/b", True), ("a/*", "a/b/c", False), ("a/**", "a", True), ("a/**/z", "a/x/y/z", True), ("a/**/z", "a/z", True), ("**", "x/y", True), ("**/k", "k", True), ("a.b/?", "axb/c", False), ("a.b/?", "a.b/c", True)]
+    frame = spark.createDataFrame(cases, "glob string, dir string, hit boolean")
+    assert frame.filter(F.regexp("dir", workspaces.glob_regex("glob")) != F.col("hit")).count() == 0
+
+
+def test_package_health(spark):
+    records = code.measure(spark.createDataFrame([("p/a.py", "Python", "x = 1\n" * 40), ("p/b/c.py", "Python", "if x:\n" * 500), ("q/d.go", "Go", "package d\n")], "path string, language string, content string"))
+    packages = spark.createDataFrame([("p",), ("p/b",), ("q",)], "path string")
+    moved = spark.createDataFrame([("p/b/c.py", 40, 2)], "path string, added long, deleted long")
+    deps = spark.createDataFrame([("p", 10, True)], "package string, direct long, drift boolean")
+    got = {r["package"]: r for r in workspace.health_of(records, packages, moved, deps).collect()}
+    assert (got["p"]["files"], got["p"]["hotspots"], got["p/b"]["hotspots"], got["q"]["hotspots"]) == (2, 1, 1, 0)
+    assert got["q"]["dependency_score"] == 90.0 and got["p"]["dependency_score"] == 84.0 and got["q"]["score"] > got["p/b"]["score"]
+
+
+def test_findings_gates_and_severities(spark):
+    stats = spark.createDataFrame([("a", 0, 0), ("b", 5, 0), ("c", 5, 1)], "root string, files long, test_files long")
+    none = spark.createDataFrame([], "root string, confirmed boolean, reason string, path string")
+    calm = spark.createDataFrame([], "root string, very_high_files long, max_complexity double, max_complexity_file string")
+    got = risks.code_findings(none, stats, calm, keys=["root"])
+    assert {(r["root"], r["title"]) for r in got.collect()} == {("a", "No source files detected"), ("b", "No test files detected")}
+    with pytest.raises(ValueError):
+        risks.filtered(stats, "grave")
+    first = spark.createDataFrame([(60.0, 9.0, None, None)], "score double, avg_complexity double, previous_score double, previous_complexity double")
+    assert [r["rule"] for r in risks.breaches(first, {"max_health_drop": 0, "max_complexity_increase": 8}, []).collect()] == ["max_complexity_increase"]
+
+
+def test_words(spark):
+    assert one(spark, text.signed(F.lit(0.25)), text.signed(F.lit(-2.0)), text.signed(F.lit(0.0)), text.short_sha(F.lit("a" * 40)), text.size_verdict(F.lit(20))) == ("+0.3", "-2", "0", "a" * 12, "files too fragmented")
+    names = ["src/a.py", "a.py", ".env", "pkg/name", "@s/p.q", "/a.py", "c:\\x.py", "http://x/y.py", "x/.", "x.", ""]
+    assert one(spark, *[text.looks_like_path(F.lit(x)) for x in names]) == (True, True, False, False, True, False, False, False, False, False, False)
+    reason = text.hotspot_reason(F.lit("SQL"), F.lit(10), F.lit(3), F.lit(""), F.lit(False), F.lit(False))
+    assert one(spark, reason) == "10 code lines; not confirmed: 10 of 500 lines, 3 of 30 changed lines, complexity not measured for SQL"
+    assert one(spark, history.changed_line(F.array(*map(F.lit, "abcde")))).startswith("Detected 5 file changes (a, b, c, +2 more)")
+    assert one(spark, profiles.stale_note(F.create_map(F.lit("commit"), F.lit("abc")), F.lit("abcdef"))) is None
+
+
+def test_snapshots_against_the_last_in_a_stream(spark, tmp_path):
+    kind = "root string, id long, score double"
+    for at, rows in enumerate(([("r", 1, 50.0), ("q", 1, 70.0)], [("r", 2, 40.0)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(at)))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    seen = []
+    query = watch.movements(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda frame, _: seen.extend(map(tuple, frame.collect()))).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(x[0] for x in seen) == ["q", "r", "r"] and any(x[4] in (-10.0, 10.0) for x in seen)
+
+
+def test_polling_reports_what_changed(tmp_path):
+    (tmp_path / "a.py").write_text("x")
+    (tmp_path / "node_modules").mkdir()
+    rounds = watch.polled(str(tmp_path), 0.01)
+    assert next(rounds) == []
+    (tmp_path / "b.py").write_text("y")
+    (tmp_path / "node_modules" / "c.py").write_text("z")
+    assert next(rounds) == ["b.py"]
 
 
 def test_bursts_in_a_stream(spark, tmp_path):

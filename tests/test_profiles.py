@@ -44,6 +44,13 @@ def test_formats_are_told_apart(spark):
     assert {r[0]: r[1] for r in frame.select("path", profiles.kind_of("content", "path")).collect()} == {"x.json": "otel", "p": "pprof", "q.pprof": "pprof", "log": "accesslog", "z": "unknown"}
 
 
+def test_profiles_of_any_kind_are_loaded(spark):
+    rows = [("x.json", b'[{"durationNanos": 5, "code": {"function": {"name": "f"}}}, {"durationNanos": 2}]'), ("p", gzip.compress(profile())), ("a.log", b'1.1.1.1 - - [x] "GET /u/7 HTTP/1.1" 200 5 9\nnoise'), ("z", b"hello"), ("e", b"")]
+    found = profiles.load(spark.createDataFrame([(a, bytearray(b)) for a, b in rows], "path string, content binary")).collect()
+    got = sorted((r["profile"], str(r["function"]), r["latency_ns"], r["error"] is None) for r in found)
+    assert got == sorted([("x.json", "f", 5, True), ("x.json", "None", 2, True), ("p", "main.f", 3000, True), ("p", "main.g", 500, True), ("p", "None", 7, True), ("a.log", "/u/{id}", 9000, True), ("a.log", "None", 0, True), ("z", "None", 0, False), ("e", "None", 0, False)])
+
+
 def test_functions_are_measured(spark):
     text = "package a\n\nfunc first(a int) int {\n\tx := g(a)\n\tif x > 1 {\n\t\th(x)\n\t}\n\treturn x\n}\n\nfunc (r *T) second() {\n}\n"
     got = cognitive.functions_in(text, "Go")

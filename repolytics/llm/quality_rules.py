@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from repolytics.llm.common import checkpointed, heavy_join
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\f\r"
@@ -92,19 +94,23 @@ def base(docs: DataFrame) -> DataFrame:
 def line_words_removed(docs: DataFrame, host: str, least_docs: int = LEAST_DOCS, share: float = HOST_SHARE) -> DataFrame:
     """doc_id, text_key, words in lines that more documents of the host hold than its limit.
 
-    The limit of a host is the greater of least_docs and share times its documents.
+    The limit of a host is the greater of least_docs and share times its documents.  The
+    lines of all documents are cut and hashed once and kept as (line, document, words);
+    the most frequent lines of all, whose number is bounded, find their documents by a
+    broadcast, so that no line is one task's.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("line_host"), "text")
     hosts = rows.groupBy("line_host").agg(F.count(F.lit(1)).alias("host_docs"))
     lines = rows.select("doc_id", "text_key", "line_host", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", "text_key", "line_host", normal_line(F.col("line")).alias("line")).filter("line <> ''")
-    held = (
-        lines.select("doc_id", "text_key", "line_host", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ", -1)).alias("n"))
-        .groupBy("line_host", "line_hash", "doc_id", "text_key")
-        .agg(F.sum("n").alias("n"))
+    held = checkpointed(
+        lines.select("doc_id", "text_key", "line_host", F.xxhash64("line_host", "line").alias("line_key"), F.size(F.split("line", " ", -1)).alias("n"))
+        .groupBy("line_key", "doc_id", "text_key")
+        .agg(F.first("line_host").alias("line_host"), F.sum("n").alias("n"))
     )
-    common = held.groupBy("line_host", "line_hash").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > least_docs)
-    common = common.join(hosts, "line_host").filter(F.col("line_docs") > share * F.col("host_docs")).select("line_host", "line_hash")
-    return held.join(common, ["line_host", "line_hash"]).groupBy("doc_id", "text_key").agg(F.sum("n").alias("removed"))
+    common = held.groupBy("line_key").agg(F.first("line_host").alias("line_host"), F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > least_docs)
+    common = checkpointed(common.join(hosts, "line_host").filter(F.col("line_docs") > share * F.col("host_docs")).select("line_key", "line_docs"))
+    found = heavy_join(held.select("line_key", "doc_id", "text_key", "n"), common.withColumn("over", F.lit(True)), "line_key", "line_docs", "over")
+    return found.groupBy("doc_id", "text_key").agg(F.sum("n").alias("removed"))
 
 
 def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = HOST_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:

@@ -71,16 +71,19 @@ def train(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.1) -> Mo
     languages = sorted(totals)
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the matrix is meant for at most {MOST_LANGUAGES}")
-    counts = np.zeros((buckets, len(languages)))
+    logp = np.zeros((len(languages), buckets), np.float32)
     if languages:
         found = sums.toArrow()
-        at = {name: i for i, name in enumerate(languages)}
-        counts[found.column("bucket").to_numpy(), [at[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
-    smooth = counts + smoothing
+        names, cells, n = found.column("lang").combine_chunks().dictionary_encode(), found.column("bucket").to_numpy(), found.column("n").to_numpy()
+        at = {name: i for i, name in enumerate(names.dictionary.to_pylist())}
+        codes = names.indices.to_numpy(zero_copy_only=False)
+        for i, name in enumerate(languages):  # one language's counts at a time
+            own, part = np.full(buckets, smoothing), codes == at.get(name, -1)
+            own[cells[part]] += n[part]
+            logp[i] = np.log(own) - np.log(own.sum())
+            logp[i, 0] = 0
     prior = np.log(np.array([totals[x] for x in languages], float) / max(1, sum(totals.values()))) if languages else np.zeros(0)
-    logp = np.log(smooth / smooth.sum(axis=0))
-    logp[0] = 0
-    return Model(languages, np.ascontiguousarray(logp.T.astype(np.float32)), prior)
+    return Model(languages, logp, prior)
 
 
 def score(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -82,7 +82,8 @@ def _sparse(buckets: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 1, most: int = MOST_TRAIN, buckets: int = BUCKETS) -> list[tuple]:
     """(label, ids, counts) of at most `most` labelled rows outside the held-out fold.
 
-    Rows are chosen by a hash of doc_id.  The chosen ids are bounded, so they are
+    Rows are chosen by a hash of doc_id; of several labels of one doc_id the largest counts,
+    and each row that repeats a doc_id trains by its own text.  The chosen ids are bounded, so they are
     broadcast and the texts are not shuffled.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~held_out("doc_id", fold))

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from repolytics.llm import decontaminate, quality_rules
+from repolytics.llm import decontaminate, quality, quality_rules
 from tests.conftest import SF
 
 
@@ -205,6 +205,41 @@ def test_pipeline_runs_and_its_stages_take_effect(spark):
     assert packed.select("doc_id").distinct().count() == before
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    """What each of the first three stages keeps of the small table, by definition."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    model = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{SF}/labels.parquet")))
+    rows = docs.collect()
+    scores = quality.Scorer(model).scores([r["text"] for r in rows])
+    kept = stages["quality classifier"](spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r, x in zip(rows, scores) if x >= 0.5)
+
+    texts = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in rows}
+    low = {i: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in own] for i, own in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in low.items()}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    got = stages["SimHash near-dedup"](spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(group.values()))
+
+    first = {}
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - 12):
+            first.setdefault(tuple(texts[i][k : k + 13]), i)
+    left = {}
+    for i, own in texts.items():
+        gone = {p for k in range(len(own) - 12) if first[tuple(own[k : k + 13])] < i for p in range(k, k + 13)}
+        if not own or len(gone) < len(own):
+            left[i] = [w for k, w in enumerate(own) if k not in gone]
+    got = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in stages["substring dedup"](spark, docs, SF).collect()}
+    assert got == left
+
+
 def test_pipeline_stages_of_empty_tables(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, SF).count() == 0

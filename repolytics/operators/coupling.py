@@ -1,8 +1,8 @@
 """Co-change: pairs of paths that change together, hidden coupling, impact expansion.
 
 A pair (a < b) of a commit is one row, so a commit of n paths makes n(n-1)/2 rows by
-definition.  Commits are made distinct by path first, support is applied before any
-join, and max_paths (off by default) leaves out sweeping commits.
+definition.  Commits are made distinct by path first, paths too rare for any pair go
+before the join, and max_paths (off by default) leaves out sweeping commits.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ def touched(facts: DataFrame, max_paths: int | None = None) -> DataFrame:
 def pairs(facts: DataFrame, min_shared: int = 3, threshold: float = 0.6, max_paths: int | None = None) -> DataFrame:
     """a, b, shared, commits_a, commits_b, coupling, first_shared, last_shared."""
     each = touched(facts, max_paths)
-    left = each.select("commit", F.col("path").alias("a"), "at")
-    right = each.select(F.col("commit").alias("commit_b"), F.col("path").alias("b"))
+    totals = each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_shared)
+    often = each.join(totals, "path")  # a rarer path is in no pair
+    left = often.select("commit", F.col("path").alias("a"), "at", F.col("n").alias("n_a"))
+    right = often.select(F.col("commit").alias("commit_b"), F.col("path").alias("b"), F.col("n").alias("n_b"))
     both = left.join(right, (F.col("commit") == F.col("commit_b")) & (F.col("a") < F.col("b")))
-    counted = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("at").alias("first_shared"), F.max("at").alias("last_shared")).filter(F.col("shared") >= min_shared)
-    totals = each.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    named = counted.join(totals.select(F.col("path").alias("a"), F.col("n").alias("commits_a")), "a").join(totals.select(F.col("path").alias("b"), F.col("n").alias("commits_b")), "b")
+    counted = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("at").alias("first_shared"), F.max("at").alias("last_shared"), F.min("n_a").alias("commits_a"), F.min("n_b").alias("commits_b"))
     coupling = clamp01(ratio("shared", F.least("commits_a", "commits_b")))
-    out = named.withColumn("coupling", round_half(coupling, 4)).filter(coupling >= threshold)
+    out = counted.filter(F.col("shared") >= min_shared).withColumn("coupling", round_half(coupling, 4)).filter(coupling >= threshold)
     return out.select("a", "b", "shared", "commits_a", "commits_b", "coupling", "first_shared", "last_shared")
 
 

@@ -41,14 +41,15 @@ def entries(records: DataFrame, runtime: DataFrame, profile_coverage: float, chu
     hits, latency_ns, joined on base names; a base name of several files joins nothing.
     """
     named = records.withColumn("base", base_name("path"))
-    shared = named.groupBy("base").agg(F.count(F.lit(1)).alias("paths"))
     seen = runtime.withColumn("base", base_name("file")).filter("base <> ''").groupBy("base").agg(F.sum("hits").cast("bigint").alias("hits"), F.sum("latency_ns").cast("bigint").alias("latency_ns"))
-    own = named.filter(~F.col("is_test") & F.col("complexity_measured")).join(shared, "base").join(seen, "base", "left")
+    alone = named.groupBy("base").agg(F.count(F.lit(1)).alias("paths"), F.min("path").alias("path")).filter("paths = 1")
+    alone = alone.join(seen, "base", "left").select("path", "hits", "latency_ns", F.lit(True).alias("alone"))  # common names meet nothing
+    own = named.filter(~F.col("is_test") & F.col("complexity_measured")).join(alone, "path", "left")
     if churn is not None:
         own = own.join(churn.select("path", (F.col("added") + F.col("deleted")).alias("churn")), "path", "left")
     else:
         own = own.withColumn("churn", F.lit(0))
-    one = F.col("paths") == 1
+    one = F.coalesce("alone", F.lit(False))
     zero = F.lit(0).cast("bigint")
     own = own.withColumn("hits", F.when(one, F.coalesce("hits", zero)).otherwise(zero)).withColumn("latency_ns", F.when(one, F.coalesce("latency_ns", zero)).otherwise(zero))
     own = own.withColumn("static", static_score("complexity", "code_lines", F.coalesce("churn", F.lit(0))))

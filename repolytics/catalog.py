@@ -352,7 +352,7 @@ def health_git(spark: SparkSession, sf_dir: str) -> DataFrame:
 METRICS = f"s1 AS (SELECT root, {CODE_SQL} AS c, {DEP_SQL} AS d, {GIT_SQL} AS g FROM s00), m AS (SELECT root, 'code' AS key, c AS score, 0.4::DOUBLE AS w FROM s1 UNION ALL SELECT root, 'dependency', d, 0.3::DOUBLE FROM s1 UNION ALL SELECT root, 'git', g, 0.3::DOUBLE FROM s1)"
 
 
-@query(f"WITH {SCORES}, {METRICS}, t AS (SELECT root, sum(score * w) / sum(w) AS raw FROM m GROUP BY root), k AS (SELECT root, key, row_number() OVER (PARTITION BY root ORDER BY score, w DESC, key) AS n FROM m) SELECT root, {r2('raw')} AS score, {grade_sql('raw')} AS grade, key AS weakest, CASE WHEN raw >= 85 THEN 'excellent' WHEN raw >= 70 THEN 'good' WHEN raw >= 55 THEN 'fair' WHEN raw >= 40 THEN 'weak' ELSE 'poor' END AS label FROM t JOIN k USING (root) WHERE n = 1")
+@query(f"WITH {SCORES}, {METRICS}, t AS (SELECT root, (0::DOUBLE + c * 0.4::DOUBLE + d * 0.3::DOUBLE + g * 0.3::DOUBLE) / (0::DOUBLE + 0.4::DOUBLE + 0.3::DOUBLE + 0.3::DOUBLE) AS raw FROM s1), k AS (SELECT root, key, row_number() OVER (PARTITION BY root ORDER BY score, w DESC, key) AS n FROM m) SELECT root, {r2('raw')} AS score, {grade_sql('raw')} AS grade, key AS weakest, CASE WHEN raw >= 85 THEN 'excellent' WHEN raw >= 70 THEN 'good' WHEN raw >= 55 THEN 'fair' WHEN raw >= 40 THEN 'weak' ELSE 'poor' END AS label FROM t JOIN k USING (root) WHERE n = 1")
 def health_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.total(health.metrics(_scored(spark, sf_dir), ["root"]), ["root"])
 

@@ -57,10 +57,10 @@ def metrics(frame: DataFrame, keys: list[str]) -> DataFrame:
 def total(measured: DataFrame, keys: list[str]) -> DataFrame:
     """keys, score, grade, weakest, label; weights are renormalised over what applies."""
     some = measured.filter("applicable")
-    sums = some.groupBy(*keys).agg(
-        ratio(F.sum(F.col("score") * F.col("weight")), F.sum("weight")).alias("raw"),
-        F.min_by("key", F.struct("score", -F.col("weight"), "key")).alias("weakest"),
-    )
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("order"), "key", "score", "weight")))  # at most three
+    add = lambda value: F.aggregate("parts", F.lit(0.0), lambda total, p: total + value(p))  # noqa: E731  in one order, so that halves round alike
+    sums = some.groupBy(*keys).agg(parts.alias("parts"), F.min_by("key", F.struct("score", -F.col("weight"), "key")).alias("weakest"))
+    sums = sums.withColumn("raw", ratio(add(lambda p: p["score"] * p["weight"]), add(lambda p: p["weight"])))
     label = F.when(F.col("raw") >= 85, "excellent").when(F.col("raw") >= 70, "good").when(F.col("raw") >= 55, "fair").when(F.col("raw") >= 40, "weak").otherwise("poor")
     return sums.select(*keys, round2("raw").alias("score"), grade("raw").alias("grade"), "weakest", label.alias("label"))
 

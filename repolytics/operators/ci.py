@@ -92,7 +92,11 @@ def triggers(workflows: DataFrame) -> DataFrame:
 
 
 def findings(workflows: DataFrame) -> DataFrame:
-    """What all rules find: file, job, rule, severity, detail."""
+    """What all rules find: file, job, rule, severity, detail.
+
+    Every rule reads the parsed files, so they are cached and parsed once.
+    """
+    workflows = workflows.persist()
     jobs, steps = rows.jobs(workflows), rows.steps(workflows)
     return reduce(DataFrame.unionByName, [unparseable(workflows), permissions(workflows), triggers(workflows), caching(steps), pinning(steps), matrix(jobs), timeouts(jobs)])
 

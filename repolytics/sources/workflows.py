@@ -57,7 +57,7 @@ def parsed(text: str | None) -> dict:
 
     out = {"error": None, "name": None, "triggers": [], "permissions": None, "grants": [], "jobs": []}
     try:
-        doc = yaml.safe_load(text or "")
+        doc = yaml.load(text or "", Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError as error:
         return out | {"error": re.sub(r"\s+", " ", str(error))}
     if doc is None:

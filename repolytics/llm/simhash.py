@@ -123,23 +123,29 @@ def fuzzy_keys(prints: np.ndarray) -> np.ndarray:
     return out.reshape(len(prints), 48)
 
 
-def _fingerprints(shingle: int, digests: bool):
+def _fingerprints(shingle: int, verify_shingle: int | None):
     def run(batches):
-        shingles = similarity.Shingles(shingle)
+        shingles = similarity.Shingles(verify_shingle or shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
                 prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                same = [shingles.digest(shingles.words(t)) if digests else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.int64()), pa.array(prints)], ["doc_id", "digest", "print"])
+                columns, names = [part.column(0), pa.array(prints)], ["doc_id", "print"]
+                if verify_shingle:
+                    words = [shingles.words(t) for t in texts]
+                    marks = np.array([similarity.signature(shingles.set_of(w)) for w in words], np.int64).reshape(-1, len(similarity.MARKS))
+                    columns += [pa.array([shingles.digest(w) for w in words], pa.int64()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)]
+                    names += ["digest", *similarity.MARKS]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
-    """doc_id, digest (of the words; 0 unless asked), print (the fingerprint as a signed long)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, digests), "doc_id long, digest long, print long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, verify_shingle: int | None = None) -> DataFrame:
+    """doc_id, print (the fingerprint as a signed long); with verify_shingle also digest (of the words) and the marks of the set of such shingles."""
+    more = "".join(f", {name} long" for name in ("digest", *similarity.MARKS)) if verify_shingle else ""
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, verify_shingle), "doc_id long, print long" + more)
 
 
 def _keyed(batches):
@@ -207,9 +213,11 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, m
     and nodes that very many rows share reach their rows by a bounded broadcast.
     """
     verify = min_similarity is not None
-    own = checkpointed(fingerprints(docs, shingle, digests=verify))
+    own = checkpointed(fingerprints(docs, shingle, verify_shingle if verify else None))
     node = "digest" if verify else "print"
-    nodes = checkpointed(own.groupBy(node).agg(F.min("print").alias("of_print"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")))
+    marks = [F.first(m).alias(m) for m in similarity.MARKS] if verify else []
+    nodes = checkpointed(own.groupBy(node).agg(F.min("print").alias("of_print"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *marks))
+    own = own.select("doc_id", (F.col("digest") if verify else F.lit(0).cast("long")).alias("digest"), "print")
     if verify:
         leads = checkpointed(nodes.groupBy("of_print").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("texts")))
         close = linked_pairs(leads.select(F.col("of_print").alias("rep"), F.col("of_print").alias("print")), max_bits)
@@ -217,7 +225,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, m
         across = close.join(named[0], "a").join(named[1], "b").select("lead_a", "lead_b")
         alike = heavy_join(nodes.select("digest", "of_print"), leads, "of_print", "texts", "lead").filter("digest <> lead").select("digest", "lead")
         proposed = across.union(alike).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        reps = nodes.select(F.col("digest").alias("node"), "rep")
+        reps = nodes.select(F.col("digest").alias("node"), "rep", *similarity.MARKS)
         found = similarity.linked(docs.select("doc_id", "text"), proposed, reps, own.count(), min_similarity, verify_shingle, components)
     else:
         found = components(linked_pairs(nodes.select(F.col("print").alias("rep"), "print"), max_bits))

@@ -12,7 +12,9 @@ by their leading bits.  A key that several documents of a block have goes to its
 once, so a key in a third of all documents is one entry a block there; what is left are the
 keys that two or more different texts have.  Each key's texts are first linked to one text
 in their middle.  Only texts of a key that are still in different components are compared
-pair by pair, so a dense group costs few pairs and no pair is left out.
+pair by pair, inside Spark's join and by 256 bits of parity, which differ in no more places
+than the sets differ in shingles; so few pairs come out of a dense group, and none that is
+similar is left out.
 
 A node is a text's digest (of its words), so exact copies are one node from the start.
 """
@@ -89,6 +91,18 @@ class Shingles:
         return self.set_of(self.words(text))
 
 
+MARKS = ("mark0", "mark1", "mark2", "mark3")
+
+
+def signature(grams: np.ndarray) -> np.ndarray:
+    """256 bits as signed longs: each tells whether an odd number of shingles falls to it.
+
+    Two sets differ in at least as many shingles as their signatures differ in bits.
+    """
+    odd = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def front(n: int, least: float) -> int:
     """How many shingles of a set of n lead it: one of them is in any set of this similarity."""
     return n - int(np.ceil(least * n - 1e-9)) + 1
@@ -289,7 +303,7 @@ def verified(docs: DataFrame, links: DataFrame, reps: DataFrame, least: float, w
     shuffled.
     """
     links = checkpointed(links)
-    ends = checkpointed(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(reps, "node"))
+    ends = checkpointed(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(reps.select("node", "rep"), "node"))
     bitmap = docs.sparkSession.sparkContext.broadcast(slots_of(ends, "rep"))
     sets = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).mapInArrow(_sets(width, bitmap), "node long, grams binary")
     sets = checkpointed(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")))
@@ -301,7 +315,7 @@ def linked(docs: DataFrame, proposed: DataFrame, reps: DataFrame, rows: int, lea
     """node, component of all nodes that some other one is similar to.
 
     docs: doc_id, text.  proposed: pairs (a, b) of nodes that fingerprints suggest.  reps:
-    node, rep.  components: from edges (a, b) to (node, component).
+    node, rep and the marks of its set.  components: from edges (a, b) to (node, component).
     """
     met = checkpointed(shared_keys(docs, rows, least, width))
 
@@ -316,8 +330,10 @@ def linked(docs: DataFrame, proposed: DataFrame, reps: DataFrame, rows: int, lea
     found = checkpointed(components(verified(docs, star.union(proposed).distinct(), reps, least, width)))
     placed = met.join(found, "node", "left").select("key", "node", "place", "n", F.coalesce("component", "node").alias("member"))
     apart = placed.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("key")
-    placed = checkpointed(placed.join(apart, "key", "left_semi"))
+    placed = checkpointed(placed.join(apart, "key", "left_semi").join(reps.select("node", *MARKS), "node"))
     a, b = placed.alias("a"), placed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.member") < F.col("b.member")) & fits("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MARKS[1:]), F.bit_count(F.col("a.mark0").bitwiseXOR(F.col("b.mark0"))))
+    near = (1 + least) * differ <= (1 - least) * (F.col("a.n") + F.col("b.n")) + 1e-6
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.member") < F.col("b.member")) & fits("a", "b") & near)
     more = verified(docs, pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), reps, least, width)
     return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

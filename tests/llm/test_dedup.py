@@ -159,6 +159,17 @@ def test_word_hashes_depend_on_the_words_alone():
     assert digest("A b\nC") == digest("a  B c ") != digest("a b") and digest("") == digest(None) and len(shingles("a b c d e c d e")) == 5
 
 
+def test_signatures_differ_no_more_than_the_sets():
+    from repolytics.llm import similarity
+
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        x = np.unique(r.integers(0, 1 << 63, 200).astype(np.uint64))
+        y = np.union1d(x[r.random(len(x)) < r.random()], r.integers(0, 1 << 63, r.integers(0, 40)).astype(np.uint64))
+        a, b = (similarity.signature(s).view(np.uint64) for s in (x, y))
+        assert sum(int(v).bit_count() for v in a ^ b) <= len(np.setxor1d(x, y))
+
+
 def test_a_shared_passage_makes_no_large_group(spark):
     """One passage in 50,000 documents: each bucket holds a block's entry of it, not the documents'."""
     passage = " ".join(f"p{i}" for i in range(14))

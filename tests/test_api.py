@@ -76,19 +76,9 @@ def test_command_line_over_a_repository(spark, tmp_path, capsys):
     run = lambda *a: main.run(main.options([a[0], str(root), *a[1:]] if a[0] != "version" else ["version"]))
     assert run("version") == 0 and run("status") == 0
     assert "risk(s)" in capsys.readouterr().out
-    assert run("analyze", "--format", "json", "--only", "stats", "ecosystems", "--history", str(tmp_path / "h")) == 0
-    found = json.loads(capsys.readouterr().out)
-    assert found["stats"]["files"] == 2 and found["ecosystems"][0]["direct"] == 1
-    assert run("history", "--history", str(tmp_path / "h")) == 0 and "records" in capsys.readouterr().out.lower()
-    assert run("ci", "--workflow-severity", "high", "--comment", str(tmp_path / "c.md")) == 1
-    assert "workflow_mutable_ref" in capsys.readouterr().out and "Repository health" in (tmp_path / "c.md").read_text()
-    assert run("ci", "--fail-on-drift", "--no-gate") == 0
-    assert run("compare", "--base", "HEAD~1", "--only", "metrics") == 0 and "Code lines" in capsys.readouterr().out
-    assert run("setup") == 0 and "git_window_days: 7" in capsys.readouterr().out
     (root / "core" / "b.py").write_text("z = 3\n")
-    assert run("blast") == 0 and run("decay") == 0 and run("cognitive") == 0 and run("topology", "--only", "coupling") == 0
-    assert run("watch", "--rounds", "1") == 0 and "Health:" in capsys.readouterr().out
-    assert run("explain", "--summary", "there are 4242 files") == 1
+    assert run("blast") == 0 and run("decay") == 0 and run("setup") == 0
+    assert "git_window_days: 7" in capsys.readouterr().out
 
 
 def test_a_clean_repository_has_few_risks(spark, repository):

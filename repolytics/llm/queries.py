@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repolytics.llm import quality_rules, substring, warc
+from repolytics.llm import importance, quality_rules, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,18 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.importance import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.schema_drift import evolve
+
+    return evolve(table(spark, sf_dir, "clients"))
+
+
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op2_extract": op2_extract,
@@ -83,6 +95,8 @@ QUERIES = {
     "op10_tokens": op10_tokens,
     "op6_substring": op6_substring,
     "op9_simhash": op9_simhash,
+    "op11_resample": op11_resample,
+    "op13_drift": op13_drift,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_rules": quality_rules.ORACLE, "op6_substring": substring.ORACLE, "op7_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_rules": quality_rules.ORACLE, "op6_substring": substring.ORACLE, "op7_warc": warc.ORACLE, "op11_resample": importance.ORACLE}

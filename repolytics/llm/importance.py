@@ -66,9 +66,9 @@ def advanced(state: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: n
     return back
 
 
-def word_spans(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of lower-cased bytes in which a text begins at each of firsts."""
-    inside = _INSIDE[data]
+def word_spans(data: np.ndarray, firsts: np.ndarray, classes: np.ndarray = _INSIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of bytes in which a text begins at each of firsts; classes tells which bytes are in words."""
+    inside = classes[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[firsts] = True
     before, after = np.r_[False, inside], np.r_[inside, False]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repolytics.llm import importance, quality_rules, substring, warc
+from repolytics.llm import importance, ngram_join, quality_rules, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from repolytics.llm.ngram_join import linked_documents
+
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     from repolytics.llm.schema_drift import evolve
 
@@ -96,7 +102,8 @@ QUERIES = {
     "op6_substring": op6_substring,
     "op9_simhash": op9_simhash,
     "op11_resample": op11_resample,
+    "op12_jaccard": op12_jaccard,
     "op13_drift": op13_drift,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_rules": quality_rules.ORACLE, "op6_substring": substring.ORACLE, "op7_warc": warc.ORACLE, "op11_resample": importance.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_rules": quality_rules.ORACLE, "op6_substring": substring.ORACLE, "op7_warc": warc.ORACLE, "op11_resample": importance.ORACLE, "op12_jaccard": ngram_join.ORACLE}

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repolytics.llm.common import LOWER, checkpointed, heavy_join, new_folder, release_memory, removed_folder, shuffles_removed, sized_partitions
+from repolytics.llm.common import LOWER, batches_of, checkpointed, heavy_join, new_folder, release_memory, removed_folder, shuffles_removed, sized_partitions
 from repolytics.llm.importance import blocks, word_spans
 from repolytics.llm.similarity import _BYTES, _INSIDE, MARKS, MOST_SAMPLED, SLOTS, common_shingles, slots_of
 from repolytics.llm.simhash import components
@@ -43,6 +43,7 @@ from repolytics.llm.substring import Powers, rolling
 WIDTH = 5
 PERCENT = 80
 BLOCK_KEYS = 400_000
+BATCH_ROWS = 1_000
 LONG_LIST = 64  # sets of a list that are compared pair by pair; longer ones are cut by a second shingle
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -444,7 +445,12 @@ def linked_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     """
     if not 51 <= percent <= 100:
         raise ValueError("similarities from 51 to 100 percent")
-    spark, docs, folders = docs.sparkSession, docs.select("doc_id", "text"), []
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _linked(docs.select("doc_id", "text"), percent, width, bucket_bytes)
+
+
+def _linked(docs: DataFrame, percent: int, width: int, bucket_bytes: int) -> DataFrame:
+    spark, folders = docs.sparkSession, []
     rows = docs.count()
     common = common_shingles(docs, rows, width)
     shared = spark.sparkContext.broadcast(common)

@@ -150,7 +150,7 @@ def pairs_sql(min_shared: int, threshold: float) -> str:
     return (
         "t AS (SELECT k, path, min(ts) AS ts FROM cf GROUP BY k, path), n AS (SELECT path, count(*) AS n FROM t GROUP BY path), "
         f"p AS (SELECT x.path AS a, y.path AS b, count(*) AS shared, min(x.ts) AS first_shared, max(x.ts) AS last_shared FROM t x JOIN t y ON x.k = y.k AND x.path < y.path GROUP BY 1, 2 HAVING count(*) >= {min_shared}), "
-        f"pairs AS (SELECT a, b, shared, na.n AS commits_a, nb.n AS commits_b, {rh(c01('shared::DOUBLE / least(na.n, nb.n)::DOUBLE'), 4)} AS coupling, first_shared, last_shared FROM p JOIN n na ON na.path = a JOIN n nb ON nb.path = b WHERE shared::DOUBLE / least(na.n, nb.n)::DOUBLE >= {threshold}::DOUBLE)"
+        f"pairs AS (SELECT a, b, shared, na.n AS commits_a, nb.n AS commits_b, {c01('shared::DOUBLE / least(na.n, nb.n)::DOUBLE')} AS coupling, first_shared, last_shared FROM p JOIN n na ON na.path = a JOIN n nb ON nb.path = b WHERE shared::DOUBLE / least(na.n, nb.n)::DOUBLE >= {threshold}::DOUBLE)"
     )
 
 
@@ -167,9 +167,9 @@ def cochange_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coupling.hidden(cochange_pairs(spark, sf_dir), packages, edges).select("a", "b", "shared", "coupling")
 
 
-STEP = "SELECT path, coupling, via FROM (SELECT e.t AS path, e.coupling, e.f AS via, row_number() OVER (PARTITION BY e.t ORDER BY e.coupling DESC, e.f) AS n FROM e JOIN {prev} s ON e.f = s.path WHERE e.t NOT IN ({seen})) WHERE n = 1"
+STEP = "SELECT path, coupling, via, shared FROM (SELECT e.t AS path, e.coupling, e.f AS via, e.shared, row_number() OVER (PARTITION BY e.t ORDER BY e.coupling DESC, e.f) AS n FROM e JOIN {prev} s ON e.f = s.path WHERE e.t NOT IN ({seen})) WHERE n = 1"
 BLAST = (
-    f"WITH {SF}, {pairs_sql(3, 0.06)}, e AS (SELECT a AS f, b AS t, coupling FROM pairs UNION ALL SELECT b, a, coupling FROM pairs), s0 AS (SELECT DISTINCT path FROM cf WHERE CAST(path AS BIGINT) <= 3), "
+    f"WITH {SF}, {pairs_sql(3, 0.06)}, e AS (SELECT a AS f, b AS t, coupling, shared FROM pairs UNION ALL SELECT b, a, coupling, shared FROM pairs), s0 AS (SELECT DISTINCT path FROM cf WHERE CAST(path AS BIGINT) <= 3), "
     f"s1 AS ({STEP.format(prev='s0', seen='SELECT path FROM s0')}), s2 AS ({STEP.format(prev='s1', seen='SELECT path FROM s0 UNION ALL SELECT path FROM s1')}), "
     f"s3 AS ({STEP.format(prev='s2', seen='SELECT path FROM s0 UNION ALL SELECT path FROM s1 UNION ALL SELECT path FROM s2')}) "
 )
@@ -181,12 +181,12 @@ def _blast(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
     return coupling.expand(coupling.pairs(own, 3, 0.06), seeds, hops)
 
 
-@query(BLAST + "SELECT path, 1::BIGINT AS hops, coupling, via FROM s1 ORDER BY coupling DESC, path LIMIT 50")
+@query(BLAST + "SELECT path, 1::BIGINT AS hops, coupling, via, shared FROM s1 ORDER BY coupling DESC, shared DESC, path LIMIT 50")
 def blast_hop1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blast(spark, sf_dir, 1)
 
 
-@query(BLAST + "SELECT * FROM (SELECT path, 1::BIGINT AS hops, coupling, via FROM s1 UNION ALL SELECT path, 2, coupling, via FROM s2 UNION ALL SELECT path, 3, coupling, via FROM s3) ORDER BY hops, coupling DESC, path LIMIT 50")
+@query(BLAST + "SELECT * FROM (SELECT path, 1::BIGINT AS hops, coupling, via, shared FROM s1 UNION ALL SELECT path, 2, coupling, via, shared FROM s2 UNION ALL SELECT path, 3, coupling, via, shared FROM s3) ORDER BY hops, coupling DESC, shared DESC, path LIMIT 50")
 def blast_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blast(spark, sf_dir, 3)
 
@@ -673,12 +673,6 @@ def boundary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.violations(facts.imports(spark, sf_dir), packages, module, TOP_REGION)
 
 
-@query()
-def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boundaries.cycles(facts.imports(spark, sf_dir))
-    return spark.createDataFrame([(i, c) for i, c in enumerate(found)], "cycle bigint, members array<string>")
-
-
 # SRC-33, JOIN-07/08, MONO-01, GRF-03/04: workspaces ------------------------------------------------------------------
 
 
@@ -749,4 +743,4 @@ def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.debounced(facts.table(spark, sf_dir, "events"), "6 hours", key="user_id")
 
 
-from repolytics import catalog_paths, catalog_sources  # noqa: E402, F401  register their queries
+from repolytics import catalog_graph, catalog_paths, catalog_sources  # noqa: E402, F401  register their queries

@@ -76,7 +76,7 @@ def directory_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH t AS (SELECT DISTINCT l_orderkey AS k, l_suppkey::VARCHAR AS path FROM lineitem JOIN orders ON o_orderkey = l_orderkey), n AS (SELECT path, count(*) AS n FROM t GROUP BY 1), p AS (SELECT x.path AS a, y.path AS b, count(*) AS shared FROM t x JOIN t y ON x.k = y.k AND x.path < y.path GROUP BY 1, 2 HAVING count(*) >= 2), "
-    "c AS (SELECT a, b, shared, round(least(shared::DOUBLE / least(na.n, nb.n), 1) * 10000) / 10000 AS coupling FROM p JOIN n na ON na.path = a JOIN n nb ON nb.path = b WHERE shared::DOUBLE / least(na.n, nb.n) >= 0.01::DOUBLE) SELECT a, b, shared, coupling, row_number() OVER (ORDER BY coupling DESC, shared DESC, a, b) AS place FROM c ORDER BY place LIMIT 100"
+    "c AS (SELECT a, b, shared, least(shared::DOUBLE / least(na.n, nb.n), 1) AS coupling FROM p JOIN n na ON na.path = a JOIN n nb ON nb.path = b WHERE shared::DOUBLE / least(na.n, nb.n) >= 0.01::DOUBLE) SELECT a, b, shared, coupling, row_number() OVER (ORDER BY coupling DESC, shared DESC, a, b) AS place FROM c ORDER BY place LIMIT 100"
 )
 def pairs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = coupling.strongest(coupling.pairs(tables.commit_files(spark, sf_dir, "l_suppkey"), 2, 0.01), 100).select("a", "b", "shared", "coupling")

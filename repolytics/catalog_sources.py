@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from repolytics.functions import predicates as pred, text as words
-from repolytics.operators import boundaries, ci, workspace
+from repolytics.operators import ci, workspace
 from repolytics.plans import adapters as tables, history, risks, setup
 from repolytics.registry import query
 from repolytics.sources import facts, profiles, workflows
@@ -204,13 +204,6 @@ def go_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.go_packages(table(spark, sf_dir, "customer").select(text(F.col("c_mktsegment"), "/f", F.col("c_custkey").cast("string"), ".go").alias("path")), "m")
 
 
-@query()
-def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles by a walk in the order of names, which no SQL repeats; compared with a plain walk in the tests."""
-    found = boundaries.cycles(tables.imports(spark, sf_dir))
-    return spark.createDataFrame([(i, c) for i, c in enumerate(found)], "cycle bigint, members array<string>")
-
-
 # SRC-31/32, CI-01..06, ORD-05, GAT-03: workflows -------------------------------------------------------------------
 
 

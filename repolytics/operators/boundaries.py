@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from repolytics.operators.graph import strong_components
 
 
 def dependencies(imports: DataFrame, packages: DataFrame) -> DataFrame:
@@ -26,34 +28,30 @@ def violations(imports: DataFrame, packages: DataFrame, module: str, top: str =
     return upward.unionByName(root).select("kind", F.col("src").alias("package"), F.col("dst").alias("imported"), "from", "to")
 
 
-def cycles(imports: DataFrame, most_edges: int = 200_000) -> list[list[str]]:
-    """Cycles of the package graph, each by its sorted members, in order.
+def cycles(imports: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """cycle, package, members: the packages that import each other in a circle, a row each.
+
+    A cycle is a class of packages of which each reaches every other; it is named after its
+    smallest member, and members is how many it has.  A package that imports itself is one
+    of its own.  With packages (package), only imports between these count.
+    """
+    edges = imports.select("src", "dst")
+    if packages is not None:
+        known = packages.select("package").distinct()
+        edges = edges.join(known.withColumnRenamed("package", "src"), "src", "left_semi").join(known.withColumnRenamed("package", "dst"), "dst", "left_semi")
+    found = strong_components(edges)
+    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return found.join(size, "component").select(F.col("component").alias("cycle"), F.col("node").alias("package"), "members")
+
+
+def cycle_violations(found: DataFrame, packages: DataFrame, shown: int = 20) -> DataFrame:
+    """kind, package, imported, from, to of cycles, in the form of violations: one row a cycle.
 
-    A package graph is small; the walk is over its distinct edges on the driver, whose
-    number is checked first.
+    package names the first members, in order; imported says how many more there are.
     """
-    edges = imports.select("src", "dst").distinct().limit(most_edges + 1).collect()
-    if len(edges) > most_edges:
-        raise ValueError(f"more than {most_edges} package edges")
-    graph: dict[str, list[str]] = {}
-    for src, dst in sorted((r["src"], r["dst"]) for r in edges):
-        graph.setdefault(src, []).append(dst)
-    found, done = set(), set()
-    for start in sorted(graph):
-        if start in done:
-            continue
-        path, at, walk = [start], {start: 0}, [iter(graph[start])]
-        while walk:
-            step = next(walk[-1], None)
-            if step is None:
-                walk.pop()
-                gone = path.pop()
-                del at[gone]
-                done.add(gone)
-            elif step in at:
-                found.add(tuple(sorted(path[at[step] :])))
-            elif step not in done:
-                at[step] = len(path)
-                path.append(step)
-                walk.append(iter(graph.get(step, ())))
-    return [list(c) for c in sorted(found)]
+    place = F.row_number().over(Window.partitionBy("cycle").orderBy("package"))
+    first = found.withColumn("place", place).filter(F.col("place") <= shown)
+    named = first.groupBy("cycle", "members").agg(F.array_join(F.array_sort(F.collect_list("package")), " -> ").alias("names"))
+    more = F.when(F.col("members") > shown, F.format_string("and %d more", F.col("members") - shown)).otherwise("")
+    own = packages.select(F.col("package").alias("cycle"), F.col("boundary").alias("from"))
+    return named.join(own, "cycle").select(F.lit("cycle").alias("kind"), F.col("names").alias("package"), more.alias("imported"), "from", F.lit("").alias("to"))

@@ -2,14 +2,19 @@
 
 A pair (a < b) of a commit is one row, so a commit of n paths makes n(n-1)/2 rows by
 definition.  Commits are made distinct by path first, paths too rare for any pair go
-before the join, and max_paths (off by default) leaves out sweeping commits.
+before the join, and max_paths (off by default) leaves out sweeping commits.  The paths of
+a large commit are dealt to blocks, and each pair of blocks is a join key of its own: a
+task then has the pairs of two blocks, whatever the commit's size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from repolytics.functions.numeric import clamp01, ratio, round_half
+from repolytics.functions.numeric import clamp01, ratio
+
+BLOCK_PATHS = 500
+LEAST_COMMITS = 10
 
 
 def touched(facts: DataFrame, max_paths: int | None = None) -> DataFrame:
@@ -21,17 +26,32 @@ def touched(facts: DataFrame, max_paths: int | None = None) -> DataFrame:
     return each.withColumn("paths", F.count(F.lit(1)).over(size)).filter(F.col("paths") <= max_paths).drop("paths")
 
 
-def pairs(facts: DataFrame, min_shared: int = 3, threshold: float = 0.6, max_paths: int | None = None) -> DataFrame:
+def _grid(often: DataFrame, block_paths: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of paths with paths of the same commit, by (commit, low, high).
+
+    low and high are the blocks of a pair.  A path of block k stands on the left in the
+    pairs (k, k) to (k, last) and on the right in (0, k) to (k, k), so any two blocks meet
+    once; a commit of up to block_paths paths is one block and one key.
+    """
+    size = often.groupBy("commit").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_paths)).cast("int").alias("blocks"))
+    dealt = often.join(size, "commit").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    left = dealt.select("commit", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), F.col("path").alias("a"), "at", F.col("n").alias("n_a"))
+    right = dealt.select("commit", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("path").alias("b"), F.col("n").alias("n_b"))
+    return left, right
+
+
+def pairs(facts: DataFrame, min_shared: int = 3, threshold: float = 0.6, max_paths: int | None = None, block_paths: int = BLOCK_PATHS) -> DataFrame:
     """a, b, shared, commits_a, commits_b, coupling, first_shared, last_shared."""
     each = touched(facts, max_paths)
     totals = each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_shared)
-    often = each.join(totals, "path")  # a rarer path is in no pair
-    left = often.select("commit", F.col("path").alias("a"), "at", F.col("n").alias("n_a"))
-    right = often.select(F.col("commit").alias("commit_b"), F.col("path").alias("b"), F.col("n").alias("n_b"))
-    both = left.join(right, (F.col("commit") == F.col("commit_b")) & (F.col("a") < F.col("b")))
+    left, right = _grid(each.join(totals, "path"), block_paths)  # a rarer path is in no pair
+    met = left.join(right, ["commit", "low", "high"]).filter((F.col("low") < F.col("high")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
+    turned = F.col("a") > F.col("b")
+    both = met.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "at", F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")
+    )
     counted = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("at").alias("first_shared"), F.max("at").alias("last_shared"), F.min("n_a").alias("commits_a"), F.min("n_b").alias("commits_b"))
-    coupling = clamp01(ratio("shared", F.least("commits_a", "commits_b")))
-    out = counted.filter(F.col("shared") >= min_shared).withColumn("coupling", round_half(coupling, 4)).filter(coupling >= threshold)
+    out = counted.filter(F.col("shared") >= min_shared).withColumn("coupling", clamp01(ratio("shared", F.least("commits_a", "commits_b")))).filter(F.col("coupling") >= threshold)
     return out.select("a", "b", "shared", "commits_a", "commits_b", "coupling", "first_shared", "last_shared")
 
 
@@ -41,33 +61,47 @@ def strongest(found: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
-def hidden(found: DataFrame, packages: DataFrame, imports: DataFrame) -> DataFrame:
-    """Pairs without an import in either direction between their packages.
+def related(found: DataFrame, packages: DataFrame, imports: DataFrame) -> DataFrame:
+    """Pairs with same_package and imports: whether their packages are one, or one imports the other.
 
-    packages: path, package.  imports: src, dst.  Paths of one package count as related.
+    packages: path, package (null where a path is in none).  imports: src, dst.  Paths of
+    one package count as importing each other; without a package neither holds.
     """
-    edges = imports.select("src", "dst").union(imports.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    named = found.join(packages.select(F.col("path").alias("a"), F.col("package").alias("package_a")), "a", "left").join(packages.select(F.col("path").alias("b"), F.col("package").alias("package_b")), "b", "left")
-    apart = named.filter(~F.coalesce(F.col("package_a") == F.col("package_b"), F.lit(False)))
-    return apart.join(edges, (apart["package_a"] == edges["src"]) & (apart["package_b"] == edges["dst"]), "left_anti")
+    edges = imports.select("src", "dst").union(imports.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("direct", F.lit(True))
+    a, b = (packages.select(F.col("path").alias(x), F.col("package").alias(f"package_{x}")) for x in "ab")
+    named = found.join(a, "a", "left").join(b, "b", "left")
+    met = named.join(edges, (F.col("package_a") == F.col("src")) & (F.col("package_b") == F.col("dst")), "left")
+    same = F.coalesce(F.col("package_a") == F.col("package_b"), F.lit(False))
+    return met.select(*found.columns, same.alias("same_package"), (same | F.coalesce("direct", F.lit(False))).alias("imports"))
+
+
+def hidden(found: DataFrame, packages: DataFrame, imports: DataFrame) -> DataFrame:
+    """Pairs without an import in either direction between their packages."""
+    return related(found, packages, imports).filter("not imports").select(*found.columns)
 
 
 def expand(found: DataFrame, changeset: DataFrame, max_hops: int = 3, limit: int = 50) -> DataFrame:
-    """path, hops, coupling, via: what a changeset (path) is likely to touch.
+    """path, hops, coupling, via, shared: what a changeset (path) is likely to touch.
 
     Breadth first over the pair graph: a path is reached in the fewest hops, by the
     strongest last link, ties by the smaller predecessor.  One join a hop; the rows are
-    the paths reached so far, never the walks.  Pairs and each hop's paths are cached,
-    so a plan never holds a hop twice.
+    the paths reached so far, never the walks.  Pairs and each hop's paths are cached
+    until the few predictions are known.  In order: hops, coupling, shared, then by name.
     """
-    found = found.select("a", "b", "coupling").persist()
-    both = found.select(F.col("a").alias("from"), F.col("b").alias("to"), "coupling").union(found.select(F.col("b").alias("from"), F.col("a").alias("to"), "coupling"))
-    seeds = changeset.select("path").distinct().select("path", F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("double").alias("coupling"), F.lit(None).cast("string").alias("via"))
+    found = found.select("a", "b", "coupling", "shared").persist()
+    both = found.select(F.col("a").alias("from"), F.col("b").alias("to"), "coupling", "shared").union(found.select(F.col("b").alias("from"), F.col("a").alias("to"), "coupling", "shared"))
+    seeds = changeset.select("path").distinct().select("path", F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("double").alias("coupling"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("bigint").alias("shared"))
     known = frontier = seeds
+    held = [found]
     best = Window.partitionBy("to").orderBy(F.desc("coupling"), "from")
     for hop in range(1, max_hops + 1):
         step = frontier.select(F.col("path").alias("from")).join(both, "from")
         new = step.join(known.select(F.col("path").alias("to")), "to", "left_anti").withColumn("n", F.row_number().over(best)).filter("n = 1")
-        frontier = new.select(F.col("to").alias("path"), F.lit(hop).cast("bigint").alias("hops"), "coupling", F.col("from").alias("via")).persist()
+        frontier = new.select(F.col("to").alias("path"), F.lit(hop).cast("bigint").alias("hops"), "coupling", F.col("from").alias("via"), "shared").persist()
+        held.append(frontier)
         known = known.unionByName(frontier)
-    return known.filter("hops > 0").orderBy("hops", F.desc("coupling"), "path").limit(limit)
+    first = known.filter("hops > 0").orderBy("hops", F.desc("coupling"), F.desc("shared"), "path").limit(limit)
+    rows = first.collect()  # limit rows at most
+    for frame in held:
+        frame.unpersist()
+    return found.sparkSession.createDataFrame(rows, first.schema).orderBy("hops", F.desc("coupling"), F.desc("shared"), "path")

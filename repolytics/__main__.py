@@ -14,13 +14,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repolytics import api, server
+from repolytics import api, server, storage
 from repolytics.operators import ci, cognitive, gap, workspace
 from repolytics.plans import health, history, reports, risks, setup
 from repolytics.session import build_session, ship
 from repolytics.sources import capture, facts, profiles, snapshots, workflows
 
 VERSION = "2"
+LIMIT = 50
+HEADS = "commit string, author string, email string, at timestamp, merge boolean"
 COMMITS = "commit string, author string, email string, at timestamp, path string, added bigint, deleted bigint"
 
 
@@ -74,14 +76,24 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def history_of(spark: SparkSession, root: str, work: str, since: str | None) -> tuple[DataFrame, DataFrame]:
+    """Changed files and commits (merges included) of a repository, read from a log in the shared folder."""
+    path = capture.log(root, work, since, merges=True)
+    if not os.path.getsize(path):
+        return spark.createDataFrame([], COMMITS), spark.createDataFrame([], HEADS)
+    records = spark.read.text(storage.published(spark, path, "log"), lineSep="\x1e")
+    heads = facts.log_heads(records)
+    return facts.log_records(records).join(heads.filter("not merge").select("commit"), "commit", "left_semi"), heads
+
+
 def commits(spark: SparkSession, root: str, work: str, since: str | None) -> DataFrame:
-    path = capture.log(root, work, since)
-    return facts.git_log(spark, path) if os.path.getsize(path) else spark.createDataFrame([], COMMITS)
+    return history_of(spark, root, work, since)[0]
 
 
 def analysis(spark: SparkSession, root: str, work: str, since: str | None = None) -> dict[str, DataFrame]:
     ecosystems = facts.dependency_stats(facts.manifest_files(spark, root)).filter("dir = ''")
-    return api.analyze(facts.source_files(spark, root), commits(spark, root, work, since), ecosystems, now(), facts.scan_gaps(spark, root))
+    files, heads = history_of(spark, root, work, since)
+    return api.analyze(facts.source_files(spark, root), files, ecosystems, now(), facts.scan_gaps(spark, root), heads)
 
 
 def stored(spark: SparkSession, folder: str | None) -> DataFrame | None:
@@ -154,18 +166,19 @@ def run(args: argparse.Namespace) -> int:
     if command in ("topology", "blast", "decay"):
         log = commits(spark, root, work, args.since)
         if command == "decay":
-            show(api.decayed(log, now()))
+            show(api.decayed(log, now(), LIMIT))
         elif command == "blast":
-            changed = spark.createDataFrame([(f,) for f in args.files], "path string") if args.files else facts.pending_changes(*(spark.read.text(p) for p in capture.pending(root, work)))
+            changed = spark.createDataFrame([(f,) for f in args.files], "path string") if args.files else facts.pending_changes(*(spark.read.text(storage.published(spark, p, "pending")) for p in capture.pending(root, work)))
             show({"predictions": api.blast(log, changed)})
         else:
             files = facts.source_files(spark, root).filter("language = 'Go'")
             module = facts.module_of(spark, root)
-            show(api.topology(log, facts.go_imports(files, module), facts.go_packages(files, module), now(), module))
+            show(api.topology(log, facts.go_imports(files, module), facts.go_packages(files, module), now(), module, limit=LIMIT))
         return 0
     if command == "cognitive":
-        per = cognitive.functions(facts.source_files(spark, root))
-        show({"files": cognitive.files(per).orderBy(F.desc("score"), "path"), "functions": per.orderBy(F.desc("density"), "path", "line")})
+        sources = facts.source_files(spark, root)
+        each, per = cognitive.measured(sources), cognitive.functions(sources.filter("language = 'Go'"))
+        show({"summary": cognitive.summary(each), "files": each.orderBy(F.desc("score"), "path"), "functions": per.orderBy(F.desc("density"), "path", "line")})
         return 0
     if command == "compare":
         sides = [analysis(spark, capture.revision(root, ref, work), work) for ref in (args.base, args.head)]

@@ -119,7 +119,7 @@ def owned_sql(unit: str) -> str:
     return (
         f"o1 AS (SELECT {unit} AS unit, author, count(*) AS commits, sum({w}) AS weight, max(ts) AS last_commit FROM cf GROUP BY 1, 2), "
         f"o2 AS (SELECT unit, author, commits, last_commit, {rh('weight / sum(weight) OVER (PARTITION BY unit)', 4)} AS weighted_share, {rh('commits::DOUBLE / sum(commits) OVER (PARTITION BY unit)::DOUBLE', 4)} AS share FROM o1), "
-        f"own AS (SELECT *, row_number() OVER z AS rank, {rh('sum(weighted_share) OVER (PARTITION BY unit ORDER BY weighted_share DESC, commits DESC, author ROWS UNBOUNDED PRECEDING)', 4)} AS running_share FROM o2 WINDOW z AS (PARTITION BY unit ORDER BY weighted_share DESC, commits DESC, author))"
+        f"own AS (SELECT *, row_number() OVER z AS rank, list_reduce(list(weighted_share) OVER (PARTITION BY unit ORDER BY weighted_share DESC, commits DESC, author ROWS UNBOUNDED PRECEDING), lambda a, b: a + b) AS running_share FROM o2 WINDOW z AS (PARTITION BY unit ORDER BY weighted_share DESC, commits DESC, author))"
     )
 
 
@@ -204,12 +204,13 @@ def silos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decay.silos(facts.commit_files(spark, sf_dir), share=0.4)
 
 
-HALF = "h AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders), g AS (SELECT (epoch_us(b) - epoch_us(a)) / 86400000000::DOUBLE AS d, (SELECT count(*) FROM orders WHERE epoch_us(o_orderdate) < epoch_us(a) + (epoch_us(b) - epoch_us(a)) // 2) AS p, (SELECT count(*) FROM orders WHERE epoch_us(o_orderdate) >= epoch_us(a) + (epoch_us(b) - epoch_us(a)) // 2) AS r FROM h)"
+HALF = "h AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders), g AS (SELECT a, (epoch_us(b) - epoch_us(a)) / 86400000000::DOUBLE AS d, (SELECT count(*) FROM orders WHERE epoch_us(o_orderdate) < epoch_us(a) + (epoch_us(b) - epoch_us(a)) // 2) AS p, (SELECT count(*) FROM orders WHERE epoch_us(o_orderdate) >= epoch_us(a) + (epoch_us(b) - epoch_us(a)) // 2) AS r FROM h)"
+HALF_LIFE = f"SELECT {age('a')} AS history_days, {r2('p / (d / 2)')} AS prior_rate, {r2('r / (d / 2)')} AS recent_rate, CASE WHEN p <= 0 THEN 0 WHEN r <= 0 THEN -1 WHEN r::DOUBLE / p >= 1 THEN 0 ELSE {r2('ln(0.5::DOUBLE) / ln(r::DOUBLE / p) * (d / 2)')} END::DOUBLE AS half_life_days, NULL::VARCHAR AS reason FROM g"
 
 
-@query(f"WITH {HALF} SELECT trunc(d)::BIGINT AS history_days, {r2('p / (d / 2)')} AS prior_rate, {r2('r / (d / 2)')} AS recent_rate, CASE WHEN d < 180 THEN NULL WHEN p <= 0 THEN 0 WHEN r <= 0 THEN -1 WHEN r::DOUBLE / p >= 1 THEN 0 ELSE {r2('ln(0.5::DOUBLE) / ln(r::DOUBLE / p) * (d / 2)')} END::DOUBLE AS half_life_days FROM g")
+@query(f"WITH {HALF} {HALF_LIFE}")
 def half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decay.half_life(facts.commits(spark, sf_dir)).drop("reason")
+    return decay.half_life(facts.commits(spark, sf_dir), NOW)
 
 
 # SRC-01/02, LEX-04..07, PRJ-01..05, AGG-01..03, JOIN-01: code -------------------------------------
@@ -730,7 +731,7 @@ def cognitive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cognitive.files(own.select(F.col("o_custkey").alias("path"), (F.col("o_totalprice") / 1000).alias("lifetime"), (F.col("o_totalprice") / 10000).alias("density"), (F.col("o_orderkey") % 7).alias("depth")))
 
 
-@query(f"WITH {COG}, c1 AS (SELECT *, {COG_SCORE} AS score FROM c0) SELECT {rh('quantile_cont(score, 0.5)', 1)} AS median, max(score) AS worst FROM c1 WHERE NOT functions < 3")
+@query(f"WITH {COG}, c1 AS (SELECT *, {COG_SCORE} AS score FROM c0) SELECT (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2::DOUBLE AS median, l[-1] AS worst FROM (SELECT list(score ORDER BY score) AS l FROM c1 WHERE NOT functions < 3)")
 def cognitive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cognitive.summary(cognitive_files(spark, sf_dir).withColumn("failed", F.col("functions") < 3))
 

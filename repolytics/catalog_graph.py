@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from repolytics.catalog import EDGES
-from repolytics.operators import boundaries
+from repolytics import api
+from repolytics.catalog import EDGES, age, c01, owned_sql, pairs_sql, r2, rh
+from repolytics.functions.numeric import age_days
+from repolytics.operators import boundaries, cognitive, evidence, ownership
 from repolytics.plans import adapters as tables
+from repolytics.plans.adapters import NOW
 from repolytics.registry import query
 
 table = tables.table
@@ -29,3 +32,132 @@ def sequence_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = steps.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     edges = counts.crossJoin(F.broadcast(counts.agg(F.avg("n").alias("usual")))).filter(F.col("n") > 1.2 * F.col("usual"))
     return boundaries.cycles(edges.select("src", "dst"))
+
+
+# JOIN-03/05, AGG-17, API-08: topology of one repository ----------------------------------------------------------
+
+#: Suppliers are files of their nation's package; nations import as their customers buy.
+SUPPLIED = (
+    "cf AS (SELECT o_orderkey AS k, o_orderdate AS ts, o_orderpriority AS author, CASE WHEN s_suppkey % 10 = 3 THEN 's' || s_suppkey || '.go' ELSE n_name || CASE WHEN s_suppkey % 10 = 7 THEN '/deep' ELSE '' END || '/s' || s_suppkey || '.go' END AS path "
+    "FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
+)
+HOME = "home AS (SELECT DISTINCT path, CASE WHEN contains(path, '/') THEN 'm/' || split_part(path, '/', 1) ELSE 'm' END AS package, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS boundary FROM cf)"
+RELATED = (
+    f"{EDGES}, {SUPPLIED}, {HOME}, {pairs_sql(3, 0.06)}, g AS (SELECT 'm/' || src AS src, 'm/' || dst AS dst FROM e), "
+    "rel AS (SELECT p.*, x.boundary = y.boundary AS same_boundary, x.package = y.package AS same_package, x.package = y.package OR EXISTS (SELECT 1 FROM g WHERE (g.src = x.package AND g.dst = y.package) OR (g.src = y.package AND g.dst = x.package)) AS imports FROM pairs p JOIN home x ON x.path = p.a JOIN home y ON y.path = p.b)"
+)
+
+
+def _supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    file, kind = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".go")), F.col("s_suppkey") % 10
+    path = F.when(kind == 3, file).otherwise(F.concat("n_name", F.when(kind == 7, "/deep/").otherwise("/"), file))
+    places = named.select(F.col("s_suppkey").cast("string").alias("key"), path.alias("named"))
+    own = tables.commit_files(spark, sf_dir, "l_suppkey")
+    return own.join(places, own["path"] == places["key"]).select("commit", "at", "author", F.col("named").alias("path"), "added", "deleted")
+
+
+def _topology(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    module = lambda c: F.concat(F.lit("m/"), c).alias(c)
+    imports = tables.imports(spark, sf_dir).select(module("src"), module("dst"))
+    packages = tables.packages(spark, sf_dir).select(module("package"), "boundary")
+    return api.topology(_supplied(spark, sf_dir), imports, packages, NOW, "m", threshold=0.06)
+
+
+@query(f"WITH {RELATED} SELECT a, b, shared, commits_a, commits_b, coupling, first_shared, last_shared, same_boundary, same_package, imports FROM rel")
+def topology_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topology(spark, sf_dir)["coupling"]
+
+
+@query(f"WITH {RELATED} SELECT a, b, shared, commits_a, commits_b, coupling, first_shared, last_shared, same_boundary, same_package, imports FROM rel WHERE NOT imports")
+def topology_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files whose packages do not import each other, by api.topology itself."""
+    return _topology(spark, sf_dir)["hidden"]
+
+
+@query(f"WITH {SUPPLIED}, {owned_sql('path')} SELECT unit, author AS owner, weighted_share, {age('last_commit')} AS inactive_days, weighted_share >= 0.7::DOUBLE AND {age('last_commit')} >= 90 AS at_risk, NULL::VARCHAR AS reason FROM own WHERE rank = 1")
+def topology_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topology(spark, sf_dir)["risk"]
+
+
+#: A repository for each segment and month of order keys: some are too young or too small to judge.
+AGES = "r AS (SELECT o_custkey AS root, count(*) AS commits, CAST(floor((epoch_us(TIMESTAMP '1998-09-01') - epoch_us(min(o_orderdate))) / 86400000000) AS BIGINT) AS d FROM orders GROUP BY 1), k AS (SELECT root, commits, greatest(d, 0) AS d FROM r)"
+
+
+@query(
+    f"WITH {AGES} SELECT root, 'coupling' AS gate, commits >= 10 AS passed, CASE WHEN commits < 10 THEN commits || ' of 10 commits: a ratio of so few is no relationship' END AS reason FROM k "
+    "UNION ALL SELECT root, 'ownership', d >= 30, CASE WHEN d < 30 THEN 'history of ' || d || ' of 30 days: every author is recent' END FROM k UNION ALL SELECT root, 'half_life', d >= 180, CASE WHEN d < 180 THEN 'history of ' || d || ' of 180 days' END FROM k"
+)
+def evidence_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates of every customer's own history."""
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("root")).agg(F.count(F.lit(1)).alias("commits"), F.min("o_orderdate").alias("first_at"))
+    known = own.withColumn("history_days", age_days("first_at", F.lit("1998-09-01 00:00:00")))
+    return evidence.gates(known, ["root"])
+
+
+# AGG-12..16: ownership of paths, folders and the repository in one pass -------------------------------------------------
+
+WEIGHT = f"CASE WHEN epoch_us(ts) >= epoch_us(TIMESTAMP '{NOW}') THEN 1 ELSE exp((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 1000000::DOUBLE / 86400 * (-0.6931471805599453::DOUBLE / 90)) END"
+
+
+@query(
+    f"WITH {SUPPLIED}, t AS (SELECT k, path, min(author) AS author, min(ts) AS ts FROM cf GROUP BY 1, 2), u AS (SELECT *, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS folder, row_number() OVER (PARTITION BY k ORDER BY path) = 1 AS lead, {WEIGHT} AS w FROM t), "
+    "s AS (SELECT CASE WHEN grouping(path) = 0 THEN 'path' WHEN grouping(folder) = 0 THEN 'folder' ELSE 'repository' END AS scope, coalesce(path, folder, '') AS unit, author, CASE WHEN grouping(path) = 1 AND grouping(folder) = 1 THEN count(*) FILTER (lead) ELSE count(*) END AS commits, "
+    "CASE WHEN grouping(path) = 1 AND grouping(folder) = 1 THEN sum(w) FILTER (lead) ELSE sum(w) END AS weight, max(ts) AS last_commit FROM u GROUP BY GROUPING SETS ((path, author), (folder, author), (author))), "
+    f"h AS (SELECT folder, count(DISTINCT path) AS files FROM u GROUP BY 1), q AS (SELECT scope, unit, author, commits, last_commit, CASE scope WHEN 'path' THEN 1 WHEN 'folder' THEN files END AS files, {rh('weight / sum(weight) OVER (PARTITION BY scope, unit)', 4)} AS weighted_share, {rh('commits::DOUBLE / sum(commits) OVER (PARTITION BY scope, unit)::DOUBLE', 4)} AS share FROM s LEFT JOIN h ON scope = 'folder' AND unit = folder) "
+    "SELECT *, row_number() OVER z AS rank, list_reduce(list(weighted_share) OVER (PARTITION BY scope, unit ORDER BY weighted_share DESC, commits DESC, author ROWS UNBOUNDED PRECEDING), lambda a, b: a + b) AS running_share FROM q WINDOW z AS (PARTITION BY scope, unit ORDER BY weighted_share DESC, commits DESC, author)"
+)
+def ownership_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.units(_supplied(spark, sf_dir), NOW)
+
+
+# SRC-03, AGG-04..11, API-01: the window of the history -----------------------------------------------------------------
+
+UNTIL, DAYS = "1998-07-01 00:00:00", 120
+
+
+def _window_sql(days: int) -> str:
+    inside = f"o_orderdate >= TIMESTAMP '{UNTIL}' - INTERVAL {days} DAY"
+    churned = f"(SELECT l_partkey::VARCHAR AS path, sum(l_quantity::BIGINT)::BIGINT AS added, sum(l_linenumber::BIGINT)::BIGINT AS deleted, (count(*) + sum(l_quantity::BIGINT) + sum(l_linenumber::BIGINT))::BIGINT AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE {inside} AND o_orderkey % 5 <> 0 GROUP BY 1)"
+    authors = f"(SELECT o_orderpriority AS author, count(*) AS n FROM orders WHERE {inside} AND o_orderkey % 5 <> 0 GROUP BY 1)"
+    return (
+        f"SELECT {days}::BIGINT AS days, (SELECT count(*) FROM orders) AS commits, (SELECT count(*) FROM orders WHERE {inside}) AS window_commits, (SELECT count(*) FROM {churned}) AS paths, (SELECT sum(added)::BIGINT FROM {churned}) AS lines_added, (SELECT sum(deleted)::BIGINT FROM {churned}) AS lines_deleted, "
+        f"(SELECT {r2(c01('sum(score::DOUBLE * score) / (sum(score)::DOUBLE * sum(score)::DOUBLE) - 1 / count(*)::DOUBLE') + ' / (1 - 1 / count(*)::DOUBLE)')} FROM {churned}) AS concentration, "
+        f"(SELECT {r2('(SELECT sum(score) FROM (SELECT score FROM ' + churned + ' ORDER BY score DESC, added DESC, path LIMIT 3))::DOUBLE / sum(added + deleted)::DOUBLE')} FROM {churned}) AS rate, "
+        f"(SELECT count(*) FILTER (n::DOUBLE / (SELECT sum(n) FROM {authors}) >= 0.2::DOUBLE) FROM {authors}) AS bus_factor, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS authors, (SELECT {r2('max(n)::DOUBLE / sum(n)::DOUBLE')} FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)) AS top_share"
+    )
+
+
+@query(f"{_window_sql(DAYS)} UNION ALL {_window_sql(36500)}")
+def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the history shows in a window against all of its time; every fifth order is a merge."""
+    files = tables.commit_files(spark, sf_dir)
+    commits = tables.commits(spark, sf_dir).withColumn("merge", F.col("commit") % 5 == 0)
+    names = ("commits", "window_commits", "paths", "lines_added", "lines_deleted", "concentration", "rate", "bus_factor", "authors", "top_share")
+    rows = [api.git_measures(files, commits, UNTIL, days)[1].select(F.lit(days).cast("bigint").alias("days"), *(F.col(n).cast("bigint") if n.startswith("lines") else F.col(n) for n in names)) for days in (DAYS, 36500)]
+    return rows[0].unionByName(rows[1])
+
+
+# LEX-08/09, AGG-22: files measured without a parser ----------------------------------------------------------------------
+
+LOADED = (
+    "l AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_partkey % 5) FILTER (l_linenumber % 2 = 0) AS called, count(*) FILTER (l_linenumber % 2 = 1) AS conditions FROM lineitem GROUP BY 1), "
+    "f AS (SELECT 'o' || k || CASE k % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.jsx' ELSE '.cjs' END AS path, CASE k % 3 WHEN 0 THEN 'TypeScript' ELSE 'JavaScript' END AS language, CASE k % 2 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS functions, "
+    f"{rh('(1 + called + (conditions > 0)::INT)::DOUBLE / (n + 2 + CASE k % 2 WHEN 0 THEN 2 ELSE 0 END) * 100', 1)} AS density, 1 + conditions AS depth FROM l)"
+)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each order: a function with a conditional for odd line items and a call for even ones, sometimes a second function."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    line = F.when(n % 2 == 1, "  if (x) {").otherwise(F.concat(F.lit("  call"), (F.col("l_partkey") % 5).cast("string"), F.lit(" (y, (z));")))
+    body = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    more = F.when(k % 2 == 0, F.lit("\nconst g = a => 1\n")).otherwise("")
+    text = F.concat(F.lit("function o"), k.cast("string"), F.lit("(a) {\r\n"), "body", F.lit("\n}"), more)
+    path = F.concat(F.lit("o"), k.cast("string"), F.when(k % 3 == 0, ".ts").when(k % 3 == 1, ".jsx").otherwise(".cjs"))
+    return body.select(path.alias("path"), F.when(k % 3 == 0, "TypeScript").otherwise("JavaScript").alias("language"), text.alias("content"))
+
+
+@query(f"WITH {LOADED} SELECT *, {rh('100 * (0.35::DOUBLE * ' + c01('density / 20::DOUBLE') + ' + 0.2::DOUBLE * ' + c01('depth / 6::DOUBLE') + ')', 1)} AS score FROM f")
+def lexical_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cognitive.lexical_files(_sources(spark, sf_dir))

@@ -47,6 +47,12 @@ def boundary_of(path) -> Column:
     return F.when(F.instr(path, "/") == 0, F.lit("")).otherwise(F.substring_index(path, "/", 1))
 
 
+def folder_of(path) -> Column:
+    """The folder a path is in; `.` at the root."""
+    path = col(path)
+    return F.when(F.instr(path, "/") == 0, F.lit(".")).otherwise(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+
+
 def language_of(path) -> Column:
     """The language of a path's extension; null for files that do not count."""
     pairs = [F.lit(x) for language, marks in LANGUAGES.items() for mark in marks.split() for x in (mark, language)]

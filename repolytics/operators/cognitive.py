@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repolytics.functions.numeric import clamp01, col, round_half
+from repolytics.functions.predicates import extension
 from repolytics.operators.code import strip_line
 
 CALL = r"([A-Za-z0-9_.]+)[ \t]*\("
@@ -38,9 +41,69 @@ def files(functions: DataFrame) -> DataFrame:
     return sums.withColumn("score", score("median_lifetime", "density", "depth"))
 
 
+def counted_median(frame: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, median: the mean of the two middle values, by counting each distinct value.
+
+    Values are counted before anything is shuffled; a running sum of the counts then tells
+    where the middle ranks lie.  Without by all distinct values meet in one task, so it is
+    meant for values of a fixed number of digits, as scores are.  Nulls do not count.
+    """
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    placed = counts.withColumn("upto", F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(group))
+    low, high = (F.min(F.when(F.col("upto") >= rank, F.col(value))) for rank in (F.expr("(all + 1) div 2"), F.expr("all div 2 + 1")))
+    return placed.groupBy(*by).agg(((low + high) / 2).alias("median"))
+
+
 def summary(measured: DataFrame, failed: str = "failed") -> DataFrame:
-    """One row: median and worst score over files that were measured in full."""
-    return measured.filter(~F.col(failed)).agg(round_half(F.coalesce(F.percentile("score", 0.5), F.lit(0.0)), 1).alias("median"), F.coalesce(F.max("score"), F.lit(0.0)).alias("worst"))
+    """One row: median and worst score over files that were measured in full; zeros without any."""
+    known = measured.filter(~F.col(failed))
+    worst = known.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("worst"))
+    return counted_median(known, "score").select(F.coalesce("median", F.lit(0.0)).alias("median")).crossJoin(F.broadcast(worst))
+
+
+#: Extensions of the languages that are measured without a parser, and the
+#: words that begin a function there.
+LEXICAL = {"TypeScript": (".ts", ".tsx"), "JavaScript": (".js", ".jsx", ".mjs", ".cjs")}
+STARTS = ("function ", "func ", "def ", "=>")
+
+
+def lexical_files(sources: DataFrame) -> DataFrame:
+    """path, language, functions, density, depth, score of JavaScript and TypeScript files, from columns alone.
+
+    Depth is the deepest brace nesting between function starts; density the distinct call
+    targets in a hundred lines of the file; lifetimes need a parser and count as none, which
+    is why these files are marked as not measured in full.  sources: path, language, content.
+    """
+    lines = F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")
+    many = lambda line, sign: F.length(line) - F.length(F.replace(line, F.lit(sign)))
+    fields = ("depth", "most", "inside", "found", "deepest")
+    state = lambda *v: F.struct(*(x.cast("boolean" if name == "inside" else "int").alias(name) for name, x in zip(fields, v)))
+
+    def step(at: Column, line: Column) -> Column:
+        begins = reduce(or_, (line.contains(w) for w in STARTS))
+        ends = begins & at["inside"]
+        depth = F.greatest(F.lit(0), at["depth"] + many(line, "{") - many(line, "}"))
+        most = F.greatest(F.when(begins, at["depth"]).otherwise(at["most"]), depth)
+        return state(depth, most, at["inside"] | begins, at["found"] + ends.cast("int"), F.when(ends, F.greatest(at["deepest"], at["most"])).otherwise(at["deepest"]))
+
+    end = lambda at: F.struct((at["found"] + at["inside"].cast("int")).alias("functions"), F.when(at["inside"], F.greatest(at["deepest"], at["most"])).otherwise(at["deepest"]).alias("depth"))
+    folded = F.aggregate(F.filter(lines, lambda x: x.rlike(r"\S")), state(F.lit(0), F.lit(0), F.lit(False), F.lit(0), F.lit(0)), step, end)
+    known = reduce(or_, ((F.col("language") == name) & extension("path").isin(*marks) for name, marks in LEXICAL.items()))
+    own = sources.filter(known & F.col("content").isNotNull()).select("path", "language", folded.alias("f"), F.size(call_targets("content")).alias("targets"), F.size(lines).alias("lines"))
+    density = round_half(F.col("targets").cast("double") / F.col("lines") * 100, 1)
+    return own.select("path", "language", F.greatest(F.lit(1), F.col("f.functions")).cast("bigint").alias("functions"), density.alias("density"), F.col("f.depth").cast("bigint").alias("depth")).withColumn("score", score(F.lit(0), "density", "depth"))
+
+
+def measured(sources: DataFrame) -> DataFrame:
+    """path, language, functions, median_lifetime, max_lifetime, density, depth, score, failed of every file that can be measured.
+
+    Go files by their functions (zeros without any), the others as a whole and marked failed.
+    """
+    go = sources.filter("language = 'Go'").select("path", "language")
+    own = go.join(files(functions(sources.filter("language = 'Go'"))), "path", "left").fillna(0, ["functions", "median_lifetime", "max_lifetime", "density", "depth", "score"]).withColumn("failed", F.lit(False))
+    rest = lexical_files(sources).withColumns({"median_lifetime": F.lit(0).cast("bigint"), "max_lifetime": F.lit(0).cast("bigint"), "failed": F.lit(True)})
+    return own.unionByName(rest)
 
 
 _OPEN = re.compile(r"\b(?:func|function)\b\s*(?:\([^)]*\)\s*)?([A-Za-z_]\w*)?|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")

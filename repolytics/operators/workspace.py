@@ -111,3 +111,17 @@ def nearest(files: DataFrame, packages: DataFrame) -> DataFrame:
     held = members(files.select("path"), packages)
     deepest = Window.partitionBy("path").orderBy(F.desc(F.length("package")))
     return held.withColumn("n", F.row_number().over(deepest)).filter("n = 1").select("path", "package")
+
+
+def package_of(paths: DataFrame, packages: DataFrame, module: str) -> DataFrame:
+    """path, package: the deepest known package (module in front) whose folder holds each path.
+
+    Paths at the root are in the module's own package; null where no package holds a path
+    or there is no module.
+    """
+    if not module:
+        return paths.select("path", F.lit(None).cast("string").alias("package"))
+    inner = packages.filter(F.col("package").startswith(f"{module}/")).select(F.substring("package", len(module) + 2, 1 << 20).alias("path"))
+    deepest = nearest(paths, inner).select(F.col("path").alias("held"), F.col("package").alias("folder"))
+    named = paths.select("path").join(deepest, F.col("path") == F.col("held"), "left")
+    return named.select("path", F.when(F.instr("path", "/") == 0, F.lit(module)).when(F.col("folder").isNotNull(), F.concat(F.lit(f"{module}/"), "folder")).alias("package"))

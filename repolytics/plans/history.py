@@ -4,22 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from repolytics import storage
 from repolytics.functions.numeric import round2
 from repolytics.functions.text import bracketed, delta_line
 
 MOVED = 0.05
 
 
-def append(snapshots: DataFrame, path: str) -> None:
-    """Add snapshots to a history table partitioned by root; ids go on from the table's."""
-    snapshots.write.mode("append").partitionBy("root").parquet(path)
-
-
-def with_ids(snapshots: DataFrame, at: str = "recorded_at") -> DataFrame:
-    """Ids in order of recording, for each root."""
-    return snapshots.withColumn("id", F.row_number().over(Window.partitionBy("root").orderBy(at)).cast("bigint"))
-
-
 def prune(records: DataFrame, keep: int = 500) -> DataFrame:
     """The newest records of each root."""
     newest = Window.partitionBy("root").orderBy(F.desc("id"))
@@ -29,18 +20,18 @@ def prune(records: DataFrame, keep: int = 500) -> DataFrame:
 def pruned(spark, path: str, keep: int = 500) -> int:
     """Keep the newest records of each root in a history table; how many went.
 
-    Only partitions that hold more are written anew, beside the old ones and moved by the
-    writer's commit, so a failed write loses nothing.
+    What is kept of roots with more is first written to the shared folder, then back to
+    their partitions by the writer's commit, both by the executors, so a failed write loses
+    nothing.
     """
     records = spark.read.parquet(path)
-    over = [r["root"] for r in records.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > keep).limit(1000).collect()]
-    if not over:
-        return 0
-    own = records.filter(F.col("root").isin(over))
-    kept = prune(own, keep)
-    gone = own.count() - kept.count()
-    rows = spark.createDataFrame(kept.collect(), kept.schema)  # at most keep rows of each of these roots
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root").parquet(path)
+    over = records.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > keep)
+    gone = over.agg(F.coalesce(F.sum(F.col("n") - keep), F.lit(0))).first()[0]
+    if gone:
+        beside = storage.new_folder(spark, "kept")
+        prune(records.join(over.select("root"), "root", "left_semi"), keep).write.parquet(beside)
+        spark.read.schema(records.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root").parquet(path)
+        storage.remove(spark, beside)
     return gone
 
 

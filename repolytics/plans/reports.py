@@ -11,7 +11,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Row, functions as F
 
-from repolytics.functions.text import magnitude, short_sha, signed
+from repolytics.functions.text import magnitude, signed
 from repolytics.plans import health, risks as rules
 
 MOST_ROWS = 500
@@ -72,18 +72,23 @@ def document(frames: dict[str, DataFrame], limit: int = MOST_ROWS, single: tuple
     return json.dumps(out, ensure_ascii=False, sort_keys=False, default=str) + "\n"
 
 
+def counted(risks: DataFrame) -> dict[str, int]:
+    """How many risks there are, in all and by severity, counted in Spark."""
+    own = risks.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("severity") == s).alias(s) for s in MARKS)).first()
+    return own.asDict()
+
+
 def status(total: DataFrame, risks: DataFrame, top: int = 3) -> str:
     """Score, grade, weakest measure, how many risks, and the first of them."""
     own = total.first()
     if own is None:
         return "no data\n"
-    found = risks.limit(MOST_ROWS).collect()
+    count = counted(risks)
     lines = [f"{own['score']:g} ({own['grade']}), {own['label']}; weakest: {own['weakest']}"]
-    if found:
-        count = lambda s: sum(r["severity"] == s for r in found)
-        lines.append(", ".join([f"{len(found)} risk(s)", *(f"{count(s)} {s}" for s in ("critical", "high") if count(s))]))
-    lines += [f"- {r['severity']}: {r['id']} ({r['impact']:g})" for r in found[:top]]
-    lines += [f"... and {len(found) - top} more"] if len(found) > top else []
+    if count["total"]:
+        lines.append(", ".join([f"{count['total']} risk(s)", *(f"{count[s]} {s}" for s in ("critical", "high") if count[s])]))
+    lines += [f"- {r['severity']}: {r['id']} ({r['impact']:g})" for r in risks.limit(top).collect()]
+    lines += [f"... and {count['total'] - top} more"] if count["total"] > top else []
     return "\n".join(lines) + "\n"
 
 
@@ -106,11 +111,11 @@ def comment(frame: DataFrame, risks: DataFrame, event: dict | None = None, most_
         value = "–" if r["value"] is None else f"{r['value']:.1f}{r['unit']}"
         lines.append(f"| {r['label']} | {value} | {r['shown'] if r['delta'] is not None else '–'} | {r['status']} |")
     lines += ["", "- **Testing**: files of tests for each source file, not line coverage", "- **Build**: the build is not run, so its time is not measured", ""]
-    found = rules.ordered(risks).limit(MOST_ROWS).collect()
-    lines += [f"### Risks ({len(found)})", ""] if found else ["### Risks", "", "None."]
-    kept = found[: most_risks or len(found)]
+    total = counted(risks)["total"]
+    kept = rules.ordered(risks).limit(most_risks or MOST_ROWS).collect()
+    lines += [f"### Risks ({total})", ""] if total else ["### Risks", "", "None."]
     lines += [f"- {MARKS.get(r['severity'], '')} **{cell(r['id'])}**" + (f" — `{cell(r['subject'])}`" if r["subject"] else "") for r in kept]
-    lines += [f"- _{len(found) - len(kept)} further risk(s) left out_"] if len(kept) < len(found) else []
+    lines += [f"- _{total - len(kept)} further risk(s) left out_"] if len(kept) < total else []
     named = event or {}
     parts = [named.get("repository"), f"head `{named['head_sha'][:8]}`" if named.get("head_sha") else None, f"baseline {named['baseline']}" if named.get("baseline") else None, f"repolytics {version}" if version else None]
     lines += ["", "---", "_From local analysis" + (f" ({', '.join(p for p in parts if p)})" if any(parts) else "") + "; nothing is estimated._"]
@@ -163,6 +168,3 @@ def timeline(points: DataFrame, columns: int = 60, rows: int = 11) -> str:
     lines = [f"{low + (high - low) * k / (rows - 1):5.0f} |" + "".join("●" if v == k else " " for v in level) for k in range(rows - 1, -1, -1)]
     return "\n".join(lines) + "\n"
 
-
-def shortened(frame: DataFrame, column: str = "git_commit") -> DataFrame:
-    return frame.withColumn(column, short_sha(column))

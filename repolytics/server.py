@@ -9,7 +9,7 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from repolytics.functions.predicates import SEVERITIES
 from repolytics.plans import reports
@@ -26,20 +26,20 @@ def health_view(snapshot: DataFrame, metrics: DataFrame, languages: DataFrame) -
     return {**(rows(snapshot, 1) or [{}])[0], "metrics": rows(metrics), "languages": rows(languages)}
 
 
-def risks_view(risks: list[dict], severity: str | None = None) -> dict:
-    """All counts, and the risks of one severity; an unknown severity is an error."""
+def risks_view(risks: list[dict], counts: dict[str, int], severity: str | None = None) -> dict:
+    """Counts of all risks, and the first of one severity; an unknown severity is an error."""
     wanted = (severity or "").strip().lower()
     if wanted and wanted not in SEVERITIES:
         raise ValueError(f"unknown severity {severity!r}")
-    counts = {s: sum(r["severity"] == s for r in risks) for s in ("critical", "high", "medium", "low")}
-    return {"total": len(risks), **counts, "risks": [r for r in risks if not wanted or r["severity"] == wanted]}
+    shown = [r for r in risks if not wanted or r["severity"] == wanted]
+    return {**{s: counts[s] for s in ("total", "critical", "high", "medium", "low")}, "left_out": (counts[wanted] if wanted else counts["total"]) - len(shown), "risks": shown}
 
 
-def hotspots_view(hotspots: list[dict], churn: list[dict], confirmed: str | None = None) -> dict:
+def hotspots_view(hotspots: list[dict], churn: list[dict], counts: dict[str, int], confirmed: str | None = None) -> dict:
     if confirmed not in (None, "", "true", "false", "1", "0"):
         raise ValueError("confirmed must be true or false")
     kept = hotspots if not confirmed else [h for h in hotspots if h["confirmed"] == (confirmed in ("true", "1"))]
-    return {"total": len(hotspots), "confirmed": sum(h["confirmed"] for h in hotspots), "hotspots": kept, "churn": churn}
+    return {**counts, "hotspots": kept, "churn": churn}
 
 
 def history_view(records: list[dict], limit: str | None = None) -> dict:
@@ -60,7 +60,11 @@ class Site:
 
     def __init__(self, found: dict[str, DataFrame], snapshot: DataFrame, stored: DataFrame | None, version: str):
         self.health = health_view(snapshot, found["metrics"], found["languages"])
-        self.risks, self.hotspots, self.churn = (rows(found[k]) for k in ("risks", "hotspots", "churn"))
+        by_severity = [found["risks"].filter(F.col("severity") == s) for s in SEVERITIES]
+        self.risks = [r for own in reversed(by_severity) for r in rows(own)]  # the first of every severity
+        self.hotspots, self.churn = (rows(found[k]) for k in ("hotspots", "churn"))
+        self.counted = reports.counted(found["risks"])
+        self.heat = found["hotspots"].agg(F.count(F.lit(1)).alias("total"), F.count_if("confirmed").alias("confirmed")).first().asDict()
         root = self.health.get("root", "")
         self.records = rows(page(stored, root, MOST_HISTORY), MOST_HISTORY) if stored is not None else []
         self.version = {"version": version, "schema": reports.SCHEMA_VERSION}
@@ -70,8 +74,8 @@ class Site:
         query = {k: v[0] for k, v in parse_qs(asked.query).items()}
         routes = {
             "/healthz": lambda: {"status": "ok"}, "/api/v1/health": lambda: self.health, "/api/v1/version": lambda: self.version,
-            "/api/v1/risks": lambda: risks_view(self.risks, query.get("severity")),
-            "/api/v1/hotspots": lambda: hotspots_view(self.hotspots, self.churn, query.get("confirmed")),
+            "/api/v1/risks": lambda: risks_view(self.risks, self.counted, query.get("severity")),
+            "/api/v1/hotspots": lambda: hotspots_view(self.hotspots, self.churn, self.heat, query.get("confirmed")),
             "/api/v1/history": lambda: history_view(self.records, query.get("limit")),
         }
         if asked.path not in routes:

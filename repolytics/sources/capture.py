@@ -7,7 +7,7 @@ import subprocess
 import tarfile
 import uuid
 
-LOG_FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%aI"
+LOG_FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%P"
 
 
 def git(root: str, *arguments: str, timeout: float = 120) -> bytes:

@@ -53,12 +53,19 @@ def numstat(lines: DataFrame, keep_binary: bool = False, value: str = "value") -
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """commit, author, email, at, path, added, deleted from `git log --numstat` text.
 
-    The log is written with --format='%x1e%H%x1f%an%x1f%ae%x1f%aI': a record for each
+    The log is written with --format='%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%P': a record for each
     commit, which is the line separator of the reader, so commits are split in parallel.
     """
     return log_records(spark.read.text(path, lineSep="\x1e"))
 
 
+def log_heads(records: DataFrame, value: str = "value") -> DataFrame:
+    """commit, author, email, at, merge of every record of a log; a commit of two parents or more is a merge."""
+    head = F.split(F.substring_index(F.col(value), "\n", 1), "\x1f")
+    parents = F.split(F.trim(F.coalesce(F.try_element_at(head, F.lit(5)), F.lit(""))), " ")
+    return records.filter(F.col(value) != "").select(head[0].alias("commit"), head[1].alias("author"), head[2].alias("email"), F.try_to_timestamp(head[3]).alias("at"), (F.size(parents) > 1).alias("merge"))
+
+
 def access_log(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """route, status, micros, at of lines of the combined log; null route where a line does not parse."""
     v = F.col(value)

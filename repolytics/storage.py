@@ -42,6 +42,17 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def published(spark: SparkSession, local: str, name: str) -> str:
+    """A copy, below the shared folder, of a file that the driver wrote for itself."""
+    folder = new_folder(spark, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    target = f"{folder}/{local.rpartition('/')[2]}"
+    store.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), spark._jvm.org.apache.hadoop.fs.Path(target))
+    return target
+
+
 class Rounds:
     """Tables of an iteration: each cuts the lineage, and goes once the next one is written."""
 

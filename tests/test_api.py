@@ -1,9 +1,11 @@
 """The entry points over one small repository, and reports of their results."""
 
+import json
 import subprocess
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolytics import __main__ as main, api, server
 from repolytics.plans import reports
@@ -55,15 +57,35 @@ def test_command_line_over_a_repository(spark, tmp_path, capsys):
     git("init", "-q")
     git("add", ".")
     git("commit", "-qm", "one")
+    git("checkout", "-qb", "side")
     (root / "core" / "b.py").write_text("y = 2\n" * 30)
     git("add", ".")
     git("commit", "-qm", "two")
+    git("checkout", "-q", "-")
+    (root / "core" / "c.js").write_text("function a() {\n  b(1);\n}\n")
+    (root / "go.mod").write_text("module m\n")
+    (root / "core" / "d.go").write_text("package core\n\nimport \"m/ui\"\n\nfunc f() {\n\tx := 1\n\tg(x)\n}\n")
+    git("add", ".")
+    git("commit", "-qm", "three")
+    git("merge", "-q", "--no-ff", "-m", "both", "side")
     run = lambda *a: main.run(main.options([a[0], str(root), *a[1:]] if a[0] != "version" else ["version"]))
     assert run("version") == 0 and run("status") == 0
     assert "risk(s)" in capsys.readouterr().out
     (root / "core" / "b.py").write_text("z = 3\n")
     assert run("blast") == 0 and run("decay") == 0 and run("setup") == 0
     assert "git_window_days: 7" in capsys.readouterr().out
+    assert run("analyze", "--format", "json", "--only", "git") == 0
+    git_row = json.loads(capsys.readouterr().out)["git"]
+    assert (git_row["commits"], git_row["window_commits"], git_row["authors"], git_row["lines_added"]) == (4, 4, 1, 48)
+    assert run("compare", "--base", "HEAD~1") == 0 and "Code lines" in capsys.readouterr().out
+    assert run("topology", "--only", "gates", "violations") == 0 and "4 of 10 commits" not in capsys.readouterr().out
+    assert run("cognitive", "--format", "json") == 0
+    found = json.loads(capsys.readouterr().out)
+    assert [(r["path"], r["failed"]) for r in found["files"]] == [("core/c.js", True), ("core/d.go", False)] and found["summary"]["worst"] > 0
+    assert run("explain") == 0 and run("history") == 0 and "no history" in capsys.readouterr().out
+    profile = tmp_path / "access.log"
+    profile.write_text('1.1.1.1 - - [x] "GET /u/7 HTTP/1.1" 200 5 9\n')
+    assert run("gap", "--profile", str(profile)) == 0 and run("watch", "--rounds", "1") == 0
 
 
 def test_a_clean_repository_has_few_risks(spark, repository):
@@ -84,6 +106,16 @@ def test_topology_and_blast(spark, repository):
     packages = spark.createDataFrame([("core", "core")], "package string, boundary string")
     got = api.topology(commits, imports, packages, NOW)
     assert got["coupling"].count() == 1 and got["hidden"].count() == 0 and got["bus_factor"].count() == 2
+    assert {r["gate"]: r["passed"] for r in got["gates"].collect()} == {"coupling": True, "ownership": True, "half_life": False}
+    named = spark.createDataFrame([("m/core", "core"), ("m/ui", "ui")], "package string, boundary string")
+    import_of = lambda *e: spark.createDataFrame(list(e), "src string, dst string")
+    moved = commits.withColumn("path", F.replace("path", F.lit("core/small"), F.lit("ui/small")))
+    for edges, n in (([("m/ui", "m/core")], 0), ([("m/core", "fmt")], 1)):
+        own = api.topology(moved, import_of(*edges), named, NOW, "m")
+        assert own["hidden"].count() == n and [r["same_boundary"] for r in own["coupling"].collect()] == [False]
+    young = api.topology(commits.filter(F.col("at") >= NOW - timedelta(days=8)), imports, packages, NOW)
+    assert young["coupling"].count() == 0 and [(r["at_risk"], r["reason"]) for r in young["risk"].collect()] == [(None, "history of 7 of 30 days: every author is recent")] * 2
+    assert {r["gate"]: r["reason"] for r in young["gates"].collect()}["coupling"] == "4 of 10 commits: a ratio of so few is no relationship"
     seeds = spark.createDataFrame([("core/big.go",)], "path string")
     assert [r["path"] for r in api.blast(commits, seeds).collect()] == ["core/small.go"] and api.blast(commits, seeds, min_commits=1000).count() == 0
     assert api.decayed(commits, NOW)["orphans"].count() == 0

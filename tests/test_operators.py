@@ -122,11 +122,16 @@ def test_coupling_and_expansion(spark):
 def test_decay(spark):
     frame = changes(spark, [("1", ago(200), "x", "old.go", 1, 1), ("2", ago(10), "x", "busy.go", 1, 1), ("3", ago(90), "x", "edge.go", 1, 1)])
     assert [(r["path"], r["age_days"]) for r in decay.orphans(frame, NOW).orderBy("path").collect()] == [("edge.go", 90), ("old.go", 200)]
-    rows = [(ago(d),) for d in range(101, 201) for _ in range(3)] + [(ago(d),) for d in range(1, 101)]
-    got = decay.half_life(spark.createDataFrame(rows, "at timestamp")).first()
+    dated = lambda *days: spark.createDataFrame([(k, ago(d)) for k, d in enumerate(days)], "commit long, at timestamp")
+    got = decay.half_life(dated(*(d for d in range(101, 201) for _ in range(3)), *range(1, 101)), NOW).first()
     assert got["prior_rate"] == 3.02 and got["recent_rate"] == 1.01 and abs(got["half_life_days"] - 62.78) < 0.01
-    short = decay.half_life(spark.createDataFrame([(ago(1),), (ago(2),)], "at timestamp")).first()
-    assert short["half_life_days"] is None and short["reason"]
+    short = decay.half_life(dated(1, 2), NOW).first()
+    assert short["half_life_days"] is None and short["reason"] == "history of 2 of 180 days"
+    old = decay.half_life(dated(400, 380, 300, 280), NOW).first()
+    assert old["history_days"] == 400 and old["half_life_days"] == 0 and old["reason"] is None
+    assert decay.half_life(dated(), NOW).first()["reason"] == "no commits" and decay.half_life(dated(200, 200), NOW).first()["half_life_days"] is None
+    names = changes(spark, [(str(k), ago(k), a, "s.go", 1, 1) for k, a in enumerate(["", "", "ann", "ann", "ann"])])
+    assert decay.silos(names, 0.5).first()["share"] == 0.6 and decay.silos(names, 0.7).count() == 0
 
 
 def test_gap_scores_and_buckets(spark):

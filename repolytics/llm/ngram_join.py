@@ -16,13 +16,15 @@ share are among the first n - o + k of both.
 Keys of a block of documents are sorted and dealt to buckets by their leading bits; a key
 that many documents of a block hold goes to its bucket once, the rest are known to be shared
 and go to any.  Each list is first compared with one of its sets, the one that comes first
-in an order all lists share, so a group of near copies costs a few comparisons a member.
-Only members that are still in different components meet pair by pair, inside Spark's join,
-by size, place and 256 bits of parity; the members of a long list first go on to the lists
-of two shingles, of which that list's is the first.
-
-Every link is verified on the full sets.  A node of the graph is a set, so documents of
-equal sets are one node from the start.
+in an order all lists share, so a group of near copies costs a few comparisons a member;
+what is still in different components is compared with the first in another order, a few
+times.  Only members that then are apart meet pair by pair, inside Spark's join, by size,
+place and 256 bits of parity; the members of a long list first go on to the lists of two
+shingles, of which that list's is the first.
+
+Pairs whose longer signatures (a bit or two a shingle) differ too much are dropped, every
+other one is verified on the full sets.  A node of the graph is a set, so documents of equal
+sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ WIDTH = 5
 PERCENT = 80
 BLOCK_KEYS = 400_000
 BATCH_ROWS = 1_000
+STARS = 5  # orders in which lists are compared with their first set
+MOST_SENT = 200_000  # nodes whose hashes are broadcast to find their documents; more go by a bitmap
+BANDS = 4  # to which sizes of a list are cut where they double
+COMPARED = 0.1  # what a comparison within a list costs, where dealing a key costs 1
 LONG_LIST = 64  # sets of a list that are compared pair by pair; longer ones are cut by a second shingle
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -67,11 +73,12 @@ def linkable(n, percent: int):
 def boundary(list_length: float, percent: int = PERCENT, most: int = 1 << 16) -> int:
     """The largest size at which the subsets of two cost no more than the lists of single shingles.
 
-    A set costs a row for each key and, in a list, a comparison for each other set of it.
+    A set costs a row for each key and, in a list, a comparison for each other set of it;
+    list_length is how many of these a key has on average, at most LONG_LIST of any list.
     """
     n = np.arange(most + 1)
     two, one = front(n, percent, 2), front(n, percent, 1)
-    dear = np.flatnonzero(two * (two - 1) // 2 > one * (1 + list_length))
+    dear = np.flatnonzero(two * (two - 1) / 2 > one * (1 + COMPARED * list_length))
     return int(dear[0]) - 1 if len(dear) else most
 
 
@@ -157,6 +164,32 @@ def marks_of(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
 
 
+def signature_bits(n: np.ndarray) -> np.ndarray:
+    """How long the signature of a set of n is: a power of two, at least 256 and at most 2^17."""
+    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 8, 17))
+
+
+def signatures(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set a bit for every run of hashes: whether an odd number of shingles falls to it."""
+    bits, starts, out = signature_bits(sizes), np.cumsum(sizes) - sizes, [b""] * len(sizes)
+    for width in np.unique(bits).tolist():
+        own = np.flatnonzero(bits == width)
+        for at in range(0, len(own), max(1, (1 << 21) // width)):
+            part = own[at : at + max(1, (1 << 21) // width)]
+            n = sizes[part]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[part], n)
+            index = (grams[place] >> np.uint64(65 - int(width).bit_length())).astype(np.int64) + np.repeat(np.arange(len(part)), n) * width
+            odd = np.bincount(index, minlength=width * len(part)) & 1
+            for i, row in zip(part.tolist(), np.packbits(odd.astype(np.uint8).reshape(-1, width), axis=1)):
+                out[i] = row.tobytes()
+    return out
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Signature bits at a smaller power of two: a run's bit is that of its parts together."""
+    return np.bitwise_xor.reduce(bits.reshape(width, -1), axis=1)
+
+
 def in_order(grams: np.ndarray, sizes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of each set with rare ones first, and how often the sample holds each."""
     near = np.minimum(np.searchsorted(common, grams), len(common) - 1)
@@ -205,7 +238,7 @@ def _unplanes(raw: bytes, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
-_DEALT = "bucket int, rows binary, docs binary"
+_DEALT = "bucket int, rows binary, docs binary, signs binary"
 
 
 def _deal(percent: int, width: int, buckets: int, most_light: int, shared):
@@ -213,11 +246,11 @@ def _deal(percent: int, width: int, buckets: int, most_light: int, shared):
 
     def run(batches):
         (common, counts), sets = shared.value, Sets(width)
-        held, docs, seen, size = [], [], set(), 0
+        held, docs, signs, seen, size = [], [], [], set(), 0
 
         def rows_out(found):
             for at in range(0, len(found), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[at : at + 64]), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "rows", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[at : at + 64]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "rows", "docs", "signs"])
 
         def flush():
             rows = np.concatenate(held)
@@ -231,11 +264,11 @@ def _deal(percent: int, width: int, buckets: int, most_light: int, shared):
                 bucket = ((part["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
                 turn = xxhash.xxh64_intdigest(part[:64].tobytes()) % buckets if known else 0  # known ones need not meet any
-                yield from rows_out([((int(bucket[a]) + turn) % buckets, _planes(part[a:b]), None) for a, b in zip(cuts, [*cuts[1:], len(part)])])
+                yield from rows_out([((int(bucket[a]) + turn) % buckets, _planes(part[a:b]), None, None) for a, b in zip(cuts, [*cuts[1:], len(part)])])
 
         def flush_docs():
             own = np.concatenate(docs)
-            yield from rows_out([(xxhash.xxh64_intdigest(own[a : a + 1].tobytes()) % buckets, None, _planes(own[a : a + 1024])) for a in range(0, len(own), 1024)])
+            yield from rows_out([(xxhash.xxh64_intdigest(own[a : a + 1].tobytes()) % buckets, None, _planes(own[a : a + 256]), b"".join(signs[a : a + 256])) for a in range(0, len(own), 256)])
 
         for batch in batches:
             ids = batch.column(0)
@@ -244,6 +277,7 @@ def _deal(percent: int, width: int, buckets: int, most_light: int, shared):
                 nodes, own = nodes_of(grams, sizes), np.zeros(to - at, _DOC)
                 own["doc_id"], own["known"], own["node"], own["n"], own["marks"] = ids[at:to], known[at:to], nodes, sizes, marks_of(grams, sizes)
                 docs.append(own)
+                signs += signatures(grams, sizes)
                 fresh = np.zeros(to - at, bool)
                 for i, node in enumerate(nodes.tolist()):
                     if node not in seen:
@@ -256,26 +290,29 @@ def _deal(percent: int, width: int, buckets: int, most_light: int, shared):
                 if size >= BLOCK_KEYS:
                     yield from flush()
                     held, seen, size = [], set(), 0
-                if len(docs) >= 64:
+                if len(signs) >= 2048:
                     yield from flush_docs()
-                    docs = []
+                    docs, signs = [], []
         if held and size:
             yield from flush()
         if docs:
             yield from flush_docs()
-        del held, docs, seen, common, counts
+        del held, docs, signs, seen, common, counts
         release_memory()
 
     return run
 
 
-_MET = "key long, node long, place int, n int, doc_id long, mark0 long, mark1 long, mark2 long, mark3 long, is_doc boolean"
+_MET = "key long, node long, place int, n int, doc_id long, mark0 long, mark1 long, mark2 long, mark3 long, signature binary, is_doc boolean"
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of a bucket, the keys that several different sets have, and its documents."""
     rows = np.concatenate([np.zeros(0, _ROW), *(_unplanes(x, _ROW) for x in table.column("rows").to_pylist() if x)])
     docs = np.concatenate([np.zeros(0, _DOC), *(_unplanes(x, _DOC) for x in table.column("docs").to_pylist() if x)])
+    signs = b"".join(x for x in table.column("signs").to_pylist() if x)
+    ends = np.cumsum(signature_bits(docs["n"]) // 8)
+    signs = [signs[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist() if len(ends) else [], ends.tolist())]
     known, rows = rows[rows["state"] == KNOWN], rows[rows["state"] != KNOWN]
     rows = rows[np.lexsort((rows["node"], rows["key"]))]
     if len(rows):
@@ -286,12 +323,12 @@ def _meet(table: pa.Table) -> pa.Table:
         rows = rows[np.repeat(several, np.diff(np.r_[starts, len(rows)])) & (first | other)]
     rows = np.concatenate([known, rows])
     none = lambda n, kind: pa.nulls(n, kind)
-    met = [pa.array(rows["key"].view(np.int64)), pa.array(rows["node"]), pa.array(rows["place"]), pa.array(rows["n"]), *(none(len(rows), pa.int64()) for _ in range(5)), pa.array(np.zeros(len(rows), bool))]
-    own = [none(len(docs), pa.int64()), pa.array(docs["node"]), none(len(docs), pa.int32()), pa.array(docs["n"]), pa.array(docs["doc_id"], mask=docs["known"] == 0), *(pa.array(np.ascontiguousarray(docs["marks"][:, i])) for i in range(4)), pa.array(np.ones(len(docs), bool))]
+    met = [pa.array(rows["key"].view(np.int64)), pa.array(rows["node"]), pa.array(rows["place"]), pa.array(rows["n"]), *(none(len(rows), pa.int64()) for _ in range(5)), none(len(rows), pa.binary()), pa.array(np.zeros(len(rows), bool))]
+    own = [none(len(docs), pa.int64()), pa.array(docs["node"]), none(len(docs), pa.int32()), pa.array(docs["n"]), pa.array(docs["doc_id"], mask=docs["known"] == 0), *(pa.array(np.ascontiguousarray(docs["marks"][:, i])) for i in range(4)), pa.array(signs, pa.binary()), pa.array(np.ones(len(docs), bool))]
     return pa.table([pa.chunked_array([a, b]) for a, b in zip(met, own)], names=[x.split()[0] for x in _MET.split(", ")])
 
 
-def _list_lengths(percent: int, width: int, shared):
+def _list_lengths(percent: int, width: int, step: int, shared):
     def run(batches):
         (common, counts), sets = shared.value, Sets(width)
         others = keys = 0
@@ -300,26 +337,22 @@ def _list_lengths(percent: int, width: int, shared):
                 _, rank = in_order(grams, sizes, common, counts)
                 place = np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 lead = rank[place < np.repeat(front(sizes, percent, 1), sizes)]
-                others, keys = others + int(np.maximum(lead - 1, 0).sum()), keys + len(lead)
+                others, keys = others + int(np.clip((lead.astype(np.int64) - 1) * step, 0, LONG_LIST).sum()), keys + len(lead)
         yield pa.RecordBatch.from_pydict({"others": [others], "keys": [keys]})
 
     return run
 
 
-def _written(df: DataFrame, folders: list[str]) -> DataFrame:
-    """Cut lineage with a table in the shared folder, which is listed for removal."""
-    folders.append(new_folder(df.sparkSession, "ngram-join"))
-    with shuffles_removed(df.sparkSession):
-        df.select("*").write.parquet(folders[-1])
-    return df.sparkSession.read.parquet(folders[-1])
-
-
 def _sets(width: int, bitmap):
+    """node, grams of texts (text, slot); with a bitmap only of those whose slot is set in it."""
+
     def run(batches):
-        bits, sets = bitmap.value, Sets(width)
+        sets = Sets(width)
         for batch in batches:
-            slot = batch.column(1).to_numpy()
-            texts = batch.column(0).filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            texts = batch.column(0)
+            if bitmap is not None:
+                bits, slot = bitmap.value, batch.column(1).to_numpy()
+                texts = texts.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for _, _, grams, sizes in sets.blocks(texts):
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_of(grams, sizes)), pa.array([grams[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], ["node", "grams"])
@@ -328,6 +361,22 @@ def _sets(width: int, bitmap):
     return run
 
 
+def _near(percent: int):
+    """Pairs whose signatures differ in no more bits than similar sets may in shingles."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, *signs in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                x, y = (np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8)) for v in signs)
+                width = min(len(x), len(y))
+                differ = int((folded(x, width) ^ folded(y, width)).sum())
+                keep.append((100 + percent) * differ <= (100 - percent) * n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _similar(percent: int):
     def run(batches):
         for batch in batches:
@@ -363,10 +412,24 @@ def _extended(percent: int, shared):
 
 
 class _Join:
-    """The links of one call: what all its steps need."""
+    """The links of one call: what all its steps need, and the tables they leave for the next."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int, width: int, shared, folders: list[str]):
-        self.docs, self.reps, self.percent, self.width, self.shared, self.folders = docs, reps, percent, width, shared, folders
+    def __init__(self, docs: DataFrame, percent: int, width: int, shared):
+        self.spark, self.docs, self.percent, self.width, self.shared, self._folders = docs.sparkSession, docs, percent, width, shared, {}
+
+    def put(self, df: DataFrame, slot: str) -> DataFrame:
+        """Cut lineage with a table in the shared folder; what the slot held before goes."""
+        folder, before = new_folder(self.spark, "ngram-join"), self._folders.get(slot)
+        with shuffles_removed(self.spark):
+            df.select("*").write.parquet(folder)
+        self._folders[slot] = folder
+        if before:
+            removed_folder(self.spark, before)
+        return self.spark.read.parquet(folder)
+
+    def done(self) -> None:
+        for folder in self._folders.values():
+            removed_folder(self.spark, folder)
 
     def fits(self, x: str, y: str) -> Column:
         """Whether sets that first meet at these places can share enough."""
@@ -378,33 +441,56 @@ class _Join:
         differ = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MARKS[1:]), F.bit_count(F.col(f"{x}.mark0").bitwiseXOR(F.col(f"{y}.mark0"))))
         return (100 + self.percent) * differ <= (100 - self.percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """node, grams of these nodes; a bitmap of fixed size tells which documents to read."""
+    def sets(self, nodes: DataFrame, slot: str) -> DataFrame:
+        """node, grams of these nodes.
+
+        Their documents are found by a broadcast of hashes where the nodes are few enough,
+        else by a bitmap of fixed size.
+        """
         ends = checkpointed(nodes.join(self.reps.select("node", "rep"), "node"))
-        bitmap = self.docs.sparkSession.sparkContext.broadcast(slots_of(ends, "rep"))
-        found = self.docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).mapInArrow(_sets(self.width, bitmap), "node long, grams binary")
-        return _written(found.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), self.folders)
+        texts = self.docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), F.xxhash64("doc_id").alias("h"))
+        if ends.count() <= MOST_SENT:
+            bitmap, texts = None, texts.join(F.broadcast(ends.select(F.xxhash64("rep").alias("h")).distinct()), "h", "left_semi")
+        else:
+            bitmap = self.spark.sparkContext.broadcast(slots_of(ends, "rep"))
+        found = texts.select("text", "slot").mapInArrow(_sets(self.width, bitmap), "node long, grams binary")
+        return self.put(found.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), slot)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
         x, y = self.reps.alias("x"), self.reps.alias("y")
-        near = pairs.distinct().join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(self.near("x", "y"))
-        pairs = checkpointed(near.select("a", "b"))
-        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+        by_marks = pairs.distinct().join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(self.near("x", "y")).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"))
+        a, b = (self.signs.select(F.col("node").alias(e), F.col("signature").alias(f"sign_{e}")) for e in "ab")
+        near = by_marks.join(a, "a").join(b, "b").select("a", "b", "n", "sign_a", "sign_b").mapInArrow(_near(self.percent), "a long, b long")
+        pairs = checkpointed(near)
+        if not pairs.limit(1).count():
+            return pairs
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "sets")
         a, b = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(self.percent), "a long, b long")
+        return checkpointed(pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(self.percent), "a long, b long"))
+
+    def starred(self, placed: DataFrame, turn: int) -> DataFrame:
+        """Pairs of sets of a list with the first one of their size in it, where these are apart.
 
-    def starred(self, met: DataFrame) -> DataFrame:
-        """Pairs of each set of a list with the list's first, in an order that all lists share."""
-        middle = checkpointed(met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "place", "n")).alias("m"), F.count(F.lit(1)).alias("rows")))
-        star = heavy_join(met, middle, "key", "rows", "m").withColumn("a", F.struct("node", "place", "n")).filter((F.col("a.node") != F.col("m.node")) & self.fits("a", "m"))
+        A list is cut into bands of sizes that can be similar at all, elsewhere in every
+        turn.  First is who comes first in an order of components, then of sets, that all
+        lists share and every turn has its own of, so a component has a turn sooner or later
+        however many sets another one has; sets that fit none of their size come last.
+        """
+        band = F.floor(F.log2("n") * BANDS + turn / STARS)
+        placed = placed.select(F.xxhash64("key", band).alias("band"), "node", "place", "n", "member")
+        late = (100 + self.percent) * (F.col("n") - F.col("place")) < 2 * self.percent * F.col("n")  # fits none of its own size
+        first = F.min(F.struct(late.alias("late"), F.xxhash64(F.lit(turn), "member").alias("c"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "place", "n", "member"))
+        middle = checkpointed(placed.groupBy("band").agg(first.alias("m"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+        star = heavy_join(placed, middle, "band", "rows", "m").withColumn("a", F.struct("node", "place", "n"))
+        star = star.filter((F.col("member") != F.col("m.member")) & self.fits("a", "m"))
         return star.select(F.least("a.node", "m.node").alias("a"), F.greatest("a.node", "m.node").alias("b"))
 
-    def apart(self, met: DataFrame, found: DataFrame) -> DataFrame:
+    def apart(self, placed: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of lists whose sets are in several components, with member, the component."""
-        placed = met.join(found, "node", "left").select("key", "node", "place", "n", F.coalesce("component", "node").alias("member"))
+        placed = placed.select("key", "node", "place", "n").join(found, "node", "left").select("key", "node", "place", "n", F.coalesce("component", "node").alias("member"))
         several = placed.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("key", "size")
-        return _written(placed.join(several, "key"), self.folders)
+        return self.put(placed.join(several, "key"), "placed")
 
     def pairs(self, placed: DataFrame) -> DataFrame:
         """Pairs of different components that a list holds and size, place and marks allow."""
@@ -416,20 +502,23 @@ class _Join:
     def further(self, long: DataFrame) -> DataFrame:
         """The lists of two shingles that the sets of long lists go on to."""
         of = long.groupBy("node").agg(F.collect_set("key").alias("lists"))
-        own = self.sets(long.select("node").distinct()).join(of, "node").select("node", "grams", "lists")
-        return _written(own.mapInArrow(_extended(self.percent, self.shared), "key long, node long, place int, n int"), self.folders)
+        own = self.sets(long.select("node").distinct(), "long").join(of, "node").select("node", "grams", "lists")
+        return self.put(own.mapInArrow(_extended(self.percent, self.shared), "key long, node long, place int, n int"), "lists")
 
-    def linked(self, met: DataFrame, found: DataFrame, further: bool) -> DataFrame:
-        """node, component over what is found already and the lists met."""
+    def linked(self, lists: DataFrame, found: DataFrame, further: bool) -> DataFrame:
+        """node, component over what is found already and the lists (key, node, place, n)."""
         edges = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = checkpointed(components(edges(found).union(self.verified(self.starred(met)))))
-        placed = self.apart(met, found)
+        placed = self.apart(lists, found)
+        for turn in range(STARS):
+            links = self.verified(self.starred(placed, turn))
+            if not links.limit(1).count():
+                break
+            found = checkpointed(components(edges(found).union(links)))
+            placed = self.apart(placed, found)
         is_long = F.lit(further) & (F.col("size") > LONG_LIST) & (F.col("key").bitwiseAND(1) == 0)
-        more = self.verified(self.pairs(placed.filter(~is_long)))
-        found = checkpointed(components(edges(found).union(more)))
-        if further and placed.filter(is_long).limit(1).count():
-            found = self.linked(self.further(placed.filter(is_long)), found, False)
-        return found
+        long = checkpointed(placed.filter(is_long).select("key", "node"))
+        found = checkpointed(components(edges(found).union(self.verified(self.pairs(placed.filter(~is_long))))))
+        return self.linked(self.further(long), found, False) if long.limit(1).count() else found
 
 
 def linked_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bucket_bytes: int = 1 << 20) -> DataFrame:
@@ -450,31 +539,31 @@ def linked_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
 
 
 def _linked(docs: DataFrame, percent: int, width: int, bucket_bytes: int) -> DataFrame:
-    spark, folders = docs.sparkSession, []
+    spark = docs.sparkSession
     rows = docs.count()
-    common = common_shingles(docs, rows, width)
-    shared = spark.sparkContext.broadcast(common)
+    shared = spark.sparkContext.broadcast(common_shingles(docs, rows, width))
     step = max(1, -(-rows // MOST_SAMPLED))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").distinct()
-    measured = sample.mapInArrow(_list_lengths(percent, width, shared), "others long, keys long").agg(F.sum("others").alias("others"), F.sum("keys").alias("keys")).first()
-    most_light = boundary(step * (measured["others"] or 0) / max(1, measured["keys"] or 0), percent)
+    measured = sample.mapInArrow(_list_lengths(percent, width, step, shared), "others long, keys long").agg(F.sum("others").alias("others"), F.sum("keys").alias("keys")).first()
+    most_light = boundary((measured["others"] or 0) / max(1, measured["keys"] or 0), percent)
+    join = _Join(docs, percent, width, shared)
     buckets = sized_partitions(docs, bucket_bytes, least=64, most=1 << 22)
-    met = _written(docs.mapInArrow(_deal(percent, width, buckets, most_light, shared), _DEALT).groupBy("bucket").applyInArrow(_meet, _MET), folders)
-    lists = met.filter("not is_doc").select("key", "node", "place", "n").distinct()
+    met = join.put(docs.mapInArrow(_deal(percent, width, buckets, most_light, shared), _DEALT).groupBy("bucket").applyInArrow(_meet, _MET), "met")
     own = met.filter("is_doc").select("doc_id", "node", "n")
     full = met.filter("is_doc and n > 0")
     reps = checkpointed(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in MARKS)))
-    join = _Join(docs, reps.select("node", "rep", "n", *MARKS), percent, width, shared, folders)
-    none = spark.createDataFrame([], "node long, component long")
-    found = join.linked(checkpointed(lists), none, True)
+    lists = join.put(met.filter("not is_doc").select("key", "node", "place", "n").distinct(), "lists")
+    listed = lists.select("node").distinct()
+    join.reps = reps.select("node", "rep", "n", *MARKS)
+    join.signs = join.put(full.select("node", "signature").join(listed, "node", "left_semi").dropDuplicates(["node"]), "signs")
+    found = join.linked(lists, spark.createDataFrame([], "node long, component long"), True)
     placed = checkpointed(reps.join(found, "node", "left").select(F.col("node").alias("of_node"), "rep", "rows", F.coalesce("component", "node").alias("group")))
     groups = checkpointed(placed.groupBy("group").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("n_rows")))
     placed = checkpointed(heavy_join(placed, groups, "group", "n_rows", "component_id").select("of_node", "rows", F.struct("component_id").alias("of")))
     linked = heavy_join(own.filter("n > 0"), placed, ("node", "of_node"), "rows", "of").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "of.component_id")
     alone = own.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     result = checkpointed(linked.unionByName(alone))
-    for folder in folders:
-        removed_folder(spark, folder)
+    join.done()
     return result
 
 

@@ -149,3 +149,15 @@ def test_query_equals_its_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got.columns == [d[0] for d in own.description]
     assert len({r[2] for r in want}) < len(want)
+
+
+def test_signatures_differ_no_more_than_the_sets():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        x = np.unique(r.integers(0, 1 << 63, r.integers(1, 3000)).astype(np.uint64) << np.uint64(1))
+        y = np.union1d(x[r.random(len(x)) < r.random()], r.integers(0, 1 << 63, r.integers(1, 300)).astype(np.uint64))
+        signs = [np.unpackbits(np.frombuffer(s, np.uint8)) for s in ngram_join.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]))]
+        assert [len(s) for s in signs] == ngram_join.signature_bits(np.array([len(x), len(y)])).tolist()
+        width = min(map(len, signs))
+        differ = int((ngram_join.folded(signs[0], width) ^ ngram_join.folded(signs[1], width)).sum())
+        assert differ <= len(np.setxor1d(x, y)) and (differ - len(np.setxor1d(x, y))) % 2 == 0

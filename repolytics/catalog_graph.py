@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from repolytics import api
+from repolytics import api, storage
 from repolytics.catalog import EDGES, age, c01, owned_sql, pairs_sql, r2, rh
 from repolytics.functions.numeric import age_days
 from repolytics.operators import boundaries, cognitive, evidence, ownership
-from repolytics.plans import adapters as tables
+from repolytics.plans import adapters as tables, incremental
 from repolytics.plans.adapters import NOW
 from repolytics.registry import query
 
@@ -161,3 +161,26 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LOADED} SELECT *, {rh('100 * (0.35::DOUBLE * ' + c01('density / 20::DOUBLE') + ' + 0.2::DOUBLE * ' + c01('depth / 6::DOUBLE') + ')', 1)} AS score FROM f")
 def lexical_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cognitive.lexical_files(_sources(spark, sf_dir))
+
+
+# STR-07: history in increments ---------------------------------------------------------------------------------------------
+
+
+def _increments(spark: SparkSession, sf_dir: str) -> incremental.Store:
+    """Three appends of the orders, of which the second repeats a part of the first, into a new folder."""
+    store = incremental.Store(spark, storage.new_folder(spark, "history"))
+    own = tables.commit_files(spark, sf_dir)
+    for part in ("commit % 3 = 0", "commit % 3 = 1 or commit % 6 = 0", "commit % 3 = 2"):
+        store.append(own.filter(part), "r")
+    return store
+
+
+@query()
+def incremental_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """It writes a table, so it has no SQL; the tests compare it with a run over everything."""
+    return _increments(spark, sf_dir).churn("r", NOW, 400)
+
+
+@query()
+def incremental_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _increments(spark, sf_dir).owners("r", NOW)

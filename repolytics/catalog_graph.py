@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from repolytics import api, storage
-from repolytics.catalog import EDGES, age, c01, owned_sql, pairs_sql, r2, rh
+from repolytics.catalog import CF, EDGES, age, c01, owned_sql, pairs_sql, r2, rh
+from repolytics.functions import sql
 from repolytics.functions.numeric import age_days
 from repolytics.operators import boundaries, cognitive, evidence, ownership
-from repolytics.plans import adapters as tables, incremental
+from repolytics.plans import adapters as tables, history, incremental
 from repolytics.plans.adapters import NOW
-from repolytics.registry import query
+from repolytics.registry import ORACLE_SQL, query
+from repolytics.sources import snapshots
 
 table = tables.table
 
@@ -184,3 +186,44 @@ def incremental_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def incremental_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _increments(spark, sf_dir).owners("r", NOW)
+
+
+# SNK-01, AGG-25, JOIN-09: snapshots as documents ------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["compare_risks"])
+def stored_risk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risks of two years, stored as documents of two schema versions, compared without a schema."""
+    own = lambda year: tables.risks(spark, sf_dir, year).withColumn("root", F.lit("r"))
+    head = lambda version: spark.range(1).select(F.lit("r").alias("root"), F.lit(version).alias("schema_version"))
+    old = snapshots.documents(head("1"), own(1996))
+    new = snapshots.documents(head("2"), own(1997)).select("root", F.parse_json(F.concat(F.lit('{"schema_version": "2", "risks": {"items": '), F.to_json(F.variant_get("doc", "$.risks", "variant")), F.lit("}}"))).alias("doc"))
+    a, b = (snapshots.stored_risks(x).drop("root") for x in (old, new))
+    return history.risk_changes(a, b)
+
+
+# 2.14b: functions of SQL ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CF}, c AS (SELECT author, path, (count(*) + sum(added) + sum(deleted))::BIGINT AS score FROM cf GROUP BY 1, 2) SELECT author, {r2(c01('sum(score::DOUBLE * score) / (sum(score)::DOUBLE * sum(score)::DOUBLE) - 1 / count(*)::DOUBLE') + ' / (1 - 1 / count(*)::DOUBLE)')} AS concentration FROM c GROUP BY 1")
+def sql_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    scores = tables.commit_files(spark, sf_dir).groupBy("author", "path").agg((F.count(F.lit(1)) + F.sum("added") + F.sum("deleted")).alias("score"))
+    return spark.sql("SELECT author, churn_concentration(collect_list(score)) AS concentration FROM {scores} GROUP BY author", scores=scores)
+
+
+@query(f"WITH {CF}, {owned_sql('path')} SELECT unit, coalesce(min(rank) FILTER (running_share >= 0.5::DOUBLE), count(*))::INTEGER AS bus_factor FROM own GROUP BY unit")
+def sql_bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    owned = ownership.owners(tables.commit_files(spark, sf_dir), "path", NOW)
+    return spark.sql("SELECT unit, bus_factor(collect_list(weighted_share), 0.5D) AS bus_factor FROM {owned} GROUP BY unit", owned=owned)
+
+
+@query("WITH l AS (SELECT p_brand AS path, p_partkey, unnest(['x = 1', CASE WHEN p_partkey % 3 = 0 THEN '/* a' WHEN p_partkey % 3 = 1 THEN '// b' ELSE '' END, 'y', CASE WHEN p_partkey % 3 = 0 THEN 'end */ z' ELSE 'w' END]) AS line, unnest([0, 1, 2, 3]) AS k FROM part) SELECT path, CASE WHEN k = 1 AND p_partkey % 3 = 2 THEN 'blank' WHEN k = 1 OR (k = 2 AND p_partkey % 3 = 0) THEN 'comment' ELSE 'code' END AS kind, count(*) AS n FROM l GROUP BY ALL")
+def sql_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of C files, one for each brand, four lines a part, with block comments over two of them."""
+    sql.register(spark)
+    k = F.col("p_partkey") % 3
+    four = F.array(F.lit("x = 1"), F.when(k == 0, "/* a").when(k == 1, "// b").otherwise(""), F.lit("y"), F.when(k == 0, "end */ z").otherwise("w"))
+    lines = table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.lit("C").alias("language"), "p_partkey", F.posexplode(four).alias("k", "line")).select("path", "language", (F.col("p_partkey") * 4 + F.col("k")).cast("int").alias("number"), "line")
+    return spark.sql("SELECT path, kind, count(*) AS n FROM line_kinds(TABLE({lines}) PARTITION BY path ORDER BY number) GROUP BY path, kind", lines=lines)

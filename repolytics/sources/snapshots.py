@@ -41,3 +41,42 @@ def append(snapshots: DataFrame, path: str) -> None:
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+# Documents: a snapshot with its parts nested, read without a schema -----------------------------------------------
+
+#: Where a document of each schema version keeps its parts.
+PLACES = {"risks": ("$.risks", "$.risks.items"), "score": ("$.score", "$.health.score"), "grade": ("$.grade", "$.health.grade"), "version": ("$.schema_version",)}
+RISK = "array<struct<id:string,impact:double,severity:string,subject:string>>"
+
+
+def documents(snapshots: DataFrame, risks: DataFrame, by: str = "root") -> DataFrame:
+    """by, doc: one VARIANT document for each snapshot row, its risks (by, id, impact, severity, subject) within.
+
+    The columns of the snapshot stay at the top of the document, whatever they are.
+    """
+    wanted = [c for c in ("id", "impact", "severity", "subject") if c in risks.columns]
+    nested = risks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*wanted))).alias("risks"))
+    whole = snapshots.join(nested, by, "left").withColumn("risks", F.coalesce("risks", F.array()))
+    return whole.select(by, F.parse_json(F.to_json(F.struct(*[c for c in whole.columns]))).alias("doc"))
+
+
+def _at(doc: str, part: str, kind: str):
+    """A part of a document, wherever its schema version keeps it; null where it is absent or of another kind."""
+    return F.coalesce(*(F.try_variant_get(F.col(doc), place, kind) for place in PLACES[part]))
+
+
+def stored_risks(stored: DataFrame, by: str = "root", doc: str = "doc") -> DataFrame:
+    """by, id, impact, severity of the risks of documents of any schema version."""
+    return stored.select(by, F.explode(_at(doc, "risks", RISK)).alias("r")).select(by, "r.id", "r.impact", "r.severity")
+
+
+def stored_measures(stored: DataFrame, names: list[str], by: str = "root", doc: str = "doc") -> DataFrame:
+    """by, schema_version, score, grade and the named measures of documents; null where one has none."""
+    more = [F.coalesce(F.try_variant_get(F.col(doc), f"$.{n}", "double"), F.try_variant_get(F.col(doc), f"$.measures.{n}", "double")).alias(n) for n in names]
+    return stored.select(by, _at(doc, "version", "string").alias("schema_version"), _at(doc, "score", "double").alias("score"), _at(doc, "grade", "string").alias("grade"), *more)
+
+
+def write_documents(stored: DataFrame, path: str) -> None:
+    """Add documents to a Parquet folder, their VARIANT column as it is."""
+    stored.write.mode("append").parquet(path)

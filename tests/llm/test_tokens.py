@@ -12,9 +12,14 @@ from tokenizers import Tokenizer
 from repolytics.llm import packing, tokenfiles, tokens
 
 
+@lru_cache
+def library():
+    return Tokenizer.from_file(tokens.vocabulary(tokens.TOKENIZER))
+
+
 @pytest.fixture(scope="module")
 def reference():
-    own = Tokenizer.from_file(tokens.vocabulary(tokens.TOKENIZER))
+    own = library()
     return lambda t: own.encode(t or "", add_special_tokens=False).ids
 
 

@@ -46,11 +46,12 @@ WIDTH = 5
 PERCENT = 80
 BLOCK_KEYS = 400_000
 BATCH_ROWS = 1_000
-STARS = 5  # orders in which lists are compared with their first set
+STARS = 4  # orders in which lists are compared with their first set
 MOST_SENT = 200_000  # nodes whose hashes are broadcast to find their documents; more go by a bitmap
 BANDS = 4  # to which sizes of a list are cut where they double
 COMPARED = 0.1  # what a comparison within a list costs, where dealing a key costs 1
-LONG_LIST = 64  # sets of a list that are compared pair by pair; longer ones are cut by a second shingle
+LONG_LIST = 2_000  # sets of a list that are compared pair by pair; longer ones are cut by a second shingle
+DEAR_LIST = 64  # what a longer list counts as where the boundary is chosen: most of its sets are linked without comparing all
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -74,7 +75,7 @@ def boundary(list_length: float, percent: int = PERCENT, most: int = 1 << 16) ->
     """The largest size at which the subsets of two cost no more than the lists of single shingles.
 
     A set costs a row for each key and, in a list, a comparison for each other set of it;
-    list_length is how many of these a key has on average, at most LONG_LIST of any list.
+    list_length is how many of these a key has on average, at most DEAR_LIST of any list.
     """
     n = np.arange(most + 1)
     two, one = front(n, percent, 2), front(n, percent, 1)
@@ -337,7 +338,7 @@ def _list_lengths(percent: int, width: int, step: int, shared):
                 _, rank = in_order(grams, sizes, common, counts)
                 place = np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 lead = rank[place < np.repeat(front(sizes, percent, 1), sizes)]
-                others, keys = others + int(np.clip((lead.astype(np.int64) - 1) * step, 0, LONG_LIST).sum()), keys + len(lead)
+                others, keys = others + int(np.clip((lead.astype(np.int64) - 1) * step, 0, DEAR_LIST).sum()), keys + len(lead)
         yield pa.RecordBatch.from_pydict({"others": [others], "keys": [keys]})
 
     return run

@@ -14,7 +14,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repolytics import api, server, storage
+from repolytics import api, server, settings, storage
 from repolytics.operators import ci, cognitive, gap, workspace
 from repolytics.plans import health, history, reports, risks, setup
 from repolytics.session import build_session, ship
@@ -22,6 +22,7 @@ from repolytics.sources import capture, facts, profiles, snapshots, workflows
 
 VERSION = "2"
 LIMIT = 50
+GATES = ("min_health_score", "max_health_drop", "max_complexity_increase", "max_risk_count", "max_hotspots", "fail_on_drift", "require_tests")
 HEADS = "commit string, author string, email string, at timestamp, merge boolean"
 COMMITS = "commit string, author string, email string, at timestamp, path string, added bigint, deleted bigint"
 
@@ -44,7 +45,7 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     add("analyze", aliases=["an"], help="everything measured")
     add("status", aliases=["st"], help="the score and the first risks")
     own = add("history", aliases=["log"], help="stored snapshots over time")
-    own.add_argument("--limit", type=int, default=60)
+    own.add_argument("--limit", type=int)
     own = add("watch", aliases=["w"], help="analyse again when files change")
     own.add_argument("--interval", type=float, default=2.0)
     own.add_argument("--rounds", type=int, default=0, help="stop after so many rounds; 0: never")
@@ -90,10 +91,13 @@ def commits(spark: SparkSession, root: str, work: str, since: str | None) -> Dat
     return history_of(spark, root, work, since)[0]
 
 
-def analysis(spark: SparkSession, root: str, work: str, since: str | None = None) -> dict[str, DataFrame]:
+def analysis(spark: SparkSession, root: str, work: str, since: str | None = None, own: dict | None = None) -> dict[str, DataFrame]:
+    own = own or settings.load(root)[0]
+    ignored = facts.IGNORED_DIRS if own["ignore_dirs"] is None else tuple(own["ignore_dirs"])
     ecosystems = facts.dependency_stats(facts.manifest_files(spark, root)).filter("dir = ''")
     files, heads = history_of(spark, root, work, since)
-    return api.analyze(facts.source_files(spark, root), files, ecosystems, now(), facts.scan_gaps(spark, root), heads)
+    sources, gaps = (read(spark, root, own["max_file_bytes"], ignored) for read in (facts.source_files, facts.scan_gaps))
+    return api.analyze(sources, files, ecosystems, now(), gaps, heads, own["git_window_days"])
 
 
 def stored(spark: SparkSession, folder: str | None) -> DataFrame | None:
@@ -122,7 +126,8 @@ def gated(spark: SparkSession, found: dict[str, DataFrame], args: argparse.Names
     out = [reports.sections({"categories": health.categories(one, []), "workflows": ci.ordered(flows)}, args.format)]
     if args.no_gate:
         return "".join(out), 0
-    limits = {"min_health_score": args.min_health_score, "max_health_drop": args.max_health_drop, "max_complexity_increase": args.max_complexity_increase, "max_risk_count": args.max_risk_count, "max_hotspots": args.max_hotspots, "fail_on_drift": args.fail_on_drift, "require_tests": args.require_tests}
+    own = settings.load(root, **{k: getattr(args, k) or None if k in ("fail_on_drift", "require_tests") else getattr(args, k) for k in GATES})[0]
+    limits = {k: own[k] for k in GATES}
     broken = [risks.breaches(one, limits, []), risks.ci_breaches(one, found["risks"], None, args.fail_on_test_ratio_drop, args.fail_on_critical_risk), risks.workflow_breaches(flows, args.workflow_severity)]
     shown = {name: frame for name, frame in zip(("gates", "build", "workflow gates"), broken) if frame.limit(1).count()}
     return "".join([*out, reports.sections(shown, args.format)]), 1 if shown else 0
@@ -151,6 +156,10 @@ def run(args: argparse.Namespace) -> int:
     spark = build_session(args.master, "repolytics", **{"spark.ui.enabled": "false"})
     ship(spark)
     root, work = os.path.abspath(args.path), tempfile.mkdtemp(prefix="repolytics-")
+    configured, warnings = settings.load(root)
+    settings.check(configured)
+    for warning in warnings:
+        print(warning, file=sys.stderr)
     show = lambda frames: print(reports.sections(frames, args.format, args.only), end="")
     command = {"an": "analyze", "st": "status", "log": "history", "w": "watch", "diff": "compare", "ui": "serve"}.get(args.command, args.command)
     if command == "history":
@@ -158,7 +167,7 @@ def run(args: argparse.Namespace) -> int:
         if own is None:
             print("no history")
             return 0
-        page = history.page(own, root, args.limit)
+        page = history.page(own, root, args.limit or configured["history_limit"])
         show({"history": history.trend(page).orderBy("id"), "summary": history.summary(page)})
         if args.format != "json":
             print(reports.timeline(history.trend(page)))
@@ -195,7 +204,7 @@ def run(args: argparse.Namespace) -> int:
         own = profiles.summary(samples.filter("error is null"))
         coverage = own.agg(F.coalesce(F.max("coverage"), F.lit(0.0))).first()[0]
         seen = samples.filter("file is not null").groupBy("file").agg(F.sum("hits").alias("hits"), F.sum("latency_ns").alias("latency_ns"))
-        show({"profile": own, "entries": gap.entries(found["records"], seen, coverage, found["churn"].select("path", "added", "deleted")).orderBy(F.desc("critical"), F.desc("static"), "path").limit(50)})
+        show({"profile": own, "entries": gap.first(gap.entries(found["records"], seen, coverage, found["churn"].select("path", "added", "deleted")), "critical" if coverage > 0 else "static", LIMIT)})
     elif command == "ci":
         text, code = gated(spark, found, args, root)
         print(text, end="")

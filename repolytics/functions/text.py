@@ -12,7 +12,7 @@ MANY_DIRECT = {"python": 40}
 MANY_DIRECT_ELSE = 50
 #: Folders that the walks of single operators leave out.
 PRUNED_DIRS = {
-    "imports": (".git", "node_modules", "vendor", "dist", "build", "testdata", ".idea", ".vscode", "bin"),
+    "imports": (".git", "node_modules", "vendor", "dist", "build", "target", ".next", "testdata", ".venv"),
     "packages": ("node_modules", ".git", "vendor", "target", "dist", "build", "out", "coverage", ".next", "__pycache__", ".venv", "venv"),
 }
 
@@ -54,6 +54,11 @@ def many_direct(ecosystem) -> Column:
     return out.cast("bigint")
 
 
+def in_pruned(path, walk: str) -> Column:
+    """Whether a path lies below a folder that the walk of an operator leaves out."""
+    return F.exists(F.slice(F.split(col(path), "/"), 1, F.size(F.split(col(path), "/")) - 1), lambda name: is_pruned(name, walk))
+
+
 def is_pruned(name, walk: str) -> Column:
     """Whether the walk of an operator leaves a folder of this name out."""
     hidden = col(name).startswith(".") if walk == "packages" else F.lit(False)

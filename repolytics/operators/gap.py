@@ -34,6 +34,13 @@ def coverage(events: DataFrame, attributed: Column) -> DataFrame:
     return sums.select("observations", "attributed", ratio("attributed", "observations").alias("coverage"), kind.alias("attribution"))
 
 
+def first(found: DataFrame, by: str = "critical", limit: int | None = None) -> DataFrame:
+    """Entries in order: by critical risk, or by static effort alone where there is no profile; ties by path."""
+    order = [F.desc("critical"), F.desc("static"), "path"] if by == "critical" else [F.desc("static"), "path"]
+    ordered = found.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def entries(records: DataFrame, runtime: DataFrame, profile_coverage: float, churn: DataFrame | None = None, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """path, static, hits, latency_ns, critical, bucket, ambiguous of measured, non-test files.
 

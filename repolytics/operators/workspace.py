@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from repolytics.functions.predicates import ancestors, dir_of, matches_glob
+from repolytics.functions.numeric import round2
 from repolytics.functions.text import PRUNED_DIRS, looks_like_path
 from repolytics.operators.code import code_stats
 from repolytics.sources import workspaces as marks
@@ -86,6 +87,20 @@ def health_of(records: DataFrame, packages: DataFrame, churn: DataFrame, ecosyst
     return scored.drop("git_score").join(total, "package")
 
 
+def risks_of(measured: DataFrame) -> DataFrame:
+    """package, key, severity, impact: what each package (of health_of) falls short in, highest impact first.
+
+    A package's risks are the measures that lack ten points or more, weighed; they have no
+    subject and do not come from the rules of the whole repository.
+    """
+    from repolytics.plans import health
+
+    own = measured.select("package", "code_score", "dependency_score", F.lit(None).cast("double").alias("git_score"))
+    each = health.metrics(own, ["package"])
+    short = health.metric_risks(each, ["package"]).join(each.select("package", "key", "weight"), ["package", "key"])
+    return short.select("package", "key", "severity", round2(F.col("deficit") * F.col("weight")).alias("impact")).orderBy("package", F.desc("impact"), "key")
+
+
 def attribute(items: DataFrame, packages: DataFrame, subject: str, item: str) -> DataFrame:
     """items with package: the first package (in path order) that is or holds the subject.
 

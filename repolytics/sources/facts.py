@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repolytics.functions.numeric import col
 from repolytics.functions.predicates import boundary_of, language_of, normal_route, python_requirement
-from repolytics.functions.text import otel_time
+from repolytics.functions.text import in_pruned, otel_time
 from repolytics.operators.code import IGNORED_DIRS, MAX_FILE_BYTES
 
 
@@ -271,13 +271,18 @@ def module_of(spark: SparkSession, root: str) -> str:
 
 
 def go_packages(files: DataFrame, module: str) -> DataFrame:
-    """package, boundary, files of Go files (path): a package's boundary is the first part of its folder."""
+    """package, boundary, files of Go files (path): a package's boundary is the first part of its folder.
+
+    Folders without sources of the repository's own do not count.
+    """
+    files = files.filter(~in_pruned("path", "imports"))
     package = F.regexp_replace(F.concat_ws("/", F.lit(module), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), "/$", "")
     return files.groupBy(package.alias("package"), boundary_of("path").alias("boundary")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def go_imports(files: DataFrame, module: str) -> DataFrame:
-    """src, dst: imports between packages, from the text of Go files (path, content)."""
+    """src, dst: imports between packages, from the text of Go files (path, content) outside pruned folders."""
+    files = files.filter(~in_pruned("path", "imports"))
     block = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(r"(?ms)^import\s*\(([^)]*)\)"), 1), lambda b: F.regexp_extract_all(b, F.lit(r'"([^"]+)"'), 1)))
     single = F.regexp_extract_all("content", F.lit(r'(?m)^import\s+(?:[\w.]+\s+)?"([^"]+)"'), 1)
     package = F.regexp_replace(F.concat_ws("/", F.lit(module), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), "/$", "")

@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from repolytics import __main__ as main, api, server
+from repolytics import __main__ as main, api, server, settings
+from repolytics.operators import gap, workspace
 from repolytics.plans import reports
-from repolytics.sources import snapshots
+from repolytics.sources import facts, snapshots
 
 NOW = datetime(2026, 10, 6, 12)
 
@@ -131,3 +132,29 @@ def test_snapshot_history(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"root": "r"}')
     with pytest.raises(Exception, match="schema_version"):
         snapshots.read(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_settings_of_file_environment_and_options(tmp_path):
+    inner = tmp_path / "a" / "b"
+    inner.mkdir(parents=True)
+    (tmp_path / ".repolytics.yml").write_text("git_window_days: 30\nmin_health_score: 0\nignore_dirs: [x, y]\nunknown: 1\nmax_hotspots: many\n")
+    found, warnings = settings.load(str(inner), {"REPOLYTICS_GIT_WINDOW_DAYS": "60", "REPOLYTICS_FAIL_ON_DRIFT": "true"}, max_risk_count=4, history_limit=None)
+    assert (found["git_window_days"], found["min_health_score"], found["ignore_dirs"], found["fail_on_drift"], found["max_risk_count"], found["history_limit"]) == (60, 0.0, ["x", "y"], True, 4, 10)
+    assert found["max_hotspots"] is None and warnings == ["max_hotspots: 'many' is left out"]
+    settings.check(found)
+    with pytest.raises(ValueError, match="git_window_days"):
+        settings.check(found | {"git_window_days": 0})
+    (tmp_path / ".repolytics.yml").write_text("- no mapping")
+    plain, warnings = settings.load(str(inner), {})
+    assert plain["git_window_days"] == 90 and len(warnings) == 1
+    assert settings.load(str(inner), {}, path=str(tmp_path / "none"))[1]
+
+
+def test_packages_pruned_folders_and_order_by_effort(spark):
+    own = spark.createDataFrame([("p", 30.0, 95.0), ("q", 95.0, 100.0)], "package string, code_score double, dependency_score double")
+    assert [(r["package"], r["key"], r["severity"]) for r in workspace.risks_of(own).collect()] == [("p", "code", "critical")]
+    files = spark.createDataFrame([("a/x.go", 'import "m/b"'), ("vendor/v/y.go", 'import "m/b"'), ("b/testdata/z.go", 'import "m/a"'), ("dist.go", "package m")], "path string, content string")
+    assert sorted(map(tuple, facts.go_imports(files, "m").collect())) == [("m/a", "m/b")]
+    assert sorted(r["package"] for r in facts.go_packages(files, "m").collect()) == ["m", "m/a"]
+    entries = spark.createDataFrame([("a", 5.0, 1.0), ("b", 9.0, 0.0), ("c", 9.0, 2.0)], "path string, static double, critical double")
+    assert [r["path"] for r in gap.first(entries, "static", 2).collect()] == ["b", "c"] and [r["path"] for r in gap.first(entries).collect()] == ["c", "a", "b"]

@@ -46,7 +46,7 @@ WIDTH = 5
 PERCENT = 80
 BLOCK_KEYS = 400_000
 BATCH_ROWS = 1_000
-STARS = 4  # orders in which lists are compared with their first set
+STARS = 2  # orders in which lists are compared with their first set
 MOST_SENT = 200_000  # nodes whose hashes are broadcast to find their documents; more go by a bitmap
 BANDS = 4  # to which sizes of a list are cut where they double
 COMPARED = 0.1  # what a comparison within a list costs, where dealing a key costs 1

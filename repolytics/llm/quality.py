@@ -74,7 +74,7 @@ def _sparse(buckets: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [counts_of(t, buckets) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["doc_id", "label", "ids", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary()), part.column(3)], ["doc_id", "label", "ids", "counts", "times"])
 
     return run
 
@@ -82,16 +82,22 @@ def _sparse(buckets: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 1, most: int = MOST_TRAIN, buckets: int = BUCKETS) -> list[tuple]:
     """(label, ids, counts) of at most `most` labelled rows outside the held-out fold.
 
-    Rows are chosen by a hash of doc_id; of several labels of one doc_id the largest counts,
-    and each row that repeats a doc_id trains by its own text.  The chosen ids are bounded, so they are
-    broadcast and the texts are not shuffled.
+    Rows are chosen by a hash of doc_id; of several labels of one doc_id the largest counts.
+    Each row that repeats a doc_id trains by its own text, and `most` bounds rows, not ids:
+    where rows repeat ids, those of the first ids and then of the smallest text hash train.
+    The chosen ids are bounded, so they are broadcast; rows are cut by hashes of their texts,
+    and of equal rows one text is shuffled and counts as often as the row occurs.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~held_out("doc_id", fold))
     chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    found = texts.mapInArrow(_sparse(buckets), "doc_id long, label int, ids binary, counts binary").toArrow()
-    rows = sorted(zip(*(found.column(i).to_pylist() for i in range(4))))
-    return [(label, np.frombuffer(ids, np.int32), np.frombuffer(counts, np.float32)) for _, label, ids, counts in rows]
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
+    cut = texts.select("doc_id", "text_key").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(most)
+    times = cut.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    once = texts.join(F.broadcast(times), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(*(F.first(c).alias(c) for c in ("label", "text", "times")))
+    found = once.select("doc_id", "label", "text", "times").mapInArrow(_sparse(buckets), "doc_id long, label int, ids binary, counts binary, times long").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in found.columns)))
+    return [(label, np.frombuffer(ids, np.int32), np.frombuffer(counts, np.float32)) for _, label, ids, counts, n in rows for _ in range(n)]
 
 
 def fit(rows: list[tuple], dim: int = DIM, buckets: int = BUCKETS, epochs: int = 10, rate: float = 0.5, seed: int = 7) -> Model:

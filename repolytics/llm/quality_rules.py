@@ -1,9 +1,9 @@
 """Quality rules in DataFrame functions alone: base rules and cross-document line frequency.
 
 Lines are normalised (lower case, runs of white space one space, trimmed) and hashed.
-For every host the documents that hold a line are counted; lines above the host's limit
-are removed from all its documents, and a document that loses more than half of its
-words that way is rejected.
+For every host the distinct documents that hold a line are counted; lines above a limit,
+which is the same for every host, are removed from all its documents, and a document that
+loses more than half of its words that way is rejected.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
-LEAST_DOCS = 20
-HOST_SHARE = 0.10
+MOST_DOCS = 20
 MOST_REMOVED = 0.5
+MOST_BROADCAST = 500_000  # line hashes, about 25 MB
 
 
 def let(value: Column, body) -> Column:
@@ -70,8 +70,9 @@ def repeat_words(parts: Column) -> Column:
     return let(parts, counted)
 
 
-def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in lower case, white space collapsed, without those that are blank."""
+    return F.filter(F.split(F.trim(F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "))), " ?\n ?", -1), lambda x: x != "")
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -80,6 +81,7 @@ def base(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD_CHAR))
     counted = docs.select(
         "doc_id",
+        "line_host",
         F.xxhash64("text").alias("text_key"),
         F.size(words(text)).cast("long").alias("n_words"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
@@ -91,42 +93,50 @@ def base(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def line_words_removed(docs: DataFrame, host: str, least_docs: int = LEAST_DOCS, share: float = HOST_SHARE) -> DataFrame:
-    """doc_id, text_key, words in lines that more documents of the host hold than its limit.
+def common_lines(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
+    """line_key, line_docs, line_rows of the lines that more than most_docs distinct documents of a host hold.
 
-    The limit of a host is the greater of least_docs and share times its documents.  The
-    lines of all documents are cut and hashed once and kept as (line, document, words);
-    the most frequent lines of all, whose number is bounded, find their documents by a
-    broadcast, so that no line is one task's.
+    Rows with one text are one document, so that a text is not condemned by its own copies.
+    Lines are counted straight from the scan, by (line, document) before they meet by line.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("line_host"), "text")
-    hosts = rows.groupBy("line_host").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = rows.select("doc_id", "text_key", "line_host", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", "text_key", "line_host", normal_line(F.col("line")).alias("line")).filter("line <> ''")
-    held = checkpointed(
-        lines.select("doc_id", "text_key", "line_host", F.xxhash64("line_host", "line").alias("line_key"), F.size(F.split("line", " ", -1)).alias("n"))
-        .groupBy("line_key", "doc_id", "text_key")
-        .agg(F.first("line_host").alias("line_host"), F.sum("n").alias("n"))
+    held = docs.select(
+        F.xxhash64("text").alias("text_key"),
+        F.explode(F.array_distinct(F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64("line_host", x)))).alias("line_key"),
     )
-    common = held.groupBy("line_key").agg(F.first("line_host").alias("line_host"), F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > least_docs)
-    common = checkpointed(common.join(hosts, "line_host").filter(F.col("line_docs") > share * F.col("host_docs")).select("line_key", "line_docs"))
-    found = heavy_join(held.select("line_key", "doc_id", "text_key", "n"), common.withColumn("over", F.lit(True)), "line_key", "line_docs", "over")
-    return found.groupBy("doc_id", "text_key").agg(F.sum("n").alias("removed"))
+    counted = held.groupBy("line_key").agg(F.count_distinct("text_key").alias("line_docs"), F.count(F.lit(1)).alias("line_rows"))
+    return counted.filter(F.col("line_docs") > most_docs)
+
 
+def line_words_removed(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
+    """doc_id, line_host, text_key, words in lines of which the host has too many.
 
-def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = HOST_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
+    Only the hashes of such lines are written; they are broadcast up to MOST_BROADCAST of
+    them, and joined by key beyond that, the most frequent ones apart.  Rows that repeat a
+    document count each of its lines once.
+    """
+    common = checkpointed(common_lines(docs, most_docs)).withColumn("over", F.lit(True))
+    placed = docs.select("doc_id", "line_host", F.xxhash64("text").alias("text_key"), F.posexplode(normal_lines(F.col("text"))).alias("place", "line"))
+    lines = placed.select("doc_id", "line_host", "text_key", "place", F.xxhash64("line_host", "line").alias("line_key"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("n"))
+    if common.count() <= MOST_BROADCAST:
+        found = lines.join(F.broadcast(common.select("line_key")), "line_key")
+    else:
+        found = heavy_join(lines, common, "line_key", "line_rows", "over")
+    once = found.groupBy("doc_id", "line_host", "text_key", "place").agg(F.max("n").alias("n"))
+    return once.groupBy("doc_id", "line_host", "text_key").agg(F.sum("n").alias("n_words_removed"))
+
+
+def judge(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, most_removed: float = MOST_REMOVED) -> DataFrame:
     """doc_id, counts, base_failed, n_words_removed and kept of every row.
 
-    Null texts count as empty; a null host is a host of its own; rows that repeat a
-    doc_id and text count as one document and are judged alike; an empty table gives an
-    empty result; of further columns of docs only the host is looked at.
+    Null texts count as empty; a null host is the host of no name; rows with one host and
+    text count as one document, and each row is judged by its own host; an empty table
+    gives an empty result; of further columns of docs only the host is looked at.
     """
-    own = docs.select("doc_id", "text", F.col(host).alias("line_source"))
-    judged, gone = base(own), line_words_removed(own, "line_source", least_docs, share)
-    copies = judged.groupBy(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key")).agg(F.count(F.lit(1)).alias("copies"))
-    gone = gone.join(copies, gone["doc_id"].eqNullSafe(copies["copy_id"]) & (gone["text_key"] == copies["copy_key"])).select("copy_id", "copy_key", (F.col("removed") / F.col("copies")).cast("long").alias("n_words_removed"))
-    both = judged.join(gone, judged["doc_id"].eqNullSafe(gone["copy_id"]) & (judged["text_key"] == gone["copy_key"]), "left")
+    own = docs.select("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("line_host"))
+    judged, gone = base(own), line_words_removed(own, most_docs).select(F.col("doc_id").alias("gone_id"), F.col("line_host").alias("gone_host"), F.col("text_key").alias("gone_key"), "n_words_removed")
+    same = judged["doc_id"].eqNullSafe(gone["gone_id"]) & (judged["line_host"] == gone["gone_host"]) & (judged["text_key"] == gone["gone_key"])
     removed = F.coalesce("n_words_removed", F.lit(0).cast("long"))
-    return both.select(
+    return judged.join(gone, same, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         removed.alias("n_words_removed"),
         (~F.col("base_failed") & (removed <= most_removed * F.col("n_words"))).alias("kept"),
@@ -134,14 +144,14 @@ def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, s
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, md5(coalesce(text, '')) AS body FROM documents),
 w AS (SELECT rid, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, unnest(range(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))) AS i FROM d),
 t AS (SELECT rid, i, w AS a, lead(w, 1) OVER x AS b, lead(w, 2) OVER x AS c FROM w WINDOW x AS (PARTITION BY rid ORDER BY i)),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM t WHERE c IS NOT NULL),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
-l AS (SELECT rid, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM (SELECT rid, host, unnest(string_split(text, chr(10))) AS x FROM d)),
-h AS (SELECT host, rid, line, sum(len(string_split(line, ' '))) AS n FROM l WHERE line <> '' GROUP BY ALL),
-k AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM h GROUP BY ALL) JOIN (SELECT host, count(*) AS docs FROM d GROUP BY ALL) USING (host) WHERE n > 20 AND n > 0.1::DOUBLE * docs),
+l AS (SELECT rid, host, body, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM (SELECT rid, host, body, unnest(string_split(text, chr(10))) AS x FROM d)),
+h AS (SELECT host, rid, body, line, sum(len(string_split(line, ' '))) AS n FROM l WHERE line <> '' GROUP BY ALL),
+k AS (SELECT host, line FROM h GROUP BY ALL HAVING count(DISTINCT body) > 20),
 q AS (SELECT rid, sum(n)::BIGINT AS n FROM h JOIN k USING (host, line) GROUP BY rid),
 s AS (SELECT d.rid, doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

@@ -136,6 +136,16 @@ def test_conflicting_labels_count_as_the_larger(spark):
     assert sorted(x[0] for x in quality.training_rows(docs, labels, fold=7)) == [0, 1]
 
 
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    rows = [(1, "same words")] * 900 + [(1, f"other words {i}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 60)] + [(3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as text_key", "2 as times", "3 as label")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert len(quality.training_rows(docs, labels, fold=7, most=100)) == 100
+    every = quality.training_rows(docs, labels, fold=7, most=5000)
+    wanted = sorted((i % 2, *(x.tobytes() for x in quality.counts_of(t))) for i, t in rows)
+    assert sorted((label, ids.tobytes(), counts.tobytes()) for label, ids, counts in every) == wanted
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

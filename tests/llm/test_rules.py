@@ -29,13 +29,44 @@ def test_common_lines_deplete_documents(spark):
     own = lambda k: " ".join(f"u{k}x{i}" for i in range(55))
     rows = [(i, line, "h") for i in range(12)] + [(20 + i, own(i) + "\n" + line.upper() + " ", "h") for i in range(12)] + [(40, line, None), (41, None, "h"), (None, own(9), "h")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in quality_rules.judge(frame, least_docs=5, share=0.1).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame, most_docs=5).collect()}
     assert not any(got[i]["kept"] for i in range(12)) and got[0]["n_words_removed"] == 60
     assert got[20]["n_words_removed"] == 60 and not got[20]["kept"] and got[40]["kept"] and not got[41]["kept"] and got[None]["kept"]
-    assert all(r["kept"] for i, r in ((i, r) for i, r in {r["doc_id"]: r for r in quality_rules.judge(frame, least_docs=30).collect()}.items()) if i is not None and i < 40)
+    assert all(r["kept"] for i, r in ((i, r) for i, r in {r["doc_id"]: r for r in quality_rules.judge(frame, most_docs=30).collect()}.items()) if i is not None and i < 40)
     assert quality_rules.judge(frame.limit(0)).count() == 0
 
 
+def test_line_limit_equals_brute_force(spark, monkeypatch):
+    random.seed(5)
+    stock = [" ".join(f"s{k}x{i}" for i in range(12)) for k in range(12)]
+    rows = []
+    for i in range(160):
+        own = [" ".join(f"d{i}l{j}w{k}" for k in range(9)) for j in range(random.randrange(1, 7))]
+        lines = own + [random.choice([x, " " + x.upper(), x.replace(" ", "\t ") + "\r"]) for x in random.sample(stock, random.randrange(0, 6))]
+        rows.append((random.choice([i, i, 7, None]), random.choice([random.shuffle(lines), "\n".join(lines), "\n \n".join(lines)][1:]), random.choice("ab") if i % 9 else None))
+    rows += rows[:25] + [(rows[0][0], rows[0][1], "b"), (rows[0][0], rows[0][1], "c")] + [(900 + i, "\n".join(stock), "a") for i in range(40)]
+    rows += [(i, None, "a") for i in range(3)] + [(5, "", None), (6, "\n\n \t", "a")]
+
+    def lines_of(text):
+        return [x for x in (" ".join(re.findall(r"[^\x20\x09-\x0D]+", y)).lower() for y in (text or "").split("\n")) if x]
+
+    held = {}
+    for _, text, host in rows:
+        for x in lines_of(text):
+            held.setdefault((host or "", x), set()).add(text)
+    wanted = []
+    for doc, text, host in rows:
+        removed = sum(len(x.split(" ")) for x in lines_of(text) if len(held[host or "", x]) > 9)
+        n, *_, failed = base(text)
+        wanted.append((str(doc), n, removed, not failed and removed <= 0.5 * n))
+    assert any(r > 0 for _, _, r, _ in wanted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as line_host", "2 as text_key", "3 as n_words")
+    for most in (quality_rules.MOST_BROADCAST, 0):
+        monkeypatch.setattr(quality_rules, "MOST_BROADCAST", most)
+        got = [(str(r["doc_id"]), r["n_words"], r["n_words_removed"], r["kept"]) for r in quality_rules.judge(frame, most_docs=9).collect()]
+        assert sorted(got) == sorted(wanted)
+
+
 QUESTION = "A farmer named Alice Brown sold 12 kg of apples on monday and then 30 kg on friday to Bob so how many kg did she sell in all"
 
 

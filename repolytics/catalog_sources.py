@@ -90,7 +90,7 @@ def access_log_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An OTLP export for each user, in the three shapes exporters write."""
     own, kind = table(spark, sf_dir, "events"), F.col("user_id") % 3
-    nanos = text(F.floor(F.col("value") * 1000).cast("bigint").cast("string"), "000")
+    nanos = (F.floor(F.col("value") * 1000).cast("bigint") * 1000).cast("string")
     begin = F.lit("1700000000000000000")
     end = (F.lit(1700000000000000000) + F.floor(F.col("value") * 1000).cast("bigint") * 1000).cast("string")
     known = F.col("event_type") != "error"

@@ -222,7 +222,7 @@ def _workflow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         text('      - uses: "actions/checkout', ref, '"'), F.when(p % 7 == 0, "        with: {ref: x}"), "      - uses: Actions/Setup-Node@v4.0.1", node, "      - uses: actions/setup-python@v5.0.0", python,
         "      - uses: ./local", "      - run: make", F.when(p % 9 == 1, "        timeout-minutes: 3"),
     )
-    return table(spark, sf_dir, "part").select(text("w", p.cast("string"), ".yml").alias("file"), F.when(p % 50 == 49, "jobs: [").otherwise(doc).alias("text"))
+    return tables.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(text("w", p.cast("string"), ".yml").alias("file"), F.when(p % 50 == 49, "jobs: [").otherwise(doc).alias("text"))
 
 
 FLOWS = (

@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key over all shuffle partitions, where they are short but cost much each.
+
+    A table of many short rows is a few row groups, and each is one task's; a number given
+    with the key keeps AQE from joining the partitions by their size.
+    """
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(max(n, frame.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("author"))
 

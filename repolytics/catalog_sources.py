@@ -140,7 +140,8 @@ def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, direct and dev: the parts of an order's odd and even lines as names of packages."""
     name = text("p", F.col("l_partkey").cast("string"))
     odd = F.col("l_linenumber") % 2 == 1
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.when(odd, name)).alias("direct"), F.collect_set(F.when(~odd, name)).alias("dev"))
+    own = tables.spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
+    return own.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.when(odd, name)).alias("direct"), F.collect_set(F.when(~odd, name)).alias("dev"))
 
 
 def _each(names, before: str, after: str, sep: str = "\n") -> Column:
@@ -158,11 +159,13 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     npm_lock = text('{"packages":{"":{"version":"1"}', _each(direct, ',"node_modules/', '":{"version":"1"}', ""), "}}")
     pnpm = lines("lockfileVersion: 9", "importers:", "  x:", "packages:", _each(direct, "  ", ":\n    resolution: {integrity: y}"))
     pipenv = text('{"default":{', _each(direct, '"', '":{"version":"1"}', ","), '},"develop":{', _each(dev, '"', '":{"version":"1"}', ","), "}}")
-    return own.select(
-        "k", facts.npm_manifest(npm)["direct"].alias("npm_direct"), facts.npm_manifest(npm)["dev"].alias("npm_dev"), facts.go_mod(go)["direct"].alias("go_direct"), facts.go_mod(go)["indirect"].alias("go_indirect"),
-        F.size(facts.requirements(wanted)).cast("bigint").alias("requirements"), facts.npm_lock_count(npm_lock).alias("npm_lock"), facts.pnpm_lock_count(pnpm).alias("pnpm_lock"), facts.poetry_lock_count(_each(dev, "[[package]]\nname = ", "")).alias("poetry_lock"),
+    counted = own.select(
+        "k", facts.npm_manifest(npm).alias("npm"), facts.go_mod(go).alias("go"), F.size(facts.requirements(wanted)).cast("bigint").alias("requirements"),
+        facts.npm_lock_count(npm_lock).alias("npm_lock"), facts.pnpm_lock_count(pnpm).alias("pnpm_lock"), facts.poetry_lock_count(_each(dev, "[[package]]\nname = ", "")).alias("poetry_lock"),
         facts.pipenv_lock_count(pipenv).alias("pipenv_lock"), facts.yarn_lock_count(_each(dev, "", "@^1:\n  version 1")).alias("yarn_lock"), facts.go_sum_count(_each(direct, "", " v1 h1:a=\n", "")).alias("go_sum"),
     )
+    heads = {"npm_direct": "npm.direct", "npm_dev": "npm.dev", "go_direct": "go.direct", "go_indirect": "go.indirect"}
+    return counted.select("k", *[F.col(c).alias(n) for n, c in heads.items()], "requirements", "npm_lock", "pnpm_lock", "poetry_lock", "pipenv_lock", "yarn_lock", "go_sum")
 
 
 @query(f"WITH {PARTS} SELECT k::VARCHAR AS dir, direct - coalesce(shared, 0) AS direct, dev, direct + dev - coalesce(shared, 0) AS packages FROM d")

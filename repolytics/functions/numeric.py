@@ -61,3 +61,8 @@ def decay_weight(at, now, half_life_days: float) -> Column:
 def format_complexity(x) -> Column:
     x = col(x)
     return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(F.format_string("%.1f", x))
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from repolytics.functions.numeric import col
+from repolytics.functions.numeric import col, once
 
 # Names and bounds that decide results, each list in its natural order.
 LANGUAGES = {
@@ -143,11 +143,10 @@ def python_name(name) -> Column:
 def python_requirement(spec) -> Column:
     """The normal name a requirement line asks for; null for options and bare URLs."""
     line = F.trim(F.regexp_replace(F.trim(col(spec)), r"(^|\s)#.*$", ""))
-    egg = F.regexp_extract(line, r"#egg=([A-Za-z0-9._-]+)", 1)
-    named = F.regexp_extract(line, r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(\[[^\]]*\])?\s*(@|[<>=!~;,]|$)", 1)
-    skipped = (line == "") | line.startswith("-") | (line.rlike(r"^[A-Za-z][A-Za-z+]*://") & (egg == ""))
-    name = F.when(line.rlike(r"^[A-Za-z][A-Za-z+]*://"), egg).otherwise(named)
-    return F.when(~skipped & (name != ""), python_name(name))
+    egg = lambda x: F.regexp_extract(x, r"#egg=([A-Za-z0-9._-]+)", 1)
+    named = lambda x: F.regexp_extract(x, r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(\[[^\]]*\])?\s*(@|[<>=!~;,]|$)", 1)
+    name = once(line, lambda x: F.when(x.rlike(r"^[A-Za-z][A-Za-z+]*://"), egg(x)).otherwise(named(x)))  # empty for an option
+    return once(name, lambda x: F.when(x != "", python_name(x)))
 
 
 def numbers_in(text) -> Column:

@@ -11,7 +11,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from repolytics.functions.numeric import col
+from repolytics.functions.numeric import col, once
 from repolytics.functions.predicates import boundary_of, language_of, normal_route, python_requirement
 from repolytics.functions.text import in_pruned, otel_time
 from repolytics.operators.code import IGNORED_DIRS, MAX_FILE_BYTES
@@ -118,26 +118,26 @@ def otel_spans(docs: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
 def npm_manifest(text) -> Column:
     """struct(direct, dev, packages) of a package.json."""
     m = F.from_json(col(text), "dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>, optionalDependencies map<string,string>")
-    keys = lambda name: F.coalesce(F.map_keys(m[name]), F.array().cast("array<string>"))
-    direct = F.size(keys("dependencies")) + F.size(keys("peerDependencies")) + F.size(keys("optionalDependencies"))
-    dev = F.size(F.array_except(keys("devDependencies"), keys("dependencies")))
-    return F.struct(direct.cast("bigint").alias("direct"), dev.cast("bigint").alias("dev"), F.slice(F.array_sort(keys("dependencies")), 1, 50).alias("packages"))
+    keys = lambda m, name: F.coalesce(F.map_keys(m[name]), F.array().cast("array<string>"))
+    direct = lambda m: F.size(keys(m, "dependencies")) + F.size(keys(m, "peerDependencies")) + F.size(keys(m, "optionalDependencies"))
+    dev = lambda m: F.size(F.array_except(keys(m, "devDependencies"), keys(m, "dependencies")))
+    return once(m, lambda m: F.struct(direct(m).cast("bigint").alias("direct"), dev(m).cast("bigint").alias("dev"), F.slice(F.array_sort(keys(m, "dependencies")), 1, 50).alias("packages")))
 
 
 def npm_lock_count(text) -> Column:
     m = F.from_json(col(text), "packages map<string,struct<version:string>>, dependencies map<string,struct<version:string>>")
-    packages = F.size(F.map_filter(m["packages"], lambda k, v: k != ""))
-    return F.coalesce(F.when(m["packages"].isNotNull(), packages), F.size(m["dependencies"]), F.lit(0)).cast("bigint")
+    packages = lambda m: F.size(F.map_filter(m["packages"], lambda k, v: k != ""))
+    return once(m, lambda m: F.coalesce(F.when(m["packages"].isNotNull(), packages(m)), F.size(m["dependencies"]), F.lit(0)).cast("bigint"))
 
 
 def pipenv_lock_count(text) -> Column:
     m = F.from_json(col(text), "default map<string,struct<version:string>>, develop map<string,struct<version:string>>")
-    n = lambda name: F.coalesce(F.when(m[name].isNotNull(), F.size(m[name])), F.lit(0))
-    return (n("default") + n("develop")).cast("bigint")
+    n = lambda m, name: F.coalesce(F.when(m[name].isNotNull(), F.size(m[name])), F.lit(0))
+    return once(m, lambda m: (n(m, "default") + n(m, "develop")).cast("bigint"))
 
 
 def _lines(text) -> Column:
-    return F.split(F.regexp_replace(col(text), "\r", ""), "\n")
+    return F.split(F.translate(col(text), "\r", ""), "\n")
 
 
 def poetry_lock_count(text) -> Column:
@@ -169,8 +169,8 @@ def go_mod(text) -> Column:
     inside = F.regexp_extract_all(col(text), F.lit(r"(?s)require\s*\(([^)]*)\)"), 1)
     single = F.regexp_extract_all(col(text), F.lit(r"(?m)^\s*require\s+([^(\s].*)$"), 1)
     lines = F.filter(F.concat(F.flatten(F.transform(inside, lambda b: F.split(b, "\n"))), single), lambda x: F.trim(F.regexp_replace(x, "//.*$", "")) != "")
-    n = F.size(F.filter(lines, lambda x: x.rlike(r"//.*\bindirect\b"))).cast("bigint")
-    return F.struct((F.size(lines) - n).cast("bigint").alias("direct"), n.alias("indirect"))
+    n = lambda found: F.size(F.filter(found, lambda x: x.rlike(r"//.*\bindirect\b"))).cast("bigint")
+    return once(lines, lambda x: once(n(x), lambda n: F.struct((F.size(x) - n).cast("bigint").alias("direct"), n.alias("indirect"))))
 
 
 def requirements(text) -> Column:

@@ -52,8 +52,8 @@ def numstat_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each order, as `git log --numstat` writes it."""
-    stat = _stat(spark, sf_dir).groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list("value")).alias("stat"))
-    own = table(spark, sf_dir, "orders").join(stat, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    stat = tables.spread(_stat(spark, sf_dir), "l_orderkey").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list("value")).alias("stat"))
+    own = tables.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderkey").join(stat, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     head = F.concat_ws("\x1f", F.col("o_orderkey").cast("string"), "o_orderpriority", F.concat("o_orderpriority", F.lit("@example.org")), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
     return own.select(lines(head, "", F.coalesce("stat", F.lit(""))).alias("value"))
 

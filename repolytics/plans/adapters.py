@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from repolytics.functions.dealing import spread
 from repolytics.functions.numeric import round2
 from repolytics.functions.predicates import severity_of_impact
 from repolytics.operators.code import branch_count, estimates, line_counts
@@ -20,24 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by key over all shuffle partitions, where they are short but cost much each.
-
-    A table of many short rows is a few row groups, and each is one task's; a number given
-    with the key keeps AQE from joining the partitions by their size.
-    """
-    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frame.repartition(max(n, frame.sparkSession.sparkContext.defaultParallelism), key)
-
-
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("author"))
 
 
 def commit_files(spark: SparkSession, sf_dir: str, grain: str = "l_partkey") -> DataFrame:
+    """A row for each line item, dealt by commit: what follows groups nearly distinct rows, and few tasks would hold them all."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col(grain).cast("string").alias("path"), F.col("l_quantity").cast("bigint").alias("added"), F.col("l_linenumber").cast("bigint").alias("deleted"))
-    own = commits(spark, sf_dir)
-    return own.join(lines, own["commit"] == lines["l_orderkey"]).select("commit", "at", "author", "path", "added", "deleted")
+    own, dealt = commits(spark, sf_dir), spread(lines, "l_orderkey")
+    return own.join(dealt, own["commit"] == dealt["l_orderkey"]).select("commit", "at", "author", "path", "added", "deleted")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand || '/x/' || p_type || '/f' || p_partkey AS path, CASE WHEN bool_or(p_size % 2 = 0) OVER (PARTITION BY p_brand, p_type) THEN p_brand || '/x/' || p_type ELSE p_brand END AS package FROM part")
 def nearest_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest package above each file: a brand, or its type's folder where a part of even size made it one."""
-    own = table(spark, sf_dir, "part")
+    own = tables.spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey")
     deep = F.concat("p_brand", F.lit("/x/"), "p_type")
     packages = own.select(F.col("p_brand").alias("path")).union(own.filter("p_size % 2 = 0").select(deep)).distinct()
     return workspace.nearest(own.select(F.concat(deep, F.lit("/f"), F.col("p_partkey").cast("string")).alias("path")), packages)

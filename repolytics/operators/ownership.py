@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from repolytics.functions.dealing import spread
 from repolytics.functions.numeric import age_days, decay_weight, ratio, round_half
 from repolytics.functions.predicates import folder_of
 
@@ -36,7 +37,7 @@ def units(facts: DataFrame, now, half_life_days: float = HALF_LIFE_DAYS) -> Data
     folder holds, 1 of a path, null of the repository.
     """
     inside = Window.partitionBy("commit").orderBy("path")
-    each = facts.select("commit", "path", "author", "at").repartition("commit").groupBy("commit", "path").agg(F.min("author").alias("author"), F.min("at").alias("at"))
+    each = spread(facts.select("commit", "path", "author", "at"), "commit").groupBy("commit", "path").agg(F.min("author").alias("author"), F.min("at").alias("at"))
     weighed = each.select(
         "path", folder_of("path").alias("folder"), "author", "at", decay_weight("at", F.lit(now), half_life_days).alias("w"), (F.row_number().over(inside) == 1).cast("int").alias("first")
     )

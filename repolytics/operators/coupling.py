@@ -4,13 +4,16 @@ A pair (a < b) of a commit is one row, so a commit of n paths makes n(n-1)/2 row
 definition.  Commits are made distinct by path first, paths too rare for any pair go
 before the join, and max_paths (off by default) leaves out sweeping commits.  The paths of
 a large commit are dealt to blocks, and each pair of blocks is a join key of its own: a
-task then has the pairs of two blocks, whatever the commit's size.
+task then has the pairs of two blocks, whatever the commit's size.  Those keys are dealt
+over all shuffle partitions, as pairs are many more than the rows they come from.  Both
+sides keep the same columns up to there, so that Spark makes them once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from repolytics.functions.dealing import spread
 from repolytics.functions.numeric import clamp01, ratio
 
 BLOCK_PATHS = 500
@@ -34,21 +37,22 @@ def _grid(often: DataFrame, block_paths: int) -> tuple[DataFrame, DataFrame]:
     once; a commit of up to block_paths paths is one block and one key.
     """
     size = often.groupBy("commit").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_paths)).cast("int").alias("blocks"))
-    dealt = often.join(size, "commit").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
-    left = dealt.select("commit", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), F.col("path").alias("a"), "at", F.col("n").alias("n_a"))
-    right = dealt.select("commit", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("path").alias("b"), F.col("n").alias("n_b"))
-    return left, right
+    dealt = often.join(size.hint("shuffle_hash"), "commit").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    left = dealt.select("commit", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), F.col("path").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
+    right = dealt.select("commit", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("path").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+    keys = ("commit", "low", "high")
+    return spread(left, *keys), spread(right, *keys)
 
 
 def pairs(facts: DataFrame, min_shared: int = 3, threshold: float = 0.6, max_paths: int | None = None, block_paths: int = BLOCK_PATHS) -> DataFrame:
     """a, b, shared, commits_a, commits_b, coupling, first_shared, last_shared."""
     each = touched(facts, max_paths)
     totals = each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_shared)
-    left, right = _grid(each.join(totals, "path"), block_paths)  # a rarer path is in no pair
+    left, right = _grid(each.join(totals.hint("shuffle_hash"), "path"), block_paths)  # a rarer path is in no pair
     met = left.join(right, ["commit", "low", "high"]).filter((F.col("low") < F.col("high")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
     turned = F.col("a") > F.col("b")
     both = met.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "at", F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("at_b")).otherwise(F.col("at_a")).alias("at"), F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")
     )
     counted = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("at").alias("first_shared"), F.max("at").alias("last_shared"), F.min("n_a").alias("commits_a"), F.min("n_b").alias("commits_b"))
     out = counted.filter(F.col("shared") >= min_shared).withColumn("coupling", clamp01(ratio("shared", F.least("commits_a", "commits_b")))).filter(F.col("coupling") >= threshold)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from repolytics import storage
+from repolytics.functions.dealing import spread
 from repolytics.functions.numeric import decay_weight
 from repolytics.operators import churn, ownership
 
@@ -32,9 +33,10 @@ def _day_end(day: Column) -> Column:
 def parts(facts: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
     """day, path, author, changes, counted, added, deleted, weight, last_at of facts (at, path, author, added, deleted).
 
-    counted is how many changes have line counts; binary ones have none.
+    counted is how many changes have line counts; binary ones have none.  Keys are nearly
+    distinct, so the rows are dealt by them before they are grouped, not after.
     """
-    own = facts.withColumn("day", F.to_date("at"))
+    own = spread(facts.withColumn("day", F.to_date("at")), "day", "path", "author")
     known = F.col("added").isNotNull() & F.col("deleted").isNotNull()
     return own.groupBy("day", "path", "author").agg(
         F.count(F.lit(1)).alias("changes"), F.count_if(known).alias("counted"), F.coalesce(F.sum(F.when(known, F.col("added"))), F.lit(0)).cast("bigint").alias("added"), F.coalesce(F.sum(F.when(known, F.col("deleted"))), F.lit(0)).cast("bigint").alias("deleted"),

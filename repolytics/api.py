@@ -85,12 +85,13 @@ def snapshot(found: dict[str, DataFrame], root: str, recorded_at, commit: str =
     return one.select(F.lit("1").alias("schema_version"), F.lit(root).alias("root"), F.lit(recorded_at).cast("timestamp").alias("recorded_at"), F.lit(commit).alias("git_commit"), F.lit(version).alias("version"), "*")
 
 
-def topology(commit_files: DataFrame, imports: DataFrame, packages: DataFrame, now, module: str = "", min_commits: int = evidence.LEAST_COMMITS, threshold: float = 0.6, limit: int | None = None) -> dict[str, DataFrame]:
+def topology(commit_files: DataFrame, imports: DataFrame, packages: DataFrame, now, module: str = "", min_commits: int = evidence.LEAST_COMMITS, threshold: float = 0.6, limit: int | None = None, graph: bool = True) -> dict[str, DataFrame]:
     """Boundaries, violations, cycles, ownership, bus factors, coupling and hidden coupling.
 
     packages: package (with the module in front), boundary.  Without a module there is no
     import graph, and nothing is hidden.  Coupling has no rows below min_commits commits and
-    at_risk is null below 30 days of history; gates says what was withheld and why.
+    at_risk is null below 30 days of history; gates says what was withheld and why.  Cycles
+    are searched at once; without graph neither they nor boundaries and violations are there.
     """
     commits = commit_files.groupBy("commit").agg(F.min("at").alias("at"))
     known = evidence.history(commits, now)
@@ -103,10 +104,13 @@ def topology(commit_files: DataFrame, imports: DataFrame, packages: DataFrame, n
     related = coupling.related(pairs, paths, imports)
     concealed = related.filter("not imports" if module else "false")
     risk = evidence.with_gate(ownership.risk(owned, now).crossJoin(F.broadcast(known)), judged, why, "at_risk").drop("commits", "first_at", "history_days")
-    found = boundaries.cycles(imports, packages)
-    violations = boundaries.violations(imports, packages, module).unionByName(boundaries.cycle_violations(found, packages))
-    return {
-        "boundaries": boundaries.dependencies(imports, packages), "violations": violations, "cycles": found, "ownership": owned, "units": ownership.units(commit_files, now),
+    found = {}
+    if graph:
+        cycles = boundaries.cycles(imports, packages)
+        violations = boundaries.violations(imports, packages, module).unionByName(boundaries.cycle_violations(cycles, packages))
+        found = {"boundaries": boundaries.dependencies(imports, packages), "violations": violations, "cycles": cycles}
+    return found | {
+        "ownership": owned, "units": ownership.units(commit_files, now),
         "bus_factor": ownership.bus_factor(owned), "risk": risk, "coupling": coupling.strongest(related, limit), "hidden": coupling.strongest(concealed, limit), "gates": evidence.gates(known),
     }
 

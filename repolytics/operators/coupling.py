@@ -6,7 +6,7 @@ before the join, and max_paths (off by default) leaves out sweeping commits.  Th
 a large commit are dealt to blocks, and each pair of blocks is a join key of its own: a
 task then has the pairs of two blocks, whatever the commit's size.  Those keys are dealt
 over all shuffle partitions, as pairs are many more than the rows they come from.  Both
-sides keep the same columns up to there, so that Spark makes them once.
+sides are the same rows up to there, so that Spark deals them once.
 """
 
 from __future__ import annotations
@@ -29,27 +29,34 @@ def touched(facts: DataFrame, max_paths: int | None = None) -> DataFrame:
     return each.withColumn("paths", F.count(F.lit(1)).over(size)).filter(F.col("paths") <= max_paths).drop("paths")
 
 
+def _blocks(each: DataFrame, block_paths: int) -> DataFrame:
+    """each with blocks: over how many blocks the paths of its commit are dealt."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("commit"))
+    return each.withColumn("blocks", F.ceil(n / F.lit(block_paths)).cast("int"))
+
+
 def _grid(often: DataFrame, block_paths: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of the join of paths with paths of the same commit, by (commit, low, high).
 
-    low and high are the blocks of a pair.  A path of block k stands on the left in the
-    pairs (k, k) to (k, last) and on the right in (0, k) to (k, k), so any two blocks meet
-    once; a commit of up to block_paths paths is one block and one key.
+    low and high are the blocks of a pair.  A path of block k stands once in each cell
+    that k is an end of, so any two blocks meet in one cell; a commit of up to block_paths
+    paths is one block and one key.  The sides differ in names alone, so the cells are
+    dealt once; which paths of a cell make a pair is told after they met.
     """
-    size = often.groupBy("commit").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_paths)).cast("int").alias("blocks"))
-    dealt = often.join(size.hint("shuffle_hash"), "commit").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
-    left = dealt.select("commit", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), F.col("path").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"))
-    right = dealt.select("commit", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("path").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
-    keys = ("commit", "low", "high")
-    return spread(left, *keys), spread(right, *keys)
+    sized = often if "blocks" in often.columns else _blocks(often, block_paths)
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread(dealt.select("commit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "path", "at", "n"), "commit", "low", "high")
+    side = lambda x: cells.select("commit", "low", "high", F.col("block").alias(f"block_{x}"), F.col("path").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"))
+    return side("a"), side("b")
 
 
 def pairs(facts: DataFrame, min_shared: int = 3, threshold: float = 0.6, max_paths: int | None = None, block_paths: int = BLOCK_PATHS) -> DataFrame:
     """a, b, shared, commits_a, commits_b, coupling, first_shared, last_shared."""
     each = touched(facts, max_paths)
     totals = each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_shared)
-    left, right = _grid(each.join(totals.hint("shuffle_hash"), "path"), block_paths)  # a rarer path is in no pair
-    met = left.join(right, ["commit", "low", "high"]).filter((F.col("low") < F.col("high")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
+    left, right = _grid(_blocks(each, block_paths).join(totals.hint("shuffle_hash"), "path"), block_paths)  # a rarer path is in no pair
+    within = (F.col("low") == F.col("high")) & (F.col("a") < F.col("b"))
+    met = left.join(right, ["commit", "low", "high"]).filter((F.col("block_a") < F.col("block_b")) | within)  # conditions on one side would part the sides' shuffles
     turned = F.col("a") > F.col("b")
     both = met.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("at_b")).otherwise(F.col("at_a")).alias("at"), F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")

@@ -87,17 +87,28 @@ def access_log_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy("route").agg(F.count(F.lit(1)).alias("hits"), F.sum("micros").cast("bigint").alias("micros"), F.count_if(F.col("status") >= 400).alias("errors"), F.max("at").alias("last_at"))
 
 
+def _quoted(value: Column) -> Column:
+    """A string as JSON: to_json takes it as a list of one, whose brackets go."""
+    return F.btrim(F.to_json(F.array(value)), F.lit("[]"))
+
+
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An OTLP export for each user, in the three shapes exporters write."""
+    """An OTLP export for each user, in the three shapes exporters write.
+
+    An event of type x is a span of the function on_x(), so that blank types are names too;
+    a time that is null or beyond 64 bits is null in its span, which still counts.
+    """
     own, kind = table(spark, sf_dir, "events"), F.col("user_id") % 3
-    nanos = (F.floor(F.col("value") * 1000).cast("bigint") * 1000).cast("string")
-    begin = F.lit("1700000000000000000")
-    end = (F.lit(1700000000000000000) + F.floor(F.col("value") * 1000).cast("bigint") * 1000).cast("string")
-    known = F.col("event_type") != "error"
-    listed = text('{"name":"s","startTimeUnixNano":"', begin, '","endTimeUnixNano":"', end, '","attributes":[{"key":"n","value":{"intValue":"1"}}', F.when(known, text(',{"key":"code.function.name","value":{"stringValue":"', F.col("event_type"), '"}}')).otherwise(""), "]}")
-    nested = text('{"durationNanos":', nanos, F.when(known, text(',"code":{"function":{"name":"', F.col("event_type"), '"},"filepath":"a/f.py"}')).otherwise(""), "}")
-    plain = text('{"duration_nanos":', nanos, F.when(known, text(',"attributes":{"code.function.name":"', F.col("event_type"), '"}')).otherwise(""), "}")
-    spans = own.groupBy("user_id").agg(F.concat_ws(",", F.collect_list(F.when(kind == 0, listed).when(kind == 1, nested).otherwise(plain))).alias("spans"))
+    took = F.try_multiply(F.floor(F.col("value") * 1000).cast("bigint"), F.lit(1000))
+    begin = F.when(took > 2**63 - 1 - 1700000000000000000, F.lit(0)).otherwise(F.lit(1700000000000000000))
+    nanos = F.coalesce(took.cast("string"), F.lit("null"))
+    end = F.coalesce(text('"', (begin + took).cast("string"), '"'), F.lit("null"))
+    known, name = F.col("event_type") != "error", _quoted(text("on_", F.col("event_type"), "()"))
+    listed = text('{"name":"s","startTimeUnixNano":"', begin.cast("string"), '","endTimeUnixNano":', end, ',"attributes":[{"key":"n","value":{"intValue":"1"}}', F.when(known, text(',{"key":"code.function.name","value":{"stringValue":', name, "}}")).otherwise(""), "]}")
+    nested = text('{"durationNanos":', nanos, F.when(known, text(',"code":{"function":{"name":', name, '},"filepath":"a/f.py"}')).otherwise(""), "}")
+    plain = text('{"duration_nanos":', nanos, F.when(known, text(',"attributes":{"code.function.name":', name, "}")).otherwise(""), "}")
+    span = F.when(kind == 0, listed).when(kind == 1, nested).otherwise(plain)
+    spans = own.select("user_id", span.alias("span")).groupBy("user_id").agg(F.concat_ws(",", F.collect_list("span")).alias("spans"))
     shape = F.when(kind == 0, text('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.version","value":{"stringValue":"1.2"}}]},"scopeSpans":[{"spans":[', F.col("spans"), "]}]}]}")).when(kind == 1, text('{"spans":[', F.col("spans"), "]}")).otherwise(text(" [", F.col("spans"), "]"))
     return spans.select("user_id", shape.alias("value"))
 
@@ -107,8 +118,8 @@ OTEL = "SELECT user_id % 3 AS shape, nullif(event_type, 'error') AS function, co
 
 @query(OTEL)
 def otel_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts.otel_spans(_exports(spark, sf_dir), keep=("user_id",))
-    return own.groupBy((F.col("user_id") % 3).alias("shape"), "function").agg(F.count(F.lit(1)).alias("hits"), F.sum("latency_ns").cast("bigint").alias("latency_ns"))
+    own = facts.otel_spans(_exports(spark, sf_dir), keep=("user_id",)).withColumn("function", F.expr("substr(function, 4, length(function) - 5)"))
+    return own.groupBy((F.col("user_id") % 3).alias("shape"), "function").agg(F.count(F.lit(1)).alias("hits"), F.sum(F.when(F.col("timed"), F.col("latency_ns"))).cast("bigint").alias("latency_ns"))
 
 
 @query(
@@ -116,10 +127,15 @@ def otel_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "UNION ALL SELECT 'odd' || n_nationkey, 0, 0, 0 FROM nation"
 )
 def profile_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles by their content: exports of spans, and files of no known kind."""
-    good = _exports(spark, sf_dir).select(text("otel", F.col("user_id").cast("string")).alias("path"), F.col("value").cast("binary").alias("content"))
-    odd = table(spark, sf_dir, "nation").select(text("odd", F.col("n_nationkey").cast("string")).alias("path"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("")).otherwise("nothing known").cast("binary").alias("content"))
-    return profiles.summary(profiles.load(good.unionByName(odd)))
+    """Profiles by their content: exports of spans, and files of no known kind.
+
+    A row of nation is a file of its own, told by a number after its name where keys repeat.
+    """
+    named = lambda name, key: text(name, F.coalesce(F.col(key).cast("string"), F.lit("?")))
+    good = _exports(spark, sf_dir).select(named("otel", "user_id").alias("path"), F.col("value").cast("binary").alias("content"))
+    odd = table(spark, sf_dir, "nation").select(text(named("odd", "n_nationkey"), "/", F.monotonically_increasing_id().cast("string")).alias("path"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("")).otherwise("nothing known").cast("binary").alias("content"))
+    name = F.substring_index("profile", "/", 1)
+    return profiles.summary(profiles.load(good.unionByName(odd))).withColumn("profile", F.when(~name.endswith("?"), name))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'the profile records version=' || o_custkey || ', the tree''s version is unknown' WHEN o_orderkey % 4 = 2 THEN NULL ELSE 'the profile records commit=' || o_custkey || ', the tree is x' END AS note FROM orders")

@@ -94,11 +94,12 @@ def attributes(text: Column) -> Column:
 
 
 def otel_spans(docs: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """function, file, latency_ns, started, ended, resource of the spans of OTLP JSON texts.
+    """function, file, latency_ns, timed, started, ended, resource of the spans of OTLP JSON texts.
 
     A text is an object of resourceSpans (with scopeSpans or spans), an object of spans or
     a bare array of spans; attributes are a list of typed values or a plain object.  Only
     a named source function attributes a span; others have null there and still count.
+    A span that tells no time (timed is false) has no latency, which is 0 too.
     """
     text = F.ltrim(F.col(value))
     file = F.from_json(F.when(text.startswith("["), F.concat(F.lit('{"spans":'), text, F.lit("}"))).otherwise(text), _OTEL_FILE)
@@ -110,9 +111,10 @@ def otel_spans(docs: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
     start, end = at("startTimeUnixNano", "startTime", "start_time"), at("endTimeUnixNano", "endTime", "end_time")
     nanos = F.expr("try_cast(endTimeUnixNano as bigint) - try_cast(startTimeUnixNano as bigint)")
     took = F.coalesce(F.nullif("durationNanos", F.lit(0)), F.nullif("duration_nanos", F.lit(0)), nanos, (F.unix_micros(end) - F.unix_micros(start)) * 1000)
+    timed = F.coalesce(took, "durationNanos", "duration_nanos").isNotNull()
     name = F.coalesce(F.trim("code.function.name"), F.try_element_at("own", F.lit("code.function.name")))
     place = F.coalesce("code.filepath", F.try_element_at("own", F.lit("code.file.path")), F.try_element_at("own", F.lit("code.filepath")))
-    return own.select(*keep, F.nullif(name, F.lit("")).alias("function"), place.alias("file"), F.greatest(F.coalesce(took, F.lit(0)), F.lit(0)).cast("bigint").alias("latency_ns"), start.alias("started"), end.alias("ended"), attributes(F.col("resource")).alias("resource"))
+    return own.select(*keep, F.nullif(name, F.lit("")).alias("function"), place.alias("file"), F.greatest(F.coalesce(took, F.lit(0)), F.lit(0)).cast("bigint").alias("latency_ns"), timed.alias("timed"), start.alias("started"), end.alias("ended"), attributes(F.col("resource")).alias("resource"))
 
 
 def npm_manifest(text) -> Column:

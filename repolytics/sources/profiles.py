@@ -20,9 +20,14 @@ SAMPLE_TYPE, SAMPLE, LOCATION, FUNCTION, STRINGS, TIME_NANOS, DURATION_NANOS = 1
 NANOSECONDS = {"nanoseconds": 1, "microseconds": 1_000, "milliseconds": 1_000_000, "seconds": 1_000_000_000}
 
 
+def _text(content) -> Column:
+    """Bytes as UTF-8; those that are not, as a character cut in two, are replaced."""
+    return F.make_valid_utf8(col(content).cast("string"))
+
+
 def kind_of(content, path) -> Column:
     """pprof, otel, accesslog or unknown: by magic, then markers, then extension, then shape."""
-    head = F.decode(F.substring(col(content), 1, 4096), "UTF-8")
+    head = _text(F.substring(col(content), 1, 4096))
     name = F.lower(col(path))
     return (
         F.when(F.hex(F.substring(col(content), 1, 2)) == "1F8B", "pprof")
@@ -151,7 +156,7 @@ def load(files: DataFrame) -> DataFrame:
     an error.  Lines of an access log that do not parse are observations without a function.
     """
     kinds = files.select("path", "content", kind_of("content", "path").alias("kind"))
-    text = F.decode("content", "UTF-8")
+    text = _text("content")
     empty = F.length("content") == 0
     bad = kinds.filter(empty | (F.col("kind") == "unknown")).select(F.col("path").alias("profile"), F.lit(None).cast("string").alias("function"), F.lit(None).cast("string").alias("file"), F.lit(0).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("latency_ns"), F.when(empty, "the file is empty").otherwise("not a known kind of profile").alias("error"))
     sound = kinds.filter(~empty)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from repolytics.llm.common import LOWER, batches_of, checkpointed, heavy_join, new_folder, release_memory, removed_folder, shuffles_removed, sized_partitions
 from repolytics.llm.importance import blocks, word_spans
-from repolytics.llm.similarity import _BYTES, _INSIDE, MARKS, MOST_SAMPLED, SLOTS, common_shingles, slots_of
+from repolytics.llm.similarity import _BYTES, _INSIDE, MARKS, MOST_SAMPLED, SLOTS, common_shingles, folded, signature_bits, signatures, slots_of
 from repolytics.llm.simhash import components
 from repolytics.llm.substring import Powers, rolling
 
@@ -165,32 +165,6 @@ def marks_of(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
 
 
-def signature_bits(n: np.ndarray) -> np.ndarray:
-    """How long the signature of a set of n is: a power of two, at least 256 and at most 2^17."""
-    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 8, 17))
-
-
-def signatures(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Of each set a bit for every run of hashes: whether an odd number of shingles falls to it."""
-    bits, starts, out = signature_bits(sizes), np.cumsum(sizes) - sizes, [b""] * len(sizes)
-    for width in np.unique(bits).tolist():
-        own = np.flatnonzero(bits == width)
-        for at in range(0, len(own), max(1, (1 << 21) // width)):
-            part = own[at : at + max(1, (1 << 21) // width)]
-            n = sizes[part]
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[part], n)
-            index = (grams[place] >> np.uint64(65 - int(width).bit_length())).astype(np.int64) + np.repeat(np.arange(len(part)), n) * width
-            odd = np.bincount(index, minlength=width * len(part)) & 1
-            for i, row in zip(part.tolist(), np.packbits(odd.astype(np.uint8).reshape(-1, width), axis=1)):
-                out[i] = row.tobytes()
-    return out
-
-
-def folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """Signature bits at a smaller power of two: a run's bit is that of its parts together."""
-    return np.bitwise_xor.reduce(bits.reshape(width, -1), axis=1)
-
-
 def in_order(grams: np.ndarray, sizes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of each set with rare ones first, and how often the sample holds each."""
     near = np.minimum(np.searchsorted(common, grams), len(common) - 1)

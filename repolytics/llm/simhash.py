@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from repolytics.llm import similarity
-from repolytics.llm.common import checkpointed, heavy_join, words_of
+from repolytics.llm.common import Tables, checkpointed, heavy_join, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -134,17 +134,20 @@ def _fingerprints(shingle: int, verify_shingle: int | None):
                 columns, names = [part.column(0), pa.array(prints)], ["doc_id", "print"]
                 if verify_shingle:
                     words = [shingles.words(t) for t in texts]
-                    marks = np.array([similarity.signature(shingles.set_of(w)) for w in words], np.int64).reshape(-1, len(similarity.MARKS))
+                    sets = [shingles.set_of(w) for w in words]
+                    sizes = np.array([len(s) for s in sets], np.int64)
+                    marks = np.array([similarity.signature(s) for s in sets], np.int64).reshape(-1, len(similarity.MARKS))
                     columns += [pa.array([shingles.digest(w) for w in words], pa.int64()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)]
-                    names += ["digest", *similarity.MARKS]
+                    columns += [pa.array(sizes), pa.array(similarity.signatures(np.concatenate(sets), sizes), pa.binary())]
+                    names += ["digest", *similarity.MARKS, "n", "signature"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, verify_shingle: int | None = None) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long); with verify_shingle also digest (of the words) and the marks of the set of such shingles."""
-    more = "".join(f", {name} long" for name in ("digest", *similarity.MARKS)) if verify_shingle else ""
+    """doc_id, print (the fingerprint as a signed long); with verify_shingle also digest (of the words) and the marks, the size and the signature of the set of such shingles."""
+    more = "".join(f", {name} long" for name in ("digest", *similarity.MARKS, "n")) + ", signature binary" if verify_shingle else ""
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, verify_shingle), "doc_id long, print long" + more)
 
 
@@ -205,33 +208,35 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("n").alias("node"), F.col("m").alias("component"))
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, verify_shingle: int = 5, tables: Tables | None = None) -> DataFrame:
     """doc_id, digest, print, group, component_id of every row.
 
     Rows of one group belong together; component_id is their smallest doc_id, null where
     none has one.  Equal fingerprints (or texts of equal words) are one node of the graph,
-    and nodes that very many rows share reach their rows by a bounded broadcast.
+    and nodes that very many rows share reach their rows by a bounded broadcast.  With
+    tables, what the result reads is kept in these.
     """
     verify = min_similarity is not None
-    own = checkpointed(fingerprints(docs, shingle, verify_shingle if verify else None))
+    put = tables.put if tables else lambda df, slot: checkpointed(df)
+    own = put(fingerprints(docs, shingle, verify_shingle if verify else None), "own")
     node = "digest" if verify else "print"
-    marks = [F.first(m).alias(m) for m in similarity.MARKS] if verify else []
-    nodes = checkpointed(own.groupBy(node).agg(F.min("print").alias("of_print"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *marks))
+    marks = [F.first(m).alias(m) for m in (*similarity.MARKS, "n", "signature")] if verify else []
+    nodes = put(own.groupBy(node).agg(F.min("print").alias("of_print"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *marks), "nodes")
     own = own.select("doc_id", (F.col("digest") if verify else F.lit(0).cast("long")).alias("digest"), "print")
     if verify:
-        leads = checkpointed(nodes.groupBy("of_print").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("texts")))
+        leads = put(nodes.groupBy("of_print").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("texts")), "leads")
         close = linked_pairs(leads.select(F.col("of_print").alias("rep"), F.col("of_print").alias("print")), max_bits)
         named = [leads.select(F.col("of_print").alias(x), F.col("lead").alias(f"lead_{x}")) for x in "ab"]
         across = close.join(named[0], "a").join(named[1], "b").select("lead_a", "lead_b")
         alike = heavy_join(nodes.select("digest", "of_print"), leads, "of_print", "texts", "lead").filter("digest <> lead").select("digest", "lead")
         proposed = across.union(alike).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        reps = nodes.select(F.col("digest").alias("node"), "rep", *similarity.MARKS)
+        reps = nodes.select(F.col("digest").alias("node"), "rep", *similarity.MARKS, "n", "signature")
         found = similarity.linked(docs.select("doc_id", "text"), proposed, reps, own.count(), min_similarity, verify_shingle, components)
     else:
         found = components(linked_pairs(nodes.select(F.col("print").alias("rep"), "print"), max_bits))
-    placed = checkpointed(nodes.join(found, nodes[node] == found["node"], "left").select(F.col(node).alias("of_node"), "rep", "rows", F.coalesce("component", nodes[node]).alias("group")))
-    groups = checkpointed(placed.groupBy("group").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    placed = checkpointed(heavy_join(placed, groups, "group", "n", "component_id"))
+    placed = put(nodes.join(found, nodes[node] == found["node"], "left").select(F.col(node).alias("of_node"), "rep", "rows", F.coalesce("component", nodes[node]).alias("group")), "placed")
+    groups = put(placed.groupBy("group").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    placed = put(heavy_join(placed, groups, "group", "n", "component_id"), "named")
     both = placed.select(F.col("of_node"), "rows", F.struct("group", "component_id").alias("of"))
     return heavy_join(own.withColumn("node_key", F.col(node)), both.withColumnRenamed("of_node", "known_node"), ("node_key", "known_node"), "rows", "of").select("doc_id", "digest", "print", "of.group", "of.component_id")
 
@@ -272,7 +277,9 @@ def distinct_rows(docs: DataFrame, min_similarity: float, verify_shingle: int =
     with the same words the first by text and further columns; rows without a doc_id stay
     only where no row of the component has one; rows keep their columns.
     """
-    rows = checkpointed(grouped(docs.select("doc_id", "text"), min_similarity=min_similarity, verify_shingle=verify_shingle).select("doc_id", "digest", "group"))
+    tables = Tables(docs.sparkSession, "simhash")
+    rows = checkpointed(grouped(docs.select("doc_id", "text"), min_similarity=min_similarity, verify_shingle=verify_shingle, tables=tables).select("doc_id", "digest", "group"))
+    tables.done()
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("c")).select(F.col("c.doc_id").alias("near_id"), F.col("c.digest").alias("near_digest"))
     again = checkpointed(rows.groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or again_id is null").select("again_id"))
     once = first.join(again, F.col("near_id").eqNullSafe(F.col("again_id")), "left_anti").select(F.col("near_id").alias("kept_id"))

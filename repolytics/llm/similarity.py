@@ -14,7 +14,10 @@ keys that two or more different texts have.  Each key's texts are first linked t
 in their middle.  Only texts of a key that are still in different components are compared
 pair by pair, inside Spark's join and by 256 bits of parity, which differ in no more places
 than the sets differ in shingles; so few pairs come out of a dense group, and none that is
-similar is left out.
+similar is left out.  Of long texts so few bits tell nothing, and how many pairs meet at a
+key grows faster than the texts.  So entries that fit no other one of their key go where
+all of them are at hand, and pairs are compared by signatures of two to four bits a shingle
+before any set is made: only sets of pairs that are nearly similar are shuffled.
 
 A node is a text's digest (of its words), so exact copies are one node from the start.
 """
@@ -29,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repolytics.llm.common import LOWER, checkpointed, heavy_join, release_memory, sized_partitions
+from repolytics.llm.common import LOWER, Tables, checkpointed, heavy_join, release_memory, sized_partitions
 from repolytics.llm.substring import Powers, rolling
 
 MOST_SAMPLED = 20_000
@@ -103,6 +106,32 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def signature_bits(n: np.ndarray) -> np.ndarray:
+    """How long the signature of a set of n is: a power of two, at least 256 and at most 2^17."""
+    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 8, 17))
+
+
+def signatures(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set a bit for every run of hashes: whether an odd number of shingles falls to it."""
+    bits, starts, out = signature_bits(sizes), np.cumsum(sizes) - sizes, [b""] * len(sizes)
+    for width in np.unique(bits).tolist():
+        own = np.flatnonzero(bits == width)
+        for at in range(0, len(own), max(1, (1 << 21) // width)):
+            part = own[at : at + max(1, (1 << 21) // width)]
+            n = sizes[part]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[part], n)
+            index = (grams[place] >> np.uint64(65 - int(width).bit_length())).astype(np.int64) + np.repeat(np.arange(len(part)), n) * width
+            odd = np.bincount(index, minlength=width * len(part)) & 1
+            for i, row in zip(part.tolist(), np.packbits(odd.astype(np.uint8).reshape(-1, width), axis=1)):
+                out[i] = row.tobytes()
+    return out
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Signature bits at a smaller power of two: a run's bit is that of its parts together."""
+    return np.bitwise_xor.reduce(bits.reshape(width, -1), axis=1)
+
+
 def front(n: int, least: float) -> int:
     """How many shingles of a set of n lead it: one of them is in any set of this similarity."""
     return n - int(np.ceil(least * n - 1e-9)) + 1
@@ -177,19 +206,41 @@ def _blocks(least: float, width: int, buckets: int, shared):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of a bucket, the rows whose key several different texts have."""
-    rows = np.concatenate([_unpacked(x) for x in table.column("rows").to_pylist()])
-    known, rows = rows[rows["state"] == KNOWN], rows[rows["state"] != KNOWN]
-    rows = rows[np.lexsort((rows["node"], rows["key"]))]
-    if len(rows):
-        first = np.r_[True, rows["key"][1:] != rows["key"][:-1]]
-        other = ~first & np.r_[False, rows["node"][1:] != rows["node"][:-1]]
-        starts = np.flatnonzero(first)
-        several = np.maximum.reduceat(other | (rows["state"] == SHARED), starts)
-        rows = rows[np.repeat(several, np.diff(np.r_[starts, len(rows)])) & (first | other)]
-    rows = np.concatenate([known, rows])
-    return pa.table({"key": pa.array(rows["key"].view(np.int64)), "node": pa.array(rows["node"]), "place": pa.array(rows["place"]), "n": pa.array(rows["n"])})
+def fitting(rows: np.ndarray, least: float) -> np.ndarray:
+    """Which rows, sorted by key, may be similar to another one of their key.
+
+    Where other blocks know more rows of a key, all; of two rows, both or none; of more,
+    those with one of a similar size.
+    """
+    if not len(rows):
+        return np.zeros(0, bool)
+    order = np.lexsort((rows["n"], rows["key"]))
+    rows = rows[order]
+    n, after = rows["n"].astype(np.int64), rows["n"].astype(np.int64) - rows["place"]
+    starts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
+    many = np.diff(np.r_[starts, len(rows)])
+    same = np.repeat(starts, many)[1:] == np.repeat(starts, many)[:-1]
+    size = same & (n[:-1] >= least * n[1:] - 1e-6)
+    pair = same & ((1 + least) * np.minimum(after[:-1], after[1:]) >= least * (n[:-1] + n[1:]) - 1e-6)
+    next_to = np.where(np.repeat(many, many)[1:] == 2, pair, size)
+    kept = np.r_[next_to, False] | np.r_[False, next_to] | np.repeat(np.maximum.reduceat(rows["state"] == SHARED, starts), many)
+    out = np.zeros(len(rows), bool)
+    out[order] = kept
+    return out
+
+
+def _meet(least: float):
+    """Of a bucket, the rows whose key several different texts have that may be similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([_unpacked(x) for x in table.column("rows").to_pylist()])
+        known, rows = rows[rows["state"] == KNOWN], rows[rows["state"] != KNOWN]
+        rows = rows[np.lexsort((-rows["state"].astype(np.int8), rows["node"], rows["key"]))]
+        rows = rows[np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])]] if len(rows) else rows
+        rows = np.concatenate([known, rows[fitting(rows, least)]])
+        return pa.table({"key": pa.array(rows["key"].view(np.int64)), "node": pa.array(rows["node"]), "place": pa.array(rows["place"]), "n": pa.array(rows["n"])})
+
+    return run
 
 
 def _counted(width: int, buckets: int):
@@ -253,11 +304,11 @@ def common_shingles(docs: DataFrame, rows: int, width: int) -> tuple[np.ndarray,
 
 
 def shared_keys(docs: DataFrame, rows: int, least: float, width: int, bucket_bytes: int = 1 << 20) -> DataFrame:
-    """key, node, place, n: the leading shingles of texts (doc_id, text) that other texts lead with too."""
+    """key, node, place, n: the leading shingles of texts (doc_id, text) that other texts of a size that fits lead with too."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, rows, width))
     buckets = sized_partitions(docs, bucket_bytes, least=64, most=1 << 22)
     dealt = docs.select("text").mapInArrow(_blocks(least, width, buckets, shared), _DEALT)
-    return dealt.groupBy("bucket").applyInArrow(_meet, "key long, node long, place int, n int").distinct()
+    return dealt.groupBy("bucket").applyInArrow(_meet(least), "key long, node long, place int, n int").distinct()
 
 
 def slots_of(ids: DataFrame, column: str) -> np.ndarray:
@@ -282,6 +333,29 @@ def _sets(width: int, bitmap):
     return run
 
 
+def _near(least: float):
+    """Pairs whose signatures differ in no more bits than similar sets may in shingles."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, *signs in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                x, y = (np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8)) for v in signs)
+                width = min(len(x), len(y))
+                differ = int((folded(x, width) ^ folded(y, width)).sum())
+                keep.append((1 + least) * differ <= (1 - least) * n + 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_pairs(links: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) of nodes whose signatures allow this similarity; reps: node, n, signature."""
+    a, b = (reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}")) for x in "ab")
+    both = links.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sign_a", "sign_b")
+    return both.mapInArrow(_near(least), "a long, b long")
+
+
 def _similar(least: float):
     def run(batches):
         for batch in batches:
@@ -298,15 +372,15 @@ def _similar(least: float):
 def verified(docs: DataFrame, links: DataFrame, reps: DataFrame, least: float, width: int) -> DataFrame:
     """The links (a, b) of nodes whose texts have at least this Jaccard similarity of shingle sets.
 
-    docs: doc_id, text.  reps: node, rep (the doc_id of a text of the node).  A bitmap of
-    bounded size tells which documents are needed at all, so only their sets are made and
-    shuffled.
+    docs: doc_id, text.  reps: node, rep (the doc_id of a text of the node), n, signature.
+    A bitmap of bounded size tells which documents are needed at all, so only their sets are
+    made and, alike on both sides of the join, shuffled once.
     """
-    links = checkpointed(links)
+    links = checkpointed(near_pairs(links, reps, least))
     ends = checkpointed(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(reps.select("node", "rep"), "node"))
     bitmap = docs.sparkSession.sparkContext.broadcast(slots_of(ends, "rep"))
     sets = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).mapInArrow(_sets(width, bitmap), "node long, grams binary")
-    sets = checkpointed(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")))
+    sets = sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
     a, b = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     return links.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar(least), "a long, b long")
 
@@ -315,25 +389,34 @@ def linked(docs: DataFrame, proposed: DataFrame, reps: DataFrame, rows: int, lea
     """node, component of all nodes that some other one is similar to.
 
     docs: doc_id, text.  proposed: pairs (a, b) of nodes that fingerprints suggest.  reps:
-    node, rep and the marks of its set.  components: from edges (a, b) to (node, component).
+    node, rep and n, the marks and the signature of its set.  components: from edges (a, b)
+    to (node, component), cut off from their lineage.
     """
-    met = checkpointed(shared_keys(docs, rows, least, width))
+    tables = Tables(docs.sparkSession, "similarity")
+    met = tables.put(shared_keys(docs, rows, least, width), "met")
 
     def fits(x: str, y: str) -> Column:
         """Whether sets that first share a shingle at these places can be similar enough."""
         after = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
         return (1 + least) * after >= least * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
 
-    middle = checkpointed(met.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("m"), F.count(F.lit(1)).alias("rows")))
+    middle = tables.put(met.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("m"), F.count(F.lit(1)).alias("rows")), "middle")
     star = heavy_join(met, middle, "key", "rows", "m").alias("a").filter((F.col("node") != F.col("m.node")) & fits("a", "m"))
     star = star.select(F.least("a.node", "m.node").alias("a"), F.greatest("a.node", "m.node").alias("b"))
-    found = checkpointed(components(verified(docs, star.union(proposed).distinct(), reps, least, width)))
+    links = tables.put(star.union(proposed).distinct(), "links")
+    tables.drop("middle")
+    found = components(verified(docs, links, reps, least, width))
     placed = met.join(found, "node", "left").select("key", "node", "place", "n", F.coalesce("component", "node").alias("member"))
     apart = placed.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low < high").select("key")
-    placed = checkpointed(placed.join(apart, "key", "left_semi").join(reps.select("node", *MARKS), "node"))
+    placed = tables.put(placed.join(apart, "key", "left_semi").join(reps.select("node", *MARKS), "node"), "placed")
+    tables.drop("met")
     a, b = placed.alias("a"), placed.alias("b")
     differ = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MARKS[1:]), F.bit_count(F.col("a.mark0").bitwiseXOR(F.col("b.mark0"))))
     near = (1 + least) * differ <= (1 - least) * (F.col("a.n") + F.col("b.n")) + 1e-6
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.member") < F.col("b.member")) & fits("a", "b") & near)
-    more = verified(docs, pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), reps, least, width)
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    links = tables.put(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "links")
+    tables.drop("placed")
+    more = verified(docs, links, reps, least, width)
+    result = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    tables.done()
+    return result

@@ -170,6 +170,59 @@ def test_signatures_differ_no_more_than_the_sets():
         assert sum(int(v).bit_count() for v in a ^ b) <= len(np.setxor1d(x, y))
 
 
+def test_sets_of_unlike_texts_are_not_shuffled(spark, monkeypatch):
+    """Long texts that lead with one shingle: their marks of 256 bits allow every pair, their signatures none but the planted one."""
+    from repolytics.llm import similarity
+
+    r, ends, slots_of = random.Random(31), [], similarity.slots_of
+    first = min((f"a{i} b c d e" for i in range(5000)), key=lambda x: similarity.Shingles(5)(x)[0])
+    texts = [" ".join([first, *(f"w{r.randrange(10**9)}" for _ in range(1200 + 10 * i))]) for i in range(30)]
+    texts.append(texts[7] + " one more")
+    monkeypatch.setattr(similarity, "slots_of", lambda ids, column: ends.append(ids.count()) or slots_of(ids, column))
+    monkeypatch.setattr(similarity, "common_shingles", lambda *_: (np.array([2**64 - 1], np.uint64), np.zeros(1, np.int32)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, min_similarity=0.8).collect()}
+    assert found == {i: 7 if i == 30 else i for i in range(31)} and ends == [2, 0]
+
+
+def test_keys_of_texts_that_fit_no_other_go(spark, monkeypatch):
+    from repolytics.llm import similarity
+
+    r = random.Random(37)
+    rare = "z1 z2 z3 z4 z5"
+    own = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    one, other = f"{own(30)} {rare}", f"{own(300)} {rare}"
+    monkeypatch.setattr(similarity, "common_shingles", lambda *_: (np.array([2**64 - 1], np.uint64), np.zeros(1, np.int32)))
+    monkeypatch.setattr(similarity, "front", lambda n, least: n)
+    keys = lambda *texts: similarity.shared_keys(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), 2, 0.8, 5).count()
+    assert keys(one, other) == 0 and keys(one, f"{one} more") > 0
+    assert similarity.fitting(np.zeros(0, similarity._ROW), 0.8).tolist() == []
+    for _ in range(300):
+        rows = np.zeros(r.randrange(1, 9), similarity._ROW)
+        for row in rows:
+            n = r.randrange(1, 60)
+            row["key"], row["n"], row["place"], row["state"] = r.randrange(3), n, r.randrange(similarity.front(n, 0.8)), r.random() < 0.1
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        kept = similarity.fitting(rows, 0.8)
+        for i, a in enumerate(rows):
+            others = [b for j, b in enumerate(rows) if j != i and b["key"] == a["key"]]
+            fit = [b for b in others if 1.8 * min(int(a["n"]) - a["place"], int(b["n"]) - b["place"]) >= 0.8 * (int(a["n"]) + int(b["n"])) - 1e-6]
+            shared = any(b["state"] == similarity.SHARED for b in [a, *others])
+            assert kept[i] or not (fit or shared)
+            assert len(others) != 1 or shared or kept[i] == bool(fit)
+
+
+def test_no_tables_of_the_steps_are_left(spark):
+    import os
+
+    from repolytics.llm.common import local_path, shared_folder
+
+    docs = spark.createDataFrame([(i, f"{w} b c d e f {w} h") for i, w in enumerate("xyxz")], "doc_id long, text string")
+    kept = simhash.distinct_rows(docs, 0.8)
+    assert sorted(x["doc_id"] for x in kept.collect()) == [0, 1, 3]
+    assert not [f for f in os.listdir(local_path(shared_folder(spark))) if f.startswith(("similarity-", "simhash-"))]
+
+
 def test_a_shared_passage_makes_no_large_group(spark):
     """One passage in 50,000 documents: each bucket holds a block's entry of it, not the documents'."""
     passage = " ".join(f"p{i}" for i in range(14))
